@@ -8,8 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .mixing import mix_sources
 from .quality_classifier import score_quality
 from .rule_ledger import quality_rules
+from .secrets import scan_secrets
+from .simhash import simhash_components
+from .warc import warc_round_trip
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +45,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_rule_ledger, op10_quality_classifier)
+    f.__name__: f
+    for f in (op1_secrets, op5_warc, op6_simhash, op8_mixing, op9_rule_ledger, op10_quality_classifier)
 }
 ORACLES: dict[str, str] = {}
