@@ -13,6 +13,7 @@ from .quality_classifier import score_quality
 from .rule_ledger import quality_rules
 from .secrets import scan_secrets
 from .simhash import simhash_components
+from .suffix_dedup import suffix_dedup
 from .warc import warc_round_trip
 
 
@@ -20,6 +21,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -46,6 +51,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secrets, op5_warc, op6_simhash, op8_mixing, op9_rule_ledger, op10_quality_classifier)
+    for f in (op1_secrets, op4_suffix_dedup, op5_warc, op6_simhash, op8_mixing, op9_rule_ledger, op10_quality_classifier)
 }
 ORACLES: dict[str, str] = {}

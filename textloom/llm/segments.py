@@ -58,30 +58,51 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segment_slice(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all segments: index of the text, start in the text, number of windows, key."""
+def sliding_max_at(low: np.ndarray, n: int, width: int) -> np.ndarray:
+    """For each of ``n`` grams the largest minimum of the windows that hold it."""
+    padded = np.zeros(n + width - 1, np.uint64)
+    padded[width - 1 : width - 1 + len(low)] = low
+    return ~sliding_min(~padded, width)
+
+
+def segment_slice(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of all segments: index of the text, start in the text, number of windows, key, inner.
+
+    ``inner`` is set if the key's gram stands more than once within a segment's reach, without
+    which the segment can't hold two equal windows.
+    """
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     first = np.concatenate(([0], np.cumsum(sizes)))
     if sizes.max(initial=0) < length:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    low = sliding_min(gram_hashes(np.frombuffer(b"".join(texts), np.uint8), gram), length - gram + 1)
+        return (*(np.empty(0, np.int64),) * 3, np.empty(0, np.uint64), np.empty(0, bool))
+    width = length - gram + 1
+    h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8), gram)
+    low = sliding_min(h, width)
     fits = np.flatnonzero(sizes >= length)
     begin, end = first[fits], first[fits] + sizes[fits] - length + 1  # of the windows of each text
     new = np.zeros(len(low) + 1, bool)
     new[1:-1] = low[1:] != low[:-1]
     new[begin] = True
     new[end] = True
+    new = new[:-1]
     starts = np.flatnonzero(new)
     runs = np.diff(np.append(starts, len(low)))
     at = np.searchsorted(begin, starts, "right") - 1
-    good = (at >= 0) & (starts < end[at]) & (runs > 0)
+    good = (at >= 0) & (starts < end[at])
     starts, runs, at = starts[good], runs[good], at[good]
+    key = low[starts]
+    anchors = np.flatnonzero(sliding_max_at(low, len(h), width) == h)
+    order = np.lexsort((anchors, h[anchors]))
+    a, b = anchors[order[:-1]], anchors[order[1:]]
+    close = (h[a] == h[b]) & (b - a < MOST + length)
+    twice = np.unique(h[a[close]])
+    inner = np.isin(key, twice) if len(twice) else np.zeros(len(key), bool)
     parts = -(-runs // MOST)
     if parts.max(initial=1) > 1:
-        starts, runs, at, again = (np.repeat(x, parts) for x in (starts, runs, at, np.cumsum(parts) - parts))
+        starts, runs, at, key, inner, again = (np.repeat(x, parts) for x in (starts, runs, at, key, inner, np.cumsum(parts) - parts))
         i = np.arange(len(starts)) - again
         starts, runs = starts + i * MOST, np.minimum(runs - i * MOST, MOST)
-    return fits[at], starts - begin[at], runs, low[starts]
+    return fits[at], starts - begin[at], runs, key, inner
 
 
 def slices(texts: list[bytes]) -> list[tuple[int, int]]:
