@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .decontaminate import find_leaks
+from .line_dedup import dedup_lines
+from .lm_scoring import score_lm
 from .mixing import mix_sources
 from .quality_classifier import score_quality
 from .rule_ledger import quality_rules
@@ -21,6 +24,15 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select(F.col("rest.doc_id").alias("doc_id"), "n_lines", "n_removed_lines", "n_removed_chunks", "kept_sha256")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +46,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_lm(read_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +67,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secrets, op4_suffix_dedup, op5_warc, op6_simhash, op8_mixing, op9_rule_ledger, op10_quality_classifier)
+    for f in (
+        op1_secrets,
+        op2_decontaminate,
+        op3_line_dedup,
+        op4_suffix_dedup,
+        op5_warc,
+        op6_simhash,
+        op7_lm_scoring,
+        op8_mixing,
+        op9_rule_ledger,
+        op10_quality_classifier,
+    )
 }
 ORACLES: dict[str, str] = {}
