@@ -81,17 +81,16 @@ def block_keys(fp: Column, max_bits: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def forest(fps: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among distinct fingerprints; rows of the comparison at a time."""
-    n = len(fps)
-    unseen = np.arange(n)
+def forest_of(words: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links among distinct fingerprints, a row of 64-bit words each."""
+    unseen = np.arange(len(words))
     a: list[int] = []
     b: list[int] = []
     while len(unseen):
         queue, unseen = [int(unseen[0])], unseen[1:]
         while queue and len(unseen):
             i = queue.pop()
-            near = np.bitwise_count(fps[unseen] ^ fps[i]) <= max_bits
+            near = np.bitwise_count(words[unseen] ^ words[i]).sum(axis=1, dtype=np.int64) <= max_bits
             hit = unseen[near]
             a += [i] * len(hit)
             b += hit.tolist()
@@ -116,7 +115,7 @@ def group_links(groups: DataFrame, max_bits: int) -> DataFrame:
             right.append(flat[pairs[near] + 1])
             for g in np.flatnonzero(sizes > 2):
                 own = np.sort(flat[ends[g] : ends[g + 1]])
-                a, b = forest(own, max_bits)
+                a, b = forest_of(own[:, None], max_bits)
                 left.append(own[a])
                 right.append(own[b])
             yield pa.RecordBatch.from_pydict({"a": np.concatenate(left).view(np.int64), "b": np.concatenate(right).view(np.int64)})
@@ -133,10 +132,16 @@ def ball_links(rows: DataFrame, max_bits: int) -> DataFrame:
     max_bits of everything there, so a star around the smallest of them has all the links.
     """
     near, far = max_bits // 2, max_bits - max_bits // 2
-    flips = [(0, sum(1 << b for b in c) - ((1 << BITS) if BITS - 1 in c else 0), r) for r in range(far + 1) for c in combinations(range(BITS), r)]
-    spark = rows.sparkSession
-    ball = spark.createDataFrame([(f, r) for _, f, r in flips], "flip long, radius int")  # a fixed table: sum of C(64, r), r <= far
-    spread = rows.select("fp").distinct().join(F.broadcast(ball)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "radius")
+    flips = [(sum(1 << b for b in c), r) for r in range(far + 1) for c in combinations(range(BITS), r)]
+    flip, radius = np.array([f for f, _ in flips], np.uint64), np.array([r for _, r in flips], np.int32)
+
+    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp in batch.column("fp").to_numpy():
+                points = (fp.view(np.uint64) ^ flip).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"fp": np.full(len(flip), fp), "point": points, "radius": radius})
+
+    spread = rows.select("fp").distinct().mapInArrow(balls, "fp long, point long, radius int")
     hubs = spread.where(F.col("radius") <= near).groupBy("point").agg(F.min("fp").alias("hub"))
     return spread.join(hubs, "point").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
