@@ -156,30 +156,35 @@ def walk(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
 
 
 def archive_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_digest and refers_to of every page."""
-    digested = pages.select("page_id", "url", "html").withColumn("_sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    size = F.octet_length(F.coalesce("html", F.lit("")))
-    kept = digested.withColumn("_size", size)
+    """page_id, url, sha (20 bytes), size, packed (the payload deflated, for the way to its record) and refers_to of every page."""
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        payloads = [x or b"" for x in batch.column("html").cast(pa.large_binary()).to_pylist()]
+        return {
+            "sha": [hashlib.sha1(x).digest() for x in payloads],
+            "size": [len(x) for x in payloads],
+            "packed": [zlib.compress(x, 1) for x in payloads],
+        }
+
+    made = map_rows(pages.select("page_id", "url", "html"), kernel, ["page_id", "url"], "sha binary, size long, packed binary")
+    html = F.coalesce("html", F.lit("")).cast("binary")
     shared = (
-        pages.select("page_id", F.coalesce("html", F.lit("")).alias("h"))
-        .select("page_id", F.sha1(F.col("h").cast("binary")).alias("_sha"), F.octet_length("h").alias("_size"))
-        .groupBy("_sha", "_size")
-        .agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
-        .where("_n > 1")
-        .drop("_n")
+        pages.select("page_id", F.unhex(F.sha1(html)).alias("sha"), F.octet_length(html).cast("long").alias("size"))
+        .groupBy("sha", "size")
+        .agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+        .where("n > 1")
+        .drop("n")
     )
-    refers = F.when(F.col("page_id") < F.col("_last"), F.col("_last"))
-    return kept.join(shared, ["_sha", "_size"], "left").select("page_id", "url", "html", "_sha", refers.alias("refers_to"))
+    refers = F.when(F.col("page_id") < F.col("last"), F.col("last"))
+    return made.join(shared, ["sha", "size"], "left").select("page_id", "url", "sha", "packed", refers.alias("refers_to"))
 
 
 def write_archive(pages: DataFrame, path: str, records_per_file: int = 4000) -> None:
     """Write one record per page as WARC files under ``path``."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "_sha")]
-        payloads = batch.column("html").cast(pa.large_binary()).to_pylist()
-        rows = zip(*cols, payloads, strict=True)
-        return {"record": [record(p, u, h or b"", base64.b32encode(bytes.fromhex(s)).decode(), r) for p, u, r, s, h in rows]}
+        rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "packed", "sha", "refers_to")), strict=True)
+        return {"record": [record(p, u, zlib.decompress(x), base64.b32encode(s).decode(), r) for p, u, x, s, r in rows]}
 
     made = map_rows(archive_records(pages), kernel, [], "record binary")
     out = made.select(F.col("record").cast("string").alias("value")).write.mode("overwrite")
