@@ -118,18 +118,28 @@ def candidates(index: GramIndex, texts: list[bytes]) -> set[tuple[int, int, int]
     width = np.maximum(index.edits[piece], 1)
     most = max((len(x) for x in index.pieces), default=0)
     band = (at - starts[text] - place + most) // width
-    # Distinct places of each (text, piece, band); a gram is in its own band and in the one below.
-    rows = np.stack([np.tile(text, 2), np.tile(piece, 2), np.concatenate((band, band - 1)), np.tile(place, 2)])
-    rows = np.unique(rows, axis=1)[:3]
-    keys, counts = np.unique(rows, axis=1, return_counts=True)
-    keys = keys[:, counts >= index.bounds[keys[1]]]
-    low = keys[2] * np.maximum(index.edits[keys[1]], 1) - most
-    return set(zip(keys[0].tolist(), keys[1].tolist(), low.tolist(), strict=True))
+    # Distinct places of each (text, piece, band), packed in one number; a gram is in its own band and in the one below.
+    owner, bands = text * n + piece, int(band.max(initial=0)) + 2
+    owner, band, place = np.tile(owner, 2), np.concatenate((band, band - 1)) + 1, np.tile(place, 2)
+    rows = (owner * bands + band) * most + place
+    rows.sort()
+    rows = rows[np.diff(rows, prepend=-1) != 0] // max(most, 1)
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    keys, counts = rows[first], np.diff(first, append=len(rows))
+    owner, band = keys // bands, keys % bands - 1
+    text, piece = owner // n, owner % n
+    good = counts >= index.bounds[piece]
+    text, piece, band = text[good], piece[good], band[good]
+    low = band * np.maximum(index.edits[piece], 1) - most
+    return set(zip(text.tolist(), piece.tolist(), low.tolist(), strict=True))
 
 
 def banded_edits(piece: bytes, text: bytes, low: int, high: int, most: int) -> tuple[int, int, int] | None:
     """The fewest edits from ``piece`` to a stretch of ``text`` on diagonals low..high, with its start and stop."""
     m, width = len(piece), high - low + 1
+    same = text.find(piece, max(low, 0), max(high + m, 0))
+    if same >= 0:  # a diagonal without edits
+        return 0, same, same + m
     p, t = np.frombuffer(piece, np.uint8), np.frombuffer(text, np.uint8)
     padded = np.zeros(width + m + 1, np.uint8)  # text from position low on; 0 matches nothing
     a, b = max(low, 0), min(low + len(padded), len(t))
@@ -140,19 +150,19 @@ def banded_edits(piece: bytes, text: bytes, low: int, high: int, most: int) -> t
     cost = np.where((pos >= 0) & (pos <= len(t)), 0, far)
     begin = pos.copy()
     step = np.arange(width)
+    skip, from_ = np.full(width, far + 1), np.zeros(width, np.int64)
     for i in range(m):
         take = cost + (padded[i : i + width] != p[i])
-        skip = np.append(cost[1:], far) + 1
+        skip[:-1] = cost[1:] + 1
+        from_[:-1] = begin[1:]
         down = skip < take
         cost = np.where(down, skip, take)
-        begin = np.where(down, np.append(begin[1:], 0), begin)
+        begin = np.where(down, from_, begin)
         shifted = cost - step  # then characters of the text that the piece lacks
         best = np.minimum.accumulate(shifted)
         better = best < shifted
         if better.any():
-            source = np.maximum.accumulate(np.where(better, 0, step))
-            cost, begin = best + step, begin[source]
-        cost = np.minimum(cost, far)
+            cost, begin = best + step, begin[np.maximum.accumulate(np.where(better, 0, step))]
         if cost.min() >= far:
             return None
     end = pos + m
