@@ -35,7 +35,7 @@ REGIONS = f"""
 nt AS (SELECT n_regionkey, n_nationkey, n_name, '## ' || n_name || {LF} || {LF} || 'Customers of ' || n_name || {LF} || {LF} ||
          '| c_custkey | c_name | c_mktsegment |' || {LF} || '| --- | --- | --- |' || {LF} ||
          string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |', {LF} ORDER BY c_custkey) || {LF} AS part
-       FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+       FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey, n_name),
 m AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, '# Region ' || n_regionkey || {LF} || {LF} || '| key | nation |' || {LF} || '| --- | --- |' || {LF} ||
         string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', {LF} ORDER BY n_nationkey) || {LF} || {LF} ||
         string_agg(part, {LF} ORDER BY n_nationkey) AS text
