@@ -25,12 +25,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, checkpoint_dir, map_rows
+from .bloom import bloom_of
+from .common import arrow_schema, checkpoint_dir, cut, map_rows
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -155,28 +157,46 @@ def walk(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     return walk_gzip(data) if gz >= 0 and (plain < 0 or gz < plain) else walk_plain(data)
 
 
-def archive_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, sha (20 bytes), size, packed (the payload deflated, for the way to its record) and refers_to of every page."""
+def digested(pages: DataFrame) -> DataFrame:
+    """(page_id, sha, size, h): the payload's SHA-1, its length, and eight bytes of the SHA-1 as a long."""
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        payloads = [x or b"" for x in batch.column("html").cast(pa.large_binary()).to_pylist()]
-        return {
-            "sha": [hashlib.sha1(x).digest() for x in payloads],
-            "size": [len(x) for x in payloads],
-            "packed": [zlib.compress(x, 1) for x in payloads],
-        }
-
-    made = map_rows(pages.select("page_id", "url", "html"), kernel, ["page_id", "url"], "sha binary, size long, packed binary")
-    html = F.coalesce("html", F.lit("")).cast("binary")
-    shared = (
-        pages.select("page_id", F.unhex(F.sha1(html)).alias("sha"), F.octet_length(html).cast("long").alias("size"))
-        .groupBy("sha", "size")
-        .agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
+        payloads = batch.column("html").cast(pa.large_binary()).to_pylist()
+        sha = [hashlib.sha1(x or b"").digest() for x in payloads]
+        return {"sha": sha, "size": [len(x or b"") for x in payloads], "h": np.frombuffer(b"".join(x[:8] for x in sha), np.int64)}
+
+    return map_rows(pages.select("page_id", "html"), kernel, ["page_id"], "sha binary, size long, h long")
+
+
+def archive_records(pages: DataFrame) -> DataFrame:
+    """page_id, url, sha, packed (the payload deflated) and refers_to of every page.
+
+    Payloads that occur once, as a Bloom filter of the others shows, don't move; the rest meet
+    the largest page_id of their payload in a join.
+    """
+    shared = digested(pages).groupBy("sha", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n"), F.first("h").alias("h"))
+    shared = cut(shared.where("n > 1").drop("n"))
+    sent = pages.sparkSession.sparkContext.broadcast(bloom_of(shared, "h", shared.count()))
+    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], *T.StructType.fromDDL("sha binary, size long, packed binary").fields])
+    target = arrow_schema(schema)
+
+    def records(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                payloads = [x or b"" for x in b.column("html").cast(pa.large_binary()).to_pylist()]
+                sha = [hashlib.sha1(x).digest() for x in payloads]
+                hit = sent.value.has(np.frombuffer(b"".join(x[:8] for x in sha), np.uint64)) == wanted
+                at = np.flatnonzero(hit).tolist()
+                own = {"sha": [sha[i] for i in at], "size": [len(payloads[i]) for i in at], "packed": [zlib.compress(payloads[i], 1) for i in at]}
+                kept = [b.column(c).filter(pa.array(hit)) for c in ("page_id", "url")]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(own[n], target.field(n).type) for n in own], names=target.names)
+
+        return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+
     refers = F.when(F.col("page_id") < F.col("last"), F.col("last"))
-    return made.join(shared, ["sha", "size"], "left").select("page_id", "url", "sha", "packed", refers.alias("refers_to"))
+    often = records(True).join(shared.drop("h"), ["sha", "size"], "left").select("page_id", "url", "sha", "packed", refers.alias("refers_to"))
+    once = records(False).select("page_id", "url", "sha", "packed", F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"))
+    return once.unionByName(often)
 
 
 def write_archive(pages: DataFrame, path: str, records_per_file: int = 4000) -> None:
