@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +74,8 @@ def weak_findings(data: bytes, base: list[tuple[int, int, int]]) -> list[tuple[i
                 found.append((m.start(), m.end(), 4))
     if base or found:
         found += [(m.start(), m.end(), 5) for m in ENDPOINT.finditer(data)]
-    inside = sorted(base)
-    return [w for w in found if not any(b[0] < w[1] and w[0] < b[1] for b in inside)]
+    starts, reach = [b[0] for b in base], [0, *accumulate((b[1] for b in base), max)]
+    return [w for w in found if reach[bisect_left(starts, w[1])] <= w[0]]
 
 
 def in_code_points(data: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
