@@ -174,7 +174,7 @@ def score_lm(docs: DataFrame, max_bits: int = 1 << 29, probes: int = 3, head: in
     keyed = with_row_key(docs.select("doc_id", "text")).withColumn("held_out", held_out(F.col("doc_id")))
     train = keyed.where("not held_out")
     # Shards follow the number of input partitions, so that what one of them holds stays as it is.
-    shards = min(max(power_of_two(shard_partitions * train.rdd.getNumPartitions()), 16), max_bits >> 13)
+    shards = min(max(power_of_two(shard_partitions * train.rdd.getNumPartitions()), 16), max_bits >> 9)
     n_bits = min(max_bits, shards * SHARD_BITS)
     built = cut(shard_filters(ngram_counts(train, shards), shards, n_bits, probes))
     bits = np.zeros(n_bits // 8, np.uint8)
