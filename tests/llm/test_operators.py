@@ -437,3 +437,14 @@ def test_pipeline(spark, sf_dir):
     assert all(b <= a for a, b in zip(kept, kept[1:], strict=False)) and len(kept[-1]) > 100
     out = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in out.collect()} == kept[-1]
+
+
+def test_line_dedup_of_a_very_common_chunk(spark):
+    """Over a thousand copies, so that the chunk is hot."""
+    body = "the same license line that all of these documents carry\nand the second line of it as well"
+    rows = [(i, f"{body}\nown line {i} that ends the text") for i in range(1300)]
+    chunker = line_dedup.Chunker(divisor=1, max_lines=2)
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), chunker)
+    assert pairs(out.select("rest.doc_id", "text", "n_removed_chunks"), "doc_id", "text", "n_removed_chunks") == Counter(
+        (i, t if i == 0 else t.removeprefix(body + "\n"), int(i > 0)) for i, t in rows
+    )

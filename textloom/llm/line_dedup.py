@@ -7,7 +7,9 @@ earlier - in a document with a smaller id, or further up in the same one - are r
 first occurrence stays. Digests only nominate chunks: occurrences are grouped by their bytes.
 
 Digests that occur twice travel to the texts in a Bloom filter of bounded size, so that only
-chunks that are (but for its errors) repeated are shuffled with their bytes.
+chunks that are (but for its errors) repeated are shuffled with their bytes. A digest with over a
+thousandth of all repeats (and 1,000 of them) is hot: its chunks meet their first occurrence in
+``SALTS`` parts. There are at most a thousand such digests, so they travel as a list.
 
 Null or empty text: no chunk, stays as it is. Null ids come first in the order. Rows alike in id
 and text are one document: they keep or lose the same chunks. An empty table gives an empty
@@ -30,6 +32,7 @@ from .common import bytes_of, cut, map_rows, with_row_key
 
 #: A fixed value: the base of the rolling hash over line hashes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SALTS = 64
 
 
 def chunk_ends(lines: list[bytes], window: int, divisor: int, min_lines: int, max_lines: int) -> list[int]:
@@ -84,30 +87,37 @@ def digest_counts(docs: DataFrame, chunker: Chunker) -> DataFrame:
     return docs.select("text").mapInArrow(run, "d1 long, d2 long").groupBy("d1", "d2").agg(F.count("*").alias("n"))
 
 
-def nominated(keyed: DataFrame, known: Bloom, chunker: Chunker) -> DataFrame:
-    """Row key, id, position and bytes of the chunks whose digest may be repeated."""
-    sent = keyed.sparkSession.sparkContext.broadcast(known)
+def nominated(keyed: DataFrame, known: Bloom, hot: np.ndarray, chunker: Chunker) -> DataFrame:
+    """Row key, id, position and bytes of the chunks whose digest may be repeated, and whether it is hot."""
+    sent = keyed.sparkSession.sparkContext.broadcast((known, hot))
 
     def kernel(batch: pa.RecordBatch) -> dict:
         texts = bytes_of(batch.column("text"))
         found = [chunker.candidates(x) for x in texts]
         d = [xxhash.xxh3_128_digest(x) for own in found for _, x in own]
         first = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)[:, 0].copy()
-        passed = iter(sent.value.has(first.view(np.uint64)).tolist())
-        return {"chunks": [[{"pos": i, "body": x} for i, x in own if next(passed)] for own in found]}
+        repeats, often = sent.value
+        flags = iter(zip(repeats.has(first.view(np.uint64)).tolist(), np.isin(first, often).tolist(), strict=True))
+        flagged = [[(i, x, *next(flags)) for i, x in own] for own in found]
+        return {"chunks": [[{"pos": i, "body": x, "hot": h} for i, x, passed, h in own if passed] for own in flagged]}
 
-    made = map_rows(keyed, kernel, ["doc_id", "_k", "_t"], "chunks array<struct<pos: int, body: binary>>")
-    return made.select("doc_id", "_k", "_t", F.explode("chunks").alias("c")).select("doc_id", "_k", "_t", "c.pos", "c.body")
+    made = map_rows(keyed, kernel, ["doc_id", "_k", "_t"], "chunks array<struct<pos: int, body: binary, hot: boolean>>")
+    return made.select("doc_id", "_k", "_t", F.explode("chunks").alias("c")).select("doc_id", "_k", "_t", "c.*")
 
 
 def removed_chunks(keyed: DataFrame, chunker: Chunker) -> DataFrame:
     """Row key and ``gone``, the positions of the chunks to remove."""
-    repeated = cut(digest_counts(keyed, chunker).where("n > 1").select("d1"))
-    known = bloom_of(repeated, "d1", repeated.count())
-    found = cut(nominated(keyed, known, chunker).dropDuplicates(["_k", "_t", "pos"]))
+    repeated = cut(digest_counts(keyed, chunker).where("n > 1").select("d1", "n"))
+    size = repeated.agg(F.count("*").alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    hot = repeated.where(F.col("n") > max(size["n"] // 1000, 1000)).select("d1").toArrow()  # at most 1,000
+    known = bloom_of(repeated, "d1", size["digests"])
+    found = cut(nominated(keyed, known, hot.column("d1").to_numpy(), chunker).dropDuplicates(["_k", "_t", "pos"]))
     place = F.struct("doc_id", "_k", "_t", "pos")
-    kept = found.groupBy("body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(kept, "body").where(~place.eqNullSafe(F.col("first")))
+    kept = found.groupBy("body").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("hot").alias("hot")).where("n > 1")
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    kept = kept.select("body", "first", F.explode(parts).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("_k", "_t", "pos"), F.lit(SALTS)).cast("int")).otherwise(0)
+    later = found.withColumn("salt", salt).join(kept, ["body", "salt"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("_k", "_t").agg(F.collect_set("pos").alias("gone"))  # as many as one text holds
 
 
