@@ -153,7 +153,7 @@ def repeated_spans(keyed: DataFrame, length: int, gram: int, group_limit: int, b
     size = wanted.agg(F.count("*").alias("n"), F.sum(F.col("runs") + length).alias("bytes"), F.max("m").alias("m")).first()
     whole = contents.where("n > 1").select(*CONTENT, F.array(F.struct(F.lit(0).alias("a"), F.col("runs").alias("b"))).cast(RANGES).alias("ranges"))
     if size["n"]:
-        held = segment_bytes(keyed, bloom_of(wanted, "key", size["n"]), length, gram)
+        held = segment_bytes(keyed, bloom_of(wanted.select("key").distinct(), "key", size["n"]), length, gram)
         held = held.join(wanted.select(*CONTENT, "n", "m"), CONTENT).groupBy(*CONTENT).agg(F.first("bytes").alias("bytes"), F.first("n").alias("n"), F.first("m").alias("m"))
         held = cut(held)
         buckets = max(1, -(-size["bytes"] // bucket_bytes))
@@ -200,7 +200,7 @@ def remover(with_text: bool) -> Callable[[pa.RecordBatch], dict]:
 
 
 def suffix_dedup(
-    docs: DataFrame, length: int = 200, gram: int = GRAM, group_limit: int = 2000, bucket_bytes: int = 1 << 20, with_text: bool = False
+    docs: DataFrame, length: int = 200, gram: int = GRAM, group_limit: int = 2000, bucket_bytes: int = 1 << 18, with_text: bool = False
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``; also ``kept`` (binary) with ``with_text``."""
     keyed = with_row_key(docs.select("doc_id", "text"))
