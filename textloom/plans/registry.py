@@ -255,9 +255,11 @@ def table_row_chunks(spark, sf_dir):
 
 @query(
     f"""WITH {sql.PACKED} SELECT a.doc_id, a.blk, a.part, coalesce(string_agg(b.part, ',' ORDER BY b.part), '') AS siblings
-    FROM parts a LEFT JOIN parts b ON a.doc_id = b.doc_id AND a.blk = b.blk AND a.part <> b.part GROUP BY ALL"""
+    FROM parts a LEFT JOIN parts b ON a.doc_id = b.doc_id AND a.blk = b.blk AND a.part <> b.part
+    WHERE a.doc_id IN (SELECT doc_id FROM l0 GROUP BY doc_id HAVING length(trim(string_agg(regexp_replace(line, '^#+ ', ''), {LF} ORDER BY pos), {LF} || ' ')) > 1800) GROUP BY ALL"""
 )
 def table_siblings(spark, sf_dir):
+    """Siblings of the tables of documents that are too long for one chunk; shorter ones have no leaves."""
     made = chunks.chunk_documents(inputs.nation_docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"(?m)^#+ ", "")))
     numbered = _tables(spark, sf_dir).select("doc_id", "blk", "part", "content")
     leaf = made.where("chunk_type = 'leaf' and has_table").select("doc_id", "blk", "part", F.size("sibling_ids").alias("n"))
