@@ -448,3 +448,28 @@ def test_line_dedup_of_a_very_common_chunk(spark):
     assert pairs(out.select("rest.doc_id", "text", "n_removed_chunks"), "doc_id", "text", "n_removed_chunks") == Counter(
         (i, t if i == 0 else t.removeprefix(body + "\n"), int(i > 0)) for i, t in rows
     )
+
+
+def shingled(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_near_dedup_at_the_threshold(spark):
+    """Pairs of similarity 0.7 to 0.95 against all pairs compared; none is missed, none below 0.8 is merged."""
+    random.seed(12)
+    texts, found = [], []
+    for i in range(400):
+        w = [f"w{random.randrange(10**6)}" for _ in range(random.choice([60, 100, 400]))]
+        x = list(w)
+        for _ in range(random.randint(1, max(len(w) // 25, 2))):
+            x[random.randrange(len(x))] = "changed"
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(x))]
+        found.append(similarity(shingled(texts[-2][1]), shingled(texts[-1][1])))
+    assert sum(0.8 <= s < 0.85 for s in found) > 20 and sum(0.7 <= s < 0.8 for s in found) > 40
+    kept = {r.doc_id for r in near_dedup.near_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert kept == {2 * i for i in range(400)} | {2 * i + 1 for i, s in enumerate(found) if s < 0.8}
