@@ -473,3 +473,19 @@ def test_near_dedup_at_the_threshold(spark):
     assert sum(0.8 <= s < 0.85 for s in found) > 20 and sum(0.7 <= s < 0.8 for s in found) > 40
     kept = {r.doc_id for r in near_dedup.near_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert kept == {2 * i for i in range(400)} | {2 * i + 1 for i, s in enumerate(found) if s < 0.8}
+
+
+def test_line_dedup_removes_planted_passages_whole(spark):
+    """Runs of 50 words and more of one to seven lines, at shifting places between other lines."""
+    random.seed(13)
+    line = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
+    texts, want = [], []
+    for i in range(120):
+        n = i % 7 + 1
+        passage = [line(50 // n + 1) for _ in range(n)]
+        first, last, a, b = ([line(random.randint(1, 12)) for _ in range(random.randint(0, 5))] for _ in range(4))
+        texts += [(2 * i, "\n".join([*first, *passage, *last])), (2 * i + 1, "\n".join([*a, *passage, *b]))]
+        want += [texts[-2], (2 * i + 1, "\n".join(a + b))]
+    out = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"))
+    got = {r.doc_id: (r.text, r.n_removed_lines, r.n_removed_chunks) for r in out.select("rest.doc_id", "text", "n_removed_lines", "n_removed_chunks").collect()}
+    assert got == {i: (x, (i // 2 % 7 + 1) * (i % 2), i % 2) for i, x in want}

@@ -1,150 +1,148 @@
-"""Removal of repeated multi-line chunks with content-defined boundaries.
-
-Lines are hashed, and a rolling hash over the last ``window`` line hashes decides after which
-lines a chunk ends, so that boundaries move with the content when lines are put in or taken out
-before it. Chunks of at least ``min_lines`` lines and ``min_words`` words whose bytes occur
-earlier - in a document with a smaller id, or further up in the same one - are removed; the
-first occurrence stays. Digests only nominate chunks: occurrences are grouped by their bytes.
-
-Digests that occur twice travel to the texts in a Bloom filter of bounded size, so that only
-chunks that are (but for its errors) repeated are shuffled with their bytes. A digest with over a
-thousandth of all repeats (and 1,000 of them) is hot: its chunks meet their first occurrence in
-``SALTS`` parts. There are at most a thousand such digests, so they travel as a list.
-
-Null or empty text: no chunk, stays as it is. Null ids come first in the order. Rows alike in id
-and text are one document: they keep or lose the same chunks. An empty table gives an empty
+"""Removal of repeated runs of lines.
+
+A window is a least run of lines with ``min_lines`` lines and ``min_words`` words: one from each
+line that has words onwards, one from each such line back, and every line of ``line_words`` words
+by itself. Windows whose bytes occur earlier - in a document with a smaller id, or further up in
+the same one - lose all their lines; the first occurrence stays. Any run of lines that is repeated
+and long enough is covered by windows that lie within it, so that it goes whole, but for wordless
+lines at its edges, wherever it stands and whatever surrounds it. A run that isn't made of whole
+lines is not found. The earliest occurrence of a line's bytes is never removed.
+
+Windows are told apart by 128 bits of BLAKE2b over their bytes. Digests that occur twice travel to
+the texts in a Bloom filter of bounded size, so that only windows that are (but for its errors)
+repeated are shuffled. A digest with over a thousandth of all repeats (and 1,000 of them) is hot:
+its windows meet their first occurrence in ``SALTS`` parts. There are at most a thousand such
+digests, so they travel as a list.
+
+Null or empty text: no window, stays as it is. Null ids come first in the order. Rows alike in id
+and text are one document: they keep or lose the same lines. An empty table gives an empty
 result. Other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom_of
 from .common import bytes_of, cut, map_rows, with_row_key
 
-#: A fixed value: the base of the rolling hash over line hashes.
-BASE = np.uint64(0x9E3779B97F4A7C15)
 SALTS = 64
 
 
-def chunk_ends(lines: list[bytes], window: int, divisor: int, min_lines: int, max_lines: int) -> list[int]:
-    """Index after the last line of each chunk."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
-    rolled = h.copy()
-    for i in range(1, min(window, len(h))):
-        rolled[i:] = rolled[i:] + h[:-i] * BASE ** np.uint64(i)
-    rolled ^= rolled >> np.uint64(32)
-    cut_after = (rolled % np.uint64(divisor) == 0).tolist()
-    ends, start = [], 0
-    for i, stop in enumerate(cut_after):
-        n = i + 1 - start
-        if (stop and n >= min_lines) or n >= max_lines:
-            ends.append(i + 1)
-            start = i + 1
-    if start < len(lines):
-        ends.append(len(lines))
-    return ends
-
-
 class Chunker:
-    def __init__(self, window: int = 2, divisor: int = 3, min_lines: int = 2, max_lines: int = 64, min_words: int = 8) -> None:
-        self.window, self.divisor, self.min_lines, self.max_lines, self.min_words = window, divisor, min_lines, max_lines, min_words
+    """Lines and windows of a text. Every window counts, so that ``divisor`` can only be 1; ``max_lines`` bounds windows, if given."""
+
+    def __init__(self, min_lines: int = 2, min_words: int = 8, line_words: int = 50, divisor: int = 1, max_lines: int | None = None) -> None:
+        if divisor != 1:
+            raise ValueError("windows are not sampled: divisor must be 1")
+        self.min_lines, self.min_words, self.line_words, self.max_lines = min_lines, min_words, line_words, max_lines
 
     def chunks(self, data: bytes) -> list[bytes]:
-        """Chunks with their line feeds; together they are the text."""
+        """Lines with their line feeds; together they are the text."""
         lines = data.split(b"\n")
-        ends = chunk_ends(lines, self.window, self.divisor, self.min_lines, self.max_lines)
-        texts = [b"\n".join(lines[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-        return [x + b"\n" for x in texts[:-1]] + texts[-1:]
+        return [x + b"\n" for x in lines[:-1]] + lines[-1:]
 
-    def candidates(self, data: bytes) -> list[tuple[int, bytes]]:
-        """(position, bytes) of the chunks that may go; the last line feed of a chunk is not compared."""
-        if data.count(b"\n") + 1 < self.min_lines:
+    def windows(self, data: bytes) -> list[tuple[int, int, bytes]]:
+        """(first line, line after the last, bytes) of the windows, in order; the last line feed is not part of one."""
+        lines = data.split(b"\n")
+        words = [len(x.split()) for x in lines]
+        before = [0, *accumulate(words)]
+        if before[-1] < min(self.min_words, self.line_words):
             return []
-        out = []
-        for i, x in enumerate(self.chunks(data)):
-            body = x.removesuffix(b"\n")
-            if body.count(b"\n") + 1 >= self.min_lines and len(body.split()) >= self.min_words:
-                out.append((i, body))
-        return out
+        found = set()
+        for i, n in enumerate(words):
+            if n:
+                end = max(i + self.min_lines, bisect_left(before, before[i] + self.min_words))
+                start = min(i + 1 - self.min_lines, bisect_right(before, before[i + 1] - self.min_words) - 1)
+                found |= {(i, end)} if end <= len(lines) else set()
+                found |= {(start, i + 1)} if start >= 0 else set()
+                found |= {(i, i + 1)} if n >= self.line_words else set()
+        at = [0, *accumulate(len(x) + 1 for x in lines)]
+        longest = self.max_lines or len(lines)
+        return [(a, b, data[at[a] : at[b] - 1]) for a, b in sorted(found) if b - a <= longest]
+
+    def candidates(self, data: bytes) -> list[tuple[int, bytes]]:
+        """(line, key): a line may go if one of its keys - its place in a window and the window's bytes - occurs earlier."""
+        return [(i, b"%d " % (i - a) + x) for a, b, x in self.windows(data) for i in range(a, b)]
+
+
+def digests(bodies: list[bytes]) -> np.ndarray:
+    """Two longs for each."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in bodies), np.int64).reshape(-1, 2)
 
 
 def digest_counts(docs: DataFrame, chunker: Chunker) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [xxhash.xxh3_128_digest(x) for data in bytes_of(batch.column("text")) for _, x in chunker.candidates(data)]
-            d = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            d = digests([x for data in bytes_of(batch.column("text")) for _, _, x in chunker.windows(data)])
             yield pa.RecordBatch.from_pydict({"d1": d[:, 0], "d2": d[:, 1]})
 
     return docs.select("text").mapInArrow(run, "d1 long, d2 long").groupBy("d1", "d2").agg(F.count("*").alias("n"))
 
 
 def nominated(keyed: DataFrame, known: Bloom, hot: np.ndarray, chunker: Chunker) -> DataFrame:
-    """Row key, id, position and bytes of the chunks whose digest may be repeated, and whether it is hot."""
+    """Row key, id, first line, line after the last and digest of the windows that may be repeated, and whether they are hot."""
     sent = keyed.sparkSession.sparkContext.broadcast((known, hot))
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        texts = bytes_of(batch.column("text"))
-        found = [chunker.candidates(x) for x in texts]
-        d = [xxhash.xxh3_128_digest(x) for own in found for _, x in own]
-        first = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)[:, 0].copy()
+        found = [chunker.windows(x) for x in bytes_of(batch.column("text"))]
+        d = digests([x for own in found for _, _, x in own])
         repeats, often = sent.value
-        flags = iter(zip(repeats.has(first.view(np.uint64)).tolist(), np.isin(first, often).tolist(), strict=True))
-        flagged = [[(i, x, *next(flags)) for i, x in own] for own in found]
-        return {"chunks": [[{"pos": i, "body": x, "hot": h} for i, x, passed, h in own if passed] for own in flagged]}
+        first = d[:, 0].copy()
+        flags = iter(zip(d.tolist(), repeats.has(first.view(np.uint64)).tolist(), np.isin(first, often).tolist(), strict=True))
+        flagged = [[(a, b, *next(flags)) for a, b, _ in own] for own in found]
+        return {"windows": [[{"pos": a, "end": b, "d1": d1, "d2": d2, "hot": h} for a, b, (d1, d2), passed, h in own if passed] for own in flagged]}
 
-    made = map_rows(keyed, kernel, ["doc_id", "_k", "_t"], "chunks array<struct<pos: int, body: binary, hot: boolean>>")
-    return made.select("doc_id", "_k", "_t", F.explode("chunks").alias("c")).select("doc_id", "_k", "_t", "c.*")
+    made = map_rows(keyed, kernel, ["doc_id", "_k", "_t"], "windows array<struct<pos: int, end: int, d1: long, d2: long, hot: boolean>>")
+    return made.select("doc_id", "_k", "_t", F.explode("windows").alias("w")).select("doc_id", "_k", "_t", "w.*")
 
 
-def removed_chunks(keyed: DataFrame, chunker: Chunker) -> DataFrame:
-    """Row key and ``gone``, the positions of the chunks to remove."""
+def removed_windows(keyed: DataFrame, chunker: Chunker) -> DataFrame:
+    """Row key and ``gone``, the windows (pos, end) to remove."""
     repeated = cut(digest_counts(keyed, chunker).where("n > 1").select("d1", "n"))
     size = repeated.agg(F.count("*").alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     hot = repeated.where(F.col("n") > max(size["n"] // 1000, 1000)).select("d1").toArrow()  # at most 1,000
     known = bloom_of(repeated, "d1", size["digests"])
-    found = cut(nominated(keyed, known, hot.column("d1").to_numpy(), chunker).dropDuplicates(["_k", "_t", "pos"]))
+    found = cut(nominated(keyed, known, hot.column("d1").to_numpy(), chunker).dropDuplicates(["_k", "_t", "pos", "end"]))
     place = F.struct("doc_id", "_k", "_t", "pos")
-    kept = found.groupBy("body").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("hot").alias("hot")).where("n > 1")
+    kept = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("hot").alias("hot")).where("n > 1")
     parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    kept = kept.select("body", "first", F.explode(parts).alias("salt"))
+    kept = kept.select("d1", "d2", "first", F.explode(parts).alias("salt"))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("_k", "_t", "pos"), F.lit(SALTS)).cast("int")).otherwise(0)
-    later = found.withColumn("salt", salt).join(kept, ["body", "salt"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("_k", "_t").agg(F.collect_set("pos").alias("gone"))  # as many as one text holds
+    later = found.withColumn("salt", salt).join(kept, ["d1", "d2", "salt"]).where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("_k", "_t").agg(F.collect_set(F.struct("pos", "end")).alias("gone"))  # at most three for each line of one text
 
 
 def dedup_lines(docs: DataFrame, chunker: Chunker | None = None) -> DataFrame:
-    """``rest`` (a struct of all columns of ``docs`` as they were), the new ``text``, n_lines, n_removed_lines, n_removed_chunks, kept_sha256."""
+    """``rest`` (a struct of all columns of ``docs`` as they were), the new ``text``, n_lines, n_removed_lines, n_removed_chunks (runs of them), kept_sha256."""
     chunker = chunker or Chunker()
     packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("rest"))
     keyed = with_row_key(packed)
-    gone = removed_chunks(keyed.select("doc_id", "text", "_k", "_t"), chunker)
+    gone = removed_windows(keyed.select("doc_id", "text", "_k", "_t"), chunker)
     joined = keyed.join(gone, ["_k", "_t"], "left").select("rest", "gone")
 
     def kernel(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("text", "n_lines", "n_removed_lines", "n_removed_chunks", "kept_sha256")}
         column = batch.column("rest").field("text").cast(pa.large_binary()).to_pylist()
-        for data, pos in zip(column, batch.column("gone").to_pylist(), strict=True):
-            kept, lost = data, 0
-            if pos:
-                chunks, drop = chunker.chunks(data), set(pos)
-                kept = b"".join(x for i, x in enumerate(chunks) if i not in drop)
-                last_gone = len(chunks) - 1 in drop
-                if last_gone:
+        for data, gone in zip(column, batch.column("gone").to_pylist(), strict=True):
+            kept, drop = data, {i for w in gone or () for i in range(w["pos"], w["end"])}
+            if drop:
+                lines = chunker.chunks(data)
+                kept = b"".join(x for i, x in enumerate(lines) if i not in drop)
+                if len(lines) - 1 in drop:
                     kept = kept.removesuffix(b"\n")
-                lost = sum(x.removesuffix(b"\n").count(b"\n") + 1 for i, x in enumerate(chunks) if i in drop)
             out["text"].append(None if kept is None else kept.decode())
             out["n_lines"].append(data.count(b"\n") + 1 if data else 0)
-            out["n_removed_lines"].append(lost)
-            out["n_removed_chunks"].append(len(pos or ()))
+            out["n_removed_lines"].append(len(drop))
+            out["n_removed_chunks"].append(sum(i - 1 not in drop for i in drop))
             out["kept_sha256"].append(hashlib.sha256(kept or b"").hexdigest())
         return out
 
@@ -152,7 +150,7 @@ def dedup_lines(docs: DataFrame, chunker: Chunker | None = None) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, chunker: Chunker | None = None) -> DataFrame:
-    """``docs`` with repeated chunks taken out and n_chars, if there is one, set anew; documents left without a word go."""
+    """``docs`` with repeated runs of lines taken out and n_chars, if there is one, set anew; documents left without a word go."""
     out = dedup_lines(docs, chunker)
     columns = []
     for c in docs.columns:
