@@ -303,7 +303,7 @@ def test_lm_scoring(docs, rows, empty, head):
     out_of = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 == 1 for r in rows]
     c = Counter(t for ts, o in zip(tokens, out_of, strict=True) if not o for t in ts)
     n, v = sum(c.values()), len(c)
-    got = lm_scoring.score_lm(docs, max_bits=1 << 22, head=head).collect()
+    got = lm_scoring.score_lm(docs, head=head).collect()
     want = Counter(
         (r[0], o, len(ts), sum(c[t] > 0 for t in ts), n, round(sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts), 6))
         for r, ts, o in zip(rows, tokens, out_of, strict=True)
@@ -314,19 +314,38 @@ def test_lm_scoring(docs, rows, empty, head):
     assert lm_scoring.score_lm(empty).count() == 0
 
 
-def test_log_counts_come_back_from_the_filter():
-    h = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits = np.zeros(1 << 17, np.uint8)
-    n = np.arange(1, 2000)
-    level = lm_scoring.levels_of(n)
-    for q in range(1, level.max() + 1):
-        at = lm_scoring.mixed(h[level >= q], 100 + q)
-        for i in range(3):
-            lm_scoring.set_bits(bits, lm_scoring.places(at, i, 1 << 20).astype(np.int64))
-    model = lm_scoring.Bloom(bits, 1, 3)
-    read = lm_scoring.read_counts(model, h, 1)
-    assert (np.abs(np.log2(read / n)) <= 1).mean() > 0.99
-    assert (lm_scoring.read_counts(model, h + np.uint64(12345), 1) > 0).mean() < 0.05
+def test_log_counts_come_back_from_the_filter(spark):
+    random.seed(21)
+    texts = [" ".join(f"w{int(random.paretovariate(0.7))}" for _ in range(200)) for _ in range(60)]
+    model = lm_scoring.train_lm(spark.createDataFrame([(t,) for t in texts], "text string"))
+    part = model.part(0, model.shards)
+    tokens, sizes = lm_scoring.token_hashes([t.encode() for t in texts])
+    for salt, h in ((1, tokens), (2, lm_scoring.pair_hashes(tokens, sizes)[1])):
+        u, n = np.unique(h, return_counts=True)
+        level = part.levels(u, salt)
+        assert (level >= lm_scoring.levels_of(n)).all() and (level == lm_scoring.levels_of(n)).mean() > 0.97
+        assert (part.levels(u + np.uint64(1 << 20), salt) > 0).mean() < 0.03
+    filled = np.unpackbits(part.bits).mean()
+    assert filled < 0.3 and model.n_all == len(tokens) and model.n_distinct == len(set(tokens.tolist()))
+
+
+def plain_scores(rows, mu=4.0):
+    """log10 probabilities with counts read as the middle of their levels."""
+    tokens = [[*(x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode())), None] for r in rows]
+    seen = [ts for r, ts in zip(rows, tokens, strict=True) if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 != 1]
+    one, two = Counter(t for ts in seen for t in ts), Counter(p for ts in seen for p in zip(ts, ts[1:]))
+    middle = lambda c: 0 if c == 0 else 1 if c == 1 else 1.5 * 2 ** int(math.log2(c)) - 0.5
+    n, v = sum(one.values()), len(one)
+    p1 = lambda t: (middle(one[t]) + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda a, t: (middle(two[a, t]) + mu * p1(t)) / (middle(one[a]) + mu)
+    return [math.log10(min(p1(ts[0]), 1)) + sum(math.log10(min(p2(a, t), 1)) for a, t in zip(ts, ts[1:])) for ts in tokens]
+
+
+def test_lm_scores_match_brute_force_in_any_number_of_rounds(docs, rows):
+    want = Counter((r[0], round(s, 4)) for r, s in zip(rows, plain_scores(rows), strict=True))
+    for table, most in ((docs, 1 << 29), (docs.repartition(7), 1 << 20)):
+        got = lm_scoring.score_lm(table, max_bits=most, bits_per_entry=2000).collect()
+        assert Counter((r.doc_id, round(r.score, 4)) for r in got) == want
 
 
 def test_mixing(spark, docs, rows, empty):

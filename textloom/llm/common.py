@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,16 +22,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured."""
+    """The shared folder of the cluster; a temporary one only where none is configured and nothing leaves this machine."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), "checkpoints")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which goes when the application ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and drop its lineage."""
     checkpoint_dir(df.sparkSession)
@@ -46,6 +59,23 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return df.withColumns({"_k": F.xxhash64("doc_id"), "_t": F.xxhash64("text")})
 
 
+def hot_values(counts: DataFrame, column: str, share: float = 0.001, least: int = 1000) -> list[int]:
+    """Values of ``column`` that have over ``share`` of all rows (and ``least``), from (``column``, n): at most 1 / share."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counts.where(F.col("n") > max(int(share * total), least)).groupBy(column).agg(F.lit(1))
+    return [r[0] for r in often.select(column).collect()]
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: list[int], seed: list[str], salts: int = 64) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row per key; rows whose first key is in ``hot`` are met in ``salts`` parts, told apart by ``seed``."""
+    if not hot:
+        return many.join(one, keys)
+    often = F.col(keys[0]).isin(hot)
+    left = many.withColumn("_salt", F.when(often, F.pmod(F.xxhash64(*seed), F.lit(salts)).cast("int")).otherwise(0))
+    parts = F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(one.withColumn("_salt", F.explode(parts)), [*keys, "_salt"]).drop("_salt")
+
+
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null gives no bytes."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

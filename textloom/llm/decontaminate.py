@@ -1,26 +1,32 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Items are cut into overlapping pieces of ``piece`` bytes (a shorter item is one piece). A text
+Items are cut into pieces of ``piece`` bytes that start every quarter of that (a shorter item is
+one piece), so that an excerpt of 5/4 * piece - 1 bytes has a whole piece in it. A text
 holds a piece if some stretch of it is within k = rate * length edits. By the q-gram lemma such a
 stretch shares at least length - q + 1 - k * q grams with the piece, on diagonals at most k
 apart. Texts are scanned once: shared grams are counted per text and piece, then per band of
 diagonals; bands are 2k wide and overlap by half, so that one of them has all grams of a match.
-Bands that reach the bound are verified by banded alignment, which gives the edits.
+Runs of bands that reach the bound are verified by banded alignment, which gives the edits.
 
 Comparison is on text with A-Z lower-cased and blanks collapsed. The benchmark is taken in
-blocks of at most ``block_bytes``, and every block meets all texts, so what is broadcast is
-bounded however large the benchmark is.
-
-Null or empty texts and items match nothing; items under ``least`` bytes are no evidence and are
-left out. Null ids pass through. Repeated rows are reported each. Empty tables give an empty
-result (or, filtering, all texts). Columns other than doc_id, text and item_id, text are
-ignored; the filter keeps all columns of ``docs``.
+blocks of at most ``block_bytes``, PASS blocks in each stage, and every block meets all texts, so
+what is broadcast is bounded however large the benchmark is. Very long texts are taken in
+overlapping stretches, and shared grams some ENTRIES at a time, so that memory doesn't follow
+the text or how often a gram repeats.
+
+Null or empty texts and items match nothing. An item under ``least`` bytes counts where it stands
+exactly and between word boundaries; one under Q bytes is no evidence, see ``too_short``. Null
+ids pass through. Repeated rows are reported each; of several matches of an item in a text the
+one with the fewest edits, then the smallest start, counts. Empty tables give an empty result (or,
+filtering, all texts). Columns other than doc_id, text and item_id, text are ignored; the filter
+keeps all columns of ``docs``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,10 @@ Q = 8
 #: Bytes of text scanned at once, and log2 of the slots of the table that sieves grams.
 SLICE = 1 << 20
 SIEVE = 20
+#: Shared grams worked on at once, diagonals aligned at once, and blocks of the benchmark in a stage.
+ENTRIES = 1 << 20
+MERGED = 1 << 14
+PASS = 4
 #: A fixed value: an odd factor that spreads a gram's bits.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,9 +55,9 @@ def normal(data: bytes) -> bytes:
 
 @dataclass(frozen=True)
 class GramIndex:
-    """Pieces and where their grams stand; ``first`` has the bounds of each gram's entries."""
+    """Distinct pieces with the items that hold them, and where their grams stand; ``first`` has the bounds of each gram's entries."""
 
-    items: list
+    items: list[list]
     pieces: list[bytes]
     edits: np.ndarray
     bounds: np.ndarray
@@ -63,75 +73,122 @@ def slot(grams: np.ndarray) -> np.ndarray:
 
 
 def build_index(items: list[tuple], rate: float, piece: int, least: int) -> GramIndex:
-    ids, pieces = [], []
+    """Items of ``least`` bytes and more in pieces every ``piece`` / 4 bytes; shorter ones are a piece without edits."""
+    holders: dict[bytes, list] = {}
     for item, text in items:
         data = normal(text)
-        if len(data) < max(least, 2 * Q):
+        if len(data) < Q:
             continue
-        starts = list(range(0, max(len(data) - piece, 0) + 1, piece // 2))
+        starts = list(range(0, max(len(data) - piece, 0) + 1, max(piece // 4, 1)))
         if starts[-1] + piece < len(data):
             starts.append(len(data) - piece)
         for a in starts:
-            ids.append(item)
-            pieces.append(data[a : a + piece])
+            own = holders.setdefault(data[a : a + piece], [])
+            if item not in own:
+                own.append(item)
+    pieces = list(holders)
     sizes = np.array([len(x) for x in pieces], np.int64)
-    edits = np.minimum((rate * sizes).astype(np.int64), (sizes - Q) // Q)
-    grams, where, place = [], [], []
-    for i, x in enumerate(pieces):
-        g = words_at(np.frombuffer(x, np.uint8))[: len(x) - Q + 1]
-        grams.append(g)
-        where.append(np.full(len(g), i))
-        place.append(np.arange(len(g)))
+    edits = np.where(sizes < max(least, 2 * Q), 0, np.minimum((rate * sizes).astype(np.int64), (sizes - Q) // Q))
+    grams = [words_at(np.frombuffer(x, np.uint8))[: len(x) - Q + 1] for x in pieces]
     flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+    count = sizes - Q + 1
     order = np.argsort(flat, kind="stable")
     distinct, first = np.unique(flat[order], return_index=True)
     sieve = np.zeros(1 << SIEVE, bool)
     sieve[slot(distinct)] = True
-    join = lambda x: np.concatenate(x)[order] if x else np.empty(0, np.int64)
-    return GramIndex(
-        ids, pieces, edits, sizes - Q + 1 - edits * Q, distinct, np.append(first, len(flat)), join(where), join(place), sieve
-    )
+    where = np.repeat(np.arange(len(pieces), dtype=np.int32), count)[order]
+    place = (np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)[order]
+    return GramIndex(list(holders.values()), pieces, edits, count - edits * Q, distinct, np.append(first, len(flat)), where, place, sieve)
 
 
-def shared_grams(index: GramIndex, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, piece, place in the piece) of every gram that the text shares with a piece."""
+def known_grams(index: GramIndex, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose gram stands in a piece, and the numbers of those grams."""
     grams = words_at(data)
     at = np.flatnonzero(index.sieve[slot(grams)])
     found = np.searchsorted(index.grams, grams[at])
     found[found == len(index.grams)] = 0
     real = index.grams[found] == grams[at]
-    at, found = at[real], found[real]
+    return at[real], found[real]
+
+
+def expanded(index: GramIndex, at: np.ndarray, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(position, piece, place in the piece) of every shared gram, some ENTRIES at a time."""
     n = index.first[found + 1] - index.first[found]
-    entry = np.repeat(index.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return np.repeat(at, n), index.piece_of[entry], index.place_of[entry]
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(at):
+        b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + ENTRIES, "right")), a + 1)
+        m = n[a:b]
+        entry = np.repeat(index.first[found[a:b]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        yield np.repeat(at[a:b], m), index.piece_of[entry].astype(np.int64), index.place_of[entry].astype(np.int64)
+        a = b
+
+
+def distinct_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    u, back = np.unique(keys, return_inverse=True)
+    return u, np.bincount(back, weights=counts, minlength=len(u)).astype(np.int64)
+
 
+def bands_of(index: GramIndex, at: np.ndarray, found: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rows (text, piece, lowest diagonal) of the bands that reach the piece's bound, from the known grams of some texts.
 
-def candidates(index: GramIndex, texts: list[bytes]) -> set[tuple[int, int, int]]:
-    """(text, piece, lowest diagonal) of the bands that reach the piece's bound."""
+    Grams are counted per text and piece first; pairs that reach the bound are then counted per
+    band, each place of the piece once, so that a gram that stands everywhere enters a band once.
+    """
+    n = len(index.pieces)
+    owners = lambda at, piece: (np.searchsorted(starts, at, "right") - 1) * n + piece
+    counts = [np.unique(owners(x, piece), return_counts=True) for x, piece, _ in expanded(index, at, found)]
+    if not counts:
+        return np.empty((0, 3), np.int64)
+    owner, count = distinct_counts(counts)
+    good = owner[count >= index.bounds[owner % n]]
+    most = max(len(x) for x in index.pieces)
+    span = int(at.max()) + 2 * most + 4
+    rows: list[np.ndarray] = [np.empty(0, np.int64)]
+    for x, piece, place in expanded(index, at, found):
+        own = owners(x, piece)
+        slot_ = np.minimum(np.searchsorted(good, own), max(len(good) - 1, 0))
+        hit = good[slot_] == own if len(good) else np.zeros(len(own), bool)
+        x, piece, place, slot_ = x[hit], piece[hit], place[hit], slot_[hit]
+        band = (x - starts[good[slot_] // n] - place + most) // np.maximum(index.edits[piece], 1) + 1
+        # A gram is in its own band and in the one below.
+        packed = (np.concatenate((slot_ * span + band, slot_ * span + band - 1)) * most) + np.tile(place, 2)
+        rows.append(np.unique(packed))
+    every = np.unique(np.concatenate(rows)) // most
+    first = np.flatnonzero(np.diff(every, prepend=-1))
+    keys, count = every[first], np.diff(first, append=len(every))
+    own, band = good[keys // span] if len(keys) else keys, keys % span - 1
+    piece = own % n
+    reach = count >= index.bounds[piece]
+    low = band * np.maximum(index.edits[piece], 1) - most
+    return np.stack((own // n, piece, low), axis=1)[reach]
+
+
+def candidates(index: GramIndex, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+    """(text, piece, lowest diagonal, highest) of the runs of bands that reach the piece's bound, in order."""
     data = np.frombuffer((b"\0" * Q).join(texts) + b"\0" * Q, np.uint8)
     starts = np.concatenate(([0], np.cumsum([len(x) + Q for x in texts])))[:-1]
-    at, piece, place = shared_grams(index, data)
+    at, found = known_grams(index, data)
     text = np.searchsorted(starts, at, "right") - 1
-    n = len(index.pieces)
-    enough = np.bincount(text * n + piece, minlength=len(texts) * n)[text * n + piece] >= index.bounds[piece]
-    at, piece, place, text = (x[enough] for x in (at, piece, place, text))
-    width = np.maximum(index.edits[piece], 1)
-    most = max((len(x) for x in index.pieces), default=0)
-    band = (at - starts[text] - place + most) // width
-    # Distinct places of each (text, piece, band), packed in one number; a gram is in its own band and in the one below.
-    owner, bands = text * n + piece, int(band.max(initial=0)) + 2
-    owner, band, place = np.tile(owner, 2), np.concatenate((band, band - 1)) + 1, np.tile(place, 2)
-    rows = (owner * bands + band) * most + place
-    rows.sort()
-    rows = rows[np.diff(rows, prepend=-1) != 0] // max(most, 1)
-    first = np.flatnonzero(np.diff(rows, prepend=-1))
-    keys, counts = rows[first], np.diff(first, append=len(rows))
-    owner, band = keys // bands, keys % bands - 1
-    text, piece = owner // n, owner % n
-    good = counts >= index.bounds[piece]
-    text, piece, band = text[good], piece[good], band[good]
-    low = band * np.maximum(index.edits[piece], 1) - most
-    return set(zip(text.tolist(), piece.tolist(), low.tolist(), strict=True))
+    size = np.cumsum(index.first[found + 1] - index.first[found])
+    a = 0
+    while a < len(at):  # whole texts with some ENTRIES together, one at least
+        b = int(np.searchsorted(size, (size[a - 1] if a else 0) + ENTRIES, "right"))
+        b = int(np.searchsorted(text, text[min(b, len(at) - 1)])) if b < len(at) else b
+        b = max(b, int(np.searchsorted(text, text[a], "right")))
+        run: list[int] = []
+        for t, p, d in bands_of(index, at[a:b], found[a:b], starts).tolist():
+            k = max(int(index.edits[p]), 1)
+            if run and run[:2] == [t, p] and d - k <= run[3] and d - run[2] < MERGED:
+                run[3] = d + 3 * k
+                continue
+            if run:
+                yield tuple(run)
+            run = [t, p, d - k, d + 3 * k]
+        if run:
+            yield tuple(run)
+        a = b
 
 
 def banded_edits(piece: bytes, text: bytes, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -171,28 +228,51 @@ def banded_edits(piece: bytes, text: bytes, low: int, high: int, most: int) -> t
     return (int(cost[i]), int(begin[i]), int(end[i])) if cost[i] <= most else None
 
 
-def matches(index: GramIndex, texts: list[bytes]) -> dict[int, dict]:
+def stretches(texts: list[bytes], reach: int) -> list[tuple[int, int, bytes]]:
+    """(text, offset, bytes): texts of over SLICE bytes in stretches that overlap by ``reach``, the others whole."""
+    return [(i, a, x[a : a + SLICE + reach]) for i, x in enumerate(texts) for a in range(0, max(len(x) - reach, 1), SLICE)]
+
+
+def whole_words(text: bytes, start: int, stop: int) -> bool:
+    """Whether blanks or the text's ends stand around a stretch of a normalised text."""
+    return (start == 0 or text[start - 1] == 32) and (stop == len(text) or text[stop] == 32)
+
+
+def matches(index: GramIndex, texts: list[bytes], least: int = 24) -> dict[int, dict]:
     """For each text that holds a piece: item to (edits, start, stop) of its best match."""
     found: dict[int, dict] = {}
     if not index.pieces:
         return found
     plain = [normal(x) for x in texts]
+    parts = stretches(plain, 2 * (max(map(len, index.pieces)) + 2 * max(int(index.edits.max()), 1)))
     start, held = 0, 0
-    for i, x in enumerate(plain):
-        held += len(x)
-        if held < SLICE and i + 1 < len(plain):
+    for i, (_, _, x) in enumerate(parts):
+        held += len(x) + Q
+        if held < SLICE and i + 1 < len(parts):
             continue
-        part = plain[start : i + 1]
-        for d, p, low in sorted(candidates(index, part)):
-            k = max(int(index.edits[p]), 1)
-            got = banded_edits(index.pieces[p], part[d], low - k, low + 3 * k, int(index.edits[p]))
+        for d, p, low, high in candidates(index, [x for _, _, x in parts[start : i + 1]]):
+            text, offset, part = parts[start + d]
+            if len(index.pieces[p]) < least:
+                got = exact_words(index.pieces[p], plain[text], max(low, 0) + offset, high + offset)
+            else:
+                got = banded_edits(index.pieces[p], part, low, high, int(index.edits[p]))
+                got = got and (got[0], got[1] + offset, got[2] + offset)
             if got:
-                own = found.setdefault(start + d, {})
-                own[index.items[p]] = min(own.get(index.items[p], got), got)
+                own = found.setdefault(text, {})
+                for item in index.items[p]:
+                    own[item] = min(own.get(item, got), got)
         start, held = i + 1, 0
     return found
 
 
+def exact_words(piece: bytes, text: bytes, low: int, high: int) -> tuple[int, int, int] | None:
+    """The first place from low to high where ``piece`` stands between word boundaries."""
+    at = text.find(piece, low, high + len(piece))
+    while at >= 0 and not whole_words(text, at, at + len(piece)):
+        at = text.find(piece, at + 1, high + len(piece))
+    return (0, at, at + len(piece)) if at >= 0 else None
+
+
 def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
     """The benchmark's items, a bounded block at a time on the driver."""
     part, held = [], 0
@@ -210,45 +290,54 @@ def find_leaks(
     docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, piece: int = 120, least: int = 24, block_bytes: int = 1 << 20
 ) -> DataFrame:
     """One row per text and item found in it: doc_id, item_id, edits, start, stop (bytes of the normalised text)."""
-    spark = docs.sparkSession
     schema = T.StructType(
         [docs.schema["doc_id"], benchmark.schema["item_id"], *T.StructType.fromDDL("edits int, start int, stop int").fields]
     )
     target = arrow_schema(schema)
-    out = None
-    for part in blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(build_index(part, rate, piece, least))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = matches(sent.value, bytes_of(b.column("text")))
-                rows = [(d, item, *got) for d, own in found.items() for item, got in own.items()]
-                if rows:
-                    d, *rest = zip(*rows, strict=True)
-                    arrays = [b.column("doc_id").take(pa.array(d, pa.int64())), *(pa.array(x, f.type) for x, f in zip(rest, list(target)[1:], strict=True))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=target.names)
+    def run(batches: Iterator[pa.RecordBatch], indexes: list[GramIndex]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = bytes_of(b.column("text"))
+            rows = [(d, item, *got) for index in indexes for d, own in matches(index, texts, least).items() for item, got in own.items()]
+            if rows:
+                d, *rest = zip(*rows, strict=True)
+                arrays = [b.column("doc_id").take(pa.array(d, pa.int64())), *(pa.array(x, f.type) for x, f in zip(rest, list(target)[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=target.names)
 
-        leaks = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = leaks if out is None else cut(out).unionByName(leaks)
-    return spark.createDataFrame([], schema) if out is None else out
+    out = None
+    for group in batched(blocks(benchmark, block_bytes), PASS):
+        sent = [docs.sparkSession.sparkContext.broadcast(build_index(part, rate, piece, least)) for part in group]
+        leaks = docs.select("doc_id", "text").mapInArrow(lambda batches, sent=sent: run(batches, [x.value for x in sent]), schema)
+        out = leaks if out is None else out.unionByName(leaks)
+        out = cut(out) if len(group) == PASS else out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, piece: int = 120, least: int = 24, block_bytes: int = 1 << 20
 ) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that hold no benchmark item."""
-    for part in blocks(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(build_index(part, rate, piece, least))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = matches(sent.value, bytes_of(b.column("text")))
-                yield b.filter(pa.array([i not in found for i in range(b.num_rows)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch], indexes: list[GramIndex]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for index in indexes:
+                found = matches(index, bytes_of(b.column("text")), least)
+                b = b.filter(pa.array([i not in found for i in range(b.num_rows)], pa.bool_()))
+            yield b
+
+    for group in batched(blocks(benchmark, block_bytes), PASS):
+        sent = [docs.sparkSession.sparkContext.broadcast(build_index(part, rate, piece, least)) for part in group]
+        kept = docs.mapInArrow(lambda batches, sent=sent: run(batches, [x.value for x in sent]), docs.schema)
+        docs = cut(kept) if len(group) == PASS else kept
     return docs
 
 
 def leaks_per_item(leaks: DataFrame) -> DataFrame:
     """How many texts hold each item, and the fewest edits: a report on the benchmark."""
     return leaks.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("edits").alias("fewest_edits"))
+
+
+def too_short(benchmark: DataFrame) -> DataFrame:
+    """The items that are no evidence: those under Q bytes when normalised."""
+    normalised = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    return benchmark.where(F.coalesce(F.octet_length(normalised), F.lit(0)) < Q)

@@ -2,9 +2,13 @@
 
 Training counts single tokens and pairs of tokens over every training text. A count c is held
 as its level 1 + floor(log2(c)); the filter holds (n-gram, 1) ... (n-gram, level), so that a
-count is read by probing level after level until one is missing. The filter has a bounded
-number of bits, is built in shards by Spark and broadcast to the workers. A pair's probability
-is smoothed with its second token's own:
+count is read by probing level after level until one is missing. The filter is sized from the
+counted (n-gram, level) entries, ``bits_per_entry`` to twice that for each, so that its rate of
+false positives stays the same (under 2 % a probe) however large the corpus is. It is built in
+shards by Spark and broadcast to the workers; where it has over ``max_bits`` bits, the texts meet
+it in several rounds, one broadcast group of shards after the other, and carry the levels read so
+far along. Its layout doesn't depend on how the input is dealt. A pair's probability is smoothed
+with its second token's own:
 
     P(w | v) = (c(v, w) + MU * P1(w)) / (c(v) + MU),   P1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
@@ -22,24 +26,27 @@ gives an empty result. Columns other than doc_id and text are ignored. Tokens ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import Bloom, mixed, places, power_of_two, set_bits, shard_of
+from .bloom import mixed, places, power_of_two, shard_of
 from .common import bytes_of, cut, map_rows, with_row_key
 
 MU = 4.0
 END = 0
 #: Levels read at most; 2 ** 40 is more than any count here.
 LEVELS = 40
-#: Bits of a shard, as long as all shards stay within the bound.
-SHARD_BITS = 1 << 23
+#: Parts of the filter by the low bits of a hash; a shard is a run of them.
+CELLS = 1 << 16
+#: Counts merged at once.
+PENDING = 1 << 21
 #: Tokens worked on at once.
 SLICE = 1 << 20
 
@@ -108,7 +115,7 @@ def ngram_counts(train: DataFrame, shards: int) -> DataFrame:
             rows: dict[str, list] = {"kind": [], "shard": [], "hashes": [], "counts": []}
             for kind, parts in held.items():
                 u, n = summed(*parts)
-                shard = shard_of(u, shards)
+                shard = shard_of(u, CELLS) // (CELLS // shards)
                 order = np.argsort(shard, kind="stable")
                 u, n = u[order], n[order].astype(np.uint32)
                 ends = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -124,110 +131,229 @@ def ngram_counts(train: DataFrame, shards: int) -> DataFrame:
     return train.select("text").mapInArrow(run, "kind int, shard int, hashes binary, counts binary")
 
 
-def unpacked(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    own = table.filter(pc.equal(table.column("kind"), kind))
-    return summed(
-        [np.frombuffer(x, np.uint64) for x in own.column("hashes").to_pylist()],
-        [np.frombuffer(x, np.uint32) for x in own.column("counts").to_pylist()],
-    )
-
-
 def levels_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
 
 
-def shard_filters(packed: DataFrame, shards: int, n_bits: int, probes: int) -> DataFrame:
-    """One row per shard: its piece of the filter, and its tokens with their exact counts."""
-    size = n_bits // shards
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        piece = np.zeros(size // 8, np.uint8)
-        tokens, counts = unpacked(table, 1)
-        for salt, (h, n) in ((1, (tokens, counts)), (2, unpacked(table, 2))):
-            level = levels_of(n)
-            for q in range(1, int(level.max(initial=0)) + 1):
-                at = mixed(h[level >= q], salt * 100 + q)
-                for i in range(probes):
-                    set_bits(piece, places(at, i, size).astype(np.int64))
-        listed = lambda x: pa.array([x], pa.list_(pa.int64()))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "piece": [piece.tobytes()], "tokens": listed(tokens.view(np.int64)), "counts": listed(counts)})
-
-    return packed.groupBy("shard").applyInArrow(run, "shard int, piece binary, tokens array<long>, counts array<long>")
-
-
-def read_counts(model: Bloom, h: np.ndarray, salt: int) -> np.ndarray:
-    """Counts by repeated probes: the middle of the last level present, 0 if level 1 is missing."""
-    level = np.zeros(len(h), np.int64)
-    alive = np.arange(len(h))
-    for q in range(1, LEVELS):
-        alive = alive[model.has(h[alive], salt * 100 + q)]
-        if not len(alive):
-            break
-        level[alive] = q
-    low = np.exp2(np.maximum(level - 1, 0))
+MERGED_DDL = "shard int, kind int, hashes binary, counts binary, entries long, tokens array<long>, n array<long>"
+
+
+def merged_counts(packed: DataFrame, shards: int) -> DataFrame:
+    """Counts of each shard and kind over all batches, in a row each; ``entries`` is how many the filter will hold.
+
+    Batches are added up as they stream in, so that a task holds the different n-grams of a shard
+    and not one row for each batch that has them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        place, pending = None, 0
+
+        def made() -> pa.RecordBatch:
+            h, n = summed(*held)
+            listed = [pa.array([x.view(np.int64) if place[1] == 1 else None], pa.list_(pa.int64())) for x in (h, n)]
+            flat = [pa.array([place[0]], pa.int32()), pa.array([place[1]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*flat, pa.array([int(levels_of(n).sum())], pa.int64()), *listed], names=["shard", "kind", "hashes", "counts", "entries", "tokens", "n"])
+
+        for b in batches:
+            for own in zip(*(b.column(c).to_pylist() for c in ("shard", "kind", "hashes", "counts")), strict=True):
+                if place not in (None, own[:2]):
+                    yield made()
+                    held, pending = ([], []), 0
+                place = own[:2]
+                held[0].append(np.frombuffer(own[2], np.uint64))
+                held[1].append(np.frombuffer(own[3], np.uint32))
+                pending += len(held[0][-1])
+                if pending > PENDING:
+                    h, n = summed(*held)
+                    held, pending = ([h], [n]), 0
+        if place is not None:
+            yield made()
+
+    return packed.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, MERGED_DDL)
+
+
+def filter_pieces(merged: DataFrame, shards: int, n_bits: int, probes: int) -> DataFrame:
+    """(shard, piece): each shard's part of the filter. The rows of a shard follow each other in one partition."""
+    cell = n_bits // CELLS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, shard = None, None
+        made = lambda: pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "piece": [np.packbits(flags, bitorder="little").tobytes()]})
+        for b in batches:
+            for own, kind, hashes, counts in zip(*(b.column(c).to_pylist() for c in ("shard", "kind", "hashes", "counts")), strict=True):
+                if own != shard:
+                    if flags is not None:
+                        yield made()
+                    flags, shard = np.zeros(n_bits // shards, bool), own
+                h, level = np.frombuffer(hashes, np.uint64), levels_of(np.frombuffer(counts, np.int64))
+                base = (shard_of(h, CELLS) - own * (CELLS // shards)) * cell
+                for q in range(1, int(level.max(initial=0)) + 1):
+                    part = level >= q
+                    at = mixed(h[part], kind * 100 + q)
+                    for i in range(probes):
+                        flags[base[part] + places(at, i, cell).astype(np.int64)] = True
+        if flags is not None:
+            yield made()
+
+    return merged.select("shard", "kind", "hashes", "counts").mapInArrow(run, "shard int, piece binary")
+
+
+@dataclass(frozen=True)
+class FilterPart:
+    """The cells from ``low`` to ``high`` of the filter."""
+
+    bits: np.ndarray
+    low: int
+    high: int
+    probes: int
+
+    def levels(self, hashes: np.ndarray, salt: int) -> np.ndarray:
+        """The last level present of each n-gram, by repeated probes; 0 if level 1 is missing or the n-gram's cell is in another part."""
+        own = shard_of(hashes, CELLS)
+        level = np.zeros(len(hashes), np.uint8)
+        alive = np.flatnonzero((own >= self.low) & (own < self.high))
+        cell = len(self.bits) * 8 // (self.high - self.low)
+        for q in range(1, LEVELS):
+            h = mixed(hashes[alive], salt * 100 + q)
+            base = (own[alive] - self.low) * cell
+            for i in range(self.probes):
+                at = base + places(h, i, cell).astype(np.int64)
+                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                alive, h, base = alive[hit], h[hit], base[hit]
+            if not len(alive):
+                break
+            level[alive] = q
+        return level
+
+
+def count_of(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level."""
+    low = np.exp2(np.maximum(level.astype(np.int64) - 1, 0))
     return np.where(level == 0, 0.0, np.where(level == 1, 1.0, low * 1.5 - 0.5))
 
 
-def score_lm(docs: DataFrame, max_bits: int = 1 << 29, probes: int = 3, head: int = 1 << 18, shard_partitions: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``."""
-    spark = docs.sparkSession
-    keyed = with_row_key(docs.select("doc_id", "text")).withColumn("held_out", held_out(F.col("doc_id")))
-    train = keyed.where("not held_out")
+def read_levels(part: FilterPart, tokens: np.ndarray, sizes: np.ndarray, distinct: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Two rows: the levels of all tokens, and of the pairs that end at them (0 for a text's first)."""
+    out = np.zeros((2, len(tokens)), np.uint8)
+    out[0] = part.levels(distinct, 1)[where]
+    second, pairs = pair_hashes(tokens, sizes)
+    u, back = np.unique(pairs, return_inverse=True)
+    out[1, second] = part.levels(u, 2)[back]
+    return out
+
+
+def log_probabilities(levels: np.ndarray, sizes: np.ndarray, n_all: int, n_distinct: int) -> np.ndarray:
+    single = count_of(levels[0])
+    p = (single + 0.5) / (n_all + 0.5 * (n_distinct + 1))
+    second = np.ones(len(p), bool)
+    second[np.cumsum(sizes) - sizes] = False
+    at = np.flatnonzero(second)
+    p[at] = (count_of(levels[1, at]) + MU * p[at]) / (single[at - 1] + MU)
+    return np.log10(np.minimum(p, 1.0))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Where the filter's pieces are, and exact counts of single tokens."""
+
+    pieces: DataFrame
+    counts: DataFrame
+    n_all: int
+    n_distinct: int
+    n_bits: int
+    shards: int
+    probes: int
+
+    def part(self, low: int, high: int) -> FilterPart:
+        """The shards from ``low`` to ``high``, brought together on the driver: as many bits as one round may broadcast."""
+        step = self.n_bits // 8 // self.shards
+        bits = np.zeros((high - low) * step, np.uint8)
+        for r in self.pieces.where(F.col("shard").between(low, high - 1)).toLocalIterator():
+            bits[(r["shard"] - low) * step : (r["shard"] - low + 1) * step] = np.frombuffer(r["piece"], np.uint8)
+        width = CELLS // self.shards
+        return FilterPart(bits, low * width, high * width, self.probes)
+
+
+def train_lm(train: DataFrame, bits_per_entry: int = 10, probes: int = 3, shard_partitions: int = 2) -> Model:
+    """Count all n-grams of ``train`` (text) and build the filter."""
     # Shards follow the number of input partitions, so that what one of them holds stays as it is.
-    shards = min(max(power_of_two(shard_partitions * train.rdd.getNumPartitions()), 16), max_bits >> 9)
-    n_bits = min(max_bits, shards * SHARD_BITS)
-    built = cut(shard_filters(ngram_counts(train, shards), shards, n_bits, probes))
-    bits = np.zeros(n_bits // 8, np.uint8)
-    step = n_bits // 8 // shards
-    for r in built.select("shard", "piece").toLocalIterator():  # max_bits / 8 bytes in all
-        bits[r["shard"] * step : (r["shard"] + 1) * step] = np.frombuffer(r["piece"], np.uint8)
-    counts = built.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.counts").alias("c"))
+    shards = min(max(power_of_two(shard_partitions * train.rdd.getNumPartitions()), 16), 1 << 14)
+    merged = cut(merged_counts(ngram_counts(train, shards), shards))
+    counts = merged.where("kind = 1").select(F.explode(F.arrays_zip("tokens", "n")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.n").alias("c"))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n_all, n_distinct = total["n"] or 0, total["v"]
-    top = counts.orderBy(F.desc("c"), "token").limit(head).toArrow()  # at most ``head`` rows of two longs
+    entries = merged.agg(F.sum("entries")).first()[0] or 0
+    n_bits = max(power_of_two(entries * bits_per_entry), 64 * CELLS)
+    return Model(cut(filter_pieces(merged, shards, n_bits, probes)), counts, total["n"] or 0, total["v"], n_bits, shards, probes)
+
+
+def score_lm(docs: DataFrame, max_bits: int = 1 << 29, head: int = 1 << 18, bits_per_entry: int = 10) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``."""
+    context = docs.sparkSession.sparkContext
+    keyed = with_row_key(docs.select("doc_id", "text")).withColumn("held_out", held_out(F.col("doc_id"))).withColumn("levels", F.lit(None).cast("binary"))
+    model = train_lm(keyed.where("not held_out"), bits_per_entry)
+    n_all, n_distinct = model.n_all, model.n_distinct
+    top = model.counts.orderBy(F.desc("c"), "token").limit(head).toArrow()  # at most ``head`` rows of two longs
     by = np.argsort(top.column("token").to_numpy().view(np.uint64))
-    sent = spark.sparkContext.broadcast(
-        (Bloom(bits, shards, probes), top.column("token").to_numpy().view(np.uint64)[by], top.column("c").to_numpy()[by])
-    )
+    common = context.broadcast((top.column("token").to_numpy().view(np.uint64)[by], top.column("c").to_numpy()[by]))
     log_all = float(np.log10(n_all + 0.5 * (n_distinct + 1)))
+    step = max(model.shards * max_bits // model.n_bits, 1)
 
-    def kernel(batch: pa.RecordBatch) -> dict:
-        model, head_tokens, head_counts = sent.value
-        out: dict[str, list] = {c: [] for c in ("n_tokens", "head_known", "head_sum", "score")}
-        tail_tokens: list[np.ndarray] = []
-        tail_sizes: list[np.ndarray] = []
-        texts = bytes_of(batch.column("text"))
+    def levels_of_batch(batch: pa.RecordBatch, part: FilterPart) -> Iterator[tuple[np.ndarray, ...]]:
+        """(distinct tokens, tokens as their numbers, sizes, levels) of the slices of a batch: what this part has, over what the parts before had."""
+        texts, before = bytes_of(batch.column("text")), batch.column("levels").to_pylist()
         for a, b in token_slices(texts):
             tokens, sizes = token_hashes(texts[a:b])
-            starts = np.cumsum(sizes) - sizes
             distinct, where = np.unique(tokens, return_inverse=True)
-            at = np.minimum(np.searchsorted(head_tokens, distinct), max(len(head_tokens) - 1, 0))
-            known = head_tokens[at] == distinct if len(head_tokens) else np.zeros(len(distinct), bool)
-            exact = np.where(known, head_counts[at] if len(head_tokens) else 0, 0)
-            in_head = known[where]
-            single = read_counts(model, distinct, 1)
-            p1 = (single + 0.5) / (n_all + 0.5 * (n_distinct + 1))
-            p = p1[where]
-            second, pairs = pair_hashes(tokens, sizes)
-            u, back = np.unique(pairs, return_inverse=True)
-            p[second] = (read_counts(model, u, 2)[back] + MU * p[second]) / (single[where[second - 1]] + MU)
-            sums = lambda x: np.add.reduceat(x, starts)
-            out["n_tokens"].append(sizes)
-            out["head_known"].append(sums(in_head.astype(np.int64)))
-            out["head_sum"].append(sums(np.where(in_head, np.log10(exact + 0.5)[where], 0.0)))
-            out["score"].append(sums(np.log10(np.minimum(p, 1.0))))
-            tail_tokens.append(tokens[~in_head])
-            tail_sizes.append(sums((~in_head).astype(np.int64)))
-        made = {c: np.concatenate(x) if x else np.empty(0) for c, x in out.items()}
-        flat = np.concatenate(tail_tokens) if tail_tokens else np.empty(0, np.uint64)
-        ends = np.concatenate([[0], *tail_sizes]).cumsum().astype(np.int32)
-        made["tail"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-        return made
-
-    scored = map_rows(keyed, kernel, ["doc_id", "_k", "_t", "held_out"], "n_tokens long, head_known long, head_sum double, score double, tail array<long>")
-    scored = cut(scored)
+            levels = read_levels(part, tokens, sizes, distinct, where)
+            if before[a] is not None:
+                old = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in before[a:b]]
+                levels = np.maximum(levels, np.concatenate(old, axis=1))
+            yield distinct, where, sizes, levels
+
+    def probe(sent: Broadcast) -> Callable[[pa.RecordBatch], dict]:
+        def kernel(batch: pa.RecordBatch) -> dict:
+            out: list[bytes] = []
+            for _, _, sizes, levels in levels_of_batch(batch, sent.value):
+                out += [x.tobytes() for x in np.split(levels, np.cumsum(sizes)[:-1], axis=1)]
+            return {"levels": out}
+
+        return kernel
+
+    def finish(sent: Broadcast) -> Callable[[pa.RecordBatch], dict]:
+        def kernel(batch: pa.RecordBatch) -> dict:
+            head_tokens, head_counts = common.value
+            out: dict[str, list] = {c: [] for c in ("n_tokens", "head_known", "head_sum", "score")}
+            tail_tokens: list[np.ndarray] = []
+            tail_sizes: list[np.ndarray] = []
+            for distinct, where, sizes, levels in levels_of_batch(batch, sent.value):
+                starts = np.cumsum(sizes) - sizes
+                at = np.minimum(np.searchsorted(head_tokens, distinct), max(len(head_tokens) - 1, 0))
+                known = head_tokens[at] == distinct if len(head_tokens) else np.zeros(len(distinct), bool)
+                logs = np.where(known, np.log10((head_counts[at] if len(head_tokens) else 0) + 0.5), 0.0)
+                in_head = known[where]
+                sums = lambda x: np.add.reduceat(x, starts)
+                out["n_tokens"].append(sizes)
+                out["head_known"].append(sums(in_head.astype(np.int64)))
+                out["head_sum"].append(sums(logs[where]))
+                out["score"].append(sums(log_probabilities(levels, sizes, n_all, n_distinct)))
+                tail_tokens.append(distinct[where[~in_head]])
+                tail_sizes.append(sums((~in_head).astype(np.int64)))
+            made = {c: np.concatenate(x) if x else np.empty(0) for c, x in out.items()}
+            flat = np.concatenate(tail_tokens) if tail_tokens else np.empty(0, np.uint64)
+            ends = np.concatenate([[0], *tail_sizes]).cumsum().astype(np.int32)
+            made["tail"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+            return made
+
+        return kernel
+
+    ends = [(a, min(a + step, model.shards)) for a in range(0, model.shards, step)]
+    for low, high in ends[:-1]:
+        keyed = cut(map_rows(keyed, probe(context.broadcast(model.part(low, high))), ["doc_id", "text", "_k", "_t", "held_out"], "levels binary"))
+    last = finish(context.broadcast(model.part(*ends[-1])))
+    scored = cut(map_rows(keyed, last, ["doc_id", "_k", "_t", "held_out"], "n_tokens long, head_known long, head_sum double, score double, tail array<long>"))
     tail = scored.dropDuplicates(["_k", "_t"]).select("_k", "_t", F.explode("tail").alias("token"))
-    rare = tail.join(counts, "token", "left").groupBy("_k", "_t").agg(
+    rare = tail.join(model.counts, "token", "left").groupBy("_k", "_t").agg(
         F.count("c").alias("known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("sum")
     )
     base = F.col("head_sum") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_all)

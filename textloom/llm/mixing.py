@@ -8,9 +8,9 @@ seeded order, cuts that line into blocks, takes each block (quota // blocks) tim
 choice of quota % blocks blocks once more. A document's share is the overlap of its words with
 the blocks taken, so that no document exceeds ``max_repeat`` times its size.
 
-Null text: size 0, nothing taken. Null source: a source of its own, last in the order of
+Null text: size 0, nothing taken; such documents are in no shard. Null source: a source of its own, last in the order of
 sources. Equal ids are ordered by a hash of their text; rows equal in both tie, and may swap
-their (equal) places. A source without words has target 0. An empty table gives an empty
+their (equal) places. A very long document spans as many blocks as it needs. A source without words has target 0. An empty table gives an empty
 result. Columns other than doc_id, text and source are ignored.
 """
 
@@ -52,13 +52,18 @@ def apportion(parts: DataFrame, group: list[str], share: str, house: str) -> Dat
 
     Rounding share / divisor gives all seats but a few; those are the next (or last) quotients
     of the ordered list, of which each row offers only as many as it could win or lose.
-    ``key`` breaks ties.
+    ``key`` breaks ties. Without ``group`` all rows are one group, which is totalled and ranked
+    without bringing it to one task.
     """
     w = Window.partitionBy(*group)
-    rounded = parts.withColumn("_sum", F.sum(share).over(w)).withColumn("_n", F.count("*").over(w))
+
+    def total(df: DataFrame, value: Column, name: str) -> DataFrame:
+        return df.withColumn(name, value.over(w) if group else F.lit(df.agg(value).first()[0]))
+
+    rounded = total(total(parts, F.sum(share), "_sum"), F.count("*"), "_n")
     part = F.when(F.col("_sum") > 0, F.col(share) / F.col("_sum")).otherwise(0.0)
     rounded = rounded.withColumn("seats", F.floor(part * F.col(house) + 0.5))
-    rounded = rounded.withColumn("_open", F.col(house) - F.sum("seats").over(w))
+    rounded = total(rounded, F.sum("seats"), "_seated").withColumn("_open", F.col(house) - F.col("_seated"))
     most = F.ceil((F.abs("_open") + F.col("_n")) * part).cast("long") + 1
     step = F.when(F.col("_open") > 0, F.sequence(F.lit(1).cast("long"), most)).otherwise(
         F.sequence(-F.least(most, F.col("seats")), F.lit(-1).cast("long"))
@@ -72,9 +77,10 @@ def apportion(parts: DataFrame, group: list[str], share: str, house: str) -> Dat
         )
     )
     order = F.when(F.col("_open") > 0, -F.col("_quotient")).otherwise(F.col("_quotient"))
+    order = [order, F.col("key"), F.abs("_step")]
+    ranked = offers.withColumn("_at", F.row_number().over(w.orderBy(*order))) if group else global_rank(offers, order, "_at").withColumn("_at", F.col("_at") + 1)
     won = (
-        offers.withColumn("_at", F.row_number().over(w.orderBy(order, "key", F.abs("_step"))))
-        .where(F.col("_at") <= F.abs("_open"))
+        ranked.where(F.col("_at") <= F.abs("_open"))
         .groupBy(*[F.col(g).alias(f"_{g}") for g in group], F.col("key").alias("_key"))
         .agg(F.sum(F.signum("_step")).cast("long").alias("_more"))
     )
@@ -84,7 +90,7 @@ def apportion(parts: DataFrame, group: list[str], share: str, house: str) -> Dat
     return (
         rounded.join(won, same, "left")
         .withColumn("seats", F.col("seats") + F.coalesce("_more", F.lit(0)))
-        .drop("_sum", "_n", "_open", "_more", "_key", *[f"_{g}" for g in group])
+        .drop("_sum", "_n", "_seated", "_open", "_more", "_key", *[f"_{g}" for g in group])
     )
 
 
@@ -100,6 +106,7 @@ def mix_sources(
     max_repeat: int = 2,
     block_words: int = 32,
     shard_words: int = 1_000_000,
+    shard_docs: int = 100_000,
     seed: int = 17,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken; also shard and place.
@@ -117,27 +124,27 @@ def mix_sources(
         )
     )
     keys = ["_no_source", "_source"]
-    totals = sized.groupBy(*keys).agg(F.sum("size").alias("size"))
+    totals = sized.groupBy(*keys).agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("n_docs"))
     ranked = cut(global_rank(totals, keys, "rank"))
     all_words = ranked.agg(F.sum("size")).first()[0] or 0
     total = share_of_all * all_words
     source = cut(targets(ranked, weights, total, max_repeat))
     blocks_in_all = source.agg(F.round(F.sum("target") / block_words).cast("long")).first()[0] or 0
-    quotas = apportion(
-        source.withColumns({"_one": F.lit(1), "key": F.col("rank"), "_house": F.lit(blocks_in_all).cast("long")}), ["_one"], "target", "_house"
-    ).select(
+    quotas = apportion(source.withColumns({"key": F.col("rank"), "_house": F.lit(blocks_in_all).cast("long")}), [], "target", "_house").select(
         *[F.col(k).alias(f"s{k}") for k in keys],
         F.col("rank").alias("s"),
         F.col("size").alias("source_size"),
         "target",
         F.col("seats").alias("_quota"),
-        F.greatest(F.ceil(F.col("size") / shard_words), F.lit(1)).cast("long").alias("_shards"),
+        F.greatest(F.ceil(F.col("size") / shard_words), F.ceil(F.col("n_docs") / shard_docs), F.lit(1)).cast("long").alias("_shards"),
     )
     quotas = cut(quotas)
     placed = sized.join(quotas, (sized["_source"] == F.col("s_source")) & (sized["_no_source"] == F.col("s_no_source"))).withColumn(
         "key", F.pmod("_seed", F.col("_shards"))
     )
+    none = placed.where("size = 0").select("doc_id", "size", "source_size", "target", *(F.lit(0).cast("long").alias(c) for c in ("taken", "shard", "place")))
     line = Window.partitionBy("s", "key")
+    placed = placed.where("size > 0")
     placed = placed.withColumn("_end", F.sum("size").over(line.orderBy("_seed", "doc_id"))).withColumn("_start", F.col("_end") - F.col("size"))
     placed = cut(placed.drop("_source", "_no_source", "s_source", "s_no_source"))
     shards = placed.groupBy("s", "key").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"))
@@ -156,8 +163,7 @@ def mix_sources(
     overlap = lambda b: words_before(
         F.least(F.col("_end"), (b + 1) * block_words) - F.greatest(F.col("_start"), b * block_words), b, n, rest, c
     )
-    extra = F.when(
-        F.col("size") > 0, F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + overlap(b))
-    ).otherwise(0)
+    extra = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + overlap(b))
     taken = (full * F.col("size") + extra).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("key").alias("shard"), F.col("_start").alias("place"))
+    taken_from = out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("key").alias("shard"), F.col("_start").alias("place"))
+    return taken_from.unionByName(none)

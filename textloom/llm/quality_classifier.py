@@ -1,7 +1,8 @@
 """Quality classifier: regularised quadratic discriminant analysis over document statistics.
 
 Training sums n, x and x x' per class over every labelled training text (partial sums per task,
-so that only two small matrices reach the driver). Each class covariance is shrunk towards the
+so that only two small matrices reach the driver). Features are rounded to 1 / GRID for that and
+summed as whole numbers, so that the model doesn't hang on the order of sums. Each class covariance is shrunk towards the
 pooled covariance and towards a multiple of the identity, and its Cholesky factor is computed
 once. A score is the logistic of the difference of the Mahalanobis log densities plus the log
 prior odds.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from .common import cut, map_rows
 from .measures import COUNTS_DDL, count_batch
 
 N_FEATURES = 11
+GRID = 1 << 16
 THRESHOLD = 0.7
 
 
@@ -106,36 +109,34 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def train(featured: DataFrame, labels: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.02) -> Discriminant:
-    """Fit on every labelled text that is not held out."""
-    wanted = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    )
-    schema = "y int, n double, s array<double>, q array<double>"
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the labelled ids that are not held out."""
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+
+
+def train(featured: DataFrame, wanted: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.02) -> Discriminant:
+    """Fit on the texts that ``wanted`` (doc_id, y) has."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, q = np.zeros(2), np.zeros((2, N_FEATURES)), np.zeros((2, N_FEATURES, N_FEATURES))
+        flat = np.zeros((2, 1 + N_FEATURES + N_FEATURES**2), object)  # whole numbers of any size
         for b in batches:
-            x = np.asarray(b.column("x").flatten()).reshape(-1, N_FEATURES)
+            x = np.rint(np.asarray(b.column("x").flatten()).reshape(-1, N_FEATURES) * GRID).astype(np.int64)
             y = np.asarray(b.column("y"))
             for k in (0, 1):
                 own = x[y == k]
-                n[k] += len(own)
-                s[k] += own.sum(axis=0)
-                q[k] += own.T @ own
-        yield pa.RecordBatch.from_pydict(
-            {"y": pa.array([0, 1], pa.int32()), "n": n, "s": s.tolist(), "q": q.reshape(2, -1).tolist()}
-        )
-
-    parts = featured.join(wanted, "doc_id").select("x", "y").mapInArrow(sums, schema)
-    at = F.posexplode(F.concat(F.array("n"), "s", "q")).alias("i", "v")
-    totals = parts.select("y", at).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()  # 2 * (1 + d + d * d) numbers
+                flat[k] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel())).astype(object)
+        rows = [(k, i, Decimal(int(v))) for k in (0, 1) for i, v in enumerate(flat[k])]
+        y, i, v = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "i": pa.array(i, pa.int32()), "v": pa.array(v, pa.decimal128(38, 0))})
+
+    parts = featured.join(wanted, "doc_id").select("x", "y").mapInArrow(sums, "y int, i int, v decimal(38,0)")
+    totals = parts.groupBy("y", "i").agg(F.sum("v").alias("v")).collect()  # 2 * (1 + d + d * d) numbers
     flat = np.zeros((2, 1 + N_FEATURES + N_FEATURES**2))
-    for r in totals:
-        flat[r["y"], r["i"]] = r["v"]
     d = N_FEATURES
+    scale = np.repeat([1.0, GRID, float(GRID) ** 2], [1, d, d * d])
+    for r in totals:
+        flat[r["y"], r["i"]] = float(r["v"]) / scale[r["i"]]
     return fit(flat[:, 0], flat[:, 1 : 1 + d], flat[:, 1 + d :].reshape(2, d, d), to_pooled, to_identity)
 
 
@@ -149,7 +150,7 @@ def score_features(featured: DataFrame, model: Discriminant) -> DataFrame:
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``."""
     featured = cut(text_features(docs))
-    scored = score_features(featured, train(featured, labels))
+    scored = score_features(featured, train(featured, training_labels(labels)))
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
@@ -160,7 +161,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score reaches ``threshold``."""
-    model = train(cut(text_features(docs)), labels)
+    wanted = training_labels(labels)
+    model = train(text_features(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")), wanted)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import read_table
 from .decontaminate import find_leaks
 from .line_dedup import dedup_lines
 from .lm_scoring import score_lm
 from .mixing import mix_sources
 from .quality_classifier import score_quality
-from .rule_ledger import quality_rules
+from .rule_ledger import ablations, ledger, quality_rules
 from .secrets import scan_secrets
 from .simhash import simhash_components
 from .suffix_dedup import suffix_dedup
-from .warc import warc_round_trip
+from .warc import salvage_trial, warc_round_trip
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,32 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base findings of op1."""
+    return op1_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op7; the base score in thousandths."""
+    out = op7_lm_scoring(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round(F.col("base_score") * 1000).cast("long").alias("base_milli"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op8."""
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reader of op5 recovers from an archive of all pages with damage at fixed ids."""
+    return salvage_trial(read_table(spark, sf_dir, "pages"))
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the policy of op9, the texts that fail it and those that only it rejects."""
+    return ablations(ledger(read_table(spark, sf_dir, "documents")), "v2").select("rule", "n_failed", "n_only_this")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +112,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_rule_ledger,
         op10_quality_classifier,
         pipeline,
+        secret_base,
+        lm_base,
+        mix_targets,
+        warc_salvage,
+        rule_ablations,
     )
 }
-ORACLES: dict[str, str] = {}
+#: Training, alignment, hashing by XXH64 and seeded draws have no SQL; tests/llm holds those queries against brute force.
+ORACLES: dict[str, str] = {
+    "op4_suffix_dedup": oracles.SUFFIX,
+    "op5_warc": oracles.WARC,
+    "op9_rule_ledger": oracles.LEDGER,
+    "secret_base": oracles.SECRET_BASE,
+    "lm_base": oracles.LM_BASE,
+    "mix_targets": oracles.MIX_TARGETS,
+    "warc_salvage": oracles.SALVAGE,
+    "rule_ablations": oracles.ABLATIONS,
+}

@@ -15,7 +15,7 @@ import xxhash
 #: An odd base of the rolling hash and odd factors that spread its bits.
 BASE = 0x9E3779B97F4A7C15
 SPREAD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Bytes hashed at once, but for longer texts; a segment has at most MOST windows.
+#: Bytes hashed at once; a segment has at most MOST windows.
 SLICE = 1 << 19
 MOST = 256
 

@@ -6,9 +6,11 @@ blocks; each combination of that many blocks is a join key, and only fingerprint
 key are compared. Equal fingerprints are one from the start, so copies are never expanded.
 
 Within a key, up to ``group_limit`` distinct fingerprints are compared in one task, which emits
-a spanning forest of the links and not every pair. Larger keys are linked exactly by another
-way that needs no comparison of pairs, see ``ball_links``. Components come from alternating
-large-star and small-star rounds over checkpointed edges.
+a spanning forest of the links and not every pair. A larger key is split by the same principle:
+the bits it leaves free are cut into blocks again, and close pairs share some of those, and so on;
+each level fixes about half of the free bits, so that a key of the third level has 256
+fingerprints at most. Components come from alternating large-star and small-star rounds over
+checkpointed edges.
 
 Null or empty text: no shingles, fingerprint zero, linked like any other. Fewer words than a
 shingle: the whole sequence is the only shingle. A null doc_id gets its component's smallest
@@ -27,12 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, map_rows
+from .common import bytes_of, cut, hot_values, map_rows, spread_join
 
 BITS = 64
 SEED = 42
 #: Shingle hashes whose bits are counted at once.
 SLICE = 1 << 14
+SALTS = 64
 
 
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
@@ -69,16 +72,38 @@ def fingerprints(docs: DataFrame, width: int, keep: list[str] | None = None) ->
     return map_rows(docs, kernel, keep or ["doc_id"], "fp long")
 
 
+def finer_masks(mask: int, max_bits: int, blocks: int) -> list[int]:
+    """``mask`` with each combination of blocks of its free bits that a close pair may agree on."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    blocks = min(blocks, len(free))
+    edges = [len(free) * i // blocks for i in range(blocks + 1)]
+    parts = [sum(1 << b for b in free[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+    return [mask | sum(chosen) for chosen in combinations(parts, blocks - max_bits)]
+
+
+def signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
 def block_keys(fp: Column, max_bits: int, blocks: int) -> Column:
-    """An array of (table, key): the fingerprint masked to each combination of blocks."""
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
-    keys = []
-    for t, chosen in enumerate(combinations(range(blocks), blocks - max_bits)):
-        mask = sum(masks[i] for i in chosen)
-        mask -= (1 << BITS) if mask >> (BITS - 1) else 0
-        keys.append(F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(mask)).alias("key")))
-    return F.array(*keys)
+    """An array of (mask, key): the fingerprint masked to each combination of blocks."""
+    masks = [signed(m) for m in finer_masks(0, max_bits, blocks)]
+    return F.array(*(F.struct(F.lit(m).alias("mask"), fp.bitwiseAND(F.lit(m)).alias("key")) for m in masks))
+
+
+def finer_keys(rows: DataFrame, max_bits: int, blocks: int) -> DataFrame:
+    """(mask, key, fp) of the next level for rows (mask, fp) of keys that are too large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask, fp = (batch.column(c).to_numpy() for c in ("mask", "fp"))
+            for own in np.unique(mask):
+                member = fp[mask == own]
+                for finer in finer_masks(int(own) & (1 << BITS) - 1, max_bits, blocks):
+                    m = np.full(len(member), signed(finer), np.int64)
+                    yield pa.RecordBatch.from_pydict({"mask": m, "key": member & m, "fp": member})
+
+    return rows.mapInArrow(run, "mask long, key long, fp long").distinct()
 
 
 def forest_of(words: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
@@ -123,43 +148,27 @@ def group_links(groups: DataFrame, max_bits: int) -> DataFrame:
     return groups.select("fps").mapInArrow(run, "a long, b long").distinct()
 
 
-def ball_links(rows: DataFrame, max_bits: int) -> DataFrame:
-    """Links within keys of any size, in a number of rows linear in the fingerprints.
-
-    Two fingerprints within max_bits have a point between them, at most near = max_bits // 2 bits
-    from one and far = max_bits - near bits from the other. Every fingerprint is sent to the
-    points of its ball of radius far. At each point all that are within near are within
-    max_bits of everything there, so a star around the smallest of them has all the links.
-    """
-    near, far = max_bits // 2, max_bits - max_bits // 2
-    flips = [(sum(1 << b for b in c), r) for r in range(far + 1) for c in combinations(range(BITS), r)]
-    flip, radius = np.array([f for f, _ in flips], np.uint64), np.array([r for _, r in flips], np.int32)
-
-    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for fp in batch.column("fp").to_numpy():
-                points = (fp.view(np.uint64) ^ flip).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"fp": np.full(len(flip), fp), "point": points, "radius": radius})
-
-    spread = rows.select("fp").distinct().mapInArrow(balls, "fp long, point long, radius int")
-    hubs = spread.where(F.col("radius") <= near).groupBy("point").agg(F.min("fp").alias("hub"))
-    return spread.join(hubs, "point").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
-
-
 def links(distinct: DataFrame, max_bits: int, blocks: int, group_limit: int) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints that chains of close pairs connect."""
-    keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), max_bits, blocks)).alias("k")).select("k.t", "k.key", "fp")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
-    sizes = cut(sizes)
-    pairs = sizes.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
-    more = keyed.join(sizes.where(f"n > 2 and n <= {group_limit}").select("t", "key"), ["t", "key"])
-    groups = more.groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))  # at most group_limit longs each
-    edges = pairs.unionByName(group_links(groups, max_bits))
-    if not sizes.where(f"n > {group_limit}").isEmpty():
-        large = keyed.join(sizes.where(f"n > {group_limit}").select("t", "key"), ["t", "key"], "left_semi")
-        edges = edges.unionByName(ball_links(large, max_bits))
-    return edges.distinct()
+    group_limit = max(group_limit, 1 << max_bits)  # so many fit in a key without enough bits to split
+    name = ["mask", "key"]
+    keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), max_bits, blocks)).alias("k")).select("k.mask", "k.key", "fp")
+    edges = None
+    while True:
+        sizes = cut(keyed.groupBy(*name).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1"))
+        pairs = sizes.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+        pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
+        more = keyed.join(sizes.where(f"n > 2 and n <= {group_limit}").select(*name), name)
+        groups = more.groupBy(*name).agg(F.collect_list("fp").alias("fps"))  # at most group_limit longs each
+        found = pairs.unionByName(group_links(groups, max_bits))
+        edges = found if edges is None else edges.unionByName(found)
+        large = sizes.where(f"n > {group_limit}")
+        if large.isEmpty():
+            return edges.distinct()
+        # A large key meets its rows in SALTS parts.
+        parts = large.select(*name, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        rows = keyed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(parts, [*name, "salt"])
+        keyed = cut(finer_keys(rows.select("mask", "fp"), max_bits, blocks))
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -191,11 +200,12 @@ def simhash_components(
 ) -> DataFrame:
     """doc_id, fp (signed long), component_id (smallest doc_id reachable) for each row of ``docs``."""
     hashed = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), "text"), width))
-    first = hashed.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    first = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     edges = links(first.select("fp"), max_bits, blocks, group_limit)
     comp = components(edges)
     # The smallest fingerprint names a component so far; its smallest document is wanted.
     named = first.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
     smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     member = named.select("fp", "c").join(smallest, "c").select("fp", "component_id")
-    return hashed.join(member, "fp").select("doc_id", "fp", "component_id")
+    out = spread_join(hashed.withColumn("_row", F.monotonically_increasing_id()), member, ["fp"], hot_values(first, "fp"), ["_row"])
+    return out.select("doc_id", "fp", "component_id")

@@ -14,7 +14,7 @@ rows, since counts are made again on what passed. Copies of segments are merged
 their bytes is shuffled.
 
 Null or empty text: no bytes, nothing removed, the digest of the empty string. Texts shorter
-than ``length`` stay as they are. Repeated rows are repeats of each other. Null doc_ids are kept.
+than ``length`` stay as they are; very long ones are hashed in overlapping pieces. Repeated rows are repeats of each other. Null doc_ids are kept.
 An empty table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
@@ -30,20 +30,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom_of
-from .common import bytes_of, cut, map_rows, with_row_key
-from .segments import digests, segment_slice, slices
+from .common import bytes_of, cut, hot_values, map_rows, spread_join, with_row_key
+from .segments import SLICE, digests, segment_slice, slices
 from .suffix_sort import repeated_windows
 
 GRAM = 40
 RANGES = "array<struct<a: int, b: int>>"
 CONTENT = ["key", "c1", "c2"]
+SALTS = 8
 
 
-def segmented(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[list[bytes], int, tuple[np.ndarray, ...]]]:
-    """For each slice of a batch: its texts, the index of the first, and their segments."""
-    texts = bytes_of(batch.column("text"))
-    for a, b in slices(texts):
-        yield texts[a:b], a, segment_slice(texts[a:b], length, gram)
+def segmented(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
+    """For each slice of a batch: pieces of text, each one's row and offset in that row's text, and their segments.
+
+    A very long text is taken in pieces that overlap by ``length`` - 1 bytes, so that each window is in one of them.
+    """
+    rows, offsets, pieces = [], [], []
+    for i, x in enumerate(bytes_of(batch.column("text"))):
+        for at in range(0, max(len(x) - length + 1, 1), SLICE):
+            rows.append(i)
+            offsets.append(at)
+            pieces.append(x[at : at + SLICE + length - 1])
+    row, offset = np.array(rows, np.int64), np.array(offsets, np.int64)
+    for a, b in slices(pieces):
+        yield pieces[a:b], row[a:b], offset[a:b], segment_slice(pieces[a:b], length, gram)
 
 
 def count_keys(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -51,7 +61,7 @@ def count_keys(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(s[3], s[4]) for _, _, s in segmented(batch, length, gram)]
+            found = [(s[3], s[4]) for *_, s in segmented(batch, length, gram)]
             if found:
                 keys, inner = (np.concatenate(x) for x in zip(*found, strict=True))
                 u, at = np.unique(keys, return_inverse=True)
@@ -69,15 +79,15 @@ def shared_segments(docs: DataFrame, known: Bloom, length: int, gram: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, t = (batch.column(c).to_numpy() for c in ("_k", "_t"))
-            for texts, first, (text, start, runs, key, inner) in segmented(batch, length, gram):
+            for texts, row, offset, (text, start, runs, key, inner) in segmented(batch, length, gram):
                 hit = sent.value.has(key)
                 text, start, runs, key, inner = (x[hit] for x in (text, start, runs, key, inner))
                 if len(text):
                     c = digests(texts, text, start, runs, length)
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "_k": k[first + text], "_t": t[first + text], "key": key.view(np.int64), "c1": c[:, 0], "c2": c[:, 1],
-                            "start": start.astype(np.int32), "runs": runs.astype(np.int32), "inner": inner,
+                            "_k": k[row[text]], "_t": t[row[text]], "key": key.view(np.int64), "c1": c[:, 0], "c2": c[:, 1],
+                            "start": (offset[text] + start).astype(np.int32), "runs": runs.astype(np.int32), "inner": inner,
                         }
                     )
 
@@ -93,7 +103,7 @@ def segment_bytes(docs: DataFrame, wanted: Bloom, length: int, gram: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[tuple[int, int]] = set()
-            for texts, _, (text, start, runs, key, _) in segmented(batch, length, gram):
+            for texts, _, _, (text, start, runs, key, _) in segmented(batch, length, gram):
                 # The key passes first, which spares most digests.
                 hit = np.flatnonzero(sent.value.has(key))
                 c = digests(texts, text[hit], start[hit], runs[hit], length)
@@ -148,8 +158,10 @@ def repeated_spans(keyed: DataFrame, length: int, gram: int, group_limit: int, b
     keys = cut(count_keys(keyed, length, gram).where("n > 1").select("key"))
     occurrences = cut(shared_segments(keyed, bloom_of(keys, "key", keys.count()), length, gram))
     contents = cut(occurrences.groupBy(*CONTENT).agg(F.count("*").alias("n"), F.first("runs").alias("runs"), F.max("inner").alias("inner")))
-    mixed = contents.groupBy("key").agg(F.count("*").alias("m"), F.max("inner").alias("any")).where("m > 1 or any").select("key", "m")
-    wanted = cut(contents.join(mixed, "key"))
+    # Keys met by many different segments are common, so every key meets them in SALTS parts.
+    mixed = contents.groupBy("key").agg(F.count("*").alias("m"), F.max("inner").alias("any")).where("m > 1 or any")
+    parts = mixed.select("key", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    wanted = cut(contents.withColumn("_salt", F.pmod("c1", F.lit(SALTS)).cast("int")).join(parts, ["key", "_salt"]).drop("_salt"))
     size = wanted.agg(F.count("*").alias("n"), F.sum(F.col("runs") + length).alias("bytes"), F.max("m").alias("m")).first()
     whole = contents.where("n > 1").select(*CONTENT, F.array(F.struct(F.lit(0).alias("a"), F.col("runs").alias("b"))).cast(RANGES).alias("ranges"))
     if size["n"]:
@@ -163,8 +175,10 @@ def repeated_spans(keyed: DataFrame, length: int, gram: int, group_limit: int, b
         once = contents.where("n = 1").select(*CONTENT)
         whole = whole.unionByName(found.where(F.size("ranges") > 0).join(once, CONTENT, "left_semi"))
     span = lambda r, start: F.struct((start + r["a"]).alias("start"), (start + r["b"] + length - 1).alias("stop"))
-    placed = occurrences.join(whole, CONTENT).select("_k", "_t", F.transform("ranges", lambda r: span(r, F.col("start"))).alias("spans"))
-    return placed.groupBy("_k", "_t").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # as many as one text holds
+    # Rows alike in id and text give the same spans, which a set holds once.
+    placed = spread_join(occurrences, whole, CONTENT[1:] + CONTENT[:1], hot_values(contents, "c1"), ["_k", "_t", "start"])
+    placed = placed.select("_k", "_t", F.transform("ranges", lambda r: span(r, F.col("start"))).alias("spans"))
+    return placed.groupBy("_k", "_t").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # as many as one text holds
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

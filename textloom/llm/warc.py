@@ -1,7 +1,8 @@
 """WARC archives: a writer with revisit records and a salvage reader.
 
 Writing: Spark's text writer, whose line separator is the blank line that ends a record, so each
-part is a plain WARC/1.1 file on whatever file system the cluster shares. Of the records with
+part is a plain WARC/1.1 file on whatever file system the cluster shares. A file is one bundle of
+records of bounded size, since the reader takes a file as one value. Of the records with
 equal payloads (same SHA-1 and length) the one with the largest page_id is a response and the
 others are revisits of it.
 
@@ -9,12 +10,13 @@ Reading: parts are read as binary rows and walked record by record. A record cou
 version line, its Content-Length, its closing blank lines and, for a response, its payload
 digest hold. After a failed check the reader searches for the next version line, or in a
 gzipped file for the next member that inflates, goes on from there, and logs the bytes in
-between as a quarantined gap.
+between as a quarantined gap. The log is kept beside the archive.
 
 Null or empty html: a payload of 0 bytes, which is revisited like any other. Null page_ids are
 written, never referred to, and are always responses. Repeated rows: all rows with the largest
-page_id of a payload are responses. An empty table gives an empty archive and result. Columns
-other than page_id, url and html are ignored.
+page_id of a payload are responses. A very long page is a file of its own and must fit in a task.
+An empty table gives an empty archive and result. Columns other than page_id, url and html are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import bloom_of
-from .common import arrow_schema, checkpoint_dir, cut, map_rows
+from .common import arrow_schema, cut, map_rows, scratch_folder
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -199,16 +201,29 @@ def archive_records(pages: DataFrame) -> DataFrame:
     return once.unionByName(often)
 
 
-def write_archive(pages: DataFrame, path: str, records_per_file: int = 4000) -> None:
-    """Write one record per page as WARC files under ``path``."""
+def write_archive(pages: DataFrame, path: str, bytes_per_file: int = 1 << 24, spoil: Callable[[int | None, bytes], bytes] | None = None) -> None:
+    """Write one record per page as WARC files of about ``bytes_per_file`` under ``path``; a larger record has a file of its own.
 
-    def kernel(batch: pa.RecordBatch) -> dict:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "packed", "sha", "refers_to")), strict=True)
-        return {"record": [record(p, u, zlib.decompress(x), base64.b32encode(s).decode(), r) for p, u, x, s, r in rows]}
+    Records are bundled in the tasks, and each bundle is written as one file. ``spoil`` may change
+    a page's stored record, to try the reader.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for p, u, x, s, r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "packed", "sha", "refers_to")), strict=True):
+                made = record(p, u, zlib.decompress(x), base64.b32encode(s).decode(), r)
+                made = spoil(p, made) if spoil else made
+                if held and size + len(made) > bytes_per_file:
+                    yield pa.RecordBatch.from_pydict({"value": pa.array([END.join(held)], pa.binary())})
+                    held, size = [], 0
+                held.append(made)
+                size += len(made) + len(END)
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([END.join(held)], pa.binary())})
 
-    made = map_rows(archive_records(pages), kernel, [], "record binary")
-    out = made.select(F.col("record").cast("string").alias("value")).write.mode("overwrite")
-    out.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).text(path)
+    bundles = archive_records(pages).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    bundles.write.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -238,11 +253,39 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, READ)
 
 
+def salvaged(spark: SparkSession, path: str) -> DataFrame:
+    """The records of an archive, without payloads; its quarantined gaps are logged as Parquet in ``path``-gaps."""
+    found = cut(read_archive(spark, path).drop("payload"))
+    found.where("kind = 'gap'").select("file", "start", "stop", "reason").write.mode("overwrite").parquet(f"{path}-gaps")
+    return found.where("kind = 'record'")
+
+
 def warc_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``pages`` to an archive, read it back, and return one row per record read."""
+    """Write ``pages`` to an archive, read it back, and return one row per record read; an archive that lost a page is an error."""
     spark = pages.sparkSession
-    own = path or f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    own = path or f"{scratch_folder(spark, 'warc')}/archive"
     write_archive(pages, own)
-    back = read_archive(spark, own).where("kind = 'record'")
+    back = salvaged(spark, own)
+    if (read := back.count()) != (written := pages.count()):
+        raise RuntimeError(f"{read} records read of {written} written, see {own}-gaps")
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
+
+def spoiled(page_id: int | None, stored: bytes) -> bytes:
+    """Every seventh page loses its version line, every eleventh the end of its record, every thirteenth has a header that lies."""
+    if page_id is None:
+        return stored
+    if page_id % 7 == 3:
+        return b"X" + stored[1:]
+    if page_id % 11 == 5:
+        return stored[:-10] if stored.endswith(END) else stored[: len(stored) // 2]
+    if page_id % 13 == 2:
+        return stored.replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9", 1)
+    return stored
+
+
+def salvage_trial(pages: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, record_type) of what the reader recovers from an archive that ``spoiled`` has damaged."""
+    own = f"{scratch_folder(pages.sparkSession, 'warc')}/archive"
+    write_archive(pages, own, spoil=spoiled)
+    return salvaged(pages.sparkSession, own).select("page_id", "payload_bytes", "record_type")
