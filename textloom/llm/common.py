@@ -87,6 +87,14 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def portions(batches: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of about ``limit`` bytes, so that what is made of one at a time stays small."""
+    for batch in batches:
+        step = max(batch.num_rows * limit // max(batch.nbytes, 1), 1)
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def map_rows(
     df: DataFrame,
     kernel: Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]],
@@ -102,7 +110,7 @@ def map_rows(
     target = arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             made = kernel(batch)
             arrays = [batch.column(c) for c in keep]
             arrays += [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in target]

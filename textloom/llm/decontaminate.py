@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, bytes_of, cut
+from .common import arrow_schema, bytes_of, cut, portions
 from .suffix_sort import words_at
 
 Q = 8
@@ -111,34 +111,42 @@ def known_grams(index: GramIndex, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at[real], found[real]
 
 
-def expanded(index: GramIndex, at: np.ndarray, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(position, piece, place in the piece) of every shared gram, some ENTRIES at a time."""
+def expanded(index: GramIndex, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(which of the found grams, piece, place in the piece) of every shared gram, some ENTRIES at a time."""
     n = index.first[found + 1] - index.first[found]
     ends = np.cumsum(n)
     a = 0
-    while a < len(at):
+    while a < len(found):
         b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + ENTRIES, "right")), a + 1)
         m = n[a:b]
         entry = np.repeat(index.first[found[a:b]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        yield np.repeat(at[a:b], m), index.piece_of[entry].astype(np.int64), index.place_of[entry].astype(np.int64)
+        yield np.repeat(np.arange(a, b), m), index.piece_of[entry].astype(np.int64), index.place_of[entry].astype(np.int64)
         a = b
 
 
+def sorted_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.diff(x, prepend=-1))
+    return x[first], np.diff(first, append=len(x))
+
+
 def distinct_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
     keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     u, back = np.unique(keys, return_inverse=True)
     return u, np.bincount(back, weights=counts, minlength=len(u)).astype(np.int64)
 
 
-def bands_of(index: GramIndex, at: np.ndarray, found: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Rows (text, piece, lowest diagonal) of the bands that reach the piece's bound, from the known grams of some texts.
+def bands_of(index: GramIndex, text: np.ndarray, at: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Rows (text, piece, lowest diagonal) of the bands that reach the piece's bound, from known grams: text, position in it, number.
 
     Grams are counted per text and piece first; pairs that reach the bound are then counted per
     band, each place of the piece once, so that a gram that stands everywhere enters a band once.
     """
     n = len(index.pieces)
-    owners = lambda at, piece: (np.searchsorted(starts, at, "right") - 1) * n + piece
-    counts = [np.unique(owners(x, piece), return_counts=True) for x, piece, _ in expanded(index, at, found)]
+    counts = [sorted_runs(text[i] * n + piece) for i, piece, _ in expanded(index, found)]
     if not counts:
         return np.empty((0, 3), np.int64)
     owner, count = distinct_counts(counts)
@@ -146,18 +154,16 @@ def bands_of(index: GramIndex, at: np.ndarray, found: np.ndarray, starts: np.nda
     most = max(len(x) for x in index.pieces)
     span = int(at.max()) + 2 * most + 4
     rows: list[np.ndarray] = [np.empty(0, np.int64)]
-    for x, piece, place in expanded(index, at, found):
-        own = owners(x, piece)
+    for i, piece, place in expanded(index, found):
+        own = text[i] * n + piece
         slot_ = np.minimum(np.searchsorted(good, own), max(len(good) - 1, 0))
         hit = good[slot_] == own if len(good) else np.zeros(len(own), bool)
-        x, piece, place, slot_ = x[hit], piece[hit], place[hit], slot_[hit]
-        band = (x - starts[good[slot_] // n] - place + most) // np.maximum(index.edits[piece], 1) + 1
+        i, piece, place, slot_ = i[hit], piece[hit], place[hit], slot_[hit]
+        band = (at[i] - place + most) // np.maximum(index.edits[piece], 1) + 1
         # A gram is in its own band and in the one below.
         packed = (np.concatenate((slot_ * span + band, slot_ * span + band - 1)) * most) + np.tile(place, 2)
-        rows.append(np.unique(packed))
-    every = np.unique(np.concatenate(rows)) // most
-    first = np.flatnonzero(np.diff(every, prepend=-1))
-    keys, count = every[first], np.diff(first, append=len(every))
+        rows.append(sorted_runs(packed)[0])
+    keys, count = sorted_runs(sorted_runs(np.concatenate(rows))[0] // most)
     own, band = good[keys // span] if len(keys) else keys, keys % span - 1
     piece = own % n
     reach = count >= index.bounds[piece]
@@ -171,6 +177,7 @@ def candidates(index: GramIndex, texts: list[bytes]) -> Iterator[tuple[int, int,
     starts = np.concatenate(([0], np.cumsum([len(x) + Q for x in texts])))[:-1]
     at, found = known_grams(index, data)
     text = np.searchsorted(starts, at, "right") - 1
+    at = at - starts[text]
     size = np.cumsum(index.first[found + 1] - index.first[found])
     a = 0
     while a < len(at):  # whole texts with some ENTRIES together, one at least
@@ -178,7 +185,7 @@ def candidates(index: GramIndex, texts: list[bytes]) -> Iterator[tuple[int, int,
         b = int(np.searchsorted(text, text[min(b, len(at) - 1)])) if b < len(at) else b
         b = max(b, int(np.searchsorted(text, text[a], "right")))
         run: list[int] = []
-        for t, p, d in bands_of(index, at[a:b], found[a:b], starts).tolist():
+        for t, p, d in bands_of(index, text[a:b], at[a:b], found[a:b]).tolist():
             k = max(int(index.edits[p]), 1)
             if run and run[:2] == [t, p] and d - k <= run[3] and d - run[2] < MERGED:
                 run[3] = d + 3 * k
@@ -296,7 +303,7 @@ def find_leaks(
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch], indexes: list[GramIndex]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             texts = bytes_of(b.column("text"))
             rows = [(d, item, *got) for index in indexes for d, own in matches(index, texts, least).items() for item, got in own.items()]
             if rows:
@@ -319,7 +326,7 @@ def drop_leaks(
     """The rows of ``docs``, all columns as they are, that hold no benchmark item."""
 
     def run(batches: Iterator[pa.RecordBatch], indexes: list[GramIndex]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             for index in indexes:
                 found = matches(index, bytes_of(b.column("text")), least)
                 b = b.filter(pa.array([i not in found for i in range(b.num_rows)], pa.bool_()))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom_of
-from .common import bytes_of, cut, map_rows, with_row_key
+from .common import bytes_of, cut, map_rows, portions, with_row_key
 
 SALTS = 64
 
@@ -81,7 +81,7 @@ def digests(bodies: list[bytes]) -> np.ndarray:
 
 def digest_counts(docs: DataFrame, chunker: Chunker) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             d = digests([x for data in bytes_of(batch.column("text")) for _, _, x in chunker.windows(data)])
             yield pa.RecordBatch.from_pydict({"d1": d[:, 0], "d2": d[:, 1]})
 

@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, map_rows
+from .bloom import bloom_of
+from .common import cut, map_rows, portions
 from .measures import COUNTS_DDL, count_batch
 
 N_FEATURES = 11
@@ -93,15 +95,14 @@ def fit(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, to_pooled: float,
     return Discriminant(means, np.stack(factors), np.array(norms), float(np.log(n[1]) - np.log(n[0])))
 
 
+def feature_lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_FEATURES), type=pa.int32()), pa.array(x.ravel(), type=pa.float64()))
+
+
 def text_features(docs: DataFrame) -> DataFrame:
     """doc_id and ``x``, the features of each text."""
 
-    def kernel(batch: pa.RecordBatch) -> dict:
-        x = features(count_batch(batch))
-        flat = pa.array(x.ravel(), type=pa.float64())
-        return {"x": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_FEATURES), type=pa.int32()), flat)}
-
-    return map_rows(docs.select("doc_id", "text"), kernel, ["doc_id"], "x array<double>")
+    return map_rows(docs.select("doc_id", "text"), lambda batch: {"x": feature_lists(features(count_batch(batch)))}, ["doc_id"], "x array<double>")
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
@@ -161,11 +162,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score reaches ``threshold``."""
-    wanted = training_labels(labels)
-    model = train(text_features(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")), wanted)
+    wanted = cut(training_labels(labels).withColumn("_k", F.xxhash64("doc_id")))
+    # A Bloom filter names the labelled texts, so that no text moves; the join in ``train`` drops what it errs on.
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted, "_k", wanted.count()))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches):
+            b = b.filter(pa.array(sent.value.has(b.column("_k").to_numpy().view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), feature_lists(features(count_batch(b)))], names=["doc_id", "x"])
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    featured = cut(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_k")).mapInArrow(labelled, schema))
+    model = train(featured, wanted.drop("_k"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             yield b.filter(pa.array(model.score(features(count_batch(b))) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

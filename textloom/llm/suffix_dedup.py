@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom_of
-from .common import bytes_of, cut, hot_values, map_rows, spread_join, with_row_key
+from .common import bytes_of, cut, hot_values, map_rows, portions, spread_join, with_row_key
 from .segments import SLICE, digests, segment_slice, slices
 from .suffix_sort import repeated_windows
 
@@ -60,7 +60,7 @@ def count_keys(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(key, n) with the number of segments, or at least 2 if one could repeat within itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             found = [(s[3], s[4]) for *_, s in segmented(batch, length, gram)]
             if found:
                 keys, inner = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -77,7 +77,7 @@ def shared_segments(docs: DataFrame, known: Bloom, length: int, gram: int) -> Da
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             k, t = (batch.column(c).to_numpy() for c in ("_k", "_t"))
             for texts, row, offset, (text, start, runs, key, inner) in segmented(batch, length, gram):
                 hit = sent.value.has(key)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import bloom_of
-from .common import arrow_schema, cut, map_rows, scratch_folder
+from .common import arrow_schema, cut, map_rows, portions, scratch_folder
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -184,7 +184,7 @@ def archive_records(pages: DataFrame) -> DataFrame:
 
     def records(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in portions(batches):
                 payloads = [x or b"" for x in b.column("html").cast(pa.large_binary()).to_pylist()]
                 sha = [hashlib.sha1(x).digest() for x in payloads]
                 hit = sent.value.has(np.frombuffer(b"".join(x[:8] for x in sha), np.uint64)) == wanted
@@ -210,7 +210,7 @@ def write_archive(pages: DataFrame, path: str, bytes_per_file: int = 1 << 24, sp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
+        for b in portions(batches):
             for p, u, x, s, r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "packed", "sha", "refers_to")), strict=True):
                 made = record(p, u, zlib.decompress(x), base64.b32encode(s).decode(), r)
                 made = spoil(p, made) if spoil else made
