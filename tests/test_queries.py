@@ -7,7 +7,6 @@ import pytest
 from textloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"page_range", "page_match_rate"}
 
 
 def rows(frame: pd.DataFrame) -> list[str]:
@@ -23,7 +22,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in registry.ORACLES if n not in SLOW])
+@pytest.mark.parametrize("name", registry.ORACLES)
 def test_same_as_sql(spark, duck, sf_dir, name):
     assert rows(registry.QUERIES[name](spark, sf_dir).toPandas()) == rows(duck.sql(registry.ORACLES[name]).df())
 

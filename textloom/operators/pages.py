@@ -1,11 +1,20 @@
-"""Page attribution by shared character n-grams, as joins."""
+"""Page attribution by shared character n-grams."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..functions.text import page_normal, strip
 
-from ..functions.text import char_ngrams, page_normal, strip
+#: A fixed value: an odd factor that spreads the bits of a hash.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -27,47 +36,98 @@ def anchors(content: Column, title: Column) -> Column:
     return F.filter(F.array_distinct(F.array_compact(found)), lambda x: x != "")
 
 
-def page_grams(texts: DataFrame, n: int = 5) -> DataFrame:
-    return texts.select("doc_id", "page_no", F.explode(char_ngrams(F.col("text"), n)).alias("gram"))
+def gram_hashes(text: str, n: int) -> np.ndarray:
+    """The set of a text's ``n``-character substrings without blanks, as 64-bit hashes; none for a shorter text."""
+    points = np.frombuffer("".join(text.split()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(points) < n:
+        return np.empty(0, np.uint64)
+    h = np.zeros(len(points) - n + 1, np.uint64)
+    for i in range(n):
+        h = (h ^ points[i : len(points) - n + 1 + i]) * SPREAD
+        h ^= h >> np.uint64(29)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def document_pages(pages: list[tuple[int, str]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Page numbers in order, all grams of the pages sorted, and the page each stands on."""
+    pages = sorted(pages)
+    grams = [gram_hashes(t, n) for _, t in pages]
+    flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    return np.array([no for no, _ in pages], np.int64), flat[order], np.repeat(np.arange(len(pages)), [len(g) for g in grams])[order]
+
+
+def page_hits(grams: np.ndarray, flat: np.ndarray, page: np.ndarray, n_pages: int) -> np.ndarray:
+    """How many of some different grams each page has."""
+    low, high = np.searchsorted(flat, grams, "left"), np.searchsorted(flat, grams, "right")
+    size = high - low
+    at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return np.bincount(page[at], minlength=n_pages)
+
+
+def found_pages(chunks: list[dict], pages: list[tuple[int, str]], n: int, per_cent: int, reach: int, tail_per_cent: int) -> Iterator[tuple]:
+    """(chunk, page_start, page_end) of the chunks of a document that a page matches."""
+    numbers, flat, page = document_pages(pages, n)
+    where = {int(no): i for i, no in enumerate(numbers)}
+    for c in chunks:
+        start = None
+        for text in c["anchors"]:
+            grams = gram_hashes(text, n)
+            if len(text) < 20 or len(grams) < 4:
+                continue
+            hits = page_hits(grams, flat, page, len(numbers))
+            best = int(hits.argmax()) if len(hits) else 0
+            if len(hits) and hits[best] * 100 >= len(grams) * per_cent and hits[best]:
+                start = int(numbers[best])
+                break
+        if start is None:
+            continue
+        end, grams = start, gram_hashes(c["tail"], n)
+        if len(c["tail"]) >= 40 and len(grams) >= 5:
+            hits = page_hits(grams, flat, page, len(numbers))
+            while end < min(start + reach, len(numbers)) and end + 1 in where and hits[where[end + 1]] * 100 >= len(grams) * tail_per_cent:
+                end += 1
+        yield c["chunk"], start, end
+
+
+def page_ranges(chunks: DataFrame, pages: DataFrame, n: int = 5, per_cent: int = 25, reach: int = 3, tail_per_cent: int = 20) -> DataFrame:
+    """(doc_id, chunk, page_start, page_end) of the chunks that a page matches.
+
+    ``chunks`` has doc_id, chunk, content and section_title. The first anchor that shares ``per_cent``
+    of its grams with a page decides; of equal pages the first wins. Up to ``reach`` more pages
+    follow while each shares enough of the chunk's tail. A document's pages and chunks meet in one
+    row and are compared there, so that a chunk and a page are moved once each, and not their grams.
+
+    Null ids match nothing. Repeated chunk numbers are matched each. A null or empty content has no
+    anchor but the title with it. A document must fit in a task. Other columns are ignored.
+    """
+    normal = page_normal(F.coalesce("content", F.lit("")))
+    tail = F.when(F.length(normal) > 150, F.substring(normal, -150, 150)).otherwise(normal)
+    tried = chunks.select("doc_id", F.struct("chunk", anchors(F.coalesce("content", F.lit("")), F.col("section_title")).alias("anchors"), tail.alias("tail")).alias("c"))
+    held = tried.groupBy("doc_id").agg(F.collect_list("c").alias("chunks"))  # a document's
+    texts = page_texts(pages).groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "text")).alias("pages"))
+    schema = T.StructType([held.schema["doc_id"], T.StructField("chunk", chunks.schema["chunk"].dataType), *T.StructType.fromDDL("page_start int, page_end int").fields])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d, own, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "chunks", "pages")), strict=True):
+                found = found_pages(own, [(p["page_no"], p["text"]) for p in text], n, per_cent, reach, tail_per_cent)
+                rows += [(d, *x) for x in found]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(target)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, target, strict=True)], names=target.names)
 
+    return held.join(texts, "doc_id").select("doc_id", "chunks", "pages").mapInArrow(run, schema)
 
-def match_pages(chunks: DataFrame, pages: DataFrame, n: int = 5, per_cent: int = 25) -> DataFrame:
-    """(doc_id, chunk, page_start): the best page of the first anchor that reaches the score.
 
-    ``chunks`` has doc_id, chunk, content and section_title. Scores are compared as whole
-    numbers; of equal pages the first wins.
-    """
-    tried = chunks.select("doc_id", "chunk", F.posexplode(anchors(F.col("content"), F.col("section_title"))).alias("anchor", "text"))
-    grams = tried.where("length(text) >= 20").select("doc_id", "chunk", "anchor", char_ngrams(F.col("text"), n).alias("grams"))
-    grams = grams.where("size(grams) >= 4").select("doc_id", "chunk", "anchor", F.size("grams").alias("of"), F.explode("grams").alias("gram"))
-    shared = grams.join(page_grams(page_texts(pages), n), ["doc_id", "gram"])
-    scored = shared.groupBy("doc_id", "chunk", "anchor", "page_no").agg(F.count("*").alias("hits"), F.first("of").alias("of"))
-    good = scored.where(F.col("hits") * 100 >= F.col("of") * per_cent)
-    best = F.min(F.struct("anchor", (-F.col("hits")).alias("h"), "page_no"))
-    return good.groupBy("doc_id", "chunk").agg(best["page_no"].alias("page_start"))
-
-
-def page_ranges(chunks: DataFrame, pages: DataFrame, matched: DataFrame, n: int = 5, reach: int = 3, per_cent: int = 20) -> DataFrame:
-    """(doc_id, chunk, page_start, page_end): up to ``reach`` pages more while each shares enough of the chunk's tail."""
-    texts = page_texts(pages)
-    total = texts.groupBy("doc_id").agg(F.count("*").alias("total"))
-    normal = page_normal(F.col("content"))
-    tail = F.when(F.length(normal) > 150, F.substring(normal, -150, 150)).otherwise(normal)
-    tails = matched.join(chunks.select("doc_id", "chunk", tail.alias("tail")), ["doc_id", "chunk"]).join(total, "doc_id")
-    tails = tails.withColumn("grams", char_ngrams(F.col("tail"), n)).where("length(tail) >= 40 and size(grams) >= 5")
-    steps = F.when(F.col("total") > F.col("page_start"), F.sequence(F.lit(1), F.least(F.lit(reach), (F.col("total") - F.col("page_start")).cast("int"))))
-    tried = tails.select("doc_id", "chunk", "page_start", "grams", F.explode(steps).alias("step")).withColumn("page_no", F.col("page_start") + F.col("step"))
-    wanted = tried.select("doc_id", "chunk", "step", "page_no", F.size("grams").alias("of"), F.explode("grams").alias("gram"))
-    hits = wanted.join(page_grams(texts, n), ["doc_id", "page_no", "gram"]).groupBy("doc_id", "chunk", "step").agg(F.count("*").alias("hits"), F.first("of").alias("of"))
-    passed = hits.where(F.col("hits") * 100 >= F.col("of") * per_cent)
-    steps_ok = passed.groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_set("step")).alias("ok"))  # at most ``reach``
-    run = F.aggregate("ok", F.lit(0), lambda acc, s: F.when(s == acc + 1, s).otherwise(acc))
-    return matched.join(steps_ok, ["doc_id", "chunk"], "left").select(
-        "doc_id", "chunk", "page_start", (F.col("page_start") + F.coalesce(run, F.lit(0))).alias("page_end")
-    )
+def match_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, chunk, page_start): the best page of each chunk that has one."""
+    return page_ranges(chunks, pages).drop("page_end")
 
 
 def attribute_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """``chunks`` with page_start and page_end, null where no page matches."""
-    ranged = page_ranges(chunks, pages, match_pages(chunks, pages))
+    ranged = page_ranges(chunks, pages)
     return chunks.drop("page_start", "page_end").join(ranged, ["doc_id", "chunk"], "left")

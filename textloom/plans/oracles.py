@@ -135,30 +135,37 @@ def normal(x: str) -> str:
     return STRIP.format(rf"regexp_replace(regexp_replace({x}, '\s+', ' ', 'g'), '\s*([，。！？；：、])\s*', '\1', 'g')")
 
 
-def grams(x: str) -> str:
-    bare = rf"regexp_replace({x}, '\s+', '', 'g')"
-    return f"CASE WHEN length({bare}) < 5 THEN [{bare}] ELSE list_distinct(list_transform(range(1, length({bare}) - 3), lambda i: substring({bare}, i, 5))) END"
+def bare(x: str) -> str:
+    return rf"regexp_replace({x}, '\s+', '', 'g')"
+
+
+def grams(column: str) -> str:
+    """The different five-character substrings of a column without blanks, as hashes; the column must not be an expression."""
+    return f"CASE WHEN length({column}) < 5 THEN [hash({column})] ELSE list_distinct(list_transform(range(1, length({column}) - 3), lambda i: hash(substring({column}, i, 5)))) END"
 
 
 _PROSE = "list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND x[1] <> '|' AND x[1] <> '#' AND x[1:2] <> '- ')"
 MATCHED = f"""{GRAM_CTE},
 pt AS (SELECT doc_id, page_no, {normal("text")} AS text FROM pg WHERE NOT {BLANK.format("text")}),
-gp AS (SELECT doc_id, page_no, unnest({grams("text")}) AS gram FROM pt),
+pb AS MATERIALIZED (SELECT doc_id, page_no, {bare("text")} AS b FROM pt),
+gp AS MATERIALIZED (SELECT doc_id, page_no, unnest({grams("b")}) AS gram FROM pb),
 a0 AS (SELECT doc_id, chunk, content, section_title, {_PROSE} AS p FROM ck),
 a1 AS (SELECT doc_id, chunk, [CASE WHEN len(p) > 0 THEN {normal("array_to_string(p[1:3], ' ')")} END,
          CASE WHEN len(p) > 6 THEN {normal("array_to_string(p[len(p) // 2 + 1:len(p) // 2 + 3], ' ')")} END,
          CASE WHEN section_title <> '' THEN {normal("section_title || ' ' || content")} END] AS l FROM a0),
 a2 AS (SELECT doc_id, chunk, unnest(l) AS text, generate_subscripts(l, 1) AS anchor FROM a1),
-a3 AS (SELECT doc_id, chunk, anchor, {grams("text")} AS gs FROM a2 WHERE text IS NOT NULL AND length(text) >= 20),
+ab AS MATERIALIZED (SELECT doc_id, chunk, anchor, {bare("text")} AS b FROM a2 WHERE text IS NOT NULL AND length(text) >= 20),
+a3 AS (SELECT doc_id, chunk, anchor, {grams("b")} AS gs FROM ab),
 a4 AS (SELECT doc_id, chunk, anchor, len(gs) AS n, unnest(gs) AS gram FROM a3 WHERE len(gs) >= 4),
 sc AS (SELECT a4.doc_id, chunk, anchor, page_no, count(*) AS hits, max(n) AS n FROM a4 JOIN gp ON a4.doc_id = gp.doc_id AND a4.gram = gp.gram GROUP BY ALL),
-mt AS (SELECT doc_id, chunk, page_no AS page_start FROM sc WHERE hits * 4 >= n
+mt AS MATERIALIZED (SELECT doc_id, chunk, page_no AS page_start FROM sc WHERE hits * 4 >= n
        QUALIFY row_number() OVER (PARTITION BY doc_id, chunk ORDER BY anchor, hits DESC, page_no) = 1)"""
 
 RANGED = f"""{MATCHED},
 tp AS (SELECT doc_id, count(*) AS total FROM pt GROUP BY doc_id),
 tl AS (SELECT mt.doc_id, mt.chunk, page_start, total, right({normal("content")}, 150) AS tail FROM mt JOIN ck USING (doc_id, chunk) JOIN tp USING (doc_id)),
-t1 AS (SELECT doc_id, chunk, page_start, total, {grams("tail")} AS gs FROM tl WHERE length(tail) >= 40),
+tb AS MATERIALIZED (SELECT doc_id, chunk, page_start, total, {bare("tail")} AS b FROM tl WHERE length(tail) >= 40),
+t1 AS (SELECT doc_id, chunk, page_start, total, {grams("b")} AS gs FROM tb),
 t2 AS (SELECT doc_id, chunk, page_start, len(gs) AS n, gs, unnest(range(1, least(4, total - page_start + 1))) AS step FROM t1 WHERE len(gs) >= 5),
 t3 AS (SELECT doc_id, chunk, step, n, page_start + step AS page_no, unnest(gs) AS gram FROM t2),
 t4 AS (SELECT t3.doc_id, chunk, step, max(n) AS n, count(gp.gram) AS hits FROM t3 LEFT JOIN gp ON t3.doc_id = gp.doc_id AND t3.page_no = gp.page_no AND t3.gram = gp.gram GROUP BY ALL),

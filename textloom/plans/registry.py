@@ -372,8 +372,14 @@ def page_match(spark, sf_dir):
 
 @query(f"WITH {sql.RANGED} SELECT doc_id, chunk, page_start, page_end FROM rg")
 def page_range(spark, sf_dir):
-    held, texts = inputs.chunks_of_docs(spark, sf_dir), inputs.pages_of_docs(spark, sf_dir)
-    return pages.page_ranges(held, texts, pages.match_pages(held, texts))
+    return pages.page_ranges(inputs.chunks_of_docs(spark, sf_dir), inputs.pages_of_docs(spark, sf_dir))
+
+
+@query(f"WITH {sql.RANGED} SELECT doc_id, chunk, section_title, page_start, page_end FROM ck LEFT JOIN rg USING (doc_id, chunk)")
+def attributed_chunks(spark, sf_dir):
+    """Every chunk with its pages, null where none matches."""
+    made = pages.attribute_pages(inputs.chunks_of_docs(spark, sf_dir), inputs.pages_of_docs(spark, sf_dir))
+    return made.select("doc_id", "chunk", "section_title", "page_start", "page_end")
 
 
 @query(
