@@ -343,8 +343,8 @@ def plain_scores(rows, mu=4.0):
 
 def test_lm_scores_match_brute_force_in_any_number_of_rounds(docs, rows):
     want = Counter((r[0], round(s, 4)) for r, s in zip(rows, plain_scores(rows), strict=True))
-    for table, most in ((docs, 1 << 29), (docs.repartition(7), 1 << 20)):
-        got = lm_scoring.score_lm(table, max_bits=most, bits_per_entry=2000).collect()
+    for table, most in ((docs, 1 << 29), (docs.repartition(7), 1 << 26)):
+        got = lm_scoring.score_lm(table, max_bits=most, bits_per_entry=20000).collect()
         assert Counter((r.doc_id, round(r.score, 4)) for r in got) == want
 
 

@@ -100,8 +100,9 @@ def map_rows(
     kernel: Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array]],
     keep: list[str],
     added: str,
+    portion: int = 1 << 22,
 ) -> DataFrame:
-    """``df.select(keep)`` with the columns ``added`` (DDL) that ``kernel`` makes from each batch.
+    """``df.select(keep)`` with the columns ``added`` (DDL) that ``kernel`` makes from each batch of about ``portion`` bytes.
 
     The kept columns pass through as Arrow arrays, so nulls and large integers stay as they are.
     """
@@ -110,7 +111,7 @@ def map_rows(
     target = arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches):
+        for batch in portions(batches, portion):
             made = kernel(batch)
             arrays = [batch.column(c) for c in keep]
             arrays += [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in target]

@@ -3,12 +3,11 @@
 Training counts single tokens and pairs of tokens over every training text. A count c is held
 as its level 1 + floor(log2(c)); the filter holds (n-gram, 1) ... (n-gram, level), so that a
 count is read by probing level after level until one is missing. The filter is sized from the
-counted (n-gram, level) entries, ``bits_per_entry`` to twice that for each, so that its rate of
-false positives stays the same (under 2 % a probe) however large the corpus is. It is built in
-shards by Spark and broadcast to the workers; where it has over ``max_bits`` bits, the texts meet
-it in several rounds, one broadcast group of shards after the other, and carry the levels read so
-far along. Its layout doesn't depend on how the input is dealt. A pair's probability is smoothed
-with its second token's own:
+counted (n-gram, level) entries, ``bits_per_entry`` for each, so that its rate of false positives
+stays the same (under 2 % a probe) however large the corpus is. It is built in shards by Spark and
+broadcast to the workers in parts of at most ``max_bits``; a worker loads one part after the other
+and keeps the levels read so far. The layout doesn't depend on how the input is dealt. A pair's
+probability is smoothed with its second token's own:
 
     P(w | v) = (c(v, w) + MU * P1(w)) / (c(v) + MU),   P1(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
@@ -36,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import mixed, places, power_of_two, shard_of
+from .bloom import mixed, power_of_two, shard_of
 from .common import bytes_of, cut, map_rows, with_row_key
 
 MU = 4.0
@@ -47,8 +46,9 @@ LEVELS = 40
 CELLS = 1 << 16
 #: Counts merged at once.
 PENDING = 1 << 21
-#: Tokens worked on at once.
-SLICE = 1 << 20
+#: Bytes of text counted and scored at once; a filter part is loaded for each portion.
+SLICE = 6 << 20
+PORTION = 1 << 24
 
 
 def held_out(doc_id: Column) -> Column:
@@ -85,7 +85,7 @@ def token_slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for i, x in enumerate(texts):
         held += len(x)
-        if held > 6 * SLICE:
+        if held > SLICE:
             yield start, i + 1
             start, held = i + 1, 0
     if start < len(texts):
@@ -135,11 +135,17 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
 
 
-MERGED_DDL = "shard int, kind int, hashes binary, counts binary, entries long, tokens array<long>, n array<long>"
+def spots(h: np.ndarray, i: int, cell: int) -> np.ndarray:
+    """The i-th place of mixed hashes in a cell of any number of bits."""
+    step = (h << np.uint64(32)) | (h >> np.uint64(32)) | np.uint64(1)
+    return (((h + np.uint64(i) * step) >> np.uint64(32)) * np.uint64(cell) >> np.uint64(32)).astype(np.int64)
+
+
+MERGED_DDL = "shard int, kind int, hashes binary, levels binary, entries long, tokens array<long>, n array<long>"
 
 
 def merged_counts(packed: DataFrame, shards: int) -> DataFrame:
-    """Counts of each shard and kind over all batches, in a row each; ``entries`` is how many the filter will hold.
+    """Levels of each shard and kind over all batches, in a row each, and exact counts of tokens; ``entries`` is how many the filter will hold.
 
     Batches are added up as they stream in, so that a task holds the different n-grams of a shard
     and not one row for each batch that has them.
@@ -152,8 +158,9 @@ def merged_counts(packed: DataFrame, shards: int) -> DataFrame:
         def made() -> pa.RecordBatch:
             h, n = summed(*held)
             listed = [pa.array([x.view(np.int64) if place[1] == 1 else None], pa.list_(pa.int64())) for x in (h, n)]
-            flat = [pa.array([place[0]], pa.int32()), pa.array([place[1]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays([*flat, pa.array([int(levels_of(n).sum())], pa.int64()), *listed], names=["shard", "kind", "hashes", "counts", "entries", "tokens", "n"])
+            level = levels_of(n)
+            flat = [pa.array([place[0]], pa.int32()), pa.array([place[1]], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([level.astype(np.uint8).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*flat, pa.array([int(level.sum())], pa.int64()), *listed], names=["shard", "kind", "hashes", "levels", "entries", "tokens", "n"])
 
         for b in batches:
             for own in zip(*(b.column(c).to_pylist() for c in ("shard", "kind", "hashes", "counts")), strict=True):
@@ -170,7 +177,7 @@ def merged_counts(packed: DataFrame, shards: int) -> DataFrame:
         if place is not None:
             yield made()
 
-    return packed.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, MERGED_DDL)
+    return packed.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, MERGED_DDL)
 
 
 def filter_pieces(merged: DataFrame, shards: int, n_bits: int, probes: int) -> DataFrame:
@@ -181,22 +188,22 @@ def filter_pieces(merged: DataFrame, shards: int, n_bits: int, probes: int) -> D
         flags, shard = None, None
         made = lambda: pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "piece": [np.packbits(flags, bitorder="little").tobytes()]})
         for b in batches:
-            for own, kind, hashes, counts in zip(*(b.column(c).to_pylist() for c in ("shard", "kind", "hashes", "counts")), strict=True):
+            for own, kind, hashes, levels in zip(*(b.column(c).to_pylist() for c in ("shard", "kind", "hashes", "levels")), strict=True):
                 if own != shard:
                     if flags is not None:
                         yield made()
                     flags, shard = np.zeros(n_bits // shards, bool), own
-                h, level = np.frombuffer(hashes, np.uint64), levels_of(np.frombuffer(counts, np.int64))
+                h, level = np.frombuffer(hashes, np.uint64), np.frombuffer(levels, np.uint8)
                 base = (shard_of(h, CELLS) - own * (CELLS // shards)) * cell
                 for q in range(1, int(level.max(initial=0)) + 1):
                     part = level >= q
                     at = mixed(h[part], kind * 100 + q)
                     for i in range(probes):
-                        flags[base[part] + places(at, i, cell).astype(np.int64)] = True
+                        flags[base[part] + spots(at, i, cell)] = True
         if flags is not None:
             yield made()
 
-    return merged.select("shard", "kind", "hashes", "counts").mapInArrow(run, "shard int, piece binary")
+    return merged.select("shard", "kind", "hashes", "levels").mapInArrow(run, "shard int, piece binary")
 
 
 @dataclass(frozen=True)
@@ -218,7 +225,7 @@ class FilterPart:
             h = mixed(hashes[alive], salt * 100 + q)
             base = (own[alive] - self.low) * cell
             for i in range(self.probes):
-                at = base + places(h, i, cell).astype(np.int64)
+                at = base + spots(h, i, cell)
                 hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 alive, h, base = alive[hit], h[hit], base[hit]
             if not len(alive):
@@ -233,13 +240,23 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level == 0, 0.0, np.where(level == 1, 1.0, low * 1.5 - 0.5))
 
 
-def read_levels(part: FilterPart, tokens: np.ndarray, sizes: np.ndarray, distinct: np.ndarray, where: np.ndarray) -> np.ndarray:
+def loaded(sent: Broadcast) -> FilterPart:
+    """The value of a broadcast, kept no longer than the caller keeps it."""
+    return sent.load_from_path(sent._path) if getattr(sent, "_path", None) else sent.value
+
+
+def read_levels(parts: list[Broadcast], tokens: np.ndarray, sizes: np.ndarray, distinct: np.ndarray, where: np.ndarray) -> np.ndarray:
     """Two rows: the levels of all tokens, and of the pairs that end at them (0 for a text's first)."""
-    out = np.zeros((2, len(tokens)), np.uint8)
-    out[0] = part.levels(distinct, 1)[where]
     second, pairs = pair_hashes(tokens, sizes)
     u, back = np.unique(pairs, return_inverse=True)
-    out[1, second] = part.levels(u, 2)[back]
+    single, double = np.zeros(len(distinct), np.uint8), np.zeros(len(u), np.uint8)
+    for sent in parts:
+        part = loaded(sent) if len(parts) > 1 else sent.value
+        np.maximum(single, part.levels(distinct, 1), out=single)
+        np.maximum(double, part.levels(u, 2), out=double)
+    out = np.zeros((2, len(tokens)), np.uint8)
+    out[0] = single[where]
+    out[1, second] = double[back]
     return out
 
 
@@ -283,14 +300,14 @@ def train_lm(train: DataFrame, bits_per_entry: int = 10, probes: int = 3, shard_
     counts = merged.where("kind = 1").select(F.explode(F.arrays_zip("tokens", "n")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.n").alias("c"))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     entries = merged.agg(F.sum("entries")).first()[0] or 0
-    n_bits = max(power_of_two(entries * bits_per_entry), 64 * CELLS)
+    n_bits = CELLS * 8 * max(-(-entries * bits_per_entry // (8 * CELLS)), 8)
     return Model(cut(filter_pieces(merged, shards, n_bits, probes)), counts, total["n"] or 0, total["v"], n_bits, shards, probes)
 
 
 def score_lm(docs: DataFrame, max_bits: int = 1 << 29, head: int = 1 << 18, bits_per_entry: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``."""
     context = docs.sparkSession.sparkContext
-    keyed = with_row_key(docs.select("doc_id", "text")).withColumn("held_out", held_out(F.col("doc_id"))).withColumn("levels", F.lit(None).cast("binary"))
+    keyed = with_row_key(docs.select("doc_id", "text")).withColumn("held_out", held_out(F.col("doc_id")))
     model = train_lm(keyed.where("not held_out"), bits_per_entry)
     n_all, n_distinct = model.n_all, model.n_distinct
     top = model.counts.orderBy(F.desc("c"), "token").limit(head).toArrow()  # at most ``head`` rows of two longs
@@ -298,60 +315,30 @@ def score_lm(docs: DataFrame, max_bits: int = 1 << 29, head: int = 1 << 18, bits
     common = context.broadcast((top.column("token").to_numpy().view(np.uint64)[by], top.column("c").to_numpy()[by]))
     log_all = float(np.log10(n_all + 0.5 * (n_distinct + 1)))
     step = max(model.shards * max_bits // model.n_bits, 1)
-
-    def levels_of_batch(batch: pa.RecordBatch, part: FilterPart) -> Iterator[tuple[np.ndarray, ...]]:
-        """(distinct tokens, tokens as their numbers, sizes, levels) of the slices of a batch: what this part has, over what the parts before had."""
-        texts, before = bytes_of(batch.column("text")), batch.column("levels").to_pylist()
-        for a, b in token_slices(texts):
-            tokens, sizes = token_hashes(texts[a:b])
-            distinct, where = np.unique(tokens, return_inverse=True)
-            levels = read_levels(part, tokens, sizes, distinct, where)
-            if before[a] is not None:
-                old = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in before[a:b]]
-                levels = np.maximum(levels, np.concatenate(old, axis=1))
-            yield distinct, where, sizes, levels
-
-    def probe(sent: Broadcast) -> Callable[[pa.RecordBatch], dict]:
-        def kernel(batch: pa.RecordBatch) -> dict:
-            out: list[bytes] = []
-            for _, _, sizes, levels in levels_of_batch(batch, sent.value):
-                out += [x.tobytes() for x in np.split(levels, np.cumsum(sizes)[:-1], axis=1)]
-            return {"levels": out}
-
-        return kernel
-
-    def finish(sent: Broadcast) -> Callable[[pa.RecordBatch], dict]:
-        def kernel(batch: pa.RecordBatch) -> dict:
-            head_tokens, head_counts = common.value
-            out: dict[str, list] = {c: [] for c in ("n_tokens", "head_known", "head_sum", "score")}
-            tail_tokens: list[np.ndarray] = []
-            tail_sizes: list[np.ndarray] = []
-            for distinct, where, sizes, levels in levels_of_batch(batch, sent.value):
-                starts = np.cumsum(sizes) - sizes
-                at = np.minimum(np.searchsorted(head_tokens, distinct), max(len(head_tokens) - 1, 0))
-                known = head_tokens[at] == distinct if len(head_tokens) else np.zeros(len(distinct), bool)
-                logs = np.where(known, np.log10((head_counts[at] if len(head_tokens) else 0) + 0.5), 0.0)
-                in_head = known[where]
-                sums = lambda x: np.add.reduceat(x, starts)
-                out["n_tokens"].append(sizes)
-                out["head_known"].append(sums(in_head.astype(np.int64)))
-                out["head_sum"].append(sums(logs[where]))
-                out["score"].append(sums(log_probabilities(levels, sizes, n_all, n_distinct)))
-                tail_tokens.append(distinct[where[~in_head]])
-                tail_sizes.append(sums((~in_head).astype(np.int64)))
-            made = {c: np.concatenate(x) if x else np.empty(0) for c, x in out.items()}
-            flat = np.concatenate(tail_tokens) if tail_tokens else np.empty(0, np.uint64)
-            ends = np.concatenate([[0], *tail_sizes]).cumsum().astype(np.int32)
-            made["tail"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-            return made
-
-        return kernel
-
-    ends = [(a, min(a + step, model.shards)) for a in range(0, model.shards, step)]
-    for low, high in ends[:-1]:
-        keyed = cut(map_rows(keyed, probe(context.broadcast(model.part(low, high))), ["doc_id", "text", "_k", "_t", "held_out"], "levels binary"))
-    last = finish(context.broadcast(model.part(*ends[-1])))
-    scored = cut(map_rows(keyed, last, ["doc_id", "_k", "_t", "held_out"], "n_tokens long, head_known long, head_sum double, score double, tail array<long>"))
+    parts = [context.broadcast(model.part(a, min(a + step, model.shards))) for a in range(0, model.shards, step)]
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        head_tokens, head_counts = common.value
+        tokens, sizes = token_hashes(bytes_of(batch.column("text")))
+        starts = np.cumsum(sizes) - sizes
+        distinct, where = np.unique(tokens, return_inverse=True)
+        levels = read_levels(parts, tokens, sizes, distinct, where)
+        at = np.minimum(np.searchsorted(head_tokens, distinct), max(len(head_tokens) - 1, 0))
+        known = head_tokens[at] == distinct if len(head_tokens) else np.zeros(len(distinct), bool)
+        logs = np.where(known, np.log10((head_counts[at] if len(head_tokens) else 0) + 0.5), 0.0)
+        in_head = known[where]
+        sums = lambda x: np.add.reduceat(x, starts)
+        ends = np.concatenate(([0], np.cumsum(sums((~in_head).astype(np.int64))))).astype(np.int32)
+        return {
+            "n_tokens": sizes,
+            "head_known": sums(in_head.astype(np.int64)),
+            "head_sum": sums(logs[where]),
+            "score": sums(log_probabilities(levels, sizes, n_all, n_distinct)),
+            "tail": pa.ListArray.from_arrays(pa.array(ends), pa.array(distinct[where[~in_head]].view(np.int64))),
+        }
+
+    added = "n_tokens long, head_known long, head_sum double, score double, tail array<long>"
+    scored = cut(map_rows(keyed, kernel, ["doc_id", "_k", "_t", "held_out"], added, PORTION))
     tail = scored.dropDuplicates(["_k", "_t"]).select("_k", "_t", F.explode("tail").alias("token"))
     rare = tail.join(model.counts, "token", "left").groupBy("_k", "_t").agg(
         F.count("c").alias("known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("sum")
