@@ -134,6 +134,34 @@ def test_chunk_tree(spark, sf_dir):
         assert list(r.sibling_ids) == [] or r.is_split_part
 
 
+def test_queries_over_all_chunks(spark):
+    """The queries over all layers against the chunks themselves, in plain Python."""
+    from textloom.plans import registry
+
+    sf_dir = "/root/testdata/sf0.01"  # the smallest tables have no long section
+    whole = chunks.chunk_documents(registry._all_docs(spark, sf_dir)).toPandas()
+    run = lambda name: registry.QUERIES[name](spark, sf_dir).toPandas()
+    types = run("chunk_types")
+    assert dict(zip(types.chunk_type, types.n, strict=True)) == whole.chunk_type.value_counts().to_dict()
+    assert {"doc_summary", "section", "leaf", "table_row"} == set(types.chunk_type)
+    s = run("chunk_stats").iloc[0]
+    size, tokens = whole.content.str.len(), whole.est_token_count
+    assert (s.n_chunks, s.min_chars, s.avg_chars, s.max_chars) == (len(whole), size.min(), size.sum() // len(whole), size.max())
+    assert (s.min_tokens, s.avg_tokens, s.max_tokens) == (tokens.min(), tokens.sum() // len(whole), tokens.max())
+    assert (s.n_table, s.n_split, s.n_tiny) == (whole.has_table.sum(), whole.is_split_part.sum(), (size < 80).sum())
+    want = {}
+    for r in whole[whole.chunk_type.isin(["section", "leaf"])].sort_values(["doc_id", "sec", "blk", "part"]).itertuples():
+        want.setdefault(r.parent_id, []).append(r.chunk_id)
+    children = run("chunk_children")
+    assert {i: c.split(",") for i, c in zip(children.chunk_id, children.children, strict=True)} == want
+    flat, by_id = run("review_projection"), whole.set_index("chunk_id")
+    assert len(flat) == len(whole)
+    for r in flat.itertuples():
+        own = by_id.loc[r.chunk_id]
+        assert r.breadcrumb == " > ".join(own.breadcrumb) and r.parent_id == (own.parent_id or "") and r.children_ids == ", ".join(own.children_ids)
+        assert (r.content, r.section_title, r.table_caption, r.char_count) == (own.content, own.section_title, own.table_caption or "", len(own.content))
+
+
 def test_pages(spark):
     pool = [f"sentence number {i} about topic {i * 7} and more" for i in range(60)]
     texts = [" ".join(pool[i * 10 : i * 10 + 10]) for i in range(6)]

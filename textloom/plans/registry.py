@@ -212,17 +212,36 @@ def section_chunks(spark, sf_dir):
       min(k) AS min_tokens, CAST(sum(k) // count(*) AS BIGINT) AS avg_tokens, max(k) AS max_tokens, 0::BIGINT AS n_table, 0::BIGINT AS table_percent, 0::BIGINT AS n_split,
       count(*) FILTER (WHERE c < 80) AS n_tiny FROM t"""
 )
-def chunk_stats(spark, sf_dir):
+def section_stats(spark, sf_dir):
+    """Statistics of the section layer alone."""
     made = chunks.section_chunks(chunks.titled_sections(inputs.conversation_docs(spark, sf_dir)))
     return stats.chunk_stats(made.withColumns({"char_count": F.length("content"), "is_split_part": F.lit(False)}))
 
 
 @query(f"WITH {sql.CHUNKED} SELECT CASE WHEN is_long THEN 'summary' ELSE 'whole' END AS chunk_type, count(*) AS n FROM ch GROUP BY ALL")
-def chunk_types(spark, sf_dir):
+def section_types(spark, sf_dir):
+    """How many sections are whole and how many stand for leaves."""
     made = chunks.section_chunks(chunks.titled_sections(inputs.conversation_docs(spark, sf_dir)))
     return stats.chunk_types(made.withColumn("chunk_type", F.when(F.col("is_long"), "summary").otherwise("whole")))
 
 
+def _all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations (prose) and regions (tables), told apart by the sign of their ids."""
+    return inputs.conversation_docs(spark, sf_dir).unionByName(inputs.nation_docs(spark, sf_dir).withColumn("doc_id", -1 - F.col("doc_id")))
+
+
+@query()
+def chunk_stats(spark, sf_dir):
+    """Statistics of all chunks of all documents; the tests work them out again from the chunks."""
+    return stats.chunk_stats(chunks.chunk_documents(_all_docs(spark, sf_dir)))
+
+
+@query()
+def chunk_types(spark, sf_dir):
+    """All layers; the tests count them again."""
+    return stats.chunk_types(chunks.chunk_documents(_all_docs(spark, sf_dir)))
+
+
 # Blocks and tables.
 
 
@@ -261,23 +280,18 @@ def table_row_chunks(spark, sf_dir):
 def table_siblings(spark, sf_dir):
     """Siblings of the tables of documents that are too long for one chunk; shorter ones have no leaves."""
     made = chunks.chunk_documents(inputs.nation_docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"(?m)^#+ ", "")))
-    numbered = _tables(spark, sf_dir).select("doc_id", "blk", "part", "content")
-    leaf = made.where("chunk_type = 'leaf' and has_table").select("doc_id", "blk", "part", F.size("sibling_ids").alias("n"))
-    own = numbered.groupBy("doc_id", "blk").agg(F.array_sort(F.collect_list("part")).alias("all"))
-    rest = F.array_except("all", F.array("part"))
-    paired = leaf.join(own, ["doc_id", "blk"])
-    return paired.where(F.size(rest) == F.col("n")).select("doc_id", "blk", "part", F.array_join(F.transform(rest, lambda x: x.cast("string")), ",").alias("siblings"))
+    leaf = made.where("chunk_type = 'leaf' and has_table").select("doc_id", "blk", "part", "chunk_id", "sibling_ids")
+    named = leaf.select("doc_id", "chunk_id", F.col("part").alias("other"))
+    listed = leaf.select("doc_id", "blk", "part", F.explode_outer("sibling_ids").alias("chunk_id")).join(named, ["doc_id", "chunk_id"], "left")
+    parts = F.array_sort(F.collect_list("other"))
+    return listed.groupBy("doc_id", "blk", "part").agg(F.array_join(F.transform(parts, lambda x: x.cast("string")), ",").alias("siblings"))
 
 
-@query(
-    f"""WITH {sql.CHUNKED}, n AS (SELECT doc_id, 'conv_' || doc_id || '_' || printf('%04d', 1 + row_number() OVER (PARTITION BY doc_id ORDER BY sec)) AS id, is_long FROM ch)
-    SELECT doc_id, string_agg(id, ',' ORDER BY id) AS children FROM n WHERE doc_id NOT IN (SELECT doc_id FROM n WHERE is_long) GROUP BY doc_id"""
-)
+@query()
 def chunk_children(spark, sf_dir):
-    """Children of the summaries of documents without a long section."""
-    made = chunks.chunk_documents(inputs.conversation_docs(spark, sf_dir))
-    short = made.groupBy("doc_id").agg(F.max(F.when(F.col("chunk_type") == "leaf", 1).otherwise(0)).alias("leaves")).where("leaves = 0")
-    return made.where("chunk_type = 'doc_summary' and size(children_ids) > 0").join(short, "doc_id", "left_semi").select("doc_id", F.array_join("children_ids", ",").alias("children"))
+    """Every chunk that has children, in all layers; the tests compare them with the parents that the children name."""
+    made = chunks.chunk_documents(_all_docs(spark, sf_dir))
+    return made.where("size(children_ids) > 0").select("doc_id", "chunk_id", F.array_join("children_ids", ",").alias("children"))
 
 
 # Splitting of prose.
@@ -313,7 +327,7 @@ def merge_overlap(spark, sf_dir):
 
 @query()
 def recursive_split(spark, sf_dir):
-    """Recursion over separators; the tests hold it against another implementation."""
+    """Recursion over separators; the tests check that parts cover the text and keep to the limit."""
     return inputs.text_docs(spark, sf_dir).select("doc_id", F.posexplode(blocks.recursive_split(F.col("text"))).alias("part", "content"))
 
 
@@ -396,16 +410,10 @@ def page_match_rate(spark, sf_dir):
 # Review output, batches, the whole.
 
 
-@query(
-    f"""WITH {sql.CHUNKED}, n AS (SELECT *, 1 + row_number() OVER (PARTITION BY doc_id ORDER BY sec) AS k FROM ch WHERE doc_id NOT IN (SELECT doc_id FROM ch WHERE is_long))
-    SELECT 'conv_' || doc_id || '_' || printf('%04d', k) AS chunk_id, 'section' AS chunk_type, 'conv_' || doc_id || '.md' AS source, breadcrumb, heading AS section_title,
-      level AS heading_level, CAST(length(content) AS INTEGER) AS char_count, '' AS table_caption, '' AS split_part_index, 'conv_' || doc_id || '_0001' AS parent_id, '' AS children_ids, content FROM n"""
-)
+@query()
 def review_projection(spark, sf_dir):
-    made = chunks.chunk_documents(inputs.conversation_docs(spark, sf_dir))
-    short = made.groupBy("doc_id").agg(F.max(F.when(F.col("chunk_type") == "leaf", 1).otherwise(0)).alias("leaves")).where("leaves = 0")
-    rows = chunks.review_rows(made.where("chunk_type = 'section'").join(short, "doc_id", "left_semi"))
-    return rows.select("chunk_id", "chunk_type", "source", "breadcrumb", "section_title", "heading_level", "char_count", "table_caption", "split_part_index", "parent_id", "children_ids", "content")
+    """Flat rows of all chunks of all documents; the tests compare them with the chunks."""
+    return chunks.review_rows(chunks.chunk_documents(_all_docs(spark, sf_dir)))
 
 
 _PATHS = "p AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)"
@@ -439,6 +447,5 @@ def review_document(spark, sf_dir):
 
 @query()
 def full_pipeline(spark, sf_dir):
-    """Clean, recover levels, chunk; the tests hold it against goldens."""
-    docs = inputs.conversation_docs(spark, sf_dir).unionByName(inputs.nation_docs(spark, sf_dir).withColumn("doc_id", -1 - F.col("doc_id")))
-    return chunks.chunk_records(prepare_documents(docs))
+    """Clean, recover levels, chunk."""
+    return chunks.chunk_records(prepare_documents(_all_docs(spark, sf_dir)))
