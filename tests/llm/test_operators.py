@@ -508,3 +508,31 @@ def test_line_dedup_removes_planted_passages_whole(spark):
     out = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string"))
     got = {r.doc_id: (r.text, r.n_removed_lines, r.n_removed_chunks) for r in out.select("rest.doc_id", "text", "n_removed_lines", "n_removed_chunks").collect()}
     assert got == {i: (x, (i // 2 % 7 + 1) * (i % 2), i % 2) for i, x in want}
+
+
+def test_short_and_periodic_items():
+    """Short items count between word boundaries only; a long text of one letter stays cheap and is found once."""
+    index = decontaminate.build_index([(1, b"to be or not"), (2, b"a" * 120), (3, b"tiny")], 0.1, 120, 24)
+    texts = [b"x To be\n or not y", b"ato be or not", b"to be or notb", b"a" * 30000, b"tiny", b""]
+    found = decontaminate.matches(index, texts)
+    assert found == {0: {1: (0, 2, 14)}, 3: {2: (0, 0, 120)}}
+
+
+def test_texts_longer_than_a_stretch_are_searched_whole(monkeypatch):
+    random.seed(17)
+    draw = lambda n: "".join(random.choice("abcdefghijklmnop ") for _ in range(n)).encode()
+    item, text = decontaminate.normal(draw(120)), decontaminate.normal(draw(9000))
+    monkeypatch.setattr(decontaminate, "SLICE", 1000)
+    index = decontaminate.build_index([(1, item)], 0.1, 120, 24)
+    for at in range(0, 9000, 370):
+        planted = decontaminate.normal(text[:at] + b" " + item + b" " + text[at:])
+        assert decontaminate.matches(index, [b"", planted])[1][1] == (0, planted.index(item), planted.index(item) + len(item))
+
+
+def test_suffix_dedup_of_equal_rows_and_long_texts(spark):
+    random.seed(18)
+    draw = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    shared, same, long = draw(400), draw(900), draw(1_200_000)
+    rows = [(1, same)] * 300 + [(2, long[:700_000] + shared + long[700_000:]), (3, shared), (4, draw(500))]
+    out = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in out) == Counter({(1, 900, 900, 1): 300, (2, 1_200_400, 400, 1): 1, (3, 400, 400, 1): 1, (4, 500, 0, 0): 1})
