@@ -114,6 +114,45 @@ def test_broken_json_is_repaired(spark):
     assert [(r.line, r.level) for r in structure.parse_levels(answers).collect()] == [(1, 1)]
 
 
+def test_bad_answers_fall_back(spark):
+    held = docs(spark, "# A\n# (1) b\n# c", "# A\n# b", "# A\n# b", "# A\n# b")
+    rows = [(0, 0, '{"L1": {"level": 2}}'), (0, 1, "sorry"), (1, 0, '{"L1": {"level": 3}, "L2": {"level": 3}}'), (1, 1, '{"L2": {"level": 1}}'), (2, 0, "{}")]
+    answers = spark.createDataFrame(rows, "doc_id long, batch int, response string")
+    got = structure.recover_from_answers(held, answers).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["# A\n#### (1) b\n## c", "### A\n# b", "# A\n# b", "# A\n## b"]
+    heads = structure.prompt_batches(structure.extract_headings(held), 2)
+    report = structure.answer_report(heads, answers).orderBy("doc_id", "batch").collect()
+    assert [(r.doc_id, r.batch, r.n_headings, r.n_levels, r.low_coverage, r.error) for r in report] == [
+        (0, 0, 2, 1, True, None), (0, 1, 1, 0, True, "no object"), (1, 0, 2, 2, False, None), (2, 0, 2, 0, True, None), (3, 0, 2, 0, True, "no answer"),
+    ]
+
+
+def test_prose_is_cut_where_its_meaning_breaks(spark):
+    rng = random.Random(3)
+    paragraphs = [f"p{i} " + "word " * rng.randint(5, 60) for i in range(40)]
+    text = "# T\n\n" + "\n\n\n".join(paragraphs) + "\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n" + "alone. " * 100
+    held = docs(spark, text, "# T\n\n" + "x " * 100 + "\n\n" + "y " * 100, "", "# U\n\nshort")
+    asked = chunks.paragraphs_to_embed(held, 300)
+    topic = (F.col("para") / 5).cast("int") % 2
+    vectors = asked.where("doc_id = 0").withColumn("embedding", F.array((1 - topic).cast("float"), topic.cast("float")))
+    assert [r.text for r in asked.where("doc_id = 0").orderBy("blk", "para").collect()][:40] == [p.strip() for p in paragraphs]
+    made = chunks.chunk_documents(held, 300, 20, vectors).where("chunk_type = 'leaf'").orderBy("doc_id", "sec", "blk", "part").collect()
+    groups = ["\n\n".join(p.strip() for p in paragraphs[i : i + 5]) for i in range(0, 40, 5)]
+    want = [y for g in groups for y in blocks.cut_text(g, 300, 20)]
+    own = [r.content for r in made if r.doc_id == 0]
+    assert own[: len(want)] == want
+    assert own[len(want)].startswith("| a | b |") and own[len(want) + 1 :] == blocks.cut_text(("alone. " * 100).strip(), 300, 20)
+    plain = chunks.chunk_documents(held.where("doc_id = 1"), 300, 20).where("chunk_type = 'leaf'").orderBy("part").collect()
+    assert [r.content for r in made if r.doc_id == 1] == [r.content for r in plain]
+
+
+def test_names_and_text_files(spark, tmp_path):
+    df = spark.createDataFrame([("/in/acme/a.md",), ("/x/Output/a.md",), ("a.md",)], "p string")
+    assert [r[0] for r in df.select(files.company_of(F.col("p"))).collect()] == ["acme", "", ""]
+    files.write_text(spark.createDataFrame([("one\ntwo",)], "md string"), str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t")).count() == 2
+
+
 def test_chunk_tree(spark, sf_dir):
     made = chunks.chunk_documents(inputs.nation_docs(spark, sf_dir)).toPandas()
     assert not made.chunk_id.duplicated().any()

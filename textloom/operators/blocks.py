@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import is_blank, is_table_separator, let, strip_lf
+from ..functions.text import is_blank, is_table_separator, let, strip, strip_lf
 from .sections import joined_lines
 
 #: Fixed list: where prose may be cut, coarse to fine.
@@ -161,12 +161,12 @@ def recursive_split(text: Column, max_chars: int = 1800, overlap: int = 80) -> C
     return F.when(long, cut(F.when(long, text))).otherwise(F.array(text))
 
 
-def semantic_groups(paragraphs: DataFrame, threshold: float = 0.6, window: int = 3) -> DataFrame:
-    """Add ``grp`` to (doc_id, para, embedding): it grows where a similarity falls below threshold * local mean.
+def semantic_groups(paragraphs: DataFrame, threshold: float = 0.6, window: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Add ``grp`` to (*keys, para, embedding): it grows where a similarity falls below threshold * local mean.
 
     Similarities are rounded to six decimals, so that a break doesn't hang on the order of sums.
     """
-    order = Window.partitionBy("doc_id").orderBy("para")
+    order = Window.partitionBy(*keys).orderBy("para")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
     safe = lambda x: F.when(x == 0, F.lit(1.0)).otherwise(x)
@@ -178,3 +178,28 @@ def semantic_groups(paragraphs: DataFrame, threshold: float = 0.6, window: int =
     sims = sims.withColumn("broken", (mean > 0) & (F.col("sim") < mean * threshold))
     before = F.coalesce(F.lag("broken").over(order), F.lit(False))
     return sims.withColumn("_new", before.cast("int")).withColumn("grp", F.sum("_new").over(order)).drop("_new", "broken")
+
+
+BLOCK = ("doc_id", "sec", "blk")
+
+
+def long_paragraphs(blocks: DataFrame, max_chars: int = 1800) -> DataFrame:
+    """(doc_id, sec, blk, para, text): what of prose blocks over ``max_chars`` is to be embedded; blocks of one paragraph have none."""
+    held = F.filter(F.transform(F.split("text", "\n\n", -1), strip), lambda x: x != "")
+    long = blocks.where((F.col("kind") == "prose") & (F.length("text") > max_chars)).withColumn("_p", held).where(F.size("_p") > 1)
+    return long.select(*BLOCK, F.posexplode("_p").alias("para", "text"))
+
+
+def semantic_texts(paragraphs: DataFrame, vectors: DataFrame, threshold: float = 0.6, window: int = 3) -> DataFrame:
+    """(doc_id, sec, blk, texts): the paragraphs of each block joined between breaks of meaning, in order.
+
+    ``vectors`` has doc_id, sec, blk, para and embedding. Blocks of which a paragraph has no vector
+    are left out. Repeated vectors of a paragraph would repeat it: there is to be one.
+    """
+    met = paragraphs.join(vectors.select(*BLOCK, "para", "embedding"), [*BLOCK, "para"], "left")
+    parts = semantic_groups(met, threshold, window, BLOCK).groupBy(*BLOCK, "grp").agg(
+        F.array_sort(F.collect_list(F.struct("para", "text"))).alias("p"), F.bool_and(F.col("embedding").isNotNull()).alias("whole")
+    )
+    own = F.struct("grp", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
+    made = parts.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(own)).alias("g"), F.bool_and("whole").alias("whole"))
+    return made.where("whole").select(*BLOCK, F.transform("g", lambda x: x["text"]).alias("texts"))

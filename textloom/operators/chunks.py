@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_table, context_text, is_blank, token_estimate
-from .blocks import recursive_split, split_blocks, split_table, table_rows
+from .blocks import BLOCK, long_paragraphs, recursive_split, semantic_texts, split_blocks, split_table, table_rows
 from .sections import merge_small_sections, section_summary, walked_sections
 
 #: The 22 fields of a chunk, in output order.
@@ -78,15 +78,35 @@ def row_chunks(parts: DataFrame) -> DataFrame:
     return exploded.withColumns({"row": F.col("row") + 1, "row_content": F.concat("_head", "_line")}).drop("_head", "_line")
 
 
-def prose_parts(blocks: DataFrame, max_chars: int = 1800, overlap: int = 80) -> DataFrame:
-    prose = blocks.where("kind = 'prose'").withColumn("_s", recursive_split(F.col("text"), max_chars, overlap))
-    return prose.select(*blocks.columns, F.posexplode("_s").alias("part", "content")).withColumn("part", F.col("part") + 1)
+def prose_parts(blocks: DataFrame, max_chars: int = 1800, overlap: int = 80, vectors: DataFrame | None = None) -> DataFrame:
+    """Parts of prose blocks: adds ``part`` and ``content``. With ``vectors``, long blocks are first grouped by meaning."""
+    prose = blocks.where("kind = 'prose'")
+    if vectors is None:
+        cut = prose.withColumn("_s", recursive_split(F.col("text"), max_chars, overlap))
+        return cut.select(*blocks.columns, F.posexplode("_s").alias("part", "content")).withColumn("part", F.col("part") + 1)
+    grouped = prose.join(semantic_texts(long_paragraphs(blocks, max_chars), vectors), list(BLOCK), "left")
+    texts = grouped.select(*blocks.columns, F.posexplode(F.coalesce("texts", F.array("text"))).alias("_i", "_text"))
+    cut = texts.withColumn("_s", recursive_split(F.col("_text"), max_chars, overlap)).select(*blocks.columns, "_i", F.posexplode("_s").alias("_j", "content"))
+    return cut.withColumn("part", F.row_number().over(Window.partitionBy(*BLOCK).orderBy("_i", "_j"))).drop("_i", "_j")
 
 
-def chunk_documents(docs: DataFrame, max_chars: int = 1800, overlap: int = 80) -> DataFrame:
+def long_blocks(sections: DataFrame) -> DataFrame:
+    """Blocks of the sections that are too long for one chunk, with what their chunks need of the section."""
+    long = sections.where("is_long").select("doc_id", "sec", "body", "breadcrumb", "heading", "level")
+    return split_blocks(long).join(long.drop("body"), ["doc_id", "sec"])
+
+
+def paragraphs_to_embed(docs: DataFrame, max_chars: int = 1800) -> DataFrame:
+    """(doc_id, sec, blk, para, text): the paragraphs whose vectors ``chunk_documents`` takes."""
+    return long_paragraphs(long_blocks(section_chunks(titled_sections(docs, max_chars), max_chars)), max_chars)
+
+
+def chunk_documents(docs: DataFrame, max_chars: int = 1800, overlap: int = 80, vectors: DataFrame | None = None) -> DataFrame:
     """All chunks of ``docs`` (doc_id, source, id_prefix, company, text), with doc_id and ``out_seq``.
 
-    A leaf's id comes before its rows' ids, but its rows come first in the output.
+    A leaf's id comes before its rows' ids, but its rows come first in the output. ``vectors`` are
+    those of ``paragraphs_to_embed`` (doc_id, sec, blk, para, embedding): prose that is too long is cut
+    where they break, and by characters only where a group is still too long.
     """
     sections = section_chunks(titled_sections(docs, max_chars), max_chars)
     none_int, none_text = F.lit(None).cast("int"), F.lit(None).cast("string")
@@ -112,8 +132,7 @@ def chunk_documents(docs: DataFrame, max_chars: int = 1800, overlap: int = 80) -
         sections, "section", has_table=F.col("has_table"), table_caption=F.col("caption"), content_type=F.col("content_type"),
         **text(content, F.col("context"), F.col("est_token_count")),
     )
-    long = sections.where("is_long").select("doc_id", "sec", "body", "breadcrumb", "heading", "level")
-    blocks = split_blocks(long).join(long.drop("body"), ["doc_id", "sec"])
+    blocks = long_blocks(sections)
     tables = table_parts(blocks, max_chars)
     rows = row_chunks(tables)
     context = context_text(F.col("breadcrumb"), content)
@@ -131,7 +150,7 @@ def chunk_documents(docs: DataFrame, max_chars: int = 1800, overlap: int = 80) -
         **text(row, context_text(F.col("breadcrumb"), row), token_estimate(row)),
     )
     prose_layer = layer(
-        prose_parts(blocks, max_chars, overlap), "leaf", blk=F.col("blk"), part=F.col("part"), **text(content, context, token_estimate(context))
+        prose_parts(blocks, max_chars, overlap, vectors), "leaf", blk=F.col("blk"), part=F.col("part"), **text(content, context, token_estimate(context))
     )
     union = doc_layer
     for more in (sec_layer, table_layer, row_layer, prose_layer):

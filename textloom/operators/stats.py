@@ -98,6 +98,11 @@ def review_markdown(chunks: DataFrame, min_chars: int = 80) -> DataFrame:
 
 
 def batch_report(results: DataFrame) -> DataFrame:
-    """(status, n, failures) of a batch (company, name, error): succeeded and failed documents."""
+    """(status, n) of a batch (company, name, error): succeeded and failed documents."""
     status = F.when(F.col("error").isNull(), "succeeded").otherwise("failed")
     return results.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def batch_failures(results: DataFrame) -> DataFrame:
+    """(company, name, error) of the documents that failed, a row each, so that any number of them is no burden."""
+    return results.where("error is not null").select("company", "name", "error")

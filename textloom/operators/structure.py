@@ -76,8 +76,12 @@ def heuristic_recover(docs: DataFrame) -> DataFrame:
 
 
 def level_maps(levels: DataFrame) -> DataFrame:
-    """(doc_id, levels map<line, level>) from rows (doc_id, line, level); of several for a line the largest."""
-    one = levels.groupBy("doc_id", "line").agg(F.max("level").alias("level"))
+    """(doc_id, levels map<line, level>) from rows (doc_id, line, level), and ``batch`` if there is one.
+
+    Of several levels for a line that of the last batch holds; within a batch, or without one, the largest.
+    """
+    batch = F.col("batch") if "batch" in levels.columns else F.lit(0)
+    one = levels.groupBy("doc_id", "line").agg(F.max_by("level", F.struct(batch, "level")).alias("level"))
     return one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line", "level"))).alias("levels"))
 
 
@@ -89,17 +93,42 @@ def apply_levels(docs: DataFrame, levels: DataFrame) -> DataFrame:
 
 def recover_structure(docs: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """Levels from outside where a document has any, the heuristic for whole documents that have none."""
-    if levels is None:
-        return heuristic_recover(docs)
-    joined = docs.join(level_maps(levels), "doc_id", "left")
+    return heuristic_recover(docs) if levels is None else recovered(docs, level_maps(levels))
+
+
+def recovered(docs: DataFrame, maps: DataFrame) -> DataFrame:
+    """``docs`` by their map of levels (doc_id, levels), those without one by the heuristic."""
+    joined = docs.join(maps, "doc_id", "left")
     own = lambda i, text, is_first: F.when(
         F.col("levels").isNull(), F.when(is_first, 1).otherwise(heuristic_level(text))
     ).otherwise(F.try_element_at("levels", i))
     return rewritten(joined, own).drop("levels")
 
 
-def structure_prompt(headings: DataFrame) -> DataFrame:
-    """(doc_id, prompt): a document's headings with their context, one entry each, for an outside model."""
+def recover_from_answers(docs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Levels from model answers (doc_id, response, and batch for documents asked in batches).
+
+    One bad answer discards all answers of its document, which then gets the heuristic, as do
+    documents without an answer. A good answer that names no line leaves its document as it is.
+    """
+    good = read_answers(answers).groupBy("doc_id").agg(F.bool_and(F.col("error").isNull()).alias("good")).where("good")
+    maps = good.join(level_maps(parse_levels(answers)), "doc_id", "left")
+    none = F.create_map().cast("map<int, int>")
+    return recovered(docs, maps.select("doc_id", F.coalesce("levels", none).alias("levels")))
+
+
+def prompt_batches(headings: DataFrame, size: int = 80) -> DataFrame:
+    """Add ``batch``, from 0: ``size`` headings of a document in the order of their lines."""
+    return with_rank(headings).withColumn("batch", F.floor((F.col("n") - 1) / size).cast("int")).drop("n")
+
+
+def structure_prompt(headings: DataFrame, before: str = "", after: str = "") -> DataFrame:
+    """(doc_id, prompt): a document's headings with their context, one entry each, for an outside model.
+
+    Headings with a ``batch`` give a prompt for each (doc_id, batch). ``before`` and ``after`` are the
+    rules and the wanted form of the answer, which the caller words.
+    """
+    keys = ["doc_id", "batch"] if "batch" in headings.columns else ["doc_id"]
     tags = F.array_compact(
         F.array(
             F.when(F.col("text").contains("表") | F.lower("text").contains("table"), F.lit("含表格")),
@@ -108,8 +137,9 @@ def structure_prompt(headings: DataFrame) -> DataFrame:
     )
     tag = F.when(F.size(tags) > 0, F.concat(F.lit(" ["), F.array_join(tags, ", "), F.lit("]"))).otherwise("")
     entry = F.concat(F.lit("L"), F.col("line").cast("string"), F.lit(": "), "text", tag, F.lit("\n   上下文: "), F.substring("snippet", 1, 80))
-    rows = headings.withColumn("entry", entry).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "entry"))).alias("e"))
-    return rows.select("doc_id", F.array_join(F.transform("e", lambda x: x["entry"]), "\n").alias("prompt"))
+    rows = headings.withColumn("entry", entry).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line", "entry"))).alias("e"))
+    entries = F.array_join(F.transform("e", lambda x: x["entry"]), "\n")
+    return rows.select(*keys, F.concat(F.lit(before), entries, F.lit(after)).alias("prompt"))
 
 
 def repair_json(c: Column) -> Column:
@@ -124,14 +154,42 @@ def repair_json(c: Column) -> Column:
     return c
 
 
-def parse_levels(responses: DataFrame) -> DataFrame:
-    """(doc_id, line, level, parent) from model answers (doc_id, response); broken JSON is repaired once."""
+def read_answers(answers: DataFrame) -> DataFrame:
+    """Model answers with ``parsed``, a map of their lines, and ``error``, null if they could be read.
+
+    Broken JSON is repaired once. A null or empty answer has no object.
+    """
     raw = F.regexp_extract("response", r"(?s)\{.*\}", 0)
     shape = "map<string, struct<level: int, parent: string>>"
     parsed = F.coalesce(F.from_json(raw, shape), F.from_json(repair_json(raw), shape))
-    entries = responses.select("doc_id", F.explode(F.map_entries(parsed)).alias("e"))
+    error = F.when(F.coalesce(raw, F.lit("")) == "", "no object").when(F.col("parsed").isNull(), "no JSON")
+    return answers.withColumn("parsed", parsed).withColumn("error", error)
+
+
+def parse_levels(responses: DataFrame) -> DataFrame:
+    """(doc_id, line, level, parent) from model answers (doc_id, response), and their ``batch`` if they have one."""
+    keys = ["doc_id", "batch"] if "batch" in responses.columns else ["doc_id"]
+    entries = read_answers(responses).select(*keys, F.explode(F.map_entries("parsed")).alias("e"))
     line = F.expr("try_cast(substring(e.key, 2) AS int)")
-    return entries.select("doc_id", line.alias("line"), F.col("e.value.level").alias("level"), F.col("e.value.parent").alias("parent")).where("line is not null")
+    return entries.select(*keys, line.alias("line"), F.col("e.value.level").alias("level"), F.col("e.value.parent").alias("parent")).where("line is not null")
+
+
+def answer_report(headings: DataFrame, answers: DataFrame, least_per_cent: int = 80) -> DataFrame:
+    """For every (doc_id, batch) asked: n_headings, n_levels, whether that is under ``least_per_cent``, and the error.
+
+    ``headings`` and ``answers`` have a ``batch``. What was never answered has the error 'no answer'.
+    """
+    asked = headings.groupBy("doc_id", "batch").agg(F.count("*").alias("n_headings"))
+    told = read_answers(answers).select("doc_id", "batch", F.lit(True).alias("told"), F.coalesce(F.size("parsed"), F.lit(0)).alias("size"), "error")
+    n_levels = F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long")
+    return asked.join(told, ["doc_id", "batch"], "left").select(
+        "doc_id",
+        "batch",
+        "n_headings",
+        n_levels.alias("n_levels"),
+        (n_levels * 100 < F.col("n_headings") * least_per_cent).alias("low_coverage"),
+        F.when(F.col("told").isNull(), "no answer").otherwise(F.col("error")).alias("error"),
+    )
 
 
 def with_rank(headings: DataFrame) -> DataFrame:

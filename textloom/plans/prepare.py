@@ -19,10 +19,14 @@ def prepare_documents(
     overlap: int = 80,
     stitch: bool = True,
     dedup: bool = True,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Chunks of ``docs`` (doc_id, source, id_prefix, company, text), with pages if page texts are given."""
+    """Chunks of ``docs`` (doc_id, source, id_prefix, company, text), with pages if page texts are given.
+
+    ``vectors`` are those of ``paragraphs_to_embed`` over the cleaned documents with their levels.
+    """
     cleaned = clean_markdown(docs, stitch, dedup)
-    chunks = chunk_documents(recover_structure(cleaned, levels), max_chars, overlap)
+    chunks = chunk_documents(recover_structure(cleaned, levels), max_chars, overlap, vectors)
     if pages is None:
         return chunks
     return attribute_pages(chunks.withColumn("chunk", F.col("chunk_id")), pages).drop("chunk")

@@ -87,19 +87,23 @@ hd AS (SELECT doc_id, pos, CAST(length(regexp_extract(line, '{sql.HEADING}', 1))
        FROM ln WHERE regexp_matches(line, '{sql.HEADING}'))"""
 
 
-@query(
-    rf"""WITH {sql.conversations()}, {_HEADINGS},
-    nx AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS stop FROM hd),
+_SNIPPETS = """nx AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS stop FROM hd),
     bl AS (SELECT h.doc_id, h.pos, l.pos - h.pos AS k, trim(l.line) AS t FROM nx h JOIN ln l ON l.doc_id = h.doc_id
            AND l.pos BETWEEN h.pos + 1 AND h.pos + 4 AND (h.stop IS NULL OR l.pos < h.stop)),
     cu AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY doc_id, pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bl),
-    sn AS (SELECT doc_id, pos, substring(string_agg(t, ' ' ORDER BY k), 1, 80) AS snippet FROM cu WHERE before < 80 AND t <> '' GROUP BY ALL)
+    sn AS (SELECT doc_id, pos, substring(string_agg(t, ' ' ORDER BY k), 1, 80) AS snippet FROM cu WHERE before < 80 AND t <> '' GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {sql.conversations()}, {_HEADINGS}, {_SNIPPETS}
     SELECT hd.doc_id, CAST(hd.pos + 1 AS INTEGER) AS line, level, text, coalesce(snippet, '') AS snippet FROM hd LEFT JOIN sn USING (doc_id, pos)"""
 )
 def headings_extract(spark, sf_dir):
     return structure.extract_headings(inputs.conversation_docs(spark, sf_dir))
 
 
+_BATCHED = "hb AS (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) // 3 AS INTEGER) AS batch FROM hd)"
+_BAD = """CASE WHEN doc_id % 5 = 0 AND batch = 1 OR doc_id % 5 = 3 AND batch = 2 THEN 'no object' WHEN doc_id % 5 = 1 AND batch = 0 THEN 'no JSON' END"""
 _LEVEL = r"""CASE WHEN regexp_matches(text, '^[\(（]?\d+[\)）]|^備註$|^備註[：:]|^注[：:]|^Note\d*\b') THEN 4
  WHEN regexp_matches(text, '^表[一二三四五六七八九十]|^說明例子|^例子\d*|^Example\b|資料一覽表|保障知多點|^適用於|^紅利|^不保事項') THEN 3 ELSE 2 END"""
 _RELEVELLED = rf"""
@@ -132,14 +136,51 @@ def apply_level_map(spark, sf_dir):
 
 
 @query(
-    f"""WITH {sql.conversations(sql.TITLES)}, {_HEADINGS}
-    SELECT hd.doc_id, string_agg('L' || (pos + 1) || ': ' || text || CASE WHEN contains(lower(text), 'table') THEN ' [含表格]' ELSE '' END, {LF} ORDER BY pos) AS entries
-    FROM hd GROUP BY hd.doc_id"""
+    f"""WITH {sql.conversations(sql.TITLES)}, {_HEADINGS}, {_SNIPPETS}, {_BATCHED}
+    SELECT doc_id, batch, 'Rules.' || {LF} || string_agg('L' || (pos + 1) || ': ' || text || CASE WHEN contains(lower(text), 'table') THEN ' [含表格]' ELSE '' END ||
+      {LF} || '   上下文: ' || coalesce(snippet, ''), {LF} ORDER BY pos) || {LF} || 'As JSON.' AS prompt
+    FROM hb LEFT JOIN sn USING (doc_id, pos) GROUP BY ALL"""
 )
 def structure_prompt(spark, sf_dir):
     heads = structure.extract_headings(inputs.conversation_docs(spark, sf_dir, "titles"))
-    made = structure.structure_prompt(heads)
-    return made.select("doc_id", F.regexp_replace("prompt", r"\n   上下文: [^\n]*", "").alias("entries"))
+    return structure.structure_prompt(structure.prompt_batches(heads, 3), "Rules.\n", "\nAs JSON.")
+
+
+def _answers(heads: DataFrame) -> DataFrame:
+    """Answers to batches of headings, some of them bad, some with lines left out."""
+    named = (F.col("doc_id") % 5 != 2) | (F.col("line") % 3 != 0)
+    entry = F.format_string('"L%d": {"level": %d, "parent": null}', "line", F.col("line") % 4 + 1)
+    made = heads.groupBy("doc_id", "batch").agg(F.array_join(F.collect_list(F.when(named, entry)), ",\n").alias("e"))
+    kind = F.col("doc_id") % 5
+    bad = F.when((kind == 0) & (F.col("batch") == 1), F.lit("sorry")).when((kind == 1) & (F.col("batch") == 0), F.lit('{"L1": }'))
+    none = (kind == 3) & (F.col("batch") == 2)
+    return made.select("doc_id", "batch", F.when(~none, F.coalesce(bad, F.concat(F.lit("{"), "e", F.lit("}")))).alias("response"))
+
+
+@query(
+    f"""WITH {sql.conversations(sql.TITLES)}, {_HEADINGS}, {_BATCHED},
+    a AS (SELECT doc_id, batch, {_BAD} AS error, count(*) AS n_headings, count(*) FILTER (WHERE doc_id % 5 <> 2 OR (pos + 1) % 3 <> 0) AS named FROM hb GROUP BY ALL),
+    b AS (SELECT *, CASE WHEN error IS NULL THEN named ELSE 0 END AS n_levels FROM a)
+    SELECT doc_id, batch, n_headings, n_levels, n_levels * 100 < n_headings * 80 AS low_coverage, error FROM b"""
+)
+def answer_report(spark, sf_dir):
+    """What answers to batches of three headings cover, and which couldn't be read."""
+    heads = structure.prompt_batches(structure.extract_headings(inputs.conversation_docs(spark, sf_dir, "titles")), 3)
+    return structure.answer_report(heads, _answers(heads))
+
+
+@query(
+    f"""WITH {sql.conversations(sql.TITLES)}, {_HEADINGS}, {_BATCHED},
+    bad AS (SELECT DISTINCT doc_id FROM hb WHERE {_BAD} IS NOT NULL),
+    lv AS (SELECT doc_id, pos, CASE WHEN doc_id NOT IN (SELECT doc_id FROM bad) THEN CASE WHEN doc_id % 5 <> 2 OR (pos + 1) % 3 <> 0 THEN (pos + 1) % 4 + 1 END
+      WHEN row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1 THEN 1 ELSE {_LEVEL} END AS level FROM hd)
+    {_RELEVELLED} FROM ln LEFT JOIN lv USING (doc_id, pos) GROUP BY doc_id"""
+)
+def levels_from_answers(spark, sf_dir):
+    """Levels of good answers; documents with a bad one get the heuristic."""
+    docs = inputs.conversation_docs(spark, sf_dir, "titles")
+    answers = _answers(structure.prompt_batches(structure.extract_headings(docs), 3))
+    return structure.recover_from_answers(docs, answers).select("doc_id", "text")
 
 
 @query(
@@ -345,6 +386,16 @@ def semantic_breaks(spark, sf_dir):
     return blocks.semantic_groups(vectors).select("doc_id", F.col("para").alias("vec_id"), "grp")
 
 
+@query()
+def semantic_leaves(spark, sf_dir):
+    """Leaves of all conversations, long prose cut by made-up vectors of its paragraphs; the tests hold such leaves against plain Python."""
+    docs = inputs.conversation_docs(spark, sf_dir, "paragraphs")
+    n = F.length("text")
+    vectors = chunks.paragraphs_to_embed(docs).withColumn("embedding", F.array(n % 7 - 3, n % 5 - 2, n % 3 + 1))
+    made = chunks.chunk_documents(docs, vectors=vectors).where("chunk_type = 'leaf'")
+    return made.select("doc_id", "chunk_id", "sec", "blk", "part", "content")
+
+
 # HTML tables, continued and repeated tables.
 
 
@@ -440,6 +491,21 @@ def batch_report(spark, sf_dir):
     return stats.batch_report(docs)
 
 
+@query("SELECT source AS company, 'd' || doc_id AS name, 'too odd' AS error FROM documents WHERE length(text) % 7 = 0")
+def batch_failures(spark, sf_dir):
+    error = F.when(F.length("text") % 7 == 0, "too odd").alias("error")
+    docs = inputs.table(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), error)
+    return stats.batch_failures(docs)
+
+
+@query(
+    f"""WITH {_PATHS}, q AS (SELECT host AS company, '/base/' || host || '/docs/page_' || page_id || '.md' AS md_path FROM p)
+    SELECT *, CAST(row_number() OVER (PARTITION BY company ORDER BY md_path) AS INTEGER) AS file_no FROM q"""
+)
+def ordered_tasks(spark, sf_dir):
+    return files.in_order(files.pair_pages(inputs.file_paths(spark, sf_dir), "/base")).select("company", "md_path", "file_no")
+
+
 @query()
 def review_document(spark, sf_dir):
     return stats.review_markdown(chunks.chunk_documents(inputs.nation_docs(spark, sf_dir)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
@@ -54,6 +54,12 @@ def pending(tasks: DataFrame, done: DataFrame, force: bool = False) -> DataFrame
     return tasks if force else tasks.join(done.select("company", "stem"), ["company", "stem"], "left_anti")
 
 
+def in_order(tasks: DataFrame) -> DataFrame:
+    """Tasks by company, then path, with ``file_no``, their number within the company, from 1."""
+    number = F.row_number().over(Window.partitionBy("company").orderBy("md_path"))
+    return tasks.withColumn("file_no", number).orderBy("company", "file_no")
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK).json(path)
 
