@@ -136,6 +136,16 @@ def test_chunk_boundaries_follow_the_content():
     assert b"".join(a) == b"\n".join(lines) and len(set(a) & set(b)) > 0.9 * len(a)
 
 
+def test_rolling_hashes_name_runs_of_lines_wherever_they_stand():
+    random.seed(5)
+    lines = [random.choice([b"", b"a", b"b", b"a longer line", "é".encode()]) for _ in range(300)]
+    spans = np.array([(a, b) for a in range(300) for b in range(a + 1, min(a + 6, 301))], np.int64)
+    got = defaultdict(set)
+    for (a, b), h in zip(spans.tolist(), line_dedup.rolling_hashes(lines, spans[:, 0], spans[:, 1]).tolist(), strict=True):
+        got[h].add(tuple(lines[a:b]))
+    assert all(len(x) == 1 for x in got.values()) and len(got) == len({tuple(lines[a:b]) for a, b in spans.tolist()})
+
+
 def test_line_dedup(spark, docs, rows, empty):
     chunker = line_dedup.Chunker()
     distinct = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in rows})

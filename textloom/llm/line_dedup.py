@@ -8,15 +8,16 @@ and long enough is covered by windows that lie within it, so that it goes whole,
 lines at its edges, wherever it stands and whatever surrounds it. A run that isn't made of whole
 lines is not found. The earliest occurrence of a line's bytes is never removed.
 
-Windows are told apart by 128 bits of BLAKE2b over their bytes. Digests that occur twice travel to
-the texts in a Bloom filter of bounded size, so that only windows that are (but for its errors)
-repeated are shuffled. A digest with over a thousandth of all repeats (and 1,000 of them) is hot:
-its windows meet their first occurrence in ``SALTS`` parts. There are at most a thousand such
-digests, so they travel as a list.
+A window is named by a rolling hash (a polynomial modulo 2 ** 64) over the hashes of its lines.
+Names that occur twice travel to the texts in a Bloom filter of bounded size, so that only windows
+that are (but for its errors) repeated are shuffled; these carry their bytes and are grouped and
+joined by them, so that no collision of hashes removes a line. A name with over a thousandth of
+all repeats (and 1,000 of them) is hot: its windows meet their first occurrence in ``SALTS``
+parts. There are at most a thousand such names, so they travel as a list.
 
 Null or empty text: no window, stays as it is. Null ids come first in the order. Rows alike in id
-and text are one document: they keep or lose the same lines. An empty table gives an empty
-result. Other columns, whatever their names, pass through.
+and text are one document: they keep or lose the same lines. Very long texts are taken whole. An
+empty table gives an empty result. Other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ from .bloom import Bloom, bloom_of
 from .common import bytes_of, cut, map_rows, portions, with_row_key
 
 SALTS = 64
+#: Factor of the rolling hash, odd, and its inverse modulo 2 ** 64.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
 class Chunker:
@@ -50,13 +55,13 @@ class Chunker:
         lines = data.split(b"\n")
         return [x + b"\n" for x in lines[:-1]] + lines[-1:]
 
-    def windows(self, data: bytes) -> list[tuple[int, int, bytes]]:
-        """(first line, line after the last, bytes) of the windows, in order; the last line feed is not part of one."""
+    def spans(self, data: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
+        """Lines without their line feeds, and (first line, line after the last) of the windows, in order."""
         lines = data.split(b"\n")
         words = [len(x.split()) for x in lines]
         before = [0, *accumulate(words)]
         if before[-1] < min(self.min_words, self.line_words):
-            return []
+            return lines, []
         found = set()
         for i, n in enumerate(words):
             if n:
@@ -65,59 +70,84 @@ class Chunker:
                 found |= {(i, end)} if end <= len(lines) else set()
                 found |= {(start, i + 1)} if start >= 0 else set()
                 found |= {(i, i + 1)} if n >= self.line_words else set()
-        at = [0, *accumulate(len(x) + 1 for x in lines)]
         longest = self.max_lines or len(lines)
-        return [(a, b, data[at[a] : at[b] - 1]) for a, b in sorted(found) if b - a <= longest]
+        return lines, [(a, b) for a, b in sorted(found) if b - a <= longest]
+
+    def windows(self, data: bytes) -> list[tuple[int, int, bytes]]:
+        """(first line, line after the last, bytes) of the windows; the last line feed is not part of one."""
+        lines, spans = self.spans(data)
+        return [(a, b, b"\n".join(lines[a:b])) for a, b in spans]
 
     def candidates(self, data: bytes) -> list[tuple[int, bytes]]:
         """(line, key): a line may go if one of its keys - its place in a window and the window's bytes - occurs earlier."""
         return [(i, b"%d " % (i - a) + x) for a, b, x in self.windows(data) for i in range(a, b)]
 
 
-def digests(bodies: list[bytes]) -> np.ndarray:
-    """Two longs for each."""
-    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in bodies), np.int64).reshape(-1, 2)
+def powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
 
+def rolling_hashes(lines: list[bytes], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of lines, the same wherever the run stands: differences of running sums over line hashes."""
+    h = np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(FACTOR, len(h)), dtype=np.uint64)])
+    return ((sums[ends] - sums[starts]) * powers(INVERSE, len(h) + 1)[starts]).view(np.int64)
 
-def digest_counts(docs: DataFrame, chunker: Chunker) -> DataFrame:
+
+def named_windows(batch: pa.RecordBatch, chunker: Chunker) -> tuple[list[tuple[list[bytes], list[tuple[int, int]]]], np.ndarray]:
+    """Lines and windows of each text, and the names of all windows in order."""
+    found = [chunker.spans(x) for x in bytes_of(batch.column("text"))]
+    found = [(lines if spans else [], spans) for lines, spans in found]
+    before = np.cumsum([0, *(len(lines) for lines, _ in found)])
+    at = np.array([(i + a, i + b) for i, (_, spans) in zip(before.tolist(), found) for a, b in spans], np.int64).reshape(-1, 2)
+    return found, rolling_hashes([x for lines, _ in found for x in lines], at[:, 0], at[:, 1])
+
+
+def name_counts(docs: DataFrame, chunker: Chunker) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            d = digests([x for data in bytes_of(batch.column("text")) for _, _, x in chunker.windows(data)])
-            yield pa.RecordBatch.from_pydict({"d1": d[:, 0], "d2": d[:, 1]})
+            d, n = np.unique(named_windows(batch, chunker)[1], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"d": d, "n": n})
 
-    return docs.select("text").mapInArrow(run, "d1 long, d2 long").groupBy("d1", "d2").agg(F.count("*").alias("n"))
+    return docs.select("text").mapInArrow(run, "d long, n long").groupBy("d").agg(F.sum("n").alias("n"))
 
 
 def nominated(keyed: DataFrame, known: Bloom, hot: np.ndarray, chunker: Chunker) -> DataFrame:
-    """Row key, id, first line, line after the last and digest of the windows that may be repeated, and whether they are hot."""
+    """Row key, id, first line, line after the last, name and bytes of the windows that may be repeated, and whether they are hot."""
     sent = keyed.sparkSession.sparkContext.broadcast((known, hot))
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        found = [chunker.windows(x) for x in bytes_of(batch.column("text"))]
-        d = digests([x for own in found for _, _, x in own])
+        found, d = named_windows(batch, chunker)
         repeats, often = sent.value
-        first = d[:, 0].copy()
-        flags = iter(zip(d.tolist(), repeats.has(first.view(np.uint64)).tolist(), np.isin(first, often).tolist(), strict=True))
-        flagged = [[(a, b, *next(flags)) for a, b, _ in own] for own in found]
-        return {"windows": [[{"pos": a, "end": b, "d1": d1, "d2": d2, "hot": h} for a, b, (d1, d2), passed, h in own if passed] for own in flagged]}
-
-    made = map_rows(keyed, kernel, ["doc_id", "_k", "_t"], "windows array<struct<pos: int, end: int, d1: long, d2: long, hot: boolean>>")
+        flags = iter(zip(d.tolist(), repeats.has(d.view(np.uint64)).tolist(), np.isin(d, often).tolist(), strict=True))
+        flagged = [(lines, [(a, b, *next(flags)) for a, b in spans]) for lines, spans in found]
+        return {
+            "windows": [
+                [{"pos": a, "end": b, "d": d, "hot": h, "body": b"\n".join(lines[a:b])} for a, b, d, passed, h in own if passed]
+                for lines, own in flagged
+            ]
+        }
+
+    made = map_rows(keyed, kernel, ["doc_id", "_k", "_t"], "windows array<struct<pos: int, end: int, d: long, hot: boolean, body: binary>>")
     return made.select("doc_id", "_k", "_t", F.explode("windows").alias("w")).select("doc_id", "_k", "_t", "w.*")
 
 
 def removed_windows(keyed: DataFrame, chunker: Chunker) -> DataFrame:
     """Row key and ``gone``, the windows (pos, end) to remove."""
-    repeated = cut(digest_counts(keyed, chunker).where("n > 1").select("d1", "n"))
-    size = repeated.agg(F.count("*").alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    hot = repeated.where(F.col("n") > max(size["n"] // 1000, 1000)).select("d1").toArrow()  # at most 1,000
-    known = bloom_of(repeated, "d1", size["digests"])
-    found = cut(nominated(keyed, known, hot.column("d1").to_numpy(), chunker).dropDuplicates(["_k", "_t", "pos", "end"]))
+    repeated = cut(name_counts(keyed, chunker).where("n > 1"))
+    size = repeated.agg(F.count("*").alias("names"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    hot = repeated.where(F.col("n") > max(size["n"] // 1000, 1000)).select("d").toArrow()  # at most 1,000
+    known = bloom_of(repeated, "d", size["names"])
+    # The number only spreads rows that agree in all else.
+    found = cut(nominated(keyed, known, hot.column("d").to_numpy(), chunker)).withColumn("salt", F.monotonically_increasing_id())
     place = F.struct("doc_id", "_k", "_t", "pos")
-    kept = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("hot").alias("hot")).where("n > 1")
+    kept = found.groupBy("d", "body").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("hot").alias("hot")).where("n > 1")
     parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    kept = kept.select("d1", "d2", "first", F.explode(parts).alias("salt"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("_k", "_t", "pos"), F.lit(SALTS)).cast("int")).otherwise(0)
-    later = found.withColumn("salt", salt).join(kept, ["d1", "d2", "salt"]).where(~place.eqNullSafe(F.col("first")))
+    kept = kept.select("d", "body", "first", F.explode(parts).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("salt"), F.lit(SALTS)).cast("int")).otherwise(0)
+    later = found.withColumn("salt", salt).join(kept, ["d", "body", "salt"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("_k", "_t").agg(F.collect_set(F.struct("pos", "end")).alias("gone"))  # at most three for each line of one text
 
 
