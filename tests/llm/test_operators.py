@@ -95,6 +95,47 @@ def edits_to_stretch(p, t):
     return min(prev)
 
 
+def linked_by_all_pairs(text, scope):
+    """Spans of a text: every weak candidate held against every other part."""
+    data = text.encode()
+    found = [(m.start(), m.end(), 0) for m in secrets.ASSIGN.finditer(data) if len(m[2]) >= 8]
+    found += [(m.start(), m.end(), 1) for m in secrets.ACCESS.finditer(data) if len(m[0]) >= 16]
+    found += [(m.start(), m.end(), 2) for m in secrets.HEX.finditer(data)]
+    weak = [(m.start(), m.end(), 3) for m in secrets.WEAK_ID.finditer(data)]
+    weak += [(m.start(), m.end(), 4) for m in secrets.ASSIGN.finditer(data) if 4 <= len(m[2]) < 8]
+    mixes = (rb"[A-Z]", rb"[a-z]", rb"[0-9]")
+    weak += [(m.start(), m.end(), 4) for m in secrets.WEAK_TOKEN.finditer(data) if all(re.search(x, m[0]) for x in mixes)]
+    weak += [(m.start(), m.end(), 5) for m in secrets.ENDPOINT.finditer(data)]
+    weak = [w for w in weak if not any(a < w[1] and w[0] < b for a, b, _ in found)]
+    place = lambda x: (len(data[: x[0]].decode()), len(data[: x[1]].decode()), x[2])
+    base, weak = [place(x) for x in found], [place(x) for x in weak]
+    role = lambda x: ["secret", "id", "secret", "id", "secret", "endpoint"][x[2]]
+
+    def complete(w, p):
+        if abs(w[0] - p[0]) > scope or role(w) == role(p):
+            return False
+        return p in base and role(p) != "endpoint" if "endpoint" in (role(w), role(p)) else True
+
+    kept = base + [w for w in weak if any(complete(w, p) for p in base + weak)]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, b, k in sorted(kept, key=lambda x: (x[0], x[2])))
+
+
+def test_secret_linking_matches_all_pairs(spark):
+    random.seed(21)
+    token = lambda n: "".join(random.choice("aB3dE5fG7+/") for _ in range(n))
+    made = [
+        lambda: f"login: user{random.randrange(99)}", lambda: f'client_id="{token(6)}"', lambda: f"token={token(5)}",
+        lambda: f"secret: {token(12)}", lambda: "AKIA" + "Q7" * 8, lambda: "0f" * 17, lambda: token(40),
+        lambda: "https://h.example/p?token=abcd", lambda: "10.0.0.1:80", lambda: "é" * random.randrange(90), lambda: "word " * random.randrange(60),
+    ]
+    texts = [" ".join(random.choice(made)() for _ in range(random.randrange(1, 14))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for scope in (400, 60):
+        want = [linked_by_all_pairs(t, scope) for t in texts]
+        assert {r.doc_id: r.spans for r in secrets.scan_secrets(frame, scope).collect()} == dict(enumerate(want))
+        assert sum("weak" in x or "endpoint" in x for x in want) > 100
+
+
 def test_alignment_matches_brute_force():
     random.seed(3)
     letters = "abcdefghijklmnop "
