@@ -9,8 +9,8 @@ choice of quota % blocks blocks once more. A document's share is the overlap of
 the blocks taken, so that no document exceeds ``max_repeat`` times its size.
 
 Null text: size 0, nothing taken; such documents are in no shard. Null source: a source of its own, last in the order of
-sources. Equal ids are ordered by a hash of their text; rows equal in both tie, and may swap
-their (equal) places. A very long document spans as many blocks as it needs. A source without words has target 0. An empty table gives an empty
+sources. Equal ids are ordered by a hash of their text; rows equal in both stand one after the other, each with words of its
+own, and which of them comes first doesn't change the rows returned. A very long document spans as many blocks as it needs. A source without words has target 0. An empty table gives an empty
 result. Columns other than doc_id, text and source are ignored.
 """
 
@@ -145,7 +145,7 @@ def mix_sources(
     none = placed.where("size = 0").select("doc_id", "size", "source_size", "target", *(F.lit(0).cast("long").alias(c) for c in ("taken", "shard", "place")))
     line = Window.partitionBy("s", "key")
     placed = placed.where("size > 0")
-    placed = placed.withColumn("_end", F.sum("size").over(line.orderBy("_seed", "doc_id"))).withColumn("_start", F.col("_end") - F.col("size"))
+    placed = placed.withColumn("_end", F.sum("size").over(line.orderBy("_seed", "doc_id").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("size"))
     placed = cut(placed.drop("_source", "_no_source", "s_source", "s_no_source"))
     shards = placed.groupBy("s", "key").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"))
     dealt = apportion(shards, ["s"], "_words", "_quota").select(
