@@ -44,6 +44,12 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ``scratch_folder`` before the application ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and drop its lineage."""
     checkpoint_dir(df.sparkSession)
@@ -59,21 +65,21 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return df.withColumns({"_k": F.xxhash64("doc_id"), "_t": F.xxhash64("text")})
 
 
-def hot_values(counts: DataFrame, column: str, share: float = 0.001, least: int = 1000) -> list[int]:
+def hot_values(counts: DataFrame, column: str, share: float = 0.001, least: int = 1000) -> list:
     """Values of ``column`` that have over ``share`` of all rows (and ``least``), from (``column``, n): at most 1 / share."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = counts.where(F.col("n") > max(int(share * total), least)).groupBy(column).agg(F.lit(1))
     return [r[0] for r in often.select(column).collect()]
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: list[int], seed: list[str], salts: int = 64) -> DataFrame:
-    """Inner join of ``many`` with ``one``, which has a row per key; rows whose first key is in ``hot`` are met in ``salts`` parts, told apart by ``seed``."""
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: list, seed: list[str], salts: int = 64, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``many`` with ``one``, which has a row per key; rows whose first key is in ``hot`` are met in ``salts`` parts, told apart by ``seed``."""
     if not hot:
-        return many.join(one, keys)
+        return many.join(one, keys, how)
     often = F.col(keys[0]).isin(hot)
     left = many.withColumn("_salt", F.when(often, F.pmod(F.xxhash64(*seed), F.lit(salts)).cast("int")).otherwise(0))
     parts = F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(one.withColumn("_salt", F.explode(parts)), [*keys, "_salt"]).drop("_salt")
+    return left.join(one.withColumn("_salt", F.explode(parts)), [*keys, "_salt"], how).drop("_salt")
 
 
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

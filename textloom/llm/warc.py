@@ -8,9 +8,9 @@ others are revisits of it.
 
 Reading: parts are read as binary rows and walked record by record. A record counts if its
 version line, its Content-Length, its closing blank lines and, for a response, its payload
-digest hold. After a failed check the reader searches for the next version line, or in a
-gzipped file for the next member that inflates, goes on from there, and logs the bytes in
-between as a quarantined gap. The log is kept beside the archive.
+digest hold. Headers have at most 64 KB and no version line within. After a failed check the reader searches for the
+next version line, or in a gzipped file for the next member that inflates, goes on from there, and logs the bytes in
+between as a quarantined gap, so that each byte of a header is looked at a few times at most. The log is kept beside the archive.
 
 Null or empty html: a payload of 0 bytes, which is revisited like any other. Null page_ids are
 written, never referred to, and are always responses. Repeated rows: all rows with the largest
@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import bloom_of
-from .common import arrow_schema, cut, map_rows, portions, scratch_folder
+from .common import arrow_schema, cut, hot_values, map_rows, portions, scratch_folder, spread_join
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 GZIP = b"\x1f\x8b\x08"
 STEP = 1 << 16
+MOST_HEADER = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 READ = (
@@ -75,13 +76,29 @@ def record(page_id: int | None, url: str | None, payload: bytes, own_digest: str
     return VERSION + "\r\n".join(head).encode() + END + body
 
 
-def parse_record(data: bytes, at: int) -> tuple[int, dict | str]:
+class Ends:
+    """The first blank line at or after a place that only moves on."""
+
+    def __init__(self, data: bytes):
+        self.data, self.held = data, -1
+
+    def after(self, at: int) -> int:
+        if self.held < at:
+            found = self.data.find(END, at)
+            self.held = found if found >= 0 else len(self.data) + MOST_HEADER
+        return self.held
+
+
+def parse_record(data: bytes, at: int, ends: Ends) -> tuple[int, dict | str]:
     """The record that starts at ``at``: where it ends and its fields, or ``at`` and what is wrong."""
     if data[at : at + len(VERSION)] != VERSION:
         return at, "no version line"
-    stop = data.find(END, at)
-    if stop < 0:
+    stop = ends.after(at)
+    if stop - at > MOST_HEADER or stop >= len(data):
         return at, "headers do not end"
+    own_line = at == 0 or data[at - 1 : at] == b"\n"
+    if data.find(b"\n" + VERSION if own_line else VERSION, at + 1, stop) >= 0:
+        return at, "version line within headers"
     lines = data[at + len(VERSION) : stop].split(b"\r\n")
     fields = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(b":") for x in lines) if sep}
     try:
@@ -92,11 +109,11 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict | str]:
     except (KeyError, ValueError) as e:
         return at, f"bad header: {e}"
     start = stop + len(END)
-    body = data[start : start + length]
-    if length < 0 or len(body) < length:
+    if length < 0 or start + length > len(data):
         return at, "truncated payload"
     if data[start + length : start + length + len(END)] != END:
         return at, "record does not end where its length says"
+    body = data[start : start + length]
     if kind == "response" and (length != full or digest(body) != own):
         return at, "payload digest differs"
     return start + length + len(END), {
@@ -106,17 +123,22 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict | str]:
 
 def walk_plain(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     """(start, stop, fields) for each record and (start, stop, reason) for each gap."""
-    at = 0
+    at, gap, reason, ends = 0, -1, "", Ends(data)
     while at < len(data):
-        stop, found = parse_record(data, at)
+        stop, found = parse_record(data, at, ends)
         if isinstance(found, str):
+            if gap < 0:
+                gap, reason = at, found
             stop = data.find(VERSION, at + 1)
-            stop = len(data) if stop < 0 else stop
-            while stop < len(data) and isinstance(parse_record(data, stop)[1], str):
-                nxt = data.find(VERSION, stop + 1)
-                stop = len(data) if nxt < 0 else nxt
+            at = len(data) if stop < 0 else stop
+            continue
+        if gap >= 0:
+            yield gap, at, reason
+            gap = -1
         yield at, stop, found
         at = stop
+    if gap >= 0:
+        yield gap, len(data), reason
 
 
 def inflate(data: bytes, at: int) -> tuple[int, bytes | str]:
@@ -135,22 +157,23 @@ def inflate(data: bytes, at: int) -> tuple[int, bytes | str]:
 
 def walk_gzip(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     """As walk_plain, with offsets of the compressed file; a member holds one record or more."""
-    at = 0
+    at, gap, reason = 0, -1, ""
     while at < len(data):
         stop, out = inflate(data, at)
-        if isinstance(out, bytes):
-            for _, _, found in walk_plain(out):
-                yield at, stop, found
-        else:
-            reason, stop = out, at
-            while isinstance(out, str):
-                stop = data.find(GZIP, stop + 1)
-                if stop < 0:
-                    stop = len(data)
-                    break
-                out = inflate(data, stop)[1]
-            yield at, stop, reason
+        if isinstance(out, str):
+            if gap < 0:
+                gap, reason = at, out
+            stop = data.find(GZIP, at + 1)
+            at = len(data) if stop < 0 else stop
+            continue
+        if gap >= 0:
+            yield gap, at, reason
+            gap = -1
+        for _, _, found in walk_plain(out):
+            yield at, stop, found
         at = stop
+    if gap >= 0:
+        yield gap, len(data), reason
 
 
 def walk(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
@@ -174,12 +197,12 @@ def archive_records(pages: DataFrame) -> DataFrame:
     """page_id, url, sha, packed (the payload deflated) and refers_to of every page.
 
     Payloads that occur once, as a Bloom filter of the others shows, don't move; the rest meet
-    the largest page_id of their payload in a join.
+    the largest page_id of their payload in a join, common ones in parts.
     """
     shared = digested(pages).groupBy("sha", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n"), F.first("h").alias("h"))
-    shared = cut(shared.where("n > 1").drop("n"))
+    shared = cut(shared.where("n > 1"))
     sent = pages.sparkSession.sparkContext.broadcast(bloom_of(shared, "h", shared.count()))
-    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], *T.StructType.fromDDL("sha binary, size long, packed binary").fields])
+    schema = T.StructType([pages.schema["page_id"], pages.schema["url"], *T.StructType.fromDDL("h long, sha binary, size long, packed binary").fields])
     target = arrow_schema(schema)
 
     def records(wanted: bool) -> DataFrame:
@@ -187,16 +210,18 @@ def archive_records(pages: DataFrame) -> DataFrame:
             for b in portions(batches):
                 payloads = [x or b"" for x in b.column("html").cast(pa.large_binary()).to_pylist()]
                 sha = [hashlib.sha1(x).digest() for x in payloads]
-                hit = sent.value.has(np.frombuffer(b"".join(x[:8] for x in sha), np.uint64)) == wanted
+                h = np.frombuffer(b"".join(x[:8] for x in sha), np.int64)
+                hit = sent.value.has(h.view(np.uint64)) == wanted
                 at = np.flatnonzero(hit).tolist()
-                own = {"sha": [sha[i] for i in at], "size": [len(payloads[i]) for i in at], "packed": [zlib.compress(payloads[i], 1) for i in at]}
+                own = {"h": h[hit], "sha": [sha[i] for i in at], "size": [len(payloads[i]) for i in at], "packed": [zlib.compress(payloads[i], 1) for i in at]}
                 kept = [b.column(c).filter(pa.array(hit)) for c in ("page_id", "url")]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(own[n], target.field(n).type) for n in own], names=target.names)
 
         return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 
     refers = F.when(F.col("page_id") < F.col("last"), F.col("last"))
-    often = records(True).join(shared.drop("h"), ["sha", "size"], "left").select("page_id", "url", "sha", "packed", refers.alias("refers_to"))
+    many = spread_join(records(True), shared.drop("n"), ["h", "sha", "size"], hot_values(shared, "h", least=200), ["page_id", "url"], how="left")
+    often = many.select("page_id", "url", "sha", "packed", refers.alias("refers_to"))
     once = records(False).select("page_id", "url", "sha", "packed", F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"))
     return once.unionByName(often)
 
@@ -226,8 +251,8 @@ def write_archive(pages: DataFrame, path: str, bytes_per_file: int = 1 << 24, sp
     bundles.write.mode("overwrite").option("lineSep", END.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of kind 'record' and, for quarantined bytes, of kind 'gap'."""
+def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Rows of kind 'record' and, for quarantined bytes, of kind 'gap'; ``payload`` is null if it isn't asked for."""
     schema = arrow_schema(T.StructType.fromDDL(READ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +262,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 for start, stop, found in walk(data):
                     row = {"file": file, "start": start, "stop": stop, "kind": "gap", "reason": found}
                     if isinstance(found, dict):
-                        row |= {"kind": "record", "reason": None} | found
+                        row |= {"kind": "record", "reason": None} | found | ({} if payloads else {"payload": None})
                     rows.append(row)
                     held += stop - start
                     if held > 4_000_000:
@@ -255,7 +280,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def salvaged(spark: SparkSession, path: str) -> DataFrame:
     """The records of an archive, without payloads; its quarantined gaps are logged as Parquet in ``path``-gaps."""
-    found = cut(read_archive(spark, path).drop("payload"))
+    found = cut(read_archive(spark, path, payloads=False).drop("payload"))
     found.where("kind = 'gap'").select("file", "start", "stop", "reason").write.mode("overwrite").parquet(f"{path}-gaps")
     return found.where("kind = 'record'")
 
