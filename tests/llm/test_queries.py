@@ -15,6 +15,6 @@ def rows(frame: pd.DataFrame) -> list[str]:
 @pytest.mark.parametrize("name", queries.ORACLES)
 def test_same_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     assert rows(queries.QUERIES[name](spark, sf_dir).toPandas()) == rows(con.sql(queries.ORACLES[name]).df())

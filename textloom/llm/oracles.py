@@ -107,3 +107,58 @@ ABLATIONS = f"""WITH l AS ({LEDGER}),
 r AS (SELECT unnest(['few_words', 'repeated_words', 'symbols', 'shouting', 'word_length', 'repeated_lines', 'same_next_word']) AS rule, unnest(range(0, 7)) AS i)
 SELECT rule, count(*) FILTER (WHERE failures & (1 << CAST(i AS INTEGER)) <> 0) AS n_failed, count(*) FILTER (WHERE failures & 127 = 1 << CAST(i AS INTEGER)) AS n_only_this
 FROM r CROSS JOIN l GROUP BY rule"""
+
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT rid, lang, source, unnest(list_transform(regexp_extract_all(text, '{TERM}'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+w AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM w JOIN v USING (lang)),
+l AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM w GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM l JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM x)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+
+def vector_rounds(rounds: int, parts: int = 16, size: int = 64) -> str:
+    """Assignment a0..a{rounds} and codebooks b0..b{rounds}, one after the other."""
+    near = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))"
+    mean = "(s - ((s % n) + n) % n) // n"
+    out = f"""WITH e AS (SELECT row_number() OVER () AS rid, * FROM embeddings),
+v AS (SELECT rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS x FROM e
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT rid, part, x[part * (len(x) // {parts}) + 1:(part + 1) * (len(x) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS part)),
+o AS (SELECT rid, row_number() OVER (ORDER BY vec_id, x) - 1 AS entry FROM v),
+b0 AS (SELECT part, entry, x FROM p JOIN o USING (rid) WHERE entry < {size})"""
+    for i in range(rounds + 1):
+        out += f""",
+d{i} AS MATERIALIZED (SELECT p.rid, p.part, b.entry, {near} AS d FROM p JOIN b{i} b USING (part)),
+a{i} AS MATERIALIZED (SELECT rid, part, min(d) AS d, arg_min(entry, d * {size} + entry) AS entry FROM d{i} GROUP BY rid, part)"""
+        if i < rounds:
+            out += f""",
+s{i} AS (SELECT part, entry, j, sum(y) AS s, count(*) AS n FROM (SELECT part, a.entry, unnest(p.x) AS y, unnest(range(len(p.x))) AS j FROM p JOIN a{i} a USING (rid, part)) GROUP BY part, entry, j),
+m{i} AS (SELECT part, entry, list({mean} ORDER BY j) AS x FROM s{i} GROUP BY part, entry),
+b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (part, entry))"""
+    return out
+
+
+VECTOR_CODES = f"""{vector_rounds(2)},
+h AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, j)) AS h FROM (SELECT part, entry, unnest(x) AS y, unnest(range(len(x))) AS j FROM b2)),
+r AS (SELECT rid, string_agg(lower(printf('%02x', CAST(entry AS INTEGER))), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256, label FROM v JOIN r USING (rid) CROSS JOIN h"""
+
+SPANS = f"""WITH {DOCS},
+k AS (SELECT rid, doc_id, regexp_extract_all(text, '{WORD}') AS w FROM d),
+x AS (SELECT rid, doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS t FROM k),
+f AS (SELECT t, min(doc_id) AS first FROM x GROUP BY t HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS i FROM x JOIN f USING (t) WHERE doc_id > first),
+y AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM k),
+j AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM y ANTI JOIN g USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN j USING (rid)"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import read_table
 from .decontaminate import find_leaks
+from .divergence import source_divergence
 from .line_dedup import dedup_lines
 from .lm_scoring import score_lm
 from .mixing import mix_sources
@@ -17,7 +18,9 @@ from .quality_classifier import score_quality
 from .rule_ledger import ablations, ledger, quality_rules
 from .secrets import scan_secrets
 from .simhash import simhash_components
+from .span_graph import dedup_spans
 from .suffix_dedup import suffix_dedup
+from .vector_codes import vector_codes
 from .warc import salvage_trial, warc_round_trip
 
 
@@ -66,6 +69,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top, part of this subpackage
 
@@ -111,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_rule_ledger,
         op10_quality_classifier,
+        op11_source_divergence,
+        op12_vector_codes,
+        op13_span_dedup,
         pipeline,
         secret_base,
         lm_base,
@@ -124,6 +142,9 @@ ORACLES: dict[str, str] = {
     "op4_suffix_dedup": oracles.SUFFIX,
     "op5_warc": oracles.WARC,
     "op9_rule_ledger": oracles.LEDGER,
+    "op11_source_divergence": oracles.DIVERGENCE,
+    "op12_vector_codes": oracles.VECTOR_CODES,
+    "op13_span_dedup": oracles.SPANS,
     "secret_base": oracles.SECRET_BASE,
     "lm_base": oracles.LM_BASE,
     "mix_targets": oracles.MIX_TARGETS,
