@@ -11,6 +11,7 @@ segments with the same key. The graph is built of segments:
 3. Each text is walked again: segments between branches join to one path, which therefore occurs in whole wherever any
    window of it does. Paths and single windows are named by 128-bit digests of the words at their source coordinates,
    and a join with the first document of each digest says which occurrences go.
+4. A text that stays or goes as a whole is counted where it is read; only texts that lose a part are shuffled.
 
 Keys, branches and repeated contents travel as Bloom filters of bounded size. What passes wrongly gives more rows,
 never another result: a branch seen wrongly is seen at every occurrence, since it depends on content alone.
@@ -29,12 +30,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom_of
-from .common import bytes_of, cut, hot_values, map_rows, portions, spread_join, with_row_key
+from .common import bytes_of, cut, drop_folder, hot_values, map_rows, portions, spread_join, stored, with_row_key
 from .segments import MOST, SPREAD, powers, sliding_min
 
 SLICE = 1 << 20
@@ -62,7 +64,7 @@ def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Pieces:
-    """Pieces of texts joined by spaces; ``row`` and ``base`` are each piece's row and first word in its text."""
+    """Pieces of texts joined by spaces; ``row``, ``base`` and ``total`` are each piece's row, first word in its text, and that text's words."""
 
     data: bytes
     starts: np.ndarray
@@ -70,6 +72,7 @@ class Pieces:
     piece: np.ndarray
     row: np.ndarray
     base: np.ndarray
+    total: np.ndarray
 
     def words(self, a: int, b: int) -> bytes:
         return b" ".join(self.data[self.starts[a] : self.stops[b - 1]].split())
@@ -78,25 +81,26 @@ class Pieces:
 def pieces_of(texts: list[bytes], window: int) -> Iterator[Pieces]:
     """Texts in lots of about SLICE bytes; a longer one is cut into pieces that share ``window`` - 1 words."""
 
-    def lot(held: list[tuple[int, int, bytes]]) -> Pieces:
+    def lot(held: list[tuple[int, int, int, bytes]]) -> Pieces:
         data = b" ".join(x for *_, x in held)
         size = np.fromiter((len(x) + 1 for *_, x in held), np.int64, len(held))
         starts, stops = word_places(data)
         piece = np.searchsorted(np.cumsum(size) - size, starts, "right") - 1
-        return Pieces(data, starts, stops, piece, np.array([r for r, *_ in held]), np.array([b for _, b, _ in held]))
+        row, base, total = (np.array([x[i] for x in held]) for i in range(3))
+        return Pieces(data, starts, stops, piece, row, base, np.where(total < 0, np.bincount(piece, minlength=len(held)), total))
 
-    held: list[tuple[int, int, bytes]] = []
+    held: list[tuple[int, int, int, bytes]] = []
     total = 0
     for row, text in enumerate(texts):
         if len(text) <= SLICE:
-            parts = [(row, 0, text)]
+            parts = [(row, 0, -1, text)]
         else:
             starts, stops = word_places(text)
             step = max(SLICE * len(starts) // len(text), window)
-            parts = ((row, a, text[starts[a] : stops[min(a + step + window - 1, len(stops)) - 1]]) for a in range(0, max(len(starts) - window + 1, 1), step) if len(starts))
+            parts = ((row, a, len(starts), text[starts[a] : stops[min(a + step + window - 1, len(stops)) - 1]]) for a in range(0, max(len(starts) - window + 1, 1), step) if len(starts))
         for part in parts:
             held.append(part)
-            total += len(part[2])
+            total += len(part[3])
             if total >= SLICE:
                 yield lot(held)
                 held, total = [], 0
@@ -197,9 +201,9 @@ def edges_of(docs: DataFrame, known: Bloom, window: int, gram: int) -> DataFrame
 
 
 def paths_of(docs: DataFrame, repeated: Bloom, branches: Bloom, mixed: Bloom, window: int, gram: int) -> DataFrame:
-    """Occurrences of paths and of single windows: row key, doc_id, digest, and the words start to stop of the text."""
+    """Occurrences of paths and of single windows: row key, doc_id, digest, the words start to stop of the text, and how many it has."""
     sent = docs.sparkSession.sparkContext.broadcast((repeated, branches, mixed))
-    schema = "_k long, _t long, doc_id long, d1 long, d2 long, start long, stop long"
+    schema = "_k long, _t long, doc_id long, d1 long, d2 long, start int, stop int, total int"
 
     def lot(p: Pieces) -> Iterator[tuple[int, int, int, bytes]]:
         """(piece, first word, last word + 1, digest)"""
@@ -237,51 +241,68 @@ def paths_of(docs: DataFrame, repeated: Bloom, branches: Bloom, mixed: Bloom, wi
                     at, to = (x - first[piece] + p.base[piece] for x in (a, z))
                     digest = np.frombuffer(b"".join(f[3] for f in found), np.int64).reshape(-1, 2)
                     r = p.row[piece]
-                    yield pa.RecordBatch.from_pydict({"_k": k[r], "_t": t[r], "doc_id": doc[r], "d1": digest[:, 0], "d2": digest[:, 1], "start": at, "stop": to})
+                    places = {c: x.astype(np.int32) for c, x in (("start", at), ("stop", to), ("total", p.total[piece]))}
+                    yield pa.RecordBatch.from_pydict({"_k": k[r], "_t": t[r], "doc_id": doc[r], "d1": digest[:, 0], "d2": digest[:, 1]} | places)
 
     return docs.select("_k", "_t", "doc_id", "text").mapInArrow(run, schema)
 
 
 def repeated_spans(keyed: DataFrame, window: int, gram: int, max_bits: int) -> DataFrame:
-    """Row key and ``spans``: the words (start, stop) that an earlier document has; they may overlap."""
+    """Row key and ``spans``: the words (start, stop) that an earlier document has, which may overlap; null if these are all of the text's."""
     docs = keyed.where(F.col("doc_id").isNotNull())
 
     def held(hashes: DataFrame, column: str) -> Bloom:
         return bloom_of(hashes, column, hashes.count(), max_bits=max_bits)
 
     known = held(cut(count_keys(docs, window, gram).where("n > 1").select("key")), "key")
-    edges = cut(edges_of(docs, known, window, gram))
+    edges, rows_of = stored(edges_of(docs, known, window, gram), "edges")
     ids = edges.where("first < last")
     salted = lambda flag, x: F.when(F.col(flag), F.col("id").bitwiseXOR(F.lit(x)))
     ends = ids.select(F.explode(F.array(salted("joins", BEFORE), salted("forks", AFTER))).alias("h")).where("h is not null")
     by_key = edges.groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    met = cut(paths_of(docs, held(ids, "id"), held(ends, "h"), held(by_key.where("n > 1 and first < last"), "key"), window, gram))
+    met, places = stored(paths_of(docs, held(ids, "id"), held(ends, "h"), held(by_key.where("n > 1 and first < last"), "key"), window, gram), "paths")
+    drop_folder(docs.sparkSession, rows_of)
     digests = met.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
     digests = cut(digests.select("d1", "d2", "first", "n"))
     later = spread_join(met, digests.drop("n"), ["d1", "d2"], hot_values(digests, "d1"), ["_k", "start"]).where("doc_id > first")
-    return later.groupBy("_k", "_t").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # as many as one text holds
+    by_row = later.groupBy("_k", "_t").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.max("total").alias("total"))  # as many as one text holds
+    reach = F.aggregate("spans", F.lit(0), lambda a, s: F.when(s["start"] > a, a).otherwise(F.greatest(a, s["stop"])))
+    out = cut(by_row.select("_k", "_t", F.when(reach < F.col("total"), F.col("spans")).alias("spans")))
+    drop_folder(docs.sparkSession, places)
+    return out
+
+
+def remover(batch: pa.RecordBatch) -> dict:
+    """What stays of each text; null spans are none."""
+    out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "kept")}
+    spans = batch.column("spans")
+    flat, size = spans.flatten(), spans.value_lengths().fill_null(0).to_numpy()
+    start, stop = (flat.field(c).to_numpy() for c in ("start", "stop"))
+    ends = np.cumsum(size)
+    for data, b, n in zip(bytes_of(batch.column("text")), ends.tolist(), size.tolist(), strict=True):
+        words = data.split()
+        depth = np.zeros(len(words) + 1, np.int64)
+        np.add.at(depth, start[b - n : b], 1)
+        np.add.at(depth, stop[b - n : b], -1)
+        stays = np.cumsum(depth)[:-1] == 0
+        kept = b" ".join(words if stays.all() else [words[i] for i in np.flatnonzero(stays).tolist()])
+        for c, x in zip(out, (len(words), int(len(words) - stays.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
+            out[c].append(x)
+    return out
+
+
+def counted(losing: Bloom, with_text: bool) -> Callable[[pa.RecordBatch], dict]:
+    """Words and digest of a text that loses nothing, and the text itself if it may lose a part, or if it is asked for."""
 
-
-def remover(with_text: bool) -> Callable[[pa.RecordBatch], dict]:
     def kernel(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept_sha256", *["kept"] * with_text)}
-        spans = batch.column("spans")
-        flat, size = spans.flatten(), spans.value_lengths().fill_null(0).to_numpy()
-        start, stop = (flat.field(c).to_numpy() for c in ("start", "stop"))
-        ends = np.cumsum(size)
-        for data, b, n in zip(bytes_of(batch.column("text")), ends.tolist(), size.tolist(), strict=True):
-            words = data.split()
-            depth = np.zeros(len(words) + 1, np.int64)
-            np.add.at(depth, start[b - n : b], 1)
-            np.add.at(depth, stop[b - n : b], -1)
-            stays = np.cumsum(depth)[:-1] == 0
-            kept = b" ".join(words if stays.all() else [words[i] for i in np.flatnonzero(stays).tolist()])
-            out["n_words"].append(len(words))
-            out["n_removed"].append(int(len(words) - stays.sum()))
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            if with_text:
-                out["kept"].append(kept.decode())
-        return out
+        needed = losing.has(batch.column("_k").to_numpy().view(np.uint64))
+        texts = bytes_of(batch.column("text"))
+        words = [x.split() for x in texts]
+        return {
+            "whole": [len(w) for w in words],
+            "sha": [hashlib.sha256(b" ".join(w)).digest() for w in words],
+            "kept_text": pa.array([x if n or with_text else None for x, n in zip(texts, needed.tolist(), strict=True)], pa.binary()).cast(pa.string()),
+        }
 
     return kernel
 
@@ -289,6 +310,23 @@ def remover(with_text: bool) -> Callable[[pa.RecordBatch], dict]:
 def dedup_spans(docs: DataFrame, window: int = 13, gram: int = 4, max_bits: int = 1 << 26, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of ``docs``; also ``kept``, the words that stay, with ``with_text``."""
     keyed = with_row_key(docs.select("doc_id", "text"))
-    joined = keyed.join(repeated_spans(keyed, window, gram, max_bits), ["_k", "_t"], "left")
-    added = "n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return map_rows(joined.select("doc_id", "text", "spans"), remover(with_text), ["doc_id"], added)
+    spans = repeated_spans(keyed, window, gram, max_bits)
+    partial = spans.where("spans is not null")
+    losing = bloom_of(partial, "_k", partial.count(), max_bits=max_bits)
+    read = map_rows(keyed.select("doc_id", "_k", "_t", "text"), counted(losing, with_text), ["doc_id", "_k", "_t"], "whole long, sha binary, kept_text string")
+    met = read.join(spans.withColumn("loses", F.lit(True)), ["_k", "_t"], "left")
+    gone = F.col("loses").isNotNull() & F.col("spans").isNull()
+    found = met.select("doc_id", "whole", "sha", gone.alias("gone"), F.when(~gone, F.col("kept_text")).alias("text"), "spans")
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        out = {"n_words": batch.column("whole").to_pylist(), "n_removed": [0] * batch.num_rows, "kept_sha256": [x.hex() for x in batch.column("sha").to_pylist()], "kept": [None] * batch.num_rows}
+        for i in np.flatnonzero(batch.column("gone").to_numpy(zero_copy_only=False)).tolist():
+            out["n_removed"][i], out["kept_sha256"][i], out["kept"][i] = out["n_words"][i], hashlib.sha256(b"").hexdigest(), ""
+        texts = pa.compute.is_valid(batch.column("text"))
+        made = remover(batch.filter(texts))
+        for j, i in enumerate(np.flatnonzero(texts.to_numpy(zero_copy_only=False)).tolist()):
+            for c in out:
+                out[c][i] = made[c][j]
+        return out if with_text else {c: x for c, x in out.items() if c != "kept"}
+
+    return map_rows(found, kernel, ["doc_id"], "n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
