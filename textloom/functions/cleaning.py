@@ -1,4 +1,9 @@
-"""Cleaning of extracted Markdown as chains of regular expressions over whole documents."""
+"""Cleaning of extracted Markdown as chains of regular expressions over whole documents.
+
+The patterns are fixed values, without which results differ. Null stays null in all functions but ``clean_markdown``'s last
+step, which gives null too; an empty text becomes one line feed there. Repeated rows are cleaned each, an empty table gives
+an empty one, and columns other than ``text`` pass through.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .html_table import convert_html_tables
-from .text import BLANK, let, rstrip_lines, strip
+from .text import BLANK, let, rstrip_lines, strip, where_has
 
 
 def replaced(c: Column, rules: list[tuple[str, str]]) -> Column:
@@ -18,25 +23,27 @@ def replaced(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def drop_images(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)!\[[^\]]*\]\([^)]+\)\s*", "")
+    return where_has(c, ("![",), lambda x: F.regexp_replace(x, r"(?U)!\[[^\]]*\]\([^)]+\)\s*", ""))
 
 
 def drop_empty_headings(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?mdU)^#\s*$", "")
+    return where_has(c, ("#",), lambda x: F.regexp_replace(x, r"(?mdU)^#\s*$", ""))
 
 
 def unwrap_details(c: Column) -> Column:
     """Folded blocks become a bold summary and, if there is one, their body."""
     head = r"(?isU)<details>\s*<summary>\s*([^<]*?)\s*</summary>"
-    return replaced(c, [(head + r"\s*</details>", "**$1**"), (head + r"\s*(.*?)\s*</details>", "**$1**\n\n$2")])
+    rules = [(head + r"\s*</details>", "**$1**"), (head + r"\s*(.*?)\s*</details>", "**$1**\n\n$2")]
+    return where_has(c, ("<",), lambda x: replaced(x, rules))
 
 
 def drop_breaks(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?iU)<br\s*/?>", "")
+    return where_has(c, ("<",), lambda x: F.regexp_replace(x, r"(?iU)<br\s*/?>", ""))
 
 
 def normalize_bullets(c: Column) -> Column:
-    return replaced(c, [(r"(?mdU)^[ \t]*[·•]\s*", "- "), (r"(?mdU)^[ \t]*\.\s+(?=\S)", "- ")])
+    dotted = where_has(c, ("·", "•"), lambda x: F.regexp_replace(x, r"(?mdU)^[ \t]*[·•]\s*", "- "))
+    return where_has(dotted, (".",), lambda x: F.regexp_replace(x, r"(?mdU)^[ \t]*\.\s+(?=\S)", "- "))
 
 
 def drop_stray_lines(c: Column) -> Column:
@@ -59,6 +66,7 @@ LATEX_PLAIN = [
     (r"(?U)\$\s*\^\s*([\d\s]+?)\s*\\%\s*\$", "$1%"),
     (r"(?U)\$\s*\.\s*(\d[\d\s]*?)\s*\\?\s*%\s*\$", "0.$1%"),
 ]
+#: Fixed patterns of formula debris that is rebuilt from its parts.
 LATEX_COMPARED = r"(?U)\$\s*\{\s*\}\s*\^\s*\{\s*([<>])\s*\}\s*([\d\s]+?)\s*\$"
 LATEX_TT = r"(?U)\$\s*\{\s*\\tt\s*([<>])\s*\}\s*([\d\s]+?)\s*(?:\{\s*\\tt\s*\)\s*\})?\s*\$"
 LATEX_NUMBER = r"(?U)\$\s*([\d\s.,]{1,20})\s*(\\%)?\s*\$"
@@ -91,6 +99,10 @@ def unwrap_numbers(c: Column) -> Column:
 
 
 def fix_latex(c: Column) -> Column:
+    return where_has(c, ("$", "\\textcircled"), latex_fixed)
+
+
+def latex_fixed(c: Column) -> Column:
     compared = each_match(
         c, LATEX_COMPARED, lambda m: F.concat(F.regexp_extract(m, LATEX_COMPARED, 1), without_blanks(F.regexp_extract(m, LATEX_COMPARED, 2)))
     )
@@ -101,7 +113,7 @@ def fix_latex(c: Column) -> Column:
     return unwrap_numbers(replaced(tt, LATEX_PLAIN))
 
 
-#: A Markdown table for deduplication: lines that start and end with a pipe, each with its LF.
+#: Fixed pattern: a Markdown table for deduplication: lines that start and end with a pipe, each with its LF.
 PIPE_TABLE = r"(?md)(?:^\|.+\|\n)+"
 
 
@@ -126,11 +138,10 @@ def dedup_tables(c: Column) -> Column:
     return let(c, done)
 
 
+#: Fixed patterns: an HTML table, and a heading that says that the table before it goes on.
 HTML_TABLE = r"(?is)<table[^>]*>.*?</table>"
 CONTINUED = r"(?iU)^#{1,6}\s+.+\((續|cont'?d|continued)\)\s*$"
-
-
-HAS_CONTINUED = r"(?imU)^#{1,6}\s+.+\((續|cont'?d|continued)\)\s*$"
+HAS_CONTINUED = CONTINUED.replace("(?iU)", "(?imU)")
 
 
 def stitch_tables(c: Column) -> Column:
@@ -177,6 +188,6 @@ def clean_markdown(docs: DataFrame, stitch: bool = True, dedup: bool = True) ->
 
 def post_clean(c: Column) -> Column:
     c = F.regexp_replace(c, "\r\n?", "\n")
-    c = F.regexp_replace(c, r"(?mdU)^\|\s*\|\s*$", "")
-    c = F.regexp_replace(c, r"(?U)\n\|\s*(?::?-{2,}:?\s*\|\s*)+(?::?-{2,}:?)\s*\|?\s*\n(?![|\-])", "\n")
+    rules = [(r"(?mdU)^\|\s*\|\s*$", ""), (r"(?U)\n\|\s*(?::?-{2,}:?\s*\|\s*)+(?::?-{2,}:?)\s*\|?\s*\n(?![|\-])", "\n")]
+    c = where_has(c, ("|",), lambda x: replaced(x, rules))
     return F.concat(strip(rstrip_lines(collapse_newlines(c))), F.lit("\n"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed patterns, which results hang on.
 #: White space of Unicode, with the four information separators that Java's class lacks.
 BLANK = r"[\s\x1c-\x1f]"
 #: Line ends other than LF that end a line when a whole document is cut into lines.
@@ -43,15 +44,27 @@ def is_blank(c: Column) -> Column:
 
 def heading_level(line: Column) -> Column:
     """1 to 6, or 0 for a line that is no heading."""
-    return F.length(F.regexp_extract(line, HEADING, 1))
+    return F.when(line.startswith("#"), F.length(F.regexp_extract(line, HEADING, 1))).otherwise(0)
 
 
 def heading_text(line: Column) -> Column:
-    return strip(F.regexp_extract(line, HEADING, 2))
+    return F.when(line.startswith("#"), strip(F.regexp_extract(line, HEADING, 2))).otherwise("")
 
 
 def is_fence(line: Column) -> Column:
-    return line.rlike(FENCE)
+    return line.contains("```") & line.rlike(FENCE)
+
+
+def where_has(c: Column, marks: tuple[str, ...], body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` for texts with one of ``marks``, without which the body changes nothing: a plain search spares its patterns."""
+
+    def tried(x: Column) -> Column:
+        has = x.contains(marks[0])
+        for m in marks[1:]:
+            has = has | x.contains(m)
+        return F.when(has, body(x)).otherwise(x)
+
+    return let(c, tried)
 
 
 def token_estimate(c: Column) -> Column:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import is_blank, is_table_separator, let, strip, strip_lf
 from .sections import joined_lines
@@ -45,52 +41,50 @@ def table_rows(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: ~is_blank(x))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def pack_many_rows(text: pd.Series, limit: pd.Series) -> pd.Series:
-    """The same packing for long tables, in time linear in their rows."""
+#: How many items a pushed list gathers before they move to its full part, so that a push copies few of them.
+GATHERED = 256
+
+
+def nothing_pushed(kind: str) -> list[Column]:
+    return [F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("few")]
+
+
+def pushed(acc: Column, when: Column, x: Column) -> list[Column]:
+    """``acc`` with ``x`` at its end if ``when``; a list of n items costs n * sqrt(n) steps at most, not n * n."""
+    few = F.array_append(acc["few"], x)
+    moves = F.size(acc["few"]) >= GATHERED
+    return [
+        F.when(when & moves, F.array_append(acc["full"], few)).otherwise(acc["full"]).alias("full"),
+        F.when(~when, acc["few"]).when(moves, F.slice(acc["few"], 1, 0)).otherwise(few).alias("few"),
+    ]
+
+
+def all_pushed(acc: Column) -> Column:
+    return F.flatten(F.array_append(acc["full"], acc["few"]))
+
 
-    def groups(table: str, most: int) -> list[str]:
-        rows = [x for x in table.split("\n") if x.strip()]
-        head, size = rows[:2], sum(map(len, rows[:2])) + 2
-        out, cur, n = [], [], size
-        for row in rows[2:]:
-            if cur and n + len(row) + 1 > most:
-                out.append(cur)
-                cur, n = [], size
-            cur.append(row)
-            n += len(row) + 1
-        return ["\n".join(head + g) for g in [*out, cur]]
+def group_starts(sizes: Column, limit: Column) -> Column:
+    """Where each group starts (from 1) if items are packed into groups of at most ``limit``, one item at least."""
+    start = F.struct(*nothing_pushed("int"), F.lit(0).alias("i"), F.lit(0).alias("n"))
 
-    return pd.Series([None if x is None else groups(x, m) for x, m in zip(text, limit, strict=True)])
+    def step(acc: Column, size: Column) -> Column:
+        new = (acc["i"] == 0) | (acc["n"] + size > limit)
+        return F.struct(*pushed(acc, new, acc["i"] + 1), (acc["i"] + 1).alias("i"), F.when(new, size).otherwise(acc["n"] + size).alias("n"))
 
+    return F.aggregate(sizes, start, step, all_pushed)
 
-def split_table(text: Column, max_chars: int = 1800, long_rows: int = 500) -> Column:
+
+def split_table(text: Column, max_chars: int = 1800) -> Column:
     """A table as an array of tables of about ``max_chars``, each with header and separator."""
-    rows = table_rows(text)
-    head = F.length(F.get(rows, F.lit(0))) + F.length(F.get(rows, F.lit(1))) + 2
-    data = F.slice(rows, F.lit(3), F.greatest(F.size(rows) - 2, F.lit(0)))
-    # The header's size is part of every group; packing is done on the rest of the limit.
-    packed = greedy_by(data, F.lit(max_chars) - head)
-    made = F.transform(packed, lambda g: F.array_join(F.concat(F.slice(rows, 1, 2), g), "\n"))
-    many = F.size(rows) > long_rows
-    long = pack_many_rows(F.when(many, text), F.lit(max_chars))
-    return F.when(F.size(rows) < 3, F.array(text)).when(many, long).otherwise(made)
-
-
-def greedy_by(items: Column, limit: Column) -> Column:
-    """Rows (with their LF) packed into groups of at most ``limit`` characters, one at least."""
-    start = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        size = F.length(x) + 1
-        full = (acc["n"] + size > limit) & (F.size(acc["cur"]) > 0)
-        return F.struct(
-            F.when(full, F.array_append(acc["out"], acc["cur"])).otherwise(acc["out"]).alias("out"),
-            F.when(full, F.array(x)).otherwise(F.array_append(acc["cur"], x)).alias("cur"),
-            F.when(full, size).otherwise(acc["n"] + size).alias("n"),
-        )
 
-    return F.aggregate(items, start, step, lambda acc: F.array_append(acc["out"], acc["cur"]))
+    def cut(rows: Column) -> Column:
+        head = F.slice(rows, 1, 2)
+        used = F.length(F.get(rows, F.lit(0))) + F.length(F.get(rows, F.lit(1))) + 2
+        data = F.slice(rows, F.lit(3), F.greatest(F.size(rows) - 2, F.lit(0)))
+        made = lambda starts: F.transform(starts, lambda s, i: F.array_join(F.concat(head, F.slice(data, s, F.coalesce(F.get(starts, i + 1), F.size(data) + 1) - s)), "\n"))
+        return F.when(F.size(rows) < 3, F.array(text)).otherwise(let(group_starts(F.transform(data, lambda x: F.length(x) + 1), F.lit(max_chars) - used), made))
+
+    return let(table_rows(text), cut)
 
 
 def split_keeping(text: Column, sep: str) -> Column:
@@ -104,18 +98,21 @@ def split_keeping(text: Column, sep: str) -> Column:
 
 def merge_with_overlap(pieces: Column, max_chars: int = 1800, overlap: int = 80) -> Column:
     """Pieces joined up to ``max_chars``; a new part starts with the last ``overlap`` characters of the one before."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    start = F.struct(*nothing_pushed("string"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 
     def step(acc: Column, p: Column) -> Column:
-        cur = acc["cur"]
-        tail = F.when(F.length(cur) > overlap, F.substring(cur, -overlap, overlap)).otherwise("") if overlap else F.lit("")
-        fits = (cur == "") | (F.length(cur) + F.length(p) <= max_chars)
+        cur, n, size = acc["cur"], acc["n"], F.length(p)
+        full = (n > 0) & (n + size > max_chars)
+        tailed = (n > overlap) & F.lit(overlap > 0)
+        tail = F.when(tailed, F.substring(cur, -max(overlap, 1), max(overlap, 1))).otherwise("")
         return F.struct(
-            F.when(fits, acc["out"]).otherwise(F.array_append(acc["out"], cur)).alias("out"),
-            F.when(fits, F.concat(cur, p)).otherwise(F.concat(tail, p)).alias("cur"),
+            *pushed(acc, full, cur),
+            F.when(full, F.concat(tail, p)).otherwise(F.concat(cur, p)).alias("cur"),
+            F.when(full, F.when(tailed, overlap).otherwise(0) + size).otherwise(n + size).alias("n"),
         )
 
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["cur"] != "", F.array_append(acc["out"], acc["cur"])).otherwise(acc["out"]))
+    done = lambda acc: F.when(acc["n"] > 0, F.array_append(all_pushed(acc), acc["cur"])).otherwise(all_pushed(acc))
+    return F.aggregate(pieces, start, step, done)
 
 
 def hard_split(text: Column, max_chars: int = 1800, overlap: int = 80) -> Column:
@@ -124,41 +121,39 @@ def hard_split(text: Column, max_chars: int = 1800, overlap: int = 80) -> Column
     return F.when(F.length(text) > 0, F.transform(at, lambda i: F.substring(text, i, F.lit(max_chars)))).otherwise(F.array().cast("array<string>"))
 
 
-def cut_text(text: str, max_chars: int, overlap: int, depth: int = 0) -> list[str]:
-    """Cut at the coarsest separator that occurs, pieces that are still too long at finer ones."""
-    if len(text) <= max_chars:
-        return [text]
-    while depth < len(SEPARATORS) and SEPARATORS[depth] not in text:
-        depth += 1
-    if depth == len(SEPARATORS):
-        return [text[i : i + max_chars] for i in range(0, len(text), max(1, max_chars - overlap))]
-    sep = SEPARATORS[depth]
-    *ended, last = text.split(sep)
-    whole = [x + sep for x in ended if x] + [last] * bool(last)
-    fine = (y for x in whole for y in cut_text(x, max_chars, overlap, depth + 1))
-    return list(packed(fine, max_chars, overlap))
-
-
-def packed(pieces: Iterator[str], max_chars: int, overlap: int) -> Iterator[str]:
-    held = ""
-    for piece in pieces:
-        if held and len(held) + len(piece) > max_chars:
-            yield held
-            held = held[-overlap:] if 0 < overlap < len(held) else ""
-        held += piece
-    if held:
-        yield held
-
-
-def recursive_split(text: Column, max_chars: int = 1800, overlap: int = 80) -> Column:
-    """Prose as an array of parts of about ``max_chars``; only longer texts reach Python."""
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else cut_text(x, max_chars, overlap))
-
-    long = F.length(text) > max_chars
-    return F.when(long, cut(F.when(long, text))).otherwise(F.array(text))
+def recursive_split(column: str = "text", max_chars: int = 1800, overlap: int = 80) -> Column:
+    """The prose of ``column`` as an array of parts of about ``max_chars``, cut at the coarsest separator that occurs.
+
+    Pieces that are still too long are cut at finer separators, each by one level of functions inside
+    the one before, and joined again as by ``merge_with_overlap``; what is left without any is cut at fixed places.
+    Null gives null. It is written as SQL, which builds the thirteen levels in a fraction of the time.
+    """
+
+    def pieces(x: str, sep: str) -> str:
+        if sep == "\n\n":  # may overlap itself
+            kept = f"transform(w, (q, i) -> CASE WHEN q = '' THEN NULL WHEN i < size(w) - 1 THEN concat(q, '{sep}') ELSE q END)"
+            return f"get(transform(array(split({x}, '{sep}', -1)), w -> filter({kept}, q -> q IS NOT NULL)), 0)"
+        return rf"filter(split({x}, r'(?<=\Q{sep}\E)', -1), q -> q <> '' AND q <> '{sep}')"
+
+    def joined(parts: str, d: int) -> str:
+        a, p, held = f"a{d}", f"p{d}", f"flatten(array_append(a{d}.full, a{d}.few))"
+        tailed, moves = (f"{a}.n > {overlap}" if overlap else "false"), f"size({a}.few) >= {GATHERED}"
+        return f"""aggregate({parts}, named_struct('full', CAST(array() AS ARRAY<ARRAY<STRING>>), 'few', CAST(array() AS ARRAY<STRING>), 'cur', '', 'n', 0),
+            ({a}, {p}) -> CASE WHEN {a}.n = 0 OR {a}.n + length({p}) <= {max_chars}
+              THEN named_struct('full', {a}.full, 'few', {a}.few, 'cur', concat({a}.cur, {p}), 'n', {a}.n + length({p}))
+              ELSE named_struct('full', IF({moves}, array_append({a}.full, array_append({a}.few, {a}.cur)), {a}.full),
+                'few', IF({moves}, slice({a}.few, 1, 0), array_append({a}.few, {a}.cur)),
+                'cur', concat(IF({tailed}, substring({a}.cur, -{overlap}, {overlap}), ''), {p}), 'n', IF({tailed}, {overlap}, 0) + length({p})) END,
+            {a} -> IF({a}.n > 0, array_append({held}, {a}.cur), {held}))"""
+
+    def cut(x: str, d: int) -> str:
+        if d == len(SEPARATORS):
+            return f"IF(length({x}) > {max_chars}, transform(sequence(1, greatest(length({x}), 1), {max(1, max_chars - overlap)}), i -> substring({x}, i, {max_chars})), array({x}))"
+        has = f"contains({x}, '{SEPARATORS[d]}')"
+        finer = f"flatten(transform(IF({has}, {pieces(x, SEPARATORS[d])}, array({x})), x{d + 1} -> {cut(f'x{d + 1}', d + 1)}))"
+        return f"IF(length({x}) <= {max_chars}, array({x}), get(transform(array({finer}), r{d} -> IF({has}, {joined(f'r{d}', d)}, r{d})), 0))"
+
+    return F.expr(f"IF(`{column}` IS NULL, NULL, get(transform(array(`{column}`), x0 -> {cut('x0', 0)}), 0))")
 
 
 def semantic_groups(paragraphs: DataFrame, threshold: float = 0.6, window: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

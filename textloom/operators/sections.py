@@ -1,6 +1,10 @@
 """Sections of Markdown documents, their breadcrumbs, and the merging of small ones.
 
 Every window is partitioned by document, so that one exchange on doc_id serves them all.
+
+Null texts are empty ones; an empty or blank text has no section, and an empty table none either. Documents with one
+doc_id mix: ids are to be unique. Equal headings are told apart by ``sec``. Other columns are dropped unless they are named in
+``also``, which takes any name but those of the result and ``_g``, ``_n``, ``m`` and ``x``.
 """
 
 from __future__ import annotations
@@ -26,9 +30,14 @@ def joined_lines(pos: str, line: Column, keep: Column) -> Column:
     return F.array_join(F.transform(rows, lambda r: r["line"]), "\n")
 
 
-def parse_sections(docs: DataFrame) -> DataFrame:
-    """(doc_id, sec, level, heading, body): headings outside code fences start sections; sec 0 is a preamble."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", LINE_END, -1)).alias("pos", "line"))
+def parse_sections(docs: DataFrame, also: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+    """(doc_id, *also, sec, level, heading, body): headings outside code fences start sections; sec 0 is a preamble.
+
+    An empty preamble goes, unless ``every`` asks for it, so that each document has a row.
+    """
+    # The line put first has no part in the result: it is the preamble of documents that start with a heading.
+    split = F.concat(F.array(F.lit("")), F.split(F.coalesce("text", F.lit("")), LINE_END, -1))
+    lines = docs.select("doc_id", *also, F.posexplode(split).alias("pos", "line"))
     so_far = Window.partitionBy("doc_id").orderBy("pos")
     fence = is_fence(F.col("line"))
     fences = F.sum(fence.cast("int")).over(so_far)
@@ -38,8 +47,10 @@ def parse_sections(docs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("is_heading"), heading_level(F.col("line"))).otherwise(0)).alias("level"),
         F.max(F.when(F.col("is_heading"), heading_text(F.col("line"))).otherwise("")).alias("heading"),
         strip_lf(joined_lines("pos", F.col("line"), ~F.col("is_heading"))).alias("body"),
+        *(F.first(c).alias(c) for c in also),
     )
-    return found.where("level > 0 or body <> ''").select("doc_id", F.col("sec").cast("int").alias("sec"), "level", "heading", "body")
+    found = found if every else found.where("level > 0 or body <> ''")
+    return found.select("doc_id", *also, F.col("sec").cast("int").alias("sec"), "level", "heading", "body")
 
 
 def with_breadcrumbs(sections: DataFrame) -> DataFrame:
@@ -80,20 +91,22 @@ def with_document(sections: DataFrame) -> DataFrame:
     ).drop("_n")
 
 
-def merge_small_sections(walked: DataFrame, max_chars: int = 1800) -> DataFrame:
+def merge_small_sections(walked: DataFrame, max_chars: int = 1800, also: tuple[str, ...] = (), every: bool = False) -> DataFrame:
     """Each primary section takes in the sections up to the next one if all fit in ``max_chars``.
 
-    ``walked`` has doc_id, sec, level, heading, body, breadcrumb, primary_level and title; so has
-    the result. Sections before the first primary one stay as they are.
+    ``walked`` has doc_id, *also, sec, level, heading, body, breadcrumb, primary_level and title; so has
+    the result. Sections before the first primary one stay as they are. Sections left without a body
+    go where they say nothing, unless ``every`` asks for them.
     """
     so_far = Window.partitionBy("doc_id").orderBy("sec")
     group = F.sum((F.col("level") == F.col("primary_level")).cast("int")).over(so_far)
     grouped = walked.withColumn("_g", group)
-    before = grouped.where("_g = 0").where(~((F.col("level") == 0) & is_blank(F.col("body")))).drop("_g")
+    before = grouped.where("_g = 0").drop("_g")
+    before = before if every else before.where(~((F.col("level") == 0) & is_blank(F.col("body"))))
     member = F.struct("sec", "level", "heading", "body", "breadcrumb")
     rows = (
         grouped.where("_g > 0")
-        .groupBy("doc_id", "_g", "primary_level", "title")
+        .groupBy("doc_id", *also, "_g", "primary_level", "title")
         .agg(F.array_sort(F.collect_list(member)).alias("m"))
     )
     first = F.get("m", F.lit(0))
@@ -108,9 +121,9 @@ def merge_small_sections(walked: DataFrame, max_chars: int = 1800) -> DataFrame:
         F.col("_merged").alias("body"), first["breadcrumb"].alias("breadcrumb"),
     )
     fits = (F.length("_merged") <= max_chars) | (F.size("m") == 1)
-    apart = F.filter("m", lambda x, i: (i > 0) | ~is_blank(x["body"]))
+    apart = F.col("m") if every else F.filter("m", lambda x, i: (i > 0) | ~is_blank(x["body"]))
     out = rows.withColumn("_merged", merged).withColumn("x", F.explode(F.when(fits, F.array(one)).otherwise(apart)))
-    return before.unionByName(out.select("doc_id", "x.*", "primary_level", "title"))
+    return before.unionByName(out.select("doc_id", *also, "x.*", "primary_level", "title"))
 
 
 def section_summary(body: Column, heading: Column, has_table: Column, limit: int = 300, back: int = 8) -> Column:
@@ -128,6 +141,6 @@ def section_summary(body: Column, heading: Column, has_table: Column, limit: int
     return F.when(F.length(body) <= limit, body).otherwise(marked)
 
 
-def walked_sections(docs: DataFrame) -> DataFrame:
+def walked_sections(docs: DataFrame, also: tuple[str, ...] = (), every: bool = False) -> DataFrame:
     """Sections with breadcrumb, primary level and title."""
-    return with_document(with_breadcrumbs(parse_sections(docs)))
+    return with_document(with_breadcrumbs(parse_sections(docs, also, every)))

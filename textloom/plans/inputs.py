@@ -76,7 +76,7 @@ def nation_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noisy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with extraction debris put in, by the remainder of their id."""
-    kind = F.col("doc_id") % 8
+    kind = F.col("doc_id") % 12
     noise = F.lit("")
     for k, text in NOISE.items():
         noise = F.when(kind == k, F.lit(text)).otherwise(noise)
@@ -92,6 +92,10 @@ NOISE = {
     5: "one<br>two<BR/>three ",
     6: "AB\n\nAB\n\nC\n \ntext\n. dot\n",
     7: "a\r\nb\rc $5 $10 ",
+    8: "\\textcircled { \\textbf { 7 } } \\% ",
+    9: "$ \\left ( { \\mathfrak { b } } \\right ) $ ",
+    10: "25 $^ \\circ$ ",
+    11: "$ 12.5 % $ ",
 }
 
 
@@ -104,6 +108,25 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.concat(F.lit(head), "rows", F.lit("</table>")).alias("html"))
 
 
+SPANNED = (
+    ("<tr><th rowspan=2>key</th><th colspan='2'>", "</th></tr><tr><th>first</th><th>last</th></tr><tr><td>1</td><td>a</td><td>b</td></tr>"),
+    ("<tr><td>k</td><td>v</td></tr><tr><td>1</td><td>2</td></tr><tr><td colspan=2>note ", "</td></tr>"),
+    ("<tr><td>", "</td></tr><tr><td>one</td></tr><tr><td>two</td></tr>"),
+    ("<tr><td>a</td><td>x x tail tail tail</td></tr><tr><td>1</td><td>", " | y</td></tr>"),
+    ("<tr><td>a</td><td></td></tr><tr></tr><tr><td> </td><td></td></tr><tr><td>", "</td><td>1</td></tr>"),
+    ("<tr><td rowspan=9>", "</td><td>1</td></tr><tr><td>2</td></tr><tr><td>3</td><td>more</td></tr>"),
+)
+
+
+def spanned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, html): for each customer one of six tables with spans, notes, one column, repeated words, blanks, or spans past the end."""
+    customer = table(spark, sf_dir, "customer")
+    kind, html = F.col("c_custkey") % len(SPANNED), F.lit("")
+    for k, (head, tail) in enumerate(SPANNED):
+        html = F.when(kind == k, F.concat(F.lit(f"<table>{head}"), "c_name", F.lit(f"{tail}</table>"))).otherwise(html)
+    return customer.select(F.col("c_custkey").cast("long").alias("doc_id"), html.alias("html"))
+
+
 def continued_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nation's HTML table, cut in two by a heading that says so for even keys, and by another for odd ones."""
     nation = table(spark, sf_dir, "nation")
@@ -128,7 +151,10 @@ def repeated_table_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_of_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page_no, text): a document's text in stretches of 1,000 characters."""
-    docs = text_docs(spark, sf_dir)
+    return paged(text_docs(spark, sf_dir))
+
+
+def paged(docs: DataFrame) -> DataFrame:
     at = F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / 1000).cast("int"))
     return docs.select("doc_id", "text", F.explode(at).alias("i")).select("doc_id", (F.col("i") + 1).alias("page_no"), F.expr("substring(text, i * 1000 + 1, 1000)").alias("text"))
 

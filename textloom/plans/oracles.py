@@ -173,11 +173,12 @@ t5 AS (SELECT doc_id, chunk, step, min(CAST(hits * 5 >= n AS INT)) OVER (PARTITI
 t6 AS (SELECT doc_id, chunk, max(CASE WHEN ok = 1 THEN step END) AS steps FROM t5 GROUP BY ALL),
 rg AS (SELECT mt.doc_id, mt.chunk, page_start, CAST(page_start + coalesce(steps, 0) AS INTEGER) AS page_end FROM mt LEFT JOIN t6 ON mt.doc_id = t6.doc_id AND mt.chunk = t6.chunk)"""
 
-NOISY = f"""m AS (SELECT doc_id, CASE doc_id % 8
+NOISY = f"""m AS (SELECT doc_id, CASE doc_id % 12
     WHEN 0 THEN 'a $ 1 2 . 5 $ b $ 3 \\% $ ' WHEN 1 THEN '$^ 4 5 \\%$ ' WHEN 2 THEN '$ . 5 0 \\%$ ' WHEN 3 THEN 'x$\\ddagger$ y $^ +$ '
     WHEN 4 THEN '![i](u)' || {LF} || {LF} || 'next ' WHEN 5 THEN 'one<br>two<BR/>three '
     WHEN 6 THEN 'AB' || {LF} || {LF} || 'AB' || {LF} || {LF} || 'C' || {LF} || ' ' || {LF} || 'text' || {LF} || '. dot' || {LF}
-    ELSE 'a' || chr(13) || {LF} || 'b' || chr(13) || 'c $5 $10 ' END || coalesce(text, '') ||
+    WHEN 7 THEN 'a' || chr(13) || {LF} || 'b' || chr(13) || 'c $5 $10 ' WHEN 8 THEN '\\textcircled {{ \\textbf {{ 7 }} }} \\% '
+    WHEN 9 THEN '$ \\left ( {{ \\mathfrak {{ b }} }} \\right ) $ ' WHEN 10 THEN '25 $^ \\circ$ ' ELSE '$ 12.5 % $ ' END || coalesce(text, '') ||
     '  ' || {LF} || {LF} || {LF} || {LF} || '· item  ' || {LF} || {LF} || 'OK' || {LF} || {LF} || 'end' || chr(9) || {LF} AS text FROM documents)"""
 
 
@@ -202,6 +203,7 @@ CLEAN = [
 ]
 LATEX = [
     (r"\\textcircled\s*\{\s*\\textbf\s*\{\s*(\d+)\s*\}\s*\}\s*\\%", r"\1%"),
+    (r"\$\s*\\left\s*\(\s*\{\s*\\mathfrak\s*\{\s*(\w+)\s*\}\s*\}\s*\\right\s*\)\s*\$", r"(\1)"),
     (r"\$\s*\\ddagger\s*\$", "‡"),
     (r"\$\s*\^\s*\+\s*\$", "⁺"),
     (r"\$\s*\^\s*\\circ\s*\$", ""),
@@ -211,3 +213,122 @@ LATEX = [
 ]
 NUMBER = r"\$\s*[\d\s.,]{1,20}\s*(?:\\%)?\s*\$"
 NUMBER_PARTS = r"\$\s*([\d\s.,]{1,20})\s*(\\%)?\s*\$"
+
+SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ", "，", ", ", " ")
+
+
+def recursive(source: str, most: int = 1800, overlap: int = 80) -> str:
+    """parts(doc_id, parts): texts of ``source`` (doc_id, text) cut separator by separator, then joined from the finest level up.
+
+    Every level appends a number to a piece's path; on the way back pieces with one parent are joined.
+    """
+    quoted = lambda x: " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in x)
+    out = f"f0 AS (SELECT doc_id, CAST([] AS INTEGER[]) AS path, text FROM {source})"
+    for d, sep in enumerate(SEPARATORS):
+        out += f""",
+g{d} AS MATERIALIZED (SELECT *, length(text) > {most} AND contains(text, {quoted(sep)}) AS cut FROM f{d}),
+k{d} AS (SELECT doc_id, path, unnest(string_split(text, {quoted(sep)})) AS x, generate_subscripts(string_split(text, {quoted(sep)}), 1) AS i, len(string_split(text, {quoted(sep)})) AS n FROM g{d} WHERE cut),
+f{d + 1} AS (SELECT doc_id, list_append(path, CAST(i AS INTEGER)) AS path, CASE WHEN i < n THEN x || {quoted(sep)} ELSE x END AS text FROM k{d} WHERE x <> ''
+  UNION ALL SELECT doc_id, list_append(path, 0), text FROM g{d} WHERE NOT cut)"""
+    last = len(SEPARATORS)
+    out += f""",
+o{last} AS (SELECT doc_id, path, CASE WHEN length(text) > {most} THEN list_transform(range((length(text) - 1) // {most - overlap} + 1), lambda i: substring(text, i * {most - overlap} + 1, {most})) ELSE [text] END AS parts FROM f{last})"""
+    for d in reversed(range(last)):
+        out += f""",
+q{d} AS (SELECT doc_id, path[1:{d}] AS path, flatten(list(parts ORDER BY path)) AS parts FROM o{d + 1} GROUP BY doc_id, path[1:{d}]),
+r{d} AS (SELECT doc_id, path, cut, parts, CASE WHEN cut THEN list_reduce(parts, lambda a, p: CASE WHEN a.cur = '' OR length(a.cur) + length(p) <= {most} THEN {{'out': a.out, 'cur': a.cur || p}}
+  ELSE {{'out': list_append(a.out, a.cur), 'cur': CASE WHEN length(a.cur) > {overlap} THEN right(a.cur, {overlap}) ELSE '' END || p}} END, {{'out': CAST([] AS VARCHAR[]), 'cur': ''}}) END AS a
+  FROM q{d} JOIN g{d} USING (doc_id, path)),
+o{d} AS MATERIALIZED (SELECT doc_id, path, CASE WHEN NOT cut THEN parts WHEN a.cur <> '' THEN list_append(a.out, a.cur) ELSE a.out END AS parts FROM r{d})"""
+    return out + ",\nprose_parts AS (SELECT doc_id, parts FROM o0)"
+
+#: Conversations and regions as one set of documents, as ``registry._all_docs`` has them.
+ALL_DOCS = f"""{CONV.replace("m AS", "mc AS")}, {REGIONS.replace("m AS (SELECT CAST", "mr AS (SELECT CAST")},
+m AS (SELECT doc_id, 'conv_' || doc_id AS id_prefix, text FROM mc UNION ALL SELECT -1 - doc_id, 'region_' || doc_id, text FROM mr)"""
+
+CLEAN_FIRST = [(r"!\[[^\]]*\]\([^)]+\)\s*", ""), (r"(?m)^#\s*$", "")]
+CLEAN_LAST = [
+    (r"(?i)<br\s*/?>", ""),
+    (r"(?m)^[ \t]*[·•]\s*", "- "),
+    (r"(?m)^[ \t]*\.\s+(\S)", r"- \1"),
+    (r"\n\s*[A-Z]{1,3}\s*\n", "\n"),
+    (r"[ \t\f\v\r]+(\n|\z)", r"\1"),
+    (r"\n{3,}", "\n\n"),
+    (r"\A\s+|\s+\z", ""),
+    (r"\r\n?", "\n"),
+    (r"\n{3,}", "\n\n"),
+    (r"[ \t\f\v\r]+(\n|\z)", r"\1"),
+    (r"\A\s+|\s+\z", ""),
+]
+
+
+def cleaned(source: str, out: str, keep: str = "doc_id") -> str:
+    """The cleaning of texts without HTML tables, folded blocks, compared numbers and pipe tables that repeat."""
+    return f"""{out}0 AS (SELECT {keep}, {chain(chain("text", CLEAN_FIRST), LATEX)} AS text FROM {source}),
+{out}1 AS (SELECT {keep}, text, regexp_extract_all(text, '{NUMBER}') AS found, regexp_split_to_array(text, '{NUMBER}') AS gaps FROM {out}0),
+{out}2 AS (SELECT *, list_transform(found, lambda x: CASE
+    WHEN regexp_replace(regexp_extract(x, '{NUMBER_PARTS}', 1), '\\s+', '', 'g') = '' AND regexp_extract(x, '{NUMBER_PARTS}', 2) = '' THEN x
+    ELSE regexp_replace(regexp_extract(x, '{NUMBER_PARTS}', 1), '\\s+', '', 'g') || CASE WHEN regexp_extract(x, '{NUMBER_PARTS}', 2) <> '' THEN '%' ELSE '' END END) AS made FROM {out}1),
+{out}3 AS (SELECT {keep}, CASE WHEN len(found) = 0 THEN text ELSE array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(made[i], '')), '') END AS text FROM {out}2),
+{out} AS (SELECT {keep}, {chain("text", CLEAN_LAST)} || {LF} AS text FROM {out}3)"""
+
+
+_TABLE_LINES = f"len(list_filter(range(1, len(lines)), lambda i: contains(lines[i], '|') AND coalesce({SEPARATOR.format('lines[i + 1]')}, false))) > 0"
+_BLOCK = BLOCKS.removeprefix(REGIONS + ", ").removeprefix(LINES.replace("ln AS", "l0 AS")).lstrip(",\n")
+
+
+def chunked(docs: str) -> str:
+    """rows(...): all chunks of m (doc_id, id_prefix, text), which the CTEs ``docs`` define, with the fields of the review rows."""
+    blocks = _BLOCK.replace("PARTITION BY doc_id", "PARTITION BY doc_id, sec").replace("SELECT doc_id", "SELECT doc_id, sec")
+    packed = PACKED.removeprefix(BLOCKS).lstrip(",\n").replace("doc_id, blk", "doc_id, sec, blk")
+    summary = SUMMARY.replace("su0 AS (SELECT *,", f"su0 AS (SELECT *, {_TABLE_LINES.replace('lines', f'string_split(body, {LF})')} AS has_table,")
+    summary = summary.replace("ELSE\n         regexp", f"ELSE CASE WHEN has_table THEN '本章节包含表格数据: ' || heading || {LF} || {LF} ELSE '' END ||\n         regexp")
+    none, text = "CAST(NULL AS INTEGER)", "CAST(NULL AS VARCHAR)"
+    return f"""{docs}, {MERGED}, {summary},
+sec_chunks AS MATERIALIZED (SELECT doc_id, sec, level, heading, body, breadcrumb, has_table, length(body) > 1800 AS is_long, CASE WHEN length(body) > 1800 THEN summary ELSE body END AS content FROM su),
+l0 AS (SELECT doc_id, sec, unnest(string_split(body, {LF})) AS line, generate_subscripts(string_split(body, {LF}), 1) - 1 AS pos FROM sec_chunks WHERE is_long),
+{blocks}, {packed},
+table_texts AS (SELECT doc_id, sec, blk, part, parts, rows, rows[1] || {LF} || rows[2] || {LF} AS head, g, rows[1] || {LF} || rows[2] || {LF} || array_to_string(g, {LF}) AS content FROM parts),
+tw AS (SELECT doc_id, sec, blk, part, head || unnest(g) AS content, CAST(generate_subscripts(g, 1) AS INTEGER) AS row FROM table_texts WHERE parts > 1),
+prose_texts AS (SELECT {{'d': doc_id, 's': sec, 'b': blk}} AS doc_id, text FROM blocks WHERE kind = 'prose'), {recursive("prose_texts")},
+pr AS (SELECT doc_id.d AS doc_id, doc_id.s AS sec, doc_id.b AS blk, CAST(generate_subscripts(parts, 1) AS INTEGER) AS part, unnest(parts) AS content FROM prose_parts),
+hs AS (SELECT doc_id, string_agg('- ' || heading, {LF} ORDER BY sec) AS h FROM s JOIN pl USING (doc_id) WHERE level = primary_level AND heading <> '' GROUP BY doc_id),
+ds AS (SELECT m.doc_id, title, coalesce(title, id_prefix || '.md') AS name, coalesce(title, id_prefix || '.md') || {LF} || {LF} || CASE WHEN h IS NULL THEN '' ELSE '本文件包含以下章节:' || {LF} || h END AS content
+  FROM m LEFT JOIN ti USING (doc_id) LEFT JOIN hs USING (doc_id)),
+crumb AS (SELECT doc_id, sec, heading, level, array_to_string(breadcrumb, ' > ') AS path FROM sec_chunks),
+u0 AS (SELECT doc_id, -1 AS sec, 0 AS blk, 0 AS part, 0 AS row, 'doc_summary' AS chunk_type, coalesce(title, '') AS breadcrumb, name AS section_title, 1 AS heading_level, false AS has_table, {text} AS table_caption,
+    false AS is_split_part, {none} AS split_part_index, {none} AS split_part_total, 'prose' AS content_type, content, '# ' || name || {LF} || {LF} || content AS context, {tokens("content")} AS est_token_count FROM ds
+  UNION ALL SELECT doc_id, sec, 0, 0, 0, 'section', path, heading, level, has_table, CASE WHEN has_table AND NOT is_long THEN heading END, false, {none}, {none}, CASE WHEN has_table THEN 'table' ELSE 'prose' END, content,
+    '# ' || path || {LF} || {LF} || content, CASE WHEN is_long THEN {tokens("content")} ELSE {tokens(f"('# ' || path || {LF} || {LF} || content)")} END FROM sec_chunks JOIN crumb USING (doc_id, sec, heading, level)
+  UNION ALL SELECT doc_id, sec, blk, part, 0, 'leaf', path, heading, level, true, CASE WHEN parts > 1 THEN heading || '（子表 ' || part || '/' || parts || '）' ELSE heading END, parts > 1,
+    CASE WHEN parts > 1 THEN part END, CASE WHEN parts > 1 THEN parts END, 'table', content, '# ' || path || {LF} || {LF} || content, {tokens(f"('# ' || path || {LF} || {LF} || content)")} FROM table_texts JOIN crumb USING (doc_id, sec)
+  UNION ALL SELECT doc_id, sec, blk, part, row, 'table_row', path, heading, level, true, heading || ' 行 ' || row, false, {none}, {none}, 'table', content, '# ' || path || {LF} || {LF} || content, {tokens("content")} FROM tw JOIN crumb USING (doc_id, sec)
+  UNION ALL SELECT doc_id, sec, blk, part, 0, 'leaf', path, heading, level, false, {text}, false, {none}, {none}, 'prose', content, '# ' || path || {LF} || {LF} || content, {tokens(f"('# ' || path || {LF} || {LF} || content)")}
+    FROM pr JOIN crumb USING (doc_id, sec)),
+u1 AS MATERIALIZED (SELECT u0.*, id_prefix, printf('%s_%04d', id_prefix, row_number() OVER (PARTITION BY doc_id ORDER BY sec, blk, part, row)) AS chunk_id FROM u0 JOIN m USING (doc_id)),
+kd AS (SELECT doc_id, chunk_type, sec, blk, part, chunk_id FROM u1 WHERE chunk_type <> 'table_row'),
+u2 AS (SELECT c.*, p.chunk_id AS parent_id FROM u1 c LEFT JOIN kd p ON p.doc_id = c.doc_id AND CASE c.chunk_type WHEN 'section' THEN p.chunk_type = 'doc_summary'
+    WHEN 'leaf' THEN p.chunk_type = 'section' AND p.sec = c.sec WHEN 'table_row' THEN p.chunk_type = 'leaf' AND p.sec = c.sec AND p.blk = c.blk AND p.part = c.part ELSE false END),
+ch1 AS (SELECT doc_id, parent_id AS chunk_id, string_agg(chunk_id, ', ' ORDER BY sec, blk, part) AS children_ids FROM u2 WHERE chunk_type IN ('section', 'leaf') GROUP BY ALL),
+sb AS (SELECT a.doc_id, a.chunk_id, string_agg(b.chunk_id, ', ' ORDER BY b.part) AS sibling_ids FROM u1 a JOIN u1 b ON a.doc_id = b.doc_id AND a.sec = b.sec AND a.blk = b.blk AND a.part <> b.part
+    AND b.chunk_type = 'leaf' WHERE a.chunk_type = 'leaf' AND a.is_split_part GROUP BY ALL),
+rows AS MATERIALIZED (SELECT doc_id, chunk_id, chunk_type, id_prefix || '.md' AS source, '' AS company, breadcrumb, section_title, heading_level, CAST(length(content) AS INTEGER) AS char_count, est_token_count, has_table,
+    coalesce(table_caption, '') AS table_caption, is_split_part, coalesce(CAST(split_part_index AS VARCHAR), '') AS split_part_index, coalesce(CAST(split_part_total AS VARCHAR), '') AS split_part_total,
+    coalesce(parent_id, '') AS parent_id, coalesce(children_ids, '') AS children_ids, coalesce(sibling_ids, '') AS sibling_ids, content_type, content, context AS content_with_context
+  FROM u2 LEFT JOIN ch1 USING (doc_id, chunk_id) LEFT JOIN sb USING (doc_id, chunk_id))"""
+
+
+CHUNKS = chunked(ALL_DOCS)
+
+
+def prepared(level: str) -> str:
+    """rows as by ``chunked``, of documents that are cleaned and have their levels by the heuristic ``level``; rg(doc_id, chunk, page_start, page_end)."""
+    docs = rf"""{ALL_DOCS.replace("m AS (SELECT doc_id, 'conv_'", "raw AS (SELECT doc_id, 'conv_'")}, {cleaned("raw", "cl", "doc_id, id_prefix")},
+lr AS (SELECT doc_id, id_prefix, unnest(string_split(text, {LF})) AS line, generate_subscripts(string_split(text, {LF}), 1) AS pos FROM cl),
+lh AS (SELECT *, regexp_matches(line, '{HEADING}') AS h, regexp_extract(line, '{HEADING}', 2) AS text FROM lr),
+lf AS (SELECT *, CASE WHEN pos = min(CASE WHEN h THEN pos END) OVER (PARTITION BY doc_id) THEN 1 ELSE {level} END AS own FROM lh),
+m AS (SELECT doc_id, id_prefix, string_agg(CASE WHEN h THEN repeat('#', own) || ' ' || text ELSE line END, {LF} ORDER BY pos) AS text FROM lf GROUP BY doc_id, id_prefix)"""
+    pages = f"""pg AS (SELECT doc_id, CAST(i + 1 AS INTEGER) AS page_no, substring(text, i * 1000 + 1, 1000) AS text
+  FROM (SELECT doc_id, text, unnest(range((greatest(length(text), 1) - 1) // 1000 + 1)) AS i FROM raw)),
+ck AS (SELECT doc_id, chunk_id AS chunk, content, section_title FROM rows)"""
+    return f"{chunked(docs)}, {pages}, {RANGED.removeprefix(GRAM_CTE).lstrip(',')}"

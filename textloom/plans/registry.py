@@ -74,9 +74,9 @@ def latex_unwrap(spark, sf_dir):
     return inputs.noisy_docs(spark, sf_dir).select("doc_id", cleaning.unwrap_numbers(F.col("text")).alias("fixed"))
 
 
-@query()
+@query(f"WITH {sql.NOISY}, {sql.cleaned('m', 'c')} SELECT doc_id, text AS cleaned FROM c")
 def clean_documents(spark, sf_dir):
-    """The whole cleaning chain; its look-ahead and per-table steps have no SQL."""
+    """The whole cleaning chain."""
     return cleaning.clean_markdown(inputs.noisy_docs(spark, sf_dir)).select("doc_id", F.col("text").alias("cleaned"))
 
 
@@ -271,15 +271,18 @@ def _all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.conversation_docs(spark, sf_dir).unionByName(inputs.nation_docs(spark, sf_dir).withColumn("doc_id", -1 - F.col("doc_id")))
 
 
-@query()
+@query(
+    f"""WITH {sql.CHUNKS} SELECT count(*) AS n_chunks, min(char_count) AS min_chars, CAST(sum(char_count) // count(*) AS BIGINT) AS avg_chars, max(char_count) AS max_chars,
+      min(est_token_count) AS min_tokens, CAST(sum(est_token_count) // count(*) AS BIGINT) AS avg_tokens, max(est_token_count) AS max_tokens, count(*) FILTER (WHERE has_table) AS n_table,
+      CAST(count(*) FILTER (WHERE has_table) * 100 // count(*) AS BIGINT) AS table_percent, count(*) FILTER (WHERE is_split_part) AS n_split, count(*) FILTER (WHERE char_count < 80) AS n_tiny FROM rows"""
+)
 def chunk_stats(spark, sf_dir):
-    """Statistics of all chunks of all documents; the tests work them out again from the chunks."""
+    """Statistics of all chunks of all documents."""
     return stats.chunk_stats(chunks.chunk_documents(_all_docs(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {sql.CHUNKS} SELECT chunk_type, count(*) AS n FROM rows GROUP BY ALL")
 def chunk_types(spark, sf_dir):
-    """All layers; the tests count them again."""
     return stats.chunk_types(chunks.chunk_documents(_all_docs(spark, sf_dir)))
 
 
@@ -328,9 +331,9 @@ def table_siblings(spark, sf_dir):
     return listed.groupBy("doc_id", "blk", "part").agg(F.array_join(F.transform(parts, lambda x: x.cast("string")), ",").alias("siblings"))
 
 
-@query()
+@query(f"WITH {sql.CHUNKS} SELECT doc_id, chunk_id, replace(children_ids, ', ', ',') AS children FROM rows WHERE children_ids <> ''")
 def chunk_children(spark, sf_dir):
-    """Every chunk that has children, in all layers; the tests compare them with the parents that the children name."""
+    """Every chunk that has children, in all layers."""
     made = chunks.chunk_documents(_all_docs(spark, sf_dir))
     return made.where("size(children_ids) > 0").select("doc_id", "chunk_id", F.array_join("children_ids", ",").alias("children"))
 
@@ -366,10 +369,9 @@ def merge_overlap(spark, sf_dir):
     return inputs.text_docs(spark, sf_dir).select("doc_id", F.posexplode(merged).alias("part", "content"))
 
 
-@query()
+@query(f"WITH {sql.DOCS}, {sql.recursive('docs')} SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS content FROM prose_parts")
 def recursive_split(spark, sf_dir):
-    """Recursion over separators; the tests check that parts cover the text and keep to the limit."""
-    return inputs.text_docs(spark, sf_dir).select("doc_id", F.posexplode(blocks.recursive_split(F.col("text"))).alias("part", "content"))
+    return inputs.text_docs(spark, sf_dir).select("doc_id", F.posexplode(blocks.recursive_split("text")).alias("part", "content"))
 
 
 @query(
@@ -407,6 +409,20 @@ def html_tables(spark, sf_dir):
     return inputs.html_tables(spark, sf_dir).select("doc_id", html_table.table_to_markdown(F.col("html")).alias("md"))
 
 
+@query(
+    f"""SELECT CAST(c_custkey AS BIGINT) AS doc_id, CASE c_custkey % 6
+      WHEN 0 THEN '| key | ' || c_name || ' first | ' || c_name || ' last |' || {LF} || '| --- | --- | --- |' || {LF} || '| 1 | a | b |'
+      WHEN 1 THEN '| k | v |' || {LF} || '| --- | --- |' || {LF} || '| 1 | 2 |' || {LF} || {LF} || 'note ' || c_name
+      WHEN 2 THEN '| ' || c_name || ' |' || {LF} || '| --- |' || {LF} || '| one |' || {LF} || {LF} || 'two'
+      WHEN 3 THEN '| a | x tail tail |' || {LF} || '| --- | --- |' || {LF} || '| 1 | ' || c_name || ' \\| y |'
+      WHEN 4 THEN '| a |  |' || {LF} || '| --- | --- |' || {LF} || '| ' || c_name || ' | 1 |'
+      ELSE '| ' || c_name || ' | 1 |  |' || {LF} || '| --- | --- | --- |' || {LF} || '| ' || c_name || ' | 2 |  |' || {LF} || '| ' || c_name || ' | 3 | more |' END AS md FROM customer"""
+)
+def html_spans(spark, sf_dir):
+    """Tables with spans in rows and columns, joined headers, notes, blank rows and repeated words."""
+    return inputs.spanned_tables(spark, sf_dir).select("doc_id", html_table.table_to_markdown(F.col("html")).alias("md"))
+
+
 @query(
     f"""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '# ' || n_name || {LF} || CASE WHEN n_nationkey % 2 = 0
       THEN '<table>' || {LF} || '<tr><td>a</td><td>' || n_name || '</td></tr>' || {LF} || '<tr><td>b</td><td>' || n_name || '</td></tr>' || {LF} || '</table>'
@@ -461,9 +477,9 @@ def page_match_rate(spark, sf_dir):
 # Review output, batches, the whole.
 
 
-@query()
+@query(f"WITH {sql.CHUNKS} SELECT * EXCLUDE (doc_id) FROM rows")
 def review_projection(spark, sf_dir):
-    """Flat rows of all chunks of all documents; the tests compare them with the chunks."""
+    """Flat rows of all chunks of all documents, with ids, links, contexts and captions."""
     return chunks.review_rows(chunks.chunk_documents(_all_docs(spark, sf_dir)))
 
 
@@ -511,7 +527,30 @@ def review_document(spark, sf_dir):
     return stats.review_markdown(chunks.chunk_documents(inputs.nation_docs(spark, sf_dir)))
 
 
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _all_docs(spark, sf_dir)
+    return prepare_documents(docs, pages=inputs.paged(docs))
+
+
 @query()
 def full_pipeline(spark, sf_dir):
-    """Clean, recover levels, chunk."""
-    return chunks.chunk_records(prepare_documents(_all_docs(spark, sf_dir)))
+    """Clean, recover levels, chunk, attribute pages: the 22 fields of every chunk. ``prepared_rows`` has the same with its lists joined, and SQL."""
+    return chunks.chunk_records(_prepared(spark, sf_dir))
+
+
+_PREPARED = sql.prepared(_LEVEL)
+
+
+@query(f"WITH {_PREPARED} SELECT rows.* EXCLUDE (doc_id), page_start, page_end FROM rows LEFT JOIN rg ON rg.doc_id = rows.doc_id AND rg.chunk = chunk_id")
+def prepared_rows(spark, sf_dir):
+    """The whole preparation, all layers, with pages."""
+    return chunks.review_rows(_prepared(spark, sf_dir), pages=True)
+
+
+@query(
+    f"""WITH {_PREPARED} SELECT count(rg.chunk) AS matched, count(*) - count(rg.chunk) AS unmatched, CAST(count(rg.chunk) * 100 // count(*) AS BIGINT) AS matched_percent,
+      CAST((count(*) - count(rg.chunk)) * 100 // count(*) AS BIGINT) AS unmatched_percent FROM rows LEFT JOIN rg ON rg.doc_id = rows.doc_id AND rg.chunk = chunk_id"""
+)
+def prepared_match_rate(spark, sf_dir):
+    """How many chunks of the whole preparation have pages."""
+    return stats.match_rate(_prepared(spark, sf_dir))
