@@ -1,10 +1,12 @@
 """Sections, blocks, chunks and pages against plain Python on small and derived documents."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import html_table
 from textloom.operators import blocks, chunks, pages, sections, structure
 from textloom.plans import inputs
 from textloom.plans.prepare import prepare_documents
@@ -67,12 +69,28 @@ def test_table_packing_keeps_rows(spark):
     table = "\n".join(["| a | b |", "| --- | --- |", *rows])
     df = spark.createDataFrame([(table,)], "t string")
     native = df.select(blocks.split_table(F.col("t"), 200)).first()[0]
-    python = df.select(blocks.split_table(F.col("t"), 200, long_rows=5)).first()[0]
-    assert native == python
     assert [x for p in native for x in p.split("\n")[2:]] == rows
     assert all(len(p) <= 200 and p.startswith("| a | b |\n| --- | --- |\n") for p in native)
 
 
+def test_packing_of_many_pieces(spark):
+    """200,000 pieces and 100,000 rows in one text; the work per piece doesn't grow with their number."""
+    pieces = spark.range(1).select(F.transform(F.sequence(F.col("id") + 1, F.col("id") + 200_000), lambda i: F.concat(i.cast("string"), F.lit(" "))).alias("p"))
+    start = time.perf_counter()
+    pieces = pieces.persist()
+    made = pieces.select(blocks.merge_with_overlap("p").alias("m")).select(F.posexplode_outer("m").alias("i", "x")).agg(F.max("i") + 1, F.max(F.length("x"))).first()
+    want, n = 0, 0
+    for i in range(1, 200_001):
+        size = len(str(i)) + 1
+        want, n = (want + 1, 80 + size) if n and n + size > 1800 else (want, n + size)
+    assert tuple(made) == (want + 1, 1800)
+    rows = F.array_join(F.transform(F.sequence(F.col("id") + 1, F.col("id") + 100_000), lambda i: F.concat(F.lit("| "), i.cast("string"), F.lit(" |"))), "\n")
+    table = spark.range(1).select(F.concat(F.lit("| n |\n| --- |\n"), rows).alias("t"))
+    counts = table.select(F.transform(blocks.split_table(F.col("t")), lambda x: F.size(F.split(x, "\n")) - 2).alias("c")).first()[0]
+    assert sum(counts) == 100_000
+    assert time.perf_counter() - start < 90
+
+
 @pytest.mark.parametrize("overlap", [0, 3])
 def test_hard_split(spark, overlap):
     df = spark.createDataFrame([("abcdefghijklmnopqrstuvwxyz",), ("",)], "t string")
@@ -88,14 +106,65 @@ def test_keep_separator_drops_empty_pieces(spark):
 
 def test_merge_may_pass_the_limit(spark):
     df = spark.createDataFrame([(["x" * 60, "y" * 100],)], "p array<string>")
-    assert [len(x) for x in df.select(blocks.merge_with_overlap(F.col("p"), 100, 10)).first()[0]] == [60, 110]
-
-
-def test_recursive_split_covers_the_text():
+    assert [len(x) for x in df.select(blocks.merge_with_overlap("p", 100, 10)).first()[0]] == [60, 110]
+
+
+def cut_by_hand(text, most, overlap, separators=blocks.SEPARATORS):
+    """Recursion in plain Python: what the columns of ``recursive_split`` are to return."""
+    if len(text) <= most:
+        return [text]
+    sep = next((x for x in separators if x in text), None)
+    if sep is None:
+        return [text[i : i + most] for i in range(0, len(text), max(1, most - overlap))]
+    pieces = text.split(sep)
+    pieces = [p + sep * (i < len(pieces) - 1) for i, p in enumerate(pieces) if p]
+    out, held = [], ""
+    for p in (y for x in pieces for y in cut_by_hand(x, most, overlap, separators[separators.index(sep) + 1 :])):
+        if held and len(held) + len(p) > most:
+            out.append(held)
+            held = held[-overlap:] if 0 < overlap < len(held) else ""
+        held += p
+    return out + [held] * bool(held)
+
+
+@pytest.mark.parametrize(("most", "overlap"), [(100, 0), (100, 10), (60, 7), (1800, 80)])
+def test_recursive_split(spark, most, overlap):
     random.seed(2)
-    text = "".join(random.choice(["word ", "end. ", "長句。"]) for _ in range(600))
-    assert "".join(blocks.cut_text(text, 100, 0)) == text
-    assert all(len(x) <= 110 for x in blocks.cut_text("a" * 1000, 100, 10))
+    words = ["word ", "end. ", "長句。", "what? ", "\n", "\n\n", "\n\n\n", "no！", "one; ", "two, ", "三，", "；", "x" * 70, "\U0001f600", ". ", " "]
+    texts = ["".join(random.choice(words) for _ in range(n)) for n in (0, 1, 5, 60, 300, 900) for _ in range(4)] + ["a" * 1000, "\n" * 500, ". " * 300, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, `a text` string")
+    got = {r.i: r.x for r in df.select("i", blocks.recursive_split("a text", most, overlap).alias("x")).collect()}
+    assert got == {i: None if t is None else cut_by_hand(t, most, overlap) for i, t in enumerate(texts)}
+
+
+def painted(rows):
+    """Tables with spans by painting every cell of every row."""
+    marks, grid = {}, []
+    for r, cells in enumerate(rows):
+        line = {c: t for (row, c), t in marks.items() if row == r}
+        taken, own, at = set(line), {}, 0
+        for text, across, down in cells:
+            while at in taken:
+                at += 1
+            for c in range(at, at + across):
+                own[c] = text
+                marks |= {(d, c): text for d in range(r + 1, r + down)}
+            at += across
+        while at in taken:
+            at += 1
+        grid.append([(line | own)[c] for c in range(at)])
+    width = max(map(len, grid), default=0)
+    return [g + [""] * (width - len(g)) for g in grid if any(x.strip() for x in g)]
+
+
+def test_spans_of_html_tables():
+    random.seed(4)
+    for _ in range(300):
+        rows = [[(random.choice(["a", "b", "c d", ""]), random.choice([1, 1, 2, 3]), random.choice([1, 1, 2, 4])) for _ in range(random.randint(0, 4))] for _ in range(random.randint(0, 6))]
+        html = "".join("<tr>" + "".join(f"<td colspan={a} rowspan='{d}'>{t}</td>" for t, a, d in cells) + "</tr>" for cells in rows)
+        assert html_table.table_grid(f"<table>{html}</table>") == painted(rows)
+    assert html_table.with_one_header([["k", "n", "n"], ["k", "x", ""], ["1", "2", "3"]]) == [["k", "n x", "n"], ["1", "2", "3"]]
+    assert html_table.with_one_header([["k", "n", "m"], ["k", "x", "y"]]) == [["k", "n", "m"], ["k", "x", "y"]]
 
 
 def test_heuristic_levels(spark):
@@ -138,10 +207,10 @@ def test_prose_is_cut_where_its_meaning_breaks(spark):
     assert [r.text for r in asked.where("doc_id = 0").orderBy("blk", "para").collect()][:40] == [p.strip() for p in paragraphs]
     made = chunks.chunk_documents(held, 300, 20, vectors).where("chunk_type = 'leaf'").orderBy("doc_id", "sec", "blk", "part").collect()
     groups = ["\n\n".join(p.strip() for p in paragraphs[i : i + 5]) for i in range(0, 40, 5)]
-    want = [y for g in groups for y in blocks.cut_text(g, 300, 20)]
+    want = [y for g in groups for y in cut_by_hand(g, 300, 20)]
     own = [r.content for r in made if r.doc_id == 0]
     assert own[: len(want)] == want
-    assert own[len(want)].startswith("| a | b |") and own[len(want) + 1 :] == blocks.cut_text(("alone. " * 100).strip(), 300, 20)
+    assert own[len(want)].startswith("| a | b |") and own[len(want) + 1 :] == cut_by_hand(("alone. " * 100).strip(), 300, 20)
     plain = chunks.chunk_documents(held.where("doc_id = 1"), 300, 20).where("chunk_type = 'leaf'").orderBy("part").collect()
     assert [r.content for r in made if r.doc_id == 1] == [r.content for r in plain]
 
@@ -173,32 +242,26 @@ def test_chunk_tree(spark, sf_dir):
         assert list(r.sibling_ids) == [] or r.is_split_part
 
 
-def test_queries_over_all_chunks(spark):
-    """The queries over all layers against the chunks themselves, in plain Python."""
-    from textloom.plans import registry
-
-    sf_dir = "/root/testdata/sf0.01"  # the smallest tables have no long section
-    whole = chunks.chunk_documents(registry._all_docs(spark, sf_dir)).toPandas()
-    run = lambda name: registry.QUERIES[name](spark, sf_dir).toPandas()
-    types = run("chunk_types")
-    assert dict(zip(types.chunk_type, types.n, strict=True)) == whole.chunk_type.value_counts().to_dict()
-    assert {"doc_summary", "section", "leaf", "table_row"} == set(types.chunk_type)
-    s = run("chunk_stats").iloc[0]
-    size, tokens = whole.content.str.len(), whole.est_token_count
-    assert (s.n_chunks, s.min_chars, s.avg_chars, s.max_chars) == (len(whole), size.min(), size.sum() // len(whole), size.max())
-    assert (s.min_tokens, s.avg_tokens, s.max_tokens) == (tokens.min(), tokens.sum() // len(whole), tokens.max())
-    assert (s.n_table, s.n_split, s.n_tiny) == (whole.has_table.sum(), whole.is_split_part.sum(), (size < 80).sum())
-    want = {}
-    for r in whole[whole.chunk_type.isin(["section", "leaf"])].sort_values(["doc_id", "sec", "blk", "part"]).itertuples():
-        want.setdefault(r.parent_id, []).append(r.chunk_id)
-    children = run("chunk_children")
-    assert {i: c.split(",") for i, c in zip(children.chunk_id, children.children, strict=True)} == want
-    flat, by_id = run("review_projection"), whole.set_index("chunk_id")
-    assert len(flat) == len(whole)
-    for r in flat.itertuples():
-        own = by_id.loc[r.chunk_id]
-        assert r.breadcrumb == " > ".join(own.breadcrumb) and r.parent_id == (own.parent_id or "") and r.children_ids == ", ".join(own.children_ids)
-        assert (r.content, r.section_title, r.table_caption, r.char_count) == (own.content, own.section_title, own.table_caption or "", len(own.content))
+def test_nested_sets_and_odd_documents(spark):
+    table = "| a | b |\n| --- | --- |\n" + "\n".join(f"| {i} | {'v' * 30} |" for i in range(40))
+    texts = [None, "", " \n", "no heading", "# T\n\n## A\n" + table + "\n\n" + "prose. " * 90 + "\n## B\nx\n## C", "# only", "## A\n\n## A\n\nx"]
+    held = docs(spark, *texts).withColumns({c: F.lit(1) for c in ("enter", "part", "row", "content", "kind", "_s", "sec")})
+    made = chunks.chunk_documents(held, 400, 20).collect()
+    assert {r.doc_id for r in made if r.chunk_type == "doc_summary"} == set(range(len(texts)))
+    assert {r.doc_id for r in made if r.chunk_type == "section"} == {3, 4, 6}
+    by_id = {(r.doc_id, r.chunk_id): r for r in made}
+    assert len(by_id) == len(made)
+    for r in made:
+        inside = {x.chunk_id for x in made if x.doc_id == r.doc_id and r.enter < x.enter <= r.leave}
+        below, todo = set(), [r.chunk_id]
+        while todo:
+            more = [x.chunk_id for x in made if x.doc_id == r.doc_id and x.parent_id in todo]
+            below.update(more)
+            todo = more
+        assert inside == below
+        kinds = [x.chunk_id for x in sorted(made, key=lambda x: x.enter) if x.doc_id == r.doc_id and x.parent_id == r.chunk_id and x.chunk_type != "table_row"]
+        assert r.children_ids == kinds
+    assert chunks.chunk_documents(held.where("false")).count() == 0
 
 
 def test_pages(spark):
@@ -233,3 +296,7 @@ def test_incremental_runs(spark, tmp_path):
         (source / f"{name}.md").write_text(f"# {name}\n\ntext\n")
         chunk_stream(spark, str(source), out, state).awaitTermination()
         assert files.read_chunks(spark, out).select("source").distinct().count() == i + 1
+    (source / "acme").mkdir()
+    (source / "acme" / "c.md").write_text("# c\n\ntext\n")
+    chunk_stream(spark, str(source), out, state).awaitTermination()
+    assert {r[0] for r in files.read_chunks(spark, out).where("source = 'c.md'").select("company").collect()} == {"acme"}

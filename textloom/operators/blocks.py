@@ -18,7 +18,7 @@ def split_blocks(sections: DataFrame) -> DataFrame:
     A table starts at the first line of a run of pipe lines whose next line is a separator, and
     ends with the run.
     """
-    lines = sections.select("doc_id", "sec", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
+    lines = sections.select("doc_id", "sec", F.posexplode_outer(F.split("body", "\n", -1)).alias("pos", "line"))
     section = Window.partitionBy("doc_id", "sec")
     so_far = section.orderBy("pos")
     pipe = F.col("line").contains("|") & ~is_blank(F.col("line"))
@@ -80,9 +80,10 @@ def split_table(text: Column, max_chars: int = 1800) -> Column:
     def cut(rows: Column) -> Column:
         head = F.slice(rows, 1, 2)
         used = F.length(F.get(rows, F.lit(0))) + F.length(F.get(rows, F.lit(1))) + 2
-        data = F.slice(rows, F.lit(3), F.greatest(F.size(rows) - 2, F.lit(0)))
-        made = lambda starts: F.transform(starts, lambda s, i: F.array_join(F.concat(head, F.slice(data, s, F.coalesce(F.get(starts, i + 1), F.size(data) + 1) - s)), "\n"))
-        return F.when(F.size(rows) < 3, F.array(text)).otherwise(let(group_starts(F.transform(data, lambda x: F.length(x) + 1), F.lit(max_chars) - used), made))
+        sizes = F.transform(F.slice(rows, F.lit(3), F.greatest(F.size(rows) - 2, F.lit(0))), lambda x: F.length(x) + 1)
+        group = lambda s, end: F.array_join(F.concat(head, F.slice(rows, s + 2, end - s)), "\n")
+        made = lambda starts: F.transform(starts, lambda s, i: group(s, F.coalesce(F.get(starts, i + 1), F.size(rows) - 1)))
+        return F.when(F.size(rows) < 3, F.array(text)).otherwise(let(group_starts(sizes, F.lit(max_chars) - used), made))
 
     return let(table_rows(text), cut)
 
@@ -96,23 +97,32 @@ def split_keeping(text: Column, sep: str) -> Column:
     return F.array_compact(let(F.split(text, rf"\Q{sep}\E", -1), kept))
 
 
-def merge_with_overlap(pieces: Column, max_chars: int = 1800, overlap: int = 80) -> Column:
-    """Pieces joined up to ``max_chars``; a new part starts with the last ``overlap`` characters of the one before."""
-    start = F.struct(*nothing_pushed("string"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+def joined_sql(pieces: str, max_chars: int, overlap: int, d: int = 0) -> str:
+    """SQL that joins the array ``pieces`` (a name) up to ``max_chars``, each part but the first starting with the last ``overlap`` characters of the one before.
 
-    def step(acc: Column, p: Column) -> Column:
-        cur, n, size = acc["cur"], acc["n"], F.length(p)
-        full = (n > 0) & (n + size > max_chars)
-        tailed = (n > overlap) & F.lit(overlap > 0)
-        tail = F.when(tailed, F.substring(cur, -max(overlap, 1), max(overlap, 1))).otherwise("")
-        return F.struct(
-            *pushed(acc, full, cur),
-            F.when(full, F.concat(tail, p)).otherwise(F.concat(cur, p)).alias("cur"),
-            F.when(full, F.when(tailed, overlap).otherwise(0) + size).otherwise(n + size).alias("n"),
-        )
-
-    done = lambda acc: F.when(acc["n"] > 0, F.array_append(all_pushed(acc), acc["cur"])).otherwise(all_pushed(acc))
-    return F.aggregate(pieces, start, step, done)
+    What is folded over the pieces holds only where parts start, as its state is copied at each step; a start is
+    negative if its part has no overlap. As ``overlap`` is at most a third of ``max_chars``, two parts before one are enough to take it from.
+    """
+    if 3 * overlap > max_chars:
+        raise ValueError("overlap must be at most a third of max_chars")
+    a, p = f"a{d}", f"p{d}"
+    full, moves = f"{a}.n > 0 AND {a}.n + length({p}) > {max_chars}", f"size({a}.few) >= {GATHERED}"
+    tailed = f"({a}.n > {overlap} AND {overlap} > 0)"
+    at = f"IF({tailed}, {a}.i, -{a}.i)"
+    starts = f"""aggregate({pieces}, named_struct('full', CAST(array() AS ARRAY<ARRAY<INT>>), 'few', array(-1), 'i', 1, 'n', 0),
+        ({a}, {p}) -> IF({full}, named_struct('full', IF({moves}, array_append({a}.full, {a}.few), {a}.full), 'few', IF({moves}, array({at}), array_append({a}.few, {at})),
+          'i', {a}.i + 1, 'n', IF({tailed}, {overlap}, 0) + length({p})), named_struct('full', {a}.full, 'few', {a}.few, 'i', {a}.i + 1, 'n', {a}.n + length({p}))),
+        {a} -> flatten(array_append({a}.full, {a}.few)))"""
+    back = f"abs(get(w{d}, greatest(j{d} - 2, 0)))"
+    tail = f"IF(s{d} > 0, substring(array_join(slice({pieces}, {back}, s{d} - {back}), ''), -{overlap}, {overlap}), '')"
+    own = f"array_join(slice({pieces}, abs(s{d}), coalesce(abs(get(w{d}, j{d} + 1)), size({pieces}) + 1) - abs(s{d})), '')"
+    made = f"get(transform(array({starts}), w{d} -> transform(w{d}, (s{d}, j{d}) -> concat({tail}, {own}))), 0)"
+    return f"IF(size({pieces}) = 0, CAST(array() AS ARRAY<STRING>), {made})"
+
+
+def merge_with_overlap(column: str, max_chars: int = 1800, overlap: int = 80) -> Column:
+    """The pieces in the array ``column``, none of them empty, joined as by ``joined_sql``."""
+    return F.expr(f"get(transform(array(`{column}`), r -> {joined_sql('r', max_chars, overlap)}), 0)")
 
 
 def hard_split(text: Column, max_chars: int = 1800, overlap: int = 80) -> Column:
@@ -135,23 +145,12 @@ def recursive_split(column: str = "text", max_chars: int = 1800, overlap: int =
             return f"get(transform(array(split({x}, '{sep}', -1)), w -> filter({kept}, q -> q IS NOT NULL)), 0)"
         return rf"filter(split({x}, r'(?<=\Q{sep}\E)', -1), q -> q <> '' AND q <> '{sep}')"
 
-    def joined(parts: str, d: int) -> str:
-        a, p, held = f"a{d}", f"p{d}", f"flatten(array_append(a{d}.full, a{d}.few))"
-        tailed, moves = (f"{a}.n > {overlap}" if overlap else "false"), f"size({a}.few) >= {GATHERED}"
-        return f"""aggregate({parts}, named_struct('full', CAST(array() AS ARRAY<ARRAY<STRING>>), 'few', CAST(array() AS ARRAY<STRING>), 'cur', '', 'n', 0),
-            ({a}, {p}) -> CASE WHEN {a}.n = 0 OR {a}.n + length({p}) <= {max_chars}
-              THEN named_struct('full', {a}.full, 'few', {a}.few, 'cur', concat({a}.cur, {p}), 'n', {a}.n + length({p}))
-              ELSE named_struct('full', IF({moves}, array_append({a}.full, array_append({a}.few, {a}.cur)), {a}.full),
-                'few', IF({moves}, slice({a}.few, 1, 0), array_append({a}.few, {a}.cur)),
-                'cur', concat(IF({tailed}, substring({a}.cur, -{overlap}, {overlap}), ''), {p}), 'n', IF({tailed}, {overlap}, 0) + length({p})) END,
-            {a} -> IF({a}.n > 0, array_append({held}, {a}.cur), {held}))"""
-
     def cut(x: str, d: int) -> str:
         if d == len(SEPARATORS):
             return f"IF(length({x}) > {max_chars}, transform(sequence(1, greatest(length({x}), 1), {max(1, max_chars - overlap)}), i -> substring({x}, i, {max_chars})), array({x}))"
         has = f"contains({x}, '{SEPARATORS[d]}')"
         finer = f"flatten(transform(IF({has}, {pieces(x, SEPARATORS[d])}, array({x})), x{d + 1} -> {cut(f'x{d + 1}', d + 1)}))"
-        return f"IF(length({x}) <= {max_chars}, array({x}), get(transform(array({finer}), r{d} -> IF({has}, {joined(f'r{d}', d)}, r{d})), 0))"
+        return f"IF(length({x}) <= {max_chars}, array({x}), get(transform(array({finer}), r{d} -> IF({has}, {joined_sql(f'r{d}', max_chars, overlap, d)}, r{d})), 0))"
 
     return F.expr(f"IF(`{column}` IS NULL, NULL, get(transform(array(`{column}`), x0 -> {cut('x0', 0)}), 0))")
 

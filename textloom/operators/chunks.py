@@ -84,7 +84,7 @@ def table_parts(blocks: DataFrame, max_chars: int = 1800) -> DataFrame:
     whole = F.length("text") <= max_chars
     cut = F.when(whole, F.array("text")).otherwise(split_table(F.col("text"), max_chars))
     return tables.withColumn("_s", cut).select(
-        *blocks.columns, F.size("_s").alias("parts"), F.posexplode("_s").alias("part", "content")
+        *blocks.columns, F.size("_s").alias("parts"), F.posexplode_outer("_s").alias("part", "content")
     ).withColumn("part", F.col("part") + 1)
 
 
@@ -115,12 +115,12 @@ def leaf_texts(blocks: DataFrame, max_chars: int = 1800, overlap: int = 80, vect
     short = F.length("text") <= max_chars
     cut = F.when(short, F.array("text")).when(table, split_table(F.col("text"), max_chars)).otherwise(recursive_split("text", max_chars, overlap))
     whole = blocks if vectors is None else blocks.where(table)
-    parts = whole.withColumn("_s", cut).select(*blocks.columns, F.size("_s").alias("parts"), F.posexplode("_s").alias("part", "content"))
+    parts = whole.withColumn("_s", cut).select(*blocks.columns, F.size("_s").alias("parts"), F.posexplode_outer("_s").alias("part", "content"))
     parts = parts.withColumn("part", F.col("part") + 1)
     if vectors is not None:
         parts = parts.unionByName(prose_parts(blocks, max_chars, overlap, vectors).withColumn("parts", F.lit(1)))
     rows = F.when(table & (F.col("parts") > 1), row_contents(F.col("content"))).otherwise(F.array().cast("array<string>"))
-    return parts.select(*blocks.columns, "part", "parts", F.posexplode(F.concat(F.array("content"), rows)).alias("row", "content"))
+    return parts.select(*blocks.columns, "part", "parts", F.posexplode_outer(F.concat(F.array("content"), rows)).alias("row", "content"))
 
 
 def prose_parts(blocks: DataFrame, max_chars: int = 1800, overlap: int = 80, vectors: DataFrame | None = None) -> DataFrame:
@@ -128,10 +128,10 @@ def prose_parts(blocks: DataFrame, max_chars: int = 1800, overlap: int = 80, vec
     prose = blocks.where("kind = 'prose'")
     if vectors is None:
         cut = prose.withColumn("_s", recursive_split("text", max_chars, overlap))
-        return cut.select(*blocks.columns, F.posexplode("_s").alias("part", "content")).withColumn("part", F.col("part") + 1)
+        return cut.select(*blocks.columns, F.posexplode_outer("_s").alias("part", "content")).withColumn("part", F.col("part") + 1)
     grouped = prose.join(semantic_texts(long_paragraphs(blocks, max_chars), vectors), list(BLOCK), "left")
     texts = grouped.select(*blocks.columns, F.posexplode(F.coalesce("texts", F.array("text"))).alias("_i", "_text"))
-    cut = texts.withColumn("_s", recursive_split("_text", max_chars, overlap)).select(*blocks.columns, "_i", F.posexplode("_s").alias("_j", "content"))
+    cut = texts.withColumn("_s", recursive_split("_text", max_chars, overlap)).select(*blocks.columns, "_i", F.posexplode_outer("_s").alias("_j", "content"))
     return cut.withColumn("part", F.row_number().over(Window.partitionBy(*BLOCK).orderBy("_i", "_j"))).drop("_i", "_j")
 
 

@@ -37,7 +37,8 @@ def parse_sections(docs: DataFrame, also: tuple[str, ...] = (), every: bool = Fa
     """
     # The line put first has no part in the result: it is the preamble of documents that start with a heading.
     split = F.concat(F.array(F.lit("")), F.split(F.coalesce("text", F.lit("")), LINE_END, -1))
-    lines = docs.select("doc_id", *also, F.posexplode(split).alias("pos", "line"))
+    # Outer, though no text is without lines: else a filter on their number is put below, which works the text out twice.
+    lines = docs.select("doc_id", *also, F.posexplode_outer(split).alias("pos", "line"))
     so_far = Window.partitionBy("doc_id").orderBy("pos")
     fence = is_fence(F.col("line"))
     fences = F.sum(fence.cast("int")).over(so_far)

@@ -365,13 +365,13 @@ def split_keep_sep(spark, sf_dir):
     SELECT doc_id, CAST(generate_subscripts(o, 1) - 1 AS INTEGER) AS part, unnest(o) AS content FROM o"""
 )
 def merge_overlap(spark, sf_dir):
-    merged = blocks.merge_with_overlap(blocks.split_keeping(F.col("text"), ". "))
-    return inputs.text_docs(spark, sf_dir).select("doc_id", F.posexplode(merged).alias("part", "content"))
+    pieces = inputs.text_docs(spark, sf_dir).select("doc_id", blocks.split_keeping(F.col("text"), ". ").alias("pieces"))
+    return pieces.select("doc_id", F.posexplode_outer(blocks.merge_with_overlap("pieces")).alias("part", "content")).where("part is not null")
 
 
 @query(f"WITH {sql.DOCS}, {sql.recursive('docs')} SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS part, unnest(parts) AS content FROM prose_parts")
 def recursive_split(spark, sf_dir):
-    return inputs.text_docs(spark, sf_dir).select("doc_id", F.posexplode(blocks.recursive_split("text")).alias("part", "content"))
+    return inputs.text_docs(spark, sf_dir).select("doc_id", F.posexplode_outer(blocks.recursive_split("text")).alias("part", "content"))
 
 
 @query(

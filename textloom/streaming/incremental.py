@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import slug
-from ..plans.prepare import prepare_documents
 from ..operators.chunks import chunk_records
+from ..plans.prepare import prepare_documents
+from ..sources.files import split_path
 
 
 def stream_documents(spark: SparkSession, base: str) -> DataFrame:
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(base)
     path = F.col("_metadata.file_path")
-    stem = F.regexp_extract(path, r"([^/]*)\.md\z", 1)
+    parts = split_path(path, base)
     return files.select(
-        F.xxhash64(path).alias("doc_id"), F.concat(stem, F.lit(".md")).alias("source"), slug(stem).alias("id_prefix"),
-        F.lit("").alias("company"), F.regexp_replace("value", "\r\n?", "\n").alias("text"),
+        F.xxhash64(path).alias("doc_id"), F.concat(parts["stem"], F.lit(".md")).alias("source"), slug(parts["stem"]).alias("id_prefix"),
+        parts["company"].alias("company"), F.regexp_replace("value", "\r\n?", "\n").alias("text"),
     )
 
 
