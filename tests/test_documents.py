@@ -274,6 +274,24 @@ def test_pages(spark):
     assert got[1][0] == 3 and got[2][0] in (4, 5) and got[4] == (None, None)
 
 
+def test_pages_of_long_documents_by_the_index(spark):
+    pool = [f"sentence {i * 31 % 97} of topic {i * 7 % 23} and of number {i}" for i in range(300)]
+    page_rows = [(d, i + 1, " ".join(pool[i * 5 : i * 5 + 5])) for d in (1, 2) for i in range(60)]
+    page_rows += [(2, 3, "a second page of this number " + pool[20]), (1, 61, "  "), (3, 1, None), (None, 1, pool[0] * 3), (2, 70, pool[99])]
+    held = [(d, i, " ".join(pool[i * 4 : i * 4 + 6]), "topic") for d in (1, 2) for i in range(50)]
+    held += [(1, 7, " ".join(pool[100:130]), None), (2, None, " ".join(pool[33:36]), ""), (1, 90, "nothing like it " * 4 + "zzz qqq", ""), (1, 91, None, None)]
+    held += [(1, 92, "", ""), (None, 1, pool[0] * 3, ""), (3, 1, pool[0] * 3, ""), (4, 1, pool[0] * 3, ""), (1, 93, "of topic 7 and of number 7 of topic 9 and of number", "")]
+    rows = spark.createDataFrame(held, "doc_id long, chunk int, content string, section_title string")
+    texts = spark.createDataFrame(page_rows, "doc_id long, page_no int, text string")
+    in_rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    whole = in_rows(pages.page_ranges(rows, texts))
+    assert len(whole) > 90 and any(end > start for _, _, start, end in whole)
+    assert in_rows(pages.page_ranges(rows, texts, task_chars=0)) == whole  # all by the index
+    assert in_rows(pages.page_ranges(rows, texts, task_chars=37_000)) == whole  # one of two
+    assert pages.page_ranges(rows, texts.where("false"), task_chars=0).count() == 0
+    assert pages.page_ranges(rows.where("false"), texts, task_chars=0).count() == 0
+
+
 def test_whole_preparation_round_trip(spark, tmp_path):
     folder = tmp_path / "in" / "acme"
     folder.mkdir(parents=True)

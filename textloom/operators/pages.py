@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import page_normal, strip
+from ..session import written
 
 #: A fixed value: an odd factor that spreads the bits of a hash.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -91,35 +93,123 @@ def found_pages(chunks: list[dict], pages: list[tuple[int, str]], n: int, per_ce
         yield c["chunk"], start, end
 
 
-def page_ranges(chunks: DataFrame, pages: DataFrame, n: int = 5, per_cent: int = 25, reach: int = 3, tail_per_cent: int = 20) -> DataFrame:
+def gram_sets(rows: DataFrame, keep: list[str], n: int) -> DataFrame:
+    """The kept columns and ``grams``, the set of ``n``-grams of ``text``."""
+    schema = T.StructType([rows.schema[c] for c in keep] + T.StructType.fromDDL("grams array<long>").fields)
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                grams = [gram_hashes(t or "", n).view(np.int64) for t in part.column("text").to_pylist()]
+                arrays = [part.column(c) for c in keep] + [pa.array(grams, target.field("grams").type)]
+                yield pa.RecordBatch.from_arrays(arrays, names=target.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def rare_first(texts: DataFrame, page: DataFrame, per_cent: int) -> DataFrame:
+    """``texts`` with ``need``, the least number of shared grams that counts, and ``present``, their grams on any page of the document, rare ones first."""
+    common = page.select("doc_id", F.explode("grams").alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    need = F.greatest(F.ceil(F.size("grams") * per_cent / 100), F.lit(1)).alias("need")
+    asked = texts.select("doc_id", "row", "a", need, F.explode("grams").alias("gram")).join(common, ["doc_id", "gram"])
+    own = asked.groupBy("doc_id", "row", "a", "need").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))  # a text's
+    return own.where("size(g) >= need").select("doc_id", "row", "a", "need", F.col("g.gram").alias("present"))
+
+
+def best_pages(asked: DataFrame, page: DataFrame, first: int, growth: int = 4) -> DataFrame:
+    """(row, a, page_no): for each text of ``rare_first`` the page with most of its grams, if these are enough.
+
+    Each round looks up a longer stretch of the rarest grams and counts the best page in full. A text is settled when no
+    other page can have as many: one that shares ``c`` of the ``k`` grams looked up has at most ``c`` and those left.
+    """
+    index = page.select("doc_id", "page", "page_no", F.explode("grams").alias("gram"))
+    order = Window.partitionBy("row", "a").orderBy(F.desc("c"), "page_no", "page")
+    todo, found, k = written(asked, "asked"), [], first
+    while found == [] or not todo.isEmpty():
+        looked = todo.select("doc_id", "row", "a", F.explode(F.slice("present", 1, k)).alias("gram")).join(index, ["doc_id", "gram"])
+        two = looked.groupBy("row", "a", "page", "page_no").agg(F.count("*").alias("c")).withColumn("r", F.row_number().over(order)).where("r <= 2")
+        ranked = lambda r: F.max(F.when(F.col("r") == r, F.struct("c", "page_no", "page")))
+        led = todo.join(two.groupBy("row", "a").agg(ranked(1).alias("top"), ranked(2).alias("rival")), ["row", "a"])
+        held = led.withColumn("page", F.col("top.page")).join(page.select("page", "grams"), "page")
+        hits, left = F.size(F.array_intersect("present", "grams")), F.greatest(F.size("present") - k, F.lit(0))
+        reach = F.col("rival.c") + F.col("left")
+        beaten = F.col("rival").isNull() | (reach < F.col("hits")) | ((reach == F.col("hits")) & (F.col("rival.page_no") >= F.col("top.page_no")))
+        sure = (F.col("left") == 0) | ((F.col("left") < F.col("hits")) & beaten) | (F.col("top.c") + F.col("left") < F.col("need"))
+        state = held.withColumns({"hits": hits, "left": left}).select("doc_id", "row", "a", "need", "present", "hits", F.col("top.page_no").alias("page_no"), sure.alias("sure"))
+        state = written(state, "looked_up")
+        found.append(state.where("sure and hits >= need").select("row", "a", "page_no"))
+        todo, k = state.where("not sure").select("doc_id", "row", "a", "need", "present"), k * growth
+    return reduce(DataFrame.unionByName, found)
+
+
+def indexed_ranges(tried: DataFrame, texts: DataFrame, n: int, per_cent: int, reach: int, tail_per_cent: int, first: int = 8) -> DataFrame:
+    """``page_ranges`` for documents of any length: an inverted index of the pages' grams is asked for rare grams first.
+
+    ``tried`` has doc_id and ``c``, a chunk's number, anchors and tail. Pages and grams are rows that are shuffled, so that
+    no task holds more of a document than what shares a gram.
+    """
+    page = written(gram_sets(texts.withColumn("page", F.monotonically_increasing_id()), ["doc_id", "page_no", "page", "text"], n), "page_grams")
+    rows = written(tried.select("doc_id", "c.*").withColumn("row", F.monotonically_increasing_id()), "asking")
+    anchor = rows.select("doc_id", "row", F.posexplode("anchors").alias("a", "text")).where("length(text) >= 20")
+    asked = rare_first(gram_sets(anchor, ["doc_id", "row", "a"], n).where("size(grams) >= 4"), page, per_cent)
+    start = best_pages(asked, page, first).groupBy("row").agg(F.min_by("page_no", "a").alias("page_start"))
+    matched = written(rows.select("doc_id", "row", "chunk", F.col("tail").alias("text")).join(start, "row"), "matched")
+    tails = gram_sets(matched.where("length(text) >= 40"), ["doc_id", "row", "page_start"], n).where("size(grams) >= 5")
+    total = page.groupBy("doc_id").agg(F.count("*").alias("total"))
+    after = tails.join(total, "doc_id").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(reach)))).where("page_start + step <= total")
+    one = page.groupBy("doc_id", "page_no").agg(F.max_by("grams", "text").alias("on_page"))
+    near = after.withColumn("page_no", F.col("page_start") + F.col("step")).join(one, ["doc_id", "page_no"])
+    near = near.where(F.size(F.array_intersect("grams", "on_page")) * 100 >= F.size("grams") * tail_per_cent)
+    steps = near.groupBy("row").agg(F.array_sort(F.collect_set("step")).alias("s"))  # at most ``reach``
+    run = F.coalesce(F.size(F.filter("s", lambda x, i: x == i + 1)), F.lit(0))
+    return matched.join(steps, "row", "left").select("doc_id", "chunk", "page_start", (F.col("page_start") + F.when(F.col("s").isNull(), 0).otherwise(run)).alias("page_end"))
+
+
+def page_ranges(
+    chunks: DataFrame, pages: DataFrame, n: int = 5, per_cent: int = 25, reach: int = 3, tail_per_cent: int = 20, task_chars: int = 1 << 22
+) -> DataFrame:
     """(doc_id, chunk, page_start, page_end) of the chunks that a page matches.
 
     ``chunks`` has doc_id, chunk, content and section_title. The first anchor that shares ``per_cent``
     of its grams with a page decides; of equal pages the first wins. Up to ``reach`` more pages
     follow while each shares enough of the chunk's tail. A document's pages and chunks meet in one
-    row and are compared there, so that a chunk and a page are moved once each, and not their grams.
+    row and are compared there, so that a chunk and a page are moved once each, and not their grams;
+    one with over ``task_chars`` characters of pages and chunks is dealt out by page and gram instead (``indexed_ranges``).
 
     Null ids match nothing. Repeated chunk numbers are matched each. A null or empty content has no
-    anchor but the title with it. A document must fit in a task. Other columns are ignored.
+    anchor but the title with it. Other columns are ignored.
     """
     normal = page_normal(F.coalesce("content", F.lit("")))
     tail = F.when(F.length(normal) > 150, F.substring(normal, -150, 150)).otherwise(normal)
     tried = chunks.select("doc_id", F.struct("chunk", anchors(F.coalesce("content", F.lit("")), F.col("section_title")).alias("anchors"), tail.alias("tail")).alias("c"))
-    held = tried.groupBy("doc_id").agg(F.collect_list("c").alias("chunks"))  # a document's
-    texts = page_texts(pages).groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "text")).alias("pages"))
-    schema = T.StructType([held.schema["doc_id"], T.StructField("chunk", chunks.schema["chunk"].dataType), *T.StructType.fromDDL("page_start int, page_end int").fields])
+    schema = T.StructType([tried.schema["doc_id"], T.StructField("chunk", chunks.schema["chunk"].dataType), *T.StructType.fromDDL("page_start int, page_end int").fields])
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for d, own, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "chunks", "pages")), strict=True):
+            for i in range(batch.num_rows):
+                d, own, text = (batch.column(c)[i].as_py() for c in ("doc_id", "chunks", "pages"))
                 found = found_pages(own, [(p["page_no"], p["text"]) for p in text], n, per_cent, reach, tail_per_cent)
                 rows += [(d, *x) for x in found]
             columns = list(zip(*rows, strict=True)) or [[]] * len(target)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, target, strict=True)], names=target.names)
 
-    return held.join(texts, "doc_id").select("doc_id", "chunks", "pages").mapInArrow(run, schema)
+    def in_one_row(tried: DataFrame, texts: DataFrame) -> DataFrame:
+        held = tried.groupBy("doc_id").agg(F.collect_list("c").alias("chunks"))  # a document's
+        held_pages = texts.groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "text")).alias("pages"))
+        return held.join(held_pages, "doc_id").select("doc_id", "chunks", "pages").mapInArrow(run, schema)
+
+    texts = page_texts(pages)
+    sizes = pages.select("doc_id", F.length("text").alias("n")).unionByName(chunks.select("doc_id", F.length("content").alias("n")))
+    large = written(sizes.groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") > task_chars).select("doc_id"), "large")
+    if large.isEmpty():
+        return in_one_row(tried, texts)
+    of_large = indexed_ranges(*(x.join(large, "doc_id", "left_semi") for x in (tried, texts)), n, per_cent, reach, tail_per_cent)
+    of_others = in_one_row(*(x.join(large, "doc_id", "left_anti") for x in (tried, texts)))
+    return of_others.unionByName(of_large.select([F.col(f.name).cast(f.dataType) for f in schema]))
 
 
 def match_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
