@@ -196,6 +196,39 @@ def test_bad_answers_fall_back(spark):
     ]
 
 
+def test_late_answers(spark, tmp_path):
+    from textloom.streaming.answers import recovered_stream, settled
+
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds(F.col("at") + 1000)).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    asking, telling = "doc_id long, at long, n_batches int", "doc_id long, at long, batch int, response string"
+    own = '{"L1": {"level": 2}, "Lx": {"level": 1}, "L2": {"level": null}}'
+    streams = []
+    for name, schema in (("asked", asking), ("told", telling)):
+        (tmp_path / name).mkdir()
+        streams.append(spark.readStream.schema(schema.replace("at long", "at timestamp")).parquet(str(tmp_path / name)))
+
+    def run():
+        q = settled(*streams, 100).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        q.trigger(availableNow=True).start().awaitTermination()
+        return {r.doc_id: (r.outcome, r.levels) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    write("told", [(1, 5, 1, '{"L3": {"level": 4}, "L1": {"level": 3}}'), (9, 5, 0, own)], telling)  # 1's comes before its question, 9 was never asked about
+    write("asked", [(1, 0, 2), (2, 0, 2), (3, 0, 1), (4, 0, 2), (5, 0, 0), (None, 0, 1), (6, 0, 1)], asking)
+    first = run()
+    assert first == {5: ("answered", {})}
+    write("told", [(1, 50, 0, own), (2, 60, 0, own), (3, 60, 0, "sorry"), (4, 70, 1, own), (4, 70, 1, own), (None, 70, 0, own)], telling)
+    second = run()
+    assert second == first | {1: ("answered", {1: 3, 2: None, 3: 4}), 3: ("bad", None)}
+    write("told", [(2, 101, 1, own), (1, 102, 0, "repeated"), (3, 103, 0, own), (6, 100, 0, own)], telling)  # 2's is a second late, 6's in time
+    third = run()
+    assert third == second | {2: ("late", None), 4: ("late", None), 6: ("answered", {1: 2, 2: None})}
+    write("told", [(2, 900, 1, own), (4, 901, 0, own)], telling)
+    assert run() == third and spark.read.parquet(str(tmp_path / "out")).count() == len(third)
+    assert recovered_stream(docs(spark, "# A").select("doc_id", "text"), *streams).isStreaming
+
+
 def test_prose_is_cut_where_its_meaning_breaks(spark):
     rng = random.Random(3)
     paragraphs = [f"p{i} " + "word " * rng.randint(5, 60) for i in range(40)]

@@ -98,11 +98,15 @@ def recover_structure(docs: DataFrame, levels: DataFrame | None = None) -> DataF
 
 def recovered(docs: DataFrame, maps: DataFrame) -> DataFrame:
     """``docs`` by their map of levels (doc_id, levels), those without one by the heuristic."""
-    joined = docs.join(maps, "doc_id", "left")
+    return with_levels(docs.join(maps, "doc_id", "left"))
+
+
+def with_levels(docs: DataFrame) -> DataFrame:
+    """``docs`` by their column ``levels``, a map, where it is null by the heuristic."""
     own = lambda i, text, is_first: F.when(
         F.col("levels").isNull(), F.when(is_first, 1).otherwise(heuristic_level(text))
     ).otherwise(F.try_element_at("levels", i))
-    return rewritten(joined, own).drop("levels")
+    return rewritten(docs, own).drop("levels")
 
 
 def recover_from_answers(docs: DataFrame, answers: DataFrame) -> DataFrame:
