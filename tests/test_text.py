@@ -1,5 +1,9 @@
 """Goldens of the text functions, one for each behaviour that is easy to get wrong."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +112,40 @@ def test_stitch(spark):
     assert one(spark, cleaning.stitch_tables, wide) == wide
 
 
+def stitched(doc):
+    """By looking at the five lines before every table."""
+    found = list(re.finditer(r"(?is)<table[^>]*>.*?</table>", doc))
+    goes_on = [i > 0 and any(re.match(r"(?i)#{1,6}\s+.+\((續|cont'?d|continued)\)\s*$", x) for x in doc[: m.start()].split("\n")[-6:-1]) for i, m in enumerate(found)]
+    out, at = "", 0
+    for i, m in enumerate(found):
+        cells = re.sub(r"(?i)\A<table[^>]*>|</table>\s*\Z", "", m[0])
+        more = goes_on[i + 1] if i + 1 < len(found) else False
+        if goes_on[i]:
+            out += "\n" + cells + ("" if more else "\n</table>")
+        else:
+            out += doc[at : m.start()] + ("<table>\n" + cells if more else m[0])
+        at = m.end()
+    return out + doc[at:]
+
+
+def test_stitch_like_brute_force(spark):
+    parts = ["<table>\n<tr></tr>\n</table>", "<TABLE a='b'><tr>1</tr></TABLE>", "\n", "\n", "\n", "x", "# T(續)", "## U (Cont'd) ", "### V(continued)\n", "\x01", "# W", "<table"]
+    rng = random.Random(5)
+    docs = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(300)]
+    assert apply(spark, cleaning.stitch_tables, *docs, None, "") == [*map(stitched, docs), None, ""]
+    assert sum(stitched(d) != d for d in docs) > 30
+
+
+def test_stitch_of_many_tables(spark):
+    took = []
+    for n in (2_000, 20_000):
+        doc = "\n".join(f"# T{i}(續)\n<table><tr><td>{i}</td></tr></table>" for i in range(n))
+        start = time.perf_counter()
+        assert one(spark, cleaning.stitch_tables, doc).count("<table>") == 1
+        took.append(time.perf_counter() - start)
+    assert took[1] < 20 * took[0] + 5
+
+
 def test_post_clean(spark):
     assert one(spark, cleaning.post_clean, "a\r\nb\rc  \n\n\n\nd\n|  |\n") == "a\nb\nc\n\nd\n"
     assert one(spark, cleaning.post_clean, "a\n| --- | --- |\nb") == "a\nb\n"

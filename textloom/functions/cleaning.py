@@ -8,6 +8,8 @@ an empty one, and columns other than ``text`` pass through.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,19 +144,32 @@ def dedup_tables(c: Column) -> Column:
 HTML_TABLE = r"(?is)<table[^>]*>.*?</table>"
 CONTINUED = r"(?iU)^#{1,6}\s+.+\((續|cont'?d|continued)\)\s*$"
 HAS_CONTINUED = CONTINUED.replace("(?iU)", "(?imU)")
+#: A character that stands for no text.
+MARK = "\x01"
+
+
+def continued_lines(text: Column) -> Column:
+    """For each HTML table in order, whether one of the five lines before the line it starts on says that it goes on.
+
+    Tables get a mark of one character, so that the lines that hold marks are the lines they start on; every line is
+    looked at once, and a table looks back by position.
+    """
+    says = F.transform(F.split(text, "\n", -1), lambda x: x.rlike(CONTINUED))
+    marked = F.regexp_replace(F.translate(text, MARK, " "), HTML_TABLE, MARK + "$0")
+    marks = lambda x: F.length(x) - F.length(F.translate(x, MARK, ""))
+    lines = F.flatten(F.transform(F.split(marked, "\n", -1), lambda x, i: F.array_repeat(i, marks(x))))
+    before = lambda held, at: reduce(or_, (F.coalesce(F.get(held, at - k), F.lit(False)) for k in range(1, 6)))
+    return let(says, lambda held: F.transform(lines, lambda at, i: (i > 0) & before(held, at)))
 
 
 def stitch_tables(c: Column) -> Column:
     """HTML tables under a heading marked as continued join the table before them.
 
     A table continues if one of the five lines before the line it starts on is such a heading;
-    what stands between the parts goes.
+    what stands between the parts goes. The work grows with the text, however many tables it has. Null stays null;
+    a text without tables or without such headings stays as it is.
     """
 
-    def near_lines(gaps: Column, tables: Column, i: Column) -> Column:
-        parts = F.transform(F.slice(gaps, F.lit(1), i + 1), lambda g, k: F.concat(F.when(k == 0, F.lit("")).otherwise(F.get(tables, k - 1)), g))
-        return let(F.split(F.array_join(parts, ""), "\n", -1), lambda x: F.slice(x, F.greatest(F.size(x) - 5, F.lit(1)), F.least(F.size(x) - 1, F.lit(5))))
-
     inner = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?i)\A<table[^>]*>", ""), r"(?iU)</table>\s*\z", "")
 
     def joined(tables: Column, gaps: Column, flags: Column) -> Column:
@@ -167,8 +182,7 @@ def stitch_tables(c: Column) -> Column:
 
     def done(text: Column) -> Column:
         both = F.struct(F.regexp_extract_all(text, F.lit(HTML_TABLE), F.lit(0)).alias("t"), F.split(text, HTML_TABLE, -1).alias("g"))
-        flags = lambda x: F.transform(x["t"], lambda t, i: (i > 0) & F.exists(near_lines(x["g"], x["t"], i), lambda y: y.rlike(CONTINUED)))
-        stitched = let(both, lambda x: let(flags(x), lambda f: joined(x["t"], x["g"], f)))
+        stitched = let(both, lambda x: let(continued_lines(text), lambda f: joined(x["t"], x["g"], f)))
         return F.when(text.rlike(HAS_CONTINUED) & text.rlike(HTML_TABLE), stitched).otherwise(text)
 
     return let(c, done)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -138,6 +140,24 @@ def continued_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text"))
 
 
+def table_run_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each customer of a nation: most go on after the one before, some stand too far below the heading that says so."""
+    key = F.col("c_custkey")
+    says = F.when(key % 5 == 0, "").when(key % 2 == 0, "(續)").otherwise("(Cont'd)")
+    lines = F.when(key % 7 == 0, "\n1\n2\n3\n4\n5\n").otherwise("\nfoot\nmore\n")
+    piece = F.concat(F.lit("# "), "c_name", says, lines, F.lit("<table><tr><td>"), key.cast("string"), F.lit("</td></tr></table>\n"))
+    docs = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("doc_id"))
+    return docs.agg(joined(["c_custkey"], piece, "").alias("text"))
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of text files: the texts of a hundred ids each, in order, as pages that end with a form feed."""
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("file"), "doc_id", F.translate(F.coalesce("text", F.lit("")), "\f\r", "  ").alias("value"))
+    folder = shared_folder(spark, "pages")
+    docs.repartition("file").sortWithinPartitions("file", "doc_id", "value").drop("doc_id").write.mode("overwrite").partitionBy("file").text(folder, lineSep="\f")
+    return folder
+
+
 def repeated_table_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region's table of nations three times, the last time with another last row."""
     nation = table(spark, sf_dir, "nation")

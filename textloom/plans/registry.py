@@ -461,6 +461,22 @@ def stitch_tables(spark, sf_dir):
     return inputs.continued_docs(spark, sf_dir).select("doc_id", cleaning.stitch_tables(F.col("text")).alias("text"))
 
 
+@query(
+    f"""WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_custkey AS k, c_name,
+      row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) > 1 AS later FROM customer),
+    f AS (SELECT *, later AND k % 5 <> 0 AND k % 7 <> 0 AS goes_on, '<tr><td>' || k || '</td></tr>' AS cells,
+      '# ' || c_name || CASE WHEN k % 5 = 0 THEN '' WHEN k % 2 = 0 THEN '(續)' ELSE '(Cont''d)' END || {LF} || CASE WHEN k % 7 = 0
+        THEN '1' || {LF} || '2' || {LF} || '3' || {LF} || '4' || {LF} || '5' ELSE 'foot' || {LF} || 'more' END || {LF} AS head FROM c),
+    g AS (SELECT *, coalesce(lead(goes_on) OVER (PARTITION BY doc_id ORDER BY k), false) AS more FROM f)
+    SELECT doc_id, string_agg(CASE WHEN goes_on THEN {LF} || cells || CASE WHEN more THEN '' ELSE {LF} || '</table>' END
+      ELSE CASE WHEN later THEN {LF} ELSE '' END || head || CASE WHEN more THEN '<table>' || {LF} || cells ELSE '<table>' || cells || '</table>' END END,
+      '' ORDER BY k) || {LF} AS text FROM g GROUP BY doc_id"""
+)
+def stitch_runs(spark, sf_dir):
+    """Runs of many continued tables in one document, and headings too far above their table."""
+    return inputs.table_run_docs(spark, sf_dir).select("doc_id", cleaning.stitch_tables(F.col("text")).alias("text"))
+
+
 @query(
     f"""WITH r AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, '| key | nation |' || {LF} || '| --- | --- |' || {LF} ||
       string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', {LF} ORDER BY n_nationkey) || {LF} AS t FROM nation GROUP BY n_regionkey)
@@ -474,6 +490,16 @@ def dedup_tables(spark, sf_dir):
 # Pages.
 
 
+@query(
+    """SELECT CAST(floor(doc_id / 100) AS BIGINT) AS file, CAST(row_number() OVER (PARTITION BY floor(doc_id / 100) ORDER BY doc_id, t) AS INTEGER) AS page_no, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, translate(coalesce(text, ''), chr(12) || chr(13), '  ') AS t FROM documents)"""
+)
+def page_files(spark, sf_dir):
+    """Pages written to text files and read again, each with its number in its file."""
+    found = files.read_pages(spark, inputs.page_files(spark, sf_dir))
+    return found.select(F.regexp_extract("path", r"/file=(-?\d+)/", 1).try_cast("long").alias("file"), "page_no", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query(f"WITH {sql.MATCHED} SELECT doc_id, chunk, page_start FROM mt")
 def page_match(spark, sf_dir):
     return pages.match_pages(inputs.chunks_of_docs(spark, sf_dir), inputs.pages_of_docs(spark, sf_dir))

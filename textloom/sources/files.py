@@ -1,7 +1,14 @@
-"""Reading and writing documents, pages and chunks as files, and planning batches of them."""
+"""Reading and writing documents, pages and chunks as files, and planning batches of them.
+
+An empty folder or table gives an empty result; empty files give documents with an empty text and no pages. Files are told
+apart by their paths, so repeated contents stay apart. Writers take nulls as they are and ignore further columns.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +29,15 @@ def split_path(path: Column, base: str) -> dict[str, Column]:
     }
 
 
+def decoded(path: Column) -> Column:
+    """A path as files are named, from the form in which Spark gives it, with blanks and percent signs encoded."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def read_documents(spark: SparkSession, base: str) -> DataFrame:
     """(doc_id, source, id_prefix, company, text) of every .md file below ``base``, line ends as LF."""
-    files = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumn("path", F.input_file_name())
-    parts = split_path(F.col("path"), base)
+    files = spark.read.text(base, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select("value", F.col("_metadata.file_path").alias("path"))
+    parts = split_path(decoded(F.col("path")), base)
     return files.select(
         F.xxhash64("path").alias("doc_id"),
         F.concat(parts["stem"], F.lit(".md")).alias("source"),
@@ -35,6 +47,28 @@ def read_documents(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def read_pages(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, path, page_no, text) of every page of the .txt files below ``base``; a form feed ends a page.
+
+    ``doc_id`` is that of the .md file of the same name beside it. Pages are numbered from 1, blank ones too; what follows the
+    last form feed is a page if it isn't empty. A long file is read by many tasks, each from the first page that starts in
+    its block, so pages are numbered within their block and moved on by the pages of the blocks before: small counts are
+    joined, and no page is sorted or shuffled for its number. The files are read twice for that.
+    """
+    meta = F.col("_metadata")
+    found = spark.read.text(base, lineSep="\f", recursiveFileLookup=True, pathGlobFilter="*.txt").select(
+        F.regexp_replace("value", "\r\n?", "\n").alias("text"),
+        meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"),
+    )
+    # Rows of a block follow each other in one task.
+    blocks = found.groupBy("path", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return found.join(starts, ["path", "block"]).select(
+        F.xxhash64(F.regexp_replace("path", r"\.txt\z", ".md")).alias("doc_id"), decoded(F.col("path")).alias("path"), (F.col("row") + F.col("shift")).cast("int").alias("page_no"), "text"
+    )
+
+
 def company_of(path: Column) -> Column:
     """The folder that holds a file, unless its name says nothing."""
     folder = F.regexp_extract(path, r"([^/]+)/[^/]*\z", 1)
@@ -64,14 +98,41 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK).json(path)
 
 
+def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Have ``write`` fill a hidden folder beside ``path``, which then takes the place of ``path`` by renaming.
+
+    Readers see the old output whole until the new one is whole. A failed run leaves the old one and nothing else; a killed
+    one may leave a folder that starts with a dot, which readers skip. A rerun gives the same. The store must rename folders
+    as one, as distributed file systems do.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    run = uuid.uuid4().hex
+    final = at(path)
+    staged, old = (at(final.getParent(), f".{final.getName()}-{run}{end}") for end in ("", "-old"))
+    store = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(staged.toString())
+        replaced = store.exists(final)
+        if replaced and not store.rename(final, old):
+            raise OSError(f"can't move {path} away")
+        if not store.rename(staged, final):
+            if replaced:
+                store.rename(old, final)
+            raise OSError(f"can't publish {path}")
+    except BaseException:
+        store.delete(staged, True)
+        raise
+    store.delete(old, True)
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """JSON lines of the 22 fields; nulls are written."""
-    chunk_records(chunks).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """JSON lines of the 22 fields, published as one; nulls are written."""
+    publish(chunks.sparkSession, path, chunk_records(chunks).write.option("ignoreNullFields", "false").json)
 
 
 def write_review(chunks: DataFrame, path: str) -> None:
-    review_rows(chunks).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    publish(chunks.sparkSession, path, review_rows(chunks).write.option("header", "true").option("escape", '"').csv)
 
 
 def write_text(texts: DataFrame, path: str) -> None:
-    texts.select("md").write.mode("overwrite").text(path)
+    publish(texts.sparkSession, path, texts.select("md").write.text)
