@@ -462,15 +462,15 @@ def stitch_tables(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS doc_id, c_custkey AS k, c_name,
-      row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) > 1 AS later FROM customer),
-    f AS (SELECT *, later AND k % 5 <> 0 AND k % 7 <> 0 AS goes_on, '<tr><td>' || k || '</td></tr>' AS cells,
-      '# ' || c_name || CASE WHEN k % 5 = 0 THEN '' WHEN k % 2 = 0 THEN '(續)' ELSE '(Cont''d)' END || {LF} || CASE WHEN k % 7 = 0
+    f"""WITH d AS (SELECT CAST(floor(doc_id / 20) AS BIGINT) AS doc_id, coalesce(doc_id, 0) AS k, translate(coalesce(text, ''), '<#', '  ') AS t FROM documents),
+    c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, t) AS i FROM d),
+    f AS (SELECT *, i > 1 AND k % 5 <> 0 AND k % 7 <> 0 AS goes_on, '<tr><td>' || t || '</td></tr>' AS cells,
+      '# Part ' || k || CASE WHEN k % 5 = 0 THEN '' WHEN k % 2 = 0 THEN '(續)' ELSE '(Cont''d)' END || {LF} || CASE WHEN k % 7 = 0
         THEN '1' || {LF} || '2' || {LF} || '3' || {LF} || '4' || {LF} || '5' ELSE 'foot' || {LF} || 'more' END || {LF} AS head FROM c),
-    g AS (SELECT *, coalesce(lead(goes_on) OVER (PARTITION BY doc_id ORDER BY k), false) AS more FROM f)
+    g AS (SELECT *, coalesce(lead(goes_on) OVER (PARTITION BY doc_id ORDER BY i), false) AS more FROM f)
     SELECT doc_id, string_agg(CASE WHEN goes_on THEN {LF} || cells || CASE WHEN more THEN '' ELSE {LF} || '</table>' END
-      ELSE CASE WHEN later THEN {LF} ELSE '' END || head || CASE WHEN more THEN '<table>' || {LF} || cells ELSE '<table>' || cells || '</table>' END END,
-      '' ORDER BY k) || {LF} AS text FROM g GROUP BY doc_id"""
+      ELSE CASE WHEN i > 1 THEN {LF} ELSE '' END || head || CASE WHEN more THEN '<table>' || {LF} || cells ELSE '<table>' || cells || '</table>' END END,
+      '' ORDER BY i) || {LF} AS text FROM g GROUP BY doc_id"""
 )
 def stitch_runs(spark, sf_dir):
     """Runs of many continued tables in one document, and headings too far above their table."""
