@@ -212,11 +212,14 @@ def with_links(chunks: DataFrame) -> DataFrame:
     placed = written(numbered.withColumns({"parent_id": parent, "leave": by_type(last(doc), last(sec), last(part), F.col("enter"))}), "chunks")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("enter", "chunk_id"))), lambda x: x["chunk_id"])
     none = F.array().cast("array<string>")
+    # Lists stand once for each parent and each cut table, and are joined as such: one for each sibling would be the square of that.
+    # They are never broadcast, since the size of a file says little of what lists made from it take.
     children = placed.where("chunk_type in ('section', 'leaf')").groupBy("doc_id", F.col("parent_id").alias("chunk_id")).agg(ids.alias("children_ids"))
-    split = placed.where("chunk_type = 'leaf' and is_split_part").groupBy("doc_id", "sec", "blk").agg(ids.alias("ids"))
-    siblings = split.select("doc_id", F.explode("ids").alias("chunk_id"), "ids").select("doc_id", "chunk_id", F.array_except("ids", F.array("chunk_id")).alias("sibling_ids"))
-    lists = children.withColumn("sibling_ids", none).unionByName(siblings.withColumn("children_ids", none))
-    linked = placed.join(lists, ["doc_id", "chunk_id"], "left")
+    is_part = (F.col("chunk_type") == "leaf") & F.col("is_split_part")
+    siblings = placed.where(is_part).groupBy("doc_id", "sec", "blk").agg(ids.alias("ids"))
+    parts = placed.where(is_part).join(siblings.hint("merge"), ["doc_id", "sec", "blk"], "left").withColumn("children_ids", none)
+    others = placed.where(~is_part).join(children.hint("merge"), ["doc_id", "chunk_id"], "left").withColumn("ids", none)
+    linked = others.unionByName(parts).withColumn("sibling_ids", F.array_except("ids", F.array("chunk_id"))).drop("ids")
     return linked.withColumns(
         {
             "children_ids": F.coalesce("children_ids", none), "sibling_ids": F.coalesce("sibling_ids", none), "char_count": F.length("content"),
