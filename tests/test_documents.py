@@ -3,10 +3,11 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import html_table
+from textloom.functions import cleaning, html_table
 from textloom.operators import blocks, chunks, pages, sections, structure
 from textloom.plans import inputs
 from textloom.plans.prepare import prepare_documents
@@ -325,6 +326,60 @@ def test_pages_of_long_documents_by_the_index(spark):
     assert pages.page_ranges(rows.where("false"), texts, task_chars=0).count() == 0
 
 
+def test_long_tables_dont_overflow_the_stack(spark):
+    table = "| a | b |\n| --- | --- |\n" + "".join(f"| {i} | x |\n" for i in range(30_000))
+    held = docs(spark, table + "\nmiddle\n\n" + table, "| a |\nx")
+    got = [r.text for r in held.select(cleaning.dedup_tables(F.col("text")).alias("text")).collect()]
+    assert got == [table + "\nmiddle\n\n", "| a |\nx"]
+
+
+def test_lists_of_siblings_are_not_broadcast(spark):
+    table = "## A\n| a | b |\n| --- | --- |\n" + "".join(f"| {i} | some words |\n" for i in range(400))
+    made = chunks.chunk_documents(docs(spark, table, table), 400, 20).select("doc_id", "chunk_id", "chunk_type", "is_split_part", "sibling_ids")
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = made.collect()
+    parts = {d: [r.chunk_id for r in rows if r.doc_id == d and r.is_split_part and r.chunk_type == "leaf"] for d in (0, 1)}
+    assert len(parts[0]) > 20
+    for r in rows:
+        assert sorted(r.sibling_ids) == sorted(x for x in parts[r.doc_id] if r.chunk_id in parts[r.doc_id] and x != r.chunk_id)
+
+
+def in_rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_pages_dealt_out_in_blocks(spark):
+    """Documents cut into many blocks and parts have the pages that they have in one row, equal pages, repeated numbers and copies included."""
+    random.seed(3)
+    pool = [f"row {i} of {i % 7} and {i * i % 11}" for i in range(500)]
+    texts = [(d, no, " ".join(random.choices(pool, k=12))) for d in (1, 2) for no in [*range(1, 60), 90, 91, 91]]
+    texts += [(1, 200 + i, texts[40][2]) for i in range(3)]
+    held = [(d, random.randrange(80), t[:150] + " " + random.choice(texts)[2][:100], random.choice(["row", "", None])) for d, _, t in random.choices(texts, k=150)]
+    held += [(1, 5, None, texts[7][2]), (1, 5, texts[7][2], None), *held[:20]]
+    rows = spark.createDataFrame(held, "doc_id long, chunk int, content string, section_title string")
+    page_rows = spark.createDataFrame(texts, "doc_id long, page_no int, text string")
+    whole = in_rows(pages.page_ranges(rows, page_rows))
+    assert len(whole) > 100 and any(end > start + 1 for _, _, start, end in whole)
+    for block_chars in (700, 5_000):
+        assert in_rows(pages.page_ranges(rows, page_rows, task_chars=0, block_chars=block_chars)) == whole
+    assert in_rows(pages.match_pages(rows, page_rows)) == sorted([x[:3] for x in whole], key=repr)
+
+
+def test_best_page_where_grams_are_common(monkeypatch):
+    """Rare grams first give the page that counting all gives."""
+    random.seed(4)
+    texts = ["".join(random.choice("ab 0") for _ in range(60)) + f"{i % 40:04d}|{i % 3}" for i in range(300)]
+    sets = pages.gram_sets(texts, 5)
+    index = pages.PageIndex(list(range(len(sets))), sets)
+    asked = [pages.gram_sets([random.choice(texts)[random.randrange(30) :] + random.choice(texts)[: random.randrange(40)]], 5)[0] for _ in range(300)]
+    monkeypatch.setattr(pages, "FEW", 32)
+    for grams in asked:
+        hits = [len(np.intersect1d(grams, x)) for x in sets]
+        for need in (1, len(grams) // 2, len(grams)):
+            want = (max(hits), hits.index(max(hits))) if max(hits) >= need else None
+            assert index.best(grams, need) == want
+
+
 def test_whole_preparation_round_trip(spark, tmp_path):
     folder = tmp_path / "in" / "acme"
     folder.mkdir(parents=True)

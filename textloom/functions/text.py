@@ -102,13 +102,6 @@ def context_text(breadcrumb: Column, body: Column) -> Column:
     return F.concat(F.lit("# "), path, F.lit("\n\n"), body)
 
 
-def page_normal(c: Column) -> Column:
-    """Text as page matching compares it: single blanks, none around CJK punctuation, no soft hyphens."""
-    blanks = F.regexp_replace(c, rf"(?U){BLANK}+", " ")
-    kept = F.translate(blanks, "\u0000\u00ad", "")
-    return strip(F.regexp_replace(kept, r"(?U)\s*([，。！？；：、])\s*", "$1"))
-
-
 def char_ngrams(c: Column, n: int = 5) -> Column:
     """64-bit hashes of the set of ``n``-character substrings without blanks; a shorter text is its own only member.
 

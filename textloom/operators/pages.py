@@ -1,220 +1,296 @@
-"""Page attribution by shared character n-grams."""
+"""Page attribution by shared character n-grams.
+
+Texts are compared in Arrow batches, a document's pages and chunks in one row; a document that is too long for a task is
+dealt out in rows of a block of its pages and a part of its chunks each, whose best pages are compared afterwards.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import page_normal, strip
 from ..session import written
 
 #: A fixed value: an odd factor that spreads the bits of a hash.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Occurrences of grams that are counted without asking for rare ones first.
+FEW = 1 << 14
+#: Characters whose grams are hashed at once.
+HASHED = 1 << 20
+MARK = re.compile("[，。！？；：、]")
+PUNCTUATION = re.compile(r"\s*([，。！？；：、])\s*")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_no, text) of the pages that aren't blank, normalised."""
-    return pages.where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")).select("doc_id", "page_no", page_normal(F.col("text")).alias("text"))
+    """(doc_id, page_no, text) of the pages that aren't blank."""
+    return pages.where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")).select("doc_id", "page_no", "text")
+
 
+def page_normal(text: str) -> str:
+    """Text as page matching compares it: single blanks, none around CJK punctuation, no soft hyphens."""
+    kept = " ".join(text.split()).replace("\0", "").replace("\xad", "")
+    return (kept if kept.isascii() or not MARK.search(kept) else PUNCTUATION.sub(r"\1", kept)).strip()
 
-def anchors(content: Column, title: Column) -> Column:
+
+def anchors(content: str, title: str | None) -> Iterator[str]:
     """Up to three texts to look for: the first prose lines, middle ones, the title with the content."""
-    lines = F.transform(F.split(content, "\n", -1), strip)
-    prose = F.filter(lines, lambda x: (x != "") & ~x.startswith("|") & ~x.startswith("#") & ~x.startswith("- "))
-    joined = lambda start: page_normal(F.array_join(F.slice(prose, start, 3), " "))
-    n = F.size(prose)
-    found = F.array(
-        F.when(n > 0, joined(F.lit(1))),
-        F.when(n > 6, joined(F.floor(n / 2).cast("int") + 1)),
-        F.when(F.coalesce(title, F.lit("")) != "", page_normal(F.concat(title, F.lit(" "), content))),
-    )
-    return F.filter(F.array_distinct(F.array_compact(found)), lambda x: x != "")
-
-
-def gram_hashes(text: str, n: int) -> np.ndarray:
-    """The set of a text's ``n``-character substrings without blanks, as 64-bit hashes; none for a shorter text."""
-    points = np.frombuffer("".join(text.split()).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(points) < n:
-        return np.empty(0, np.uint64)
-    h = np.zeros(len(points) - n + 1, np.uint64)
+    lines = (x.strip() for x in content.split("\n"))
+    prose = [x for x in lines if x and not x.startswith(("|", "#", "- "))]
+    if prose:
+        yield page_normal(" ".join(prose[:3]))
+    if len(prose) > 6:
+        yield page_normal(" ".join(prose[len(prose) // 2 :][:3]))
+    if title:
+        yield page_normal(f"{title} {content}")
+
+
+def gram_sets(texts: list[str], n: int) -> list[np.ndarray]:
+    """The sorted set of each text's ``n``-character substrings without blanks, as 64-bit hashes; none for a shorter text."""
+    bare = ["".join(t.split()) for t in texts]
+    points = np.frombuffer(("".join(bare) + "\0" * n).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, bare), np.int64, len(bare))
+    ends = np.cumsum(sizes)
+    starts, lasts = ends - sizes, ends - np.minimum(sizes, n - 1)
+    h = np.zeros(len(points) - n, np.uint64)
     for i in range(n):
-        h = (h ^ points[i : len(points) - n + 1 + i]) * SPREAD
+        h = (h ^ points[i : i + len(h)]) * SPREAD
         h ^= h >> np.uint64(29)
-    h.sort()
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
-
-
-def document_pages(pages: list[tuple[int, str]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Page numbers in order, all grams of the pages sorted, and the page each stands on."""
-    pages = sorted(pages)
-    grams = [gram_hashes(t, n) for _, t in pages]
-    flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    return np.array([no for no, _ in pages], np.int64), flat[order], np.repeat(np.arange(len(pages)), [len(g) for g in grams])[order]
-
-
-def page_hits(grams: np.ndarray, flat: np.ndarray, page: np.ndarray, n_pages: int) -> np.ndarray:
-    """How many of some different grams each page has."""
-    low, high = np.searchsorted(flat, grams, "left"), np.searchsorted(flat, grams, "right")
-    size = high - low
-    at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return np.bincount(page[at], minlength=n_pages)
-
-
-def found_pages(chunks: list[dict], pages: list[tuple[int, str]], n: int, per_cent: int, reach: int, tail_per_cent: int) -> Iterator[tuple]:
-    """(chunk, page_start, page_end) of the chunks of a document that a page matches."""
-    numbers, flat, page = document_pages(pages, n)
-    where = {int(no): i for i, no in enumerate(numbers)}
-    for c in chunks:
-        start = None
-        for text in c["anchors"]:
-            grams = gram_hashes(text, n)
-            if len(text) < 20 or len(grams) < 4:
-                continue
-            hits = page_hits(grams, flat, page, len(numbers))
-            best = int(hits.argmax()) if len(hits) else 0
-            if len(hits) and hits[best] * 100 >= len(grams) * per_cent and hits[best]:
-                start = int(numbers[best])
-                break
-        if start is None:
-            continue
-        end, grams = start, gram_hashes(c["tail"], n)
-        if len(c["tail"]) >= 40 and len(grams) >= 5:
-            hits = page_hits(grams, flat, page, len(numbers))
-            while end < min(start + reach, len(numbers)) and end + 1 in where and hits[where[end + 1]] * 100 >= len(grams) * tail_per_cent:
-                end += 1
-        yield c["chunk"], start, end
-
-
-def gram_sets(rows: DataFrame, keep: list[str], n: int) -> DataFrame:
-    """The kept columns and ``grams``, the set of ``n``-grams of ``text``."""
-    schema = T.StructType([rows.schema[c] for c in keep] + T.StructType.fromDDL("grams array<long>").fields)
-    target = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                grams = [gram_hashes(t or "", n).view(np.int64) for t in part.column("text").to_pylist()]
-                arrays = [part.column(c) for c in keep] + [pa.array(grams, target.field("grams").type)]
-                yield pa.RecordBatch.from_arrays(arrays, names=target.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def rare_first(texts: DataFrame, page: DataFrame, per_cent: int) -> DataFrame:
-    """``texts`` with ``need``, the least number of shared grams that counts, and ``present``, their grams on any page of the document, rare ones first."""
-    common = page.select("doc_id", F.explode("grams").alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    need = F.greatest(F.ceil(F.size("grams") * per_cent / 100), F.lit(1)).alias("need")
-    asked = texts.select("doc_id", "row", "a", need, F.explode("grams").alias("gram")).join(common, ["doc_id", "gram"])
-    own = asked.groupBy("doc_id", "row", "a", "need").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))  # a text's
-    return own.where("size(g) >= need").select("doc_id", "row", "a", "need", F.col("g.gram").alias("present"))
-
-
-def best_pages(asked: DataFrame, page: DataFrame, first: int, growth: int = 4) -> DataFrame:
-    """(row, a, page_no): for each text of ``rare_first`` the page with most of its grams, if these are enough.
-
-    Each round looks up a longer stretch of the rarest grams and counts the best page in full. A text is settled when no
-    other page can have as many: one that shares ``c`` of the ``k`` grams looked up has at most ``c`` and those left.
+    for a, b in zip(starts.tolist(), lasts.tolist(), strict=True):
+        h[a:b].sort()
+    kept = np.concatenate((h[:1] == h[:1], h[1:] != h[:-1]))
+    kept[starts[starts < lasts]] = True
+    for i in range(1, n):  # grams that reach into the next text
+        kept[(ends - i)[sizes >= i]] = False
+    flat, after = h[kept], np.concatenate(([0], np.cumsum(kept)))
+    return [flat[a:b] for a, b in zip(after[starts].tolist(), after[ends].tolist(), strict=True)]
+
+
+def many_gram_sets(texts: list[str], n: int) -> list[np.ndarray]:
+    """``gram_sets`` of any number of texts, some at once."""
+    out: list[np.ndarray] = []
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size > HASHED:
+            out += gram_sets(held, n)
+            held, size = [], 0
+    return out + gram_sets(held, n) if held else out
+
+
+class PageIndex:
+    """An inverted index of the grams of some pages, in order."""
+
+    def __init__(self, numbers: list[int], sets: list[np.ndarray]) -> None:
+        self.numbers, self.sets = numbers, sets
+        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        order = np.argsort(flat)
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate((flat[:1] == flat[:1], flat[1:] != flat[:-1])))
+        self.grams, self.first = flat[first], np.append(first, len(flat))
+        self.page = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+
+    def counted(self, at: np.ndarray) -> np.ndarray:
+        """How many of some grams of the index each page has."""
+        low = self.first[at]
+        size = self.first[at + 1] - low
+        places = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.page[places], minlength=len(self.sets))
+
+    def best(self, grams: np.ndarray, need: int) -> tuple[int, int] | None:
+        """How many grams the page with most of them has, and the first such page, if these are enough.
+
+        Where grams are on many pages, rare ones are asked first. A page with ``low`` of the ``p`` grams that are on any page
+        has one of any ``p - low + 1``, so that as soon as a page with ``low`` is known few others can be better.
+        """
+        at = np.minimum(np.searchsorted(self.grams, grams), max(len(self.grams) - 1, 0))
+        at = at[self.grams[at] == grams] if len(self.grams) else at[:0]
+        p = len(at)
+        if p < need:
+            return None
+        often = self.first[at + 1] - self.first[at]
+        total = int(often.sum())
+        if total > FEW:
+            order = np.argsort(often, kind="stable")
+            at, seen = at[order], np.cumsum(often[order])
+            k = max(int(np.searchsorted(seen, FEW // 8, "right")), 1)
+            c = self.counted(at[:k])
+            page = int(c.argmax())
+            hits = shared(grams, self.sets[page])
+            low = max(hits, need)
+            if p - low + 1 > k:
+                k = p - low + 1
+                c = self.counted(at[:k])
+            rivals = np.flatnonzero(c >= max(low - (p - k), 1))
+            if len(rivals) * 1000 < total:  # else counting all costs less than looking at so many
+                for i in rivals[np.argsort(-c[rivals], kind="stable")].tolist():
+                    if c[i] + p - k < hits:
+                        break
+                    own = shared(grams, self.sets[i])
+                    if own > hits or (own == hits and i < page):
+                        hits, page = own, i
+                return (hits, page) if hits >= need else None
+        c = self.counted(at)
+        page = int(c.argmax())
+        return (int(c[page]), page) if c[page] >= need else None
+
+
+def shared(few: np.ndarray, grams: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if not len(grams):
+        return 0
+    at = np.minimum(np.searchsorted(grams, few), len(grams) - 1)
+    return int(np.count_nonzero(grams[at] == few))
+
+
+def found_pages(
+    chunks: list[tuple[str | None, str | None]], pages: list[tuple[int, str, bool]], total: int, n: int, per_cent: int, reach: int, tail_per_cent: int, every: bool = False
+) -> Iterator[tuple[int, int, int, int, int]]:
+    """(chunk's place, anchor, hits, page_start, page_end) for the first anchor of a chunk that a page matches; with ``every`` for all such.
+
+    ``chunks`` are contents and titles. A page that isn't marked is none to start at. ``total`` is the number of the document's pages.
     """
-    index = page.select("doc_id", "page", "page_no", F.explode("grams").alias("gram"))
-    order = Window.partitionBy("row", "a").orderBy(F.desc("c"), "page_no", "page")
-    todo, found, k = written(asked, "asked"), [], first
-    while found == [] or not todo.isEmpty():
-        looked = todo.select("doc_id", "row", "a", F.explode(F.slice("present", 1, k)).alias("gram")).join(index, ["doc_id", "gram"])
-        two = looked.groupBy("row", "a", "page", "page_no").agg(F.count("*").alias("c")).withColumn("r", F.row_number().over(order)).where("r <= 2")
-        ranked = lambda r: F.max(F.when(F.col("r") == r, F.struct("c", "page_no", "page")))
-        led = todo.join(two.groupBy("row", "a").agg(ranked(1).alias("top"), ranked(2).alias("rival")), ["row", "a"])
-        held = led.withColumn("page", F.col("top.page")).join(page.select("page", "grams"), "page")
-        hits, left = F.size(F.array_intersect("present", "grams")), F.greatest(F.size("present") - k, F.lit(0))
-        reach = F.col("rival.c") + F.col("left")
-        beaten = F.col("rival").isNull() | (reach < F.col("hits")) | ((reach == F.col("hits")) & (F.col("rival.page_no") >= F.col("top.page_no")))
-        sure = (F.col("left") == 0) | ((F.col("left") < F.col("hits")) & beaten) | (F.col("top.c") + F.col("left") < F.col("need"))
-        state = held.withColumns({"hits": hits, "left": left}).select("doc_id", "row", "a", "need", "present", "hits", F.col("top.page_no").alias("page_no"), sure.alias("sure"))
-        state = written(state, "looked_up")
-        found.append(state.where("sure and hits >= need").select("row", "a", "page_no"))
-        todo, k = state.where("not sure").select("doc_id", "row", "a", "need", "present"), k * growth
-    return reduce(DataFrame.unionByName, found)
-
-
-def indexed_ranges(tried: DataFrame, texts: DataFrame, n: int, per_cent: int, reach: int, tail_per_cent: int, first: int = 8) -> DataFrame:
-    """``page_ranges`` for documents of any length: an inverted index of the pages' grams is asked for rare grams first.
-
-    ``tried`` has doc_id and ``c``, a chunk's number, anchors and tail. Pages and grams are rows that are shuffled, so that
-    no task holds more of a document than what shares a gram.
-    """
-    page = written(gram_sets(texts.withColumn("page", F.monotonically_increasing_id()), ["doc_id", "page_no", "page", "text"], n), "page_grams")
-    rows = written(tried.select("doc_id", "c.*").withColumn("row", F.monotonically_increasing_id()), "asking")
-    anchor = rows.select("doc_id", "row", F.posexplode("anchors").alias("a", "text")).where("length(text) >= 20")
-    asked = rare_first(gram_sets(anchor, ["doc_id", "row", "a"], n).where("size(grams) >= 4"), page, per_cent)
-    start = best_pages(asked, page, first).groupBy("row").agg(F.min_by("page_no", "a").alias("page_start"))
-    matched = written(rows.select("doc_id", "row", "chunk", F.col("tail").alias("text")).join(start, "row"), "matched")
-    tails = gram_sets(matched.where("length(text) >= 40"), ["doc_id", "row", "page_start"], n).where("size(grams) >= 5")
-    total = page.groupBy("doc_id").agg(F.count("*").alias("total"))
-    after = tails.join(total, "doc_id").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(reach)))).where("page_start + step <= total")
-    one = page.groupBy("doc_id", "page_no").agg(F.max_by("grams", "text").alias("on_page"))
-    near = after.withColumn("page_no", F.col("page_start") + F.col("step")).join(one, ["doc_id", "page_no"])
-    near = near.where(F.size(F.array_intersect("grams", "on_page")) * 100 >= F.size("grams") * tail_per_cent)
-    steps = near.groupBy("row").agg(F.array_sort(F.collect_set("step")).alias("s"))  # at most ``reach``
-    run = F.coalesce(F.size(F.filter("s", lambda x, i: x == i + 1)), F.lit(0))
-    return matched.join(steps, "row", "left").select("doc_id", "chunk", "page_start", (F.col("page_start") + F.when(F.col("s").isNull(), 0).otherwise(run)).alias("page_end"))
+    pages = sorted(pages)
+    sets = many_gram_sets([page_normal(t) for _, t, _ in pages], n)
+    own = [i for i, (_, _, home) in enumerate(pages) if home]
+    index = PageIndex([pages[i][0] for i in own], [sets[i] for i in own])
+    where = {no: x for (no, _, _), x in zip(pages, sets, strict=True)}
+    for at in range(0, len(chunks), 256):
+        part = [(content or "", title) for content, title in chunks[at : at + 256]]
+        firsts = [next(anchors(*c), "") for c in part]
+        tails = [page_normal(content)[-150:] if reach else "" for content, _ in part]
+        hashed = many_gram_sets(firsts + tails, n)
+        for i, c in enumerate(part):
+            ends = None
+            for a, text in enumerate(anchors(*c)):
+                if len(text) < 20:
+                    continue
+                grams = hashed[i] if a == 0 else gram_sets([text], n)[0]
+                if len(grams) < 4:
+                    continue
+                best = index.best(grams, max(-(-len(grams) * per_cent // 100), 1))
+                if best is None:
+                    continue
+                start = index.numbers[best[1]]
+                if ends is None:
+                    tail = hashed[len(part) + i]
+                    ends = tail if len(tails[i]) >= 40 and len(tail) >= 5 else tail[:0]
+                end = start
+                while len(ends) and end < min(start + reach, total) and end + 1 in where and shared(ends, where[end + 1]) * 100 >= len(ends) * tail_per_cent:
+                    end += 1
+                yield at + i, a, best[0], start, end
+                if not every:
+                    break
+
+
+def blocks_of(texts: DataFrame, chunks: DataFrame, block_chars: int) -> DataFrame:
+    """(doc_id, total, lows, parts) of documents with over ``block_chars`` of pages or chunks: where blocks of pages start, and the number of parts of the chunks."""
+    by_page = texts.groupBy("doc_id", "page_no").agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("k"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("page_no")) - F.col("n")  # a small row for each page
+    starts = by_page.withColumn("b", F.floor(before / block_chars)).groupBy("doc_id", "b").agg(F.min("page_no").alias("low"), F.sum("k").alias("k"))
+    lows = starts.groupBy("doc_id").agg(F.sum("k").alias("total"), F.array_sort(F.collect_list("low")).alias("lows"))
+    size = chunks.groupBy("doc_id").agg(F.sum(F.length("content")).alias("n"))
+    parts = F.greatest(F.ceil(F.coalesce("n", F.lit(0)) / (2 * block_chars)), F.lit(1)).cast("int")
+    return lows.join(size, "doc_id").select("doc_id", "total", "lows", parts.alias("parts")).where("parts > 1 or size(lows) > 1")
 
 
 def page_ranges(
-    chunks: DataFrame, pages: DataFrame, n: int = 5, per_cent: int = 25, reach: int = 3, tail_per_cent: int = 20, task_chars: int = 1 << 22
+    chunks: DataFrame,
+    pages: DataFrame,
+    n: int = 5,
+    per_cent: int = 25,
+    reach: int = 3,
+    tail_per_cent: int = 20,
+    task_chars: int = 1 << 22,
+    block_chars: int = 1 << 22,
 ) -> DataFrame:
     """(doc_id, chunk, page_start, page_end) of the chunks that a page matches.
 
     ``chunks`` has doc_id, chunk, content and section_title. The first anchor that shares ``per_cent``
     of its grams with a page decides; of equal pages the first wins. Up to ``reach`` more pages
     follow while each shares enough of the chunk's tail. A document's pages and chunks meet in one
-    row and are compared there, so that a chunk and a page are moved once each, and not their grams;
-    one with over ``task_chars`` characters of pages and chunks is dealt out by page and gram instead (``indexed_ranges``).
+    row and are compared there, so that a chunk and a page are moved once each, and not their grams.
+    One with over ``task_chars`` characters of pages and chunks is dealt out: each block of ``block_chars`` of its pages
+    (and the ``reach`` pages after it) meets each part of twice as much of its chunks in a row, and of the pages that
+    blocks find for a chunk the best one is taken.
 
     Null ids match nothing. Repeated chunk numbers are matched each. A null or empty content has no
     anchor but the title with it. Other columns are ignored.
     """
-    normal = page_normal(F.coalesce("content", F.lit("")))
-    tail = F.when(F.length(normal) > 150, F.substring(normal, -150, 150)).otherwise(normal)
-    tried = chunks.select("doc_id", F.struct("chunk", anchors(F.coalesce("content", F.lit("")), F.col("section_title")).alias("anchors"), tail.alias("tail")).alias("c"))
-    schema = T.StructType([tried.schema["doc_id"], T.StructField("chunk", chunks.schema["chunk"].dataType), *T.StructType.fromDDL("page_start int, page_end int").fields])
-    target = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                d, own, text = (batch.column(c)[i].as_py() for c in ("doc_id", "chunks", "pages"))
-                found = found_pages(own, [(p["page_no"], p["text"]) for p in text], n, per_cent, reach, tail_per_cent)
-                rows += [(d, *x) for x in found]
-            columns = list(zip(*rows, strict=True)) or [[]] * len(target)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, target, strict=True)], names=target.names)
-
-    def in_one_row(tried: DataFrame, texts: DataFrame) -> DataFrame:
-        held = tried.groupBy("doc_id").agg(F.collect_list("c").alias("chunks"))  # a document's
-        held_pages = texts.groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "text")).alias("pages"))
-        return held.join(held_pages, "doc_id").select("doc_id", "chunks", "pages").mapInArrow(run, schema)
-
-    texts = page_texts(pages)
+    asked = chunks.select("doc_id", "chunk", "content", "section_title").where("doc_id is not null")
+    texts = page_texts(pages).where("doc_id is not null")
+    schema = T.StructType([asked.schema["doc_id"], asked.schema["chunk"], *T.StructType.fromDDL("page_start int, page_end int").fields])
+    merging = T.StructType([*schema.fields, *T.StructType.fromDDL("same long, copy int, a int, hits long").fields])
+
+    def compared(rows: DataFrame, every: bool) -> DataFrame:
+        target = to_arrow_schema(merging if every else schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    doc, total = (batch.column(c)[i].as_py() for c in ("doc_id", "total"))
+                    own, text = (batch.column(c)[i].values for c in ("chunks", "pages"))
+                    content, title = (own.field(c).to_pylist() for c in ("content", "section_title"))
+                    held = list(zip(*(text.field(c).to_pylist() for c in ("page_no", "text", "home")), strict=True))
+                    found = list(found_pages(list(zip(content, title, strict=True)), held, len(held) if total is None else total, n, per_cent, reach, tail_per_cent, every))
+                    place, a, hits, start, end = zip(*found, strict=True) if found else [()] * 5
+                    columns = [[doc] * len(place), own.field("chunk").take(pa.array(place, pa.int64())), start, end]
+                    if every:
+                        number: Counter = Counter()
+                        named = list(zip(own.field("chunk").to_pylist(), same := own.field("same").to_pylist(), strict=True))
+                        copies = [number.update([x]) or number[x] for x in named]
+                        columns += [[same[x] for x in place], [copies[x] for x in place], a, hits]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, (list, tuple)) else x for x, f in zip(columns, target, strict=True)], names=target.names)
+
+        return rows.select("doc_id", "chunks", "pages", "total").mapInArrow(run, merging if every else schema)
+
+    def in_one_row(asked: DataFrame, texts: DataFrame) -> DataFrame:
+        held = asked.groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "content", "section_title")).alias("chunks"))  # a document's
+        held_pages = texts.groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "text", F.lit(True).alias("home"))).alias("pages"))
+        return compared(held.join(held_pages, "doc_id").withColumn("total", F.lit(None).cast("long")), every=False)
+
+    def dealt(asked: DataFrame, texts: DataFrame) -> DataFrame:
+        blocks = written(blocks_of(texts, asked, block_chars), "blocks")
+        keys = ["doc_id", "part", "block"]
+        upto = lambda c: F.sequence(F.lit(0), F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) - 1)
+        # The block whose pages begin last at or before a number; a document without blocks is one.
+        holding = lambda no: F.coalesce(F.greatest(F.size(F.filter("lows", lambda x: x <= no)) - 1, F.lit(0)), F.lit(0))
+        same = F.xxhash64("content", F.lit(0), "section_title")
+        number = F.pmod(F.xxhash64("chunk", "same"), F.coalesce("parts", F.lit(1))).cast("int")
+        asking = asked.withColumn("same", same).join(blocks, "doc_id", "left").withColumn("part", number).withColumn("block", F.explode(upto(F.size("lows"))))
+        placed = texts.join(blocks, "doc_id", "left").withColumn("own", holding(F.col("page_no"))).withColumn("part", F.explode(upto("parts")))
+        near = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda j: holding(F.col("page_no") - j)))
+        placed = placed.withColumn("block", F.explode(F.when(F.col("lows").isNull(), F.array(F.lit(0))).otherwise(near)))
+        tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few large rows aren't put into one task
+        held = asking.repartition(tasks, *keys).groupBy(keys).agg(F.collect_list(F.struct("chunk", "content", "section_title", "same")).alias("chunks"))
+        page = F.struct("page_no", "text", (F.col("own") == F.col("block")).alias("home"))
+        held_pages = placed.repartition(tasks, *keys).groupBy(keys).agg(F.collect_list(page).alias("pages"), F.first("total").alias("total"))
+        found = compared(held.join(held_pages, keys), every=True)
+        first = F.min_by(F.struct("page_start", "page_end"), F.struct("a", -F.col("hits"), "page_start"))
+        return found.groupBy("doc_id", "chunk", "same", "copy").agg(first.alias("p")).select("doc_id", "chunk", "p.page_start", "p.page_end")
+
+    if task_chars <= 0:
+        return dealt(asked, texts)
     sizes = pages.select("doc_id", F.length("text").alias("n")).unionByName(chunks.select("doc_id", F.length("content").alias("n")))
     large = written(sizes.groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") > task_chars).select("doc_id"), "large")
     if large.isEmpty():
-        return in_one_row(tried, texts)
-    of_large = indexed_ranges(*(x.join(large, "doc_id", "left_semi") for x in (tried, texts)), n, per_cent, reach, tail_per_cent)
-    of_others = in_one_row(*(x.join(large, "doc_id", "left_anti") for x in (tried, texts)))
-    return of_others.unionByName(of_large.select([F.col(f.name).cast(f.dataType) for f in schema]))
+        return in_one_row(asked, texts)
+    of_large = dealt(*(x.join(large, "doc_id", "left_semi") for x in (asked, texts)))
+    return in_one_row(*(x.join(large, "doc_id", "left_anti") for x in (asked, texts))).unionByName(of_large)
 
 
 def match_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, chunk, page_start): the best page of each chunk that has one."""
-    return page_ranges(chunks, pages).drop("page_end")
+    return page_ranges(chunks, pages, reach=0).drop("page_end")
 
 
 def attribute_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -513,7 +513,7 @@ def page_range(spark, sf_dir):
 @query(f"WITH {sql.RANGED} SELECT doc_id, chunk, page_start, page_end FROM rg")
 def page_range_indexed(spark, sf_dir):
     """The pages of every chunk by the index of grams, as for documents that don't fit in a task."""
-    return pages.page_ranges(inputs.chunks_of_docs(spark, sf_dir), inputs.pages_of_docs(spark, sf_dir), task_chars=0)
+    return pages.page_ranges(inputs.chunks_of_docs(spark, sf_dir), inputs.pages_of_docs(spark, sf_dir), task_chars=0, block_chars=1 << 16)
 
 
 @query(f"WITH {sql.RANGED} SELECT doc_id, chunk, section_title, page_start, page_end FROM ck LEFT JOIN rg USING (doc_id, chunk)")
