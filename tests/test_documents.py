@@ -380,6 +380,12 @@ def test_best_page_where_grams_are_common(monkeypatch):
             assert index.best(grams, need) == want
 
 
+def test_tables_with_spans_are_spread_over_tasks(spark, sf_dir):
+    tables = inputs.spanned_tables(spark, sf_dir)
+    assert tables.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tables.count() == inputs.table(spark, sf_dir, "customer").count()
+
+
 def test_whole_preparation_round_trip(spark, tmp_path):
     folder = tmp_path / "in" / "acme"
     folder.mkdir(parents=True)

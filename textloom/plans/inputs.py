@@ -122,7 +122,9 @@ SPANNED = (
 
 def spanned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, html): for each customer one of six tables with spans, notes, one column, repeated words, blanks, or spans past the end."""
-    customer = table(spark, sf_dir, "customer")
+    # Small rows with much work each: a file of a few megabytes, which a task would read alone, is spread over all.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(tasks)
     kind, html = F.col("c_custkey") % len(SPANNED), F.lit("")
     for k, (head, tail) in enumerate(SPANNED):
         html = F.when(kind == k, F.concat(F.lit(f"<table>{head}"), "c_name", F.lit(f"{tail}</table>"))).otherwise(html)
