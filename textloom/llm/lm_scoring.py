@@ -46,6 +46,8 @@ LEVELS = 40
 CELLS = 1 << 16
 #: Counts merged at once.
 PENDING = 1 << 21
+#: Bytes of training text for a shard, which keep what a task holds as it is however large the corpus.
+SHARD_TEXT = 1 << 23
 #: Bytes of text counted and scored at once; a filter part is loaded for each portion.
 SLICE = 6 << 20
 PORTION = 1 << 24
@@ -292,10 +294,11 @@ class Model:
         return FilterPart(bits, low * width, high * width, self.probes)
 
 
-def train_lm(train: DataFrame, bits_per_entry: int = 10, probes: int = 3, shard_partitions: int = 2) -> Model:
+def train_lm(train: DataFrame, bits_per_entry: int = 10, probes: int = 3, shard_text: int = SHARD_TEXT) -> Model:
     """Count all n-grams of ``train`` (text) and build the filter."""
-    # Shards follow the number of input partitions, so that what one of them holds stays as it is.
-    shards = min(max(power_of_two(shard_partitions * train.rdd.getNumPartitions()), 16), 1 << 14)
+    # Shards follow the bytes of text and not the input's partitions, which compressed files have few of.
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = min(max(power_of_two(-(-size // shard_text)), 16), 1 << 14)
     merged = cut(merged_counts(ngram_counts(train, shards), shards))
     counts = merged.where("kind = 1").select(F.explode(F.arrays_zip("tokens", "n")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.n").alias("c"))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
