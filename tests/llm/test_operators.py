@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from textloom.llm import (
+    common,
     decontaminate,
     line_dedup,
     lm_scoring,
@@ -348,6 +349,29 @@ def test_near_dedup(spark, docs, rows, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_near_dedup_takes_candidates_from_fingerprints(spark):
+    """Texts within three bits that share no band key are compared too; the similarity decides."""
+    random.seed(10)
+    base = [f"w{random.randrange(10**6)}" for _ in range(6000)]
+    texts = [(0, base), (1, [*base, "more"]), (2, [f"w{random.randrange(10**6)}" for _ in range(6000)])]
+    keyed = common.with_row_key(spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string"))
+    nodes = near_dedup.sketches(keyed, 5, 8, 50).withColumn("keys", F.array(F.col("node")))  # no two share one
+    named = {r.node: (r.doc_id, r.fp) for r in nodes.collect()}
+    assert all(fp & (1 << 64) - 1 == simhash.fingerprint(" ".join(texts[d][1]).encode(), 3) for d, fp in named.values())
+    groups = {named[r.node][0]: r.component for r in near_dedup.candidate_groups(nodes).collect()}
+    assert set(groups) == {0, 1} and groups[0] == groups[1]
+
+
+def test_lm_shards_follow_the_text(spark):
+    """A corpus in one partition has as many shards as its bytes ask for; the filter doesn't depend on them."""
+    random.seed(15)
+    texts = [" ".join(f"w{random.randrange(2000)}" for _ in range(200)) for _ in range(60)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    few, many = lm_scoring.train_lm(train), lm_scoring.train_lm(train, shard_text=500)
+    assert few.shards == 16 and many.shards >= sum(map(len, texts)) // 500
+    assert few.n_bits == many.n_bits and (few.part(0, few.shards).bits == many.part(0, many.shards).bits).all()
+
+
 @pytest.mark.parametrize("head", [20, 1 << 18])
 def test_lm_scoring(docs, rows, empty, head):
     tokens = [[*(x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode())), None] for r in rows]
