@@ -236,12 +236,12 @@ def page_ranges(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i in range(batch.num_rows):
+                for i in range(batch.num_rows):  # ``total`` is null where the row holds all pages of its document
                     doc, total = (batch.column(c)[i].as_py() for c in ("doc_id", "total"))
                     own, text = (batch.column(c)[i].values for c in ("chunks", "pages"))
                     content, title = (own.field(c).to_pylist() for c in ("content", "section_title"))
                     held = list(zip(*(text.field(c).to_pylist() for c in ("page_no", "text", "home")), strict=True))
-                    found = list(found_pages(list(zip(content, title, strict=True)), held, len(held) if total is None else total, n, per_cent, reach, tail_per_cent, every))
+                    found = list(found_pages(list(zip(content, title, strict=True)), held, len(held) if total is None else total, n, per_cent, reach, tail_per_cent, every and total is not None))
                     place, a, hits, start, end = zip(*found, strict=True) if found else [()] * 5
                     columns = [[doc] * len(place), own.field("chunk").take(pa.array(place, pa.int64())), start, end]
                     if every:
