@@ -308,6 +308,19 @@ def test_pages(spark):
     assert got[1][0] == 3 and got[2][0] in (4, 5) and got[4] == (None, None)
 
 
+def test_pages_of_a_long_text_cost_linear_time(spark):
+    odd = ["", None, "x" * 1000, "y" * 1001, "續𝒳\r\n\u2028\x85 " * 500, "\n" * 2500, "𝒳" * 1500 + "é" * 700]
+    got = inputs.paged(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()
+    wanted = {(i, at // 1000 + 1, x and x[at : at + 1000]) for i, x in enumerate(odd) for at in range(0, max(len(x or ""), 1), 1000)}
+    assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
+    for n in (1_000, 500_000):  # the first is a warm-up
+        long = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é line\n續 "), n).alias("text"))
+        start = time.perf_counter()
+        row = inputs.paged(long).agg(F.count("*"), F.sum(F.length("text")), F.bit_xor(F.xxhash64("page_no", "text"))).first()
+    assert time.perf_counter() - start < 6
+    assert tuple(row)[:2] == (4_500, 4_500_000)
+
+
 def test_pages_of_long_documents_by_the_index(spark):
     pool = [f"sentence {i * 31 % 97} of topic {i * 7 % 23} and of number {i}" for i in range(300)]
     page_rows = [(d, i + 1, " ".join(pool[i * 5 : i * 5 + 5])) for d in (1, 2) for i in range(60)]

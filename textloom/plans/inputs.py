@@ -177,8 +177,9 @@ def pages_of_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paged(docs: DataFrame) -> DataFrame:
-    at = F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / 1000).cast("int"))
-    return docs.select("doc_id", "text", F.explode(at).alias("i")).select("doc_id", (F.col("i") + 1).alias("page_no"), F.expr("substring(text, i * 1000 + 1, 1000)").alias("text"))
+    # One pass over the text: finding the i-th character of a string costs i steps, for each page anew. Possessive, so that nothing is kept to go back to.
+    cut = F.when(F.length("text") > 0, F.regexp_extract_all("text", F.lit(r"(?s).{1,1000}+"), F.lit(0))).otherwise(F.array("text"))
+    return docs.select("doc_id", F.posexplode(cut).alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("page_no"), "text")
 
 
 def chunks_of_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
