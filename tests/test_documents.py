@@ -463,6 +463,36 @@ def test_page_files_split_anywhere(spark, tmp_path):
     assert after == before
 
 
+def test_page_files_are_read_once(spark, tmp_path, monkeypatch):
+    """Files read whole give what lines ended by form feeds give, from one scan and without a shuffle."""
+    mark, pool = b"\xef\xbb\xbf", [b"", b"\f", b"\f\f", b"a", b"a\f", b"a\fb", b"a\r\f\nb\r\n\f\r", b"\0\f\0", b" \f\n\f", b"\r\r\n\f\n\r"]
+    bodies = [*pool, *pool, *(mark + x for x in pool), mark + mark + b"a", b"a\f" + mark + b"b", mark[:2], mark[:2] + b"\f" + mark[2:]]
+    bad = (b"\xe4", b"\xe4\xbd", b"\xf0\x9f\x98", b"\x80", b"\xff\xfe", b"\xed\xa0\x80")
+    bodies += [y for x in bad for y in (x, x + b"\f", x + b"\fz", b"q" + x + b"\f" + x)]
+    bodies += [b"\f".join(b"%d of many pages" % i for i in range(k)) for k in (200, 900)]
+    for i, x in enumerate(bodies):
+        (tmp_path / f"file={i} +% \u00fc").mkdir()
+        (tmp_path / f"file={i} +% \u00fc" / "part.txt").write_bytes(x)
+        (tmp_path / f"file={i} +% \u00fc" / "part.csv").write_bytes(b"no\f")
+    (tmp_path / "none").mkdir()
+    read = lambda base=tmp_path: files.read_pages(spark, str(base))
+    plan = lambda: read()._jdf.queryExecution().executedPlan().toString()
+    whole = read().collect()
+    assert plan().count("FileScan") == 1 and "Exchange" not in plan()
+    of = {i: [r.text for r in sorted(whole, key=lambda r: r.page_no) if f"/file={i} +% ü/" in r.path] for i in range(len(bodies))}
+    for i, x in enumerate(bodies):
+        pages = x.removeprefix(mark).decode(errors="replace").replace("\r\n", "\n").replace("\r", "\n").split("\f")
+        # What replaces bad bytes is Java's, so only the pages are counted there.
+        wanted = pages[: None if pages[-1] else -1]
+        assert len(of[i]) == len(wanted) and ("\ufffd" in "".join(pages) or of[i] == wanted)
+    assert len(whole) == len({(r.path, r.page_no) for r in whole}) == len({(r.doc_id, r.page_no) for r in whole})
+    # By blocks all, then the two long ones, then one.
+    for most, blocks in ((0, True), (2_000, True), (8_000, True), (1 << 20, False)):
+        monkeypatch.setattr(files, "WHOLE", most)
+        assert in_rows(read()) == sorted(map(tuple, whole), key=repr) and ("Exchange" in plan()) == blocks
+    assert read(tmp_path / "none").count() == 0
+
+
 def test_outputs_are_published_whole(spark, tmp_path):
     import os
 

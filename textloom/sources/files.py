page_files: files of pages are read once, without a shuffle or join

Symptom: reading the page files back scanned all of them twice and shuffled and sorted every page's text, only to number the pages.
Evidence: over 0.51 GB the read took a scan of 256,410 pages that wrote 570 MB of shuffle (18 and 17 CPU seconds in two runs), a second scan of the same pages for counts (6 and 7) and a sort-merge join on (path, block); rows read 769,230, shuffle 1,135 MB, 126 and 138 CPU seconds a GB, disk 2.92 x input, executor 1,624 and 1,621 MB at most (1,632 and 1,629 over 0.10 GB).
Fix: read_pages reads files of up to 1 MB (or maxPartitionBytes, if less) whole and numbers pages where it cuts them; only longer files still go by blocks with joined counts, and the folder is listed a second time only if there is one.
Effect: at 1 GB of input CPU 727 -> 621 s, shuffle 2.17 -> 1.07 GB, spill 0.00 -> 0.00 GB, read 4.18 -> 2.57 GB, longest task 11 -> 13 s, most memory of a task 102 -> 102 MB; at 6 GB of input CPU 2457 -> 2283 s, shuffle 13.17 -> 6.53 GB, spill 0.00 -> 0.00 GB, read 25.40 -> 15.64 GB, longest task 21 -> 18 s, most memory of a task 102 -> 102 MB; with hot keys, at 1 GB of input CPU 439 -> 386 s, shuffle 0.40 -> 0.20 GB, spill 0.00 -> 0.00 GB, read 0.86 -> 0.52 GB, longest task 10 -> 10 s, most memory of a task 35 -> 35 MB.

@@ -17,6 +17,8 @@ from ..operators.chunks import CHUNK, chunk_records, review_rows
 
 #: Fixed list: folder names that are no company.
 NO_COMPANY = ("output", "input", "data", "md", "markdown", "docs")
+#: Bytes up to which a file of pages is read whole. A task holds some ten times that while it cuts one.
+WHOLE = 1 << 20
 
 
 def split_path(path: Column, base: str) -> dict[str, Column]:
@@ -51,22 +53,47 @@ def read_pages(spark: SparkSession, base: str) -> DataFrame:
     """(doc_id, path, page_no, text) of every page of the .txt files below ``base``; a form feed ends a page.
 
     ``doc_id`` is that of the .md file of the same name beside it. Pages are numbered from 1, blank ones too; what follows the
-    last form feed is a page if it isn't empty. A long file is read by many tasks, each from the first page that starts in
-    its block, so pages are numbered within their block and moved on by the pages of the blocks before: small counts are
-    joined, and no page is sorted or shuffled for its number. The files are read twice for that.
+    last form feed is a page if it isn't empty. Files of up to ``WHOLE`` bytes, or of a split if those are smaller, are read
+    once, whole, and numbered where they are cut. Others are read by blocks (``block_pages``).
+    """
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size, most = F.col("_metadata.file_size"), min(WHOLE, split)
+    below = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.txt")
+    files = below.format("binaryFile").load(base)
+    # Files of another size are left out by the listing, not opened; the folder is listed again only if there is a large one.
+    found = whole_pages(files.where(size.between(1, most)))
+    if not files.where(size > most).select("path").isEmpty():
+        found = found.unionByName(block_pages(below.text(base, lineSep="\f").where(size > most)))
+    return found.select(
+        F.xxhash64(F.regexp_replace("path", r"\.txt\z", ".md")).alias("doc_id"), decoded(F.col("path")).alias("path"), "page_no", F.regexp_replace("text", "\r\n?", "\n").alias("text")
+    )
+
+
+def whole_pages(files: DataFrame) -> DataFrame:
+    """(path, page_no, text) of files, none of them empty, whose contents are read whole."""
+    value = F.col("content").cast("string")
+    # A byte order mark goes, as it does where Spark reads lines.
+    text = F.when(F.startswith(value, F.lit("\ufeff")), F.substring(value, 2, WHOLE)).otherwise(value)
+    held = files.select(F.col("_metadata.file_path").alias("path"), F.split(text, "\f").alias("pieces"))
+    last = F.size("pieces") - 1
+    pages = F.when(F.get("pieces", last) == "", F.slice("pieces", 1, last)).otherwise(F.col("pieces"))
+    return held.select("path", F.posexplode(pages).alias("i", "text")).select("path", (F.col("i") + 1).alias("page_no"), "text")
+
+
+def block_pages(lines: DataFrame) -> DataFrame:
+    """(path, page_no, text) of files read in lines that form feeds end.
+
+    A long file is read by many tasks, each from the first page that starts in its block, so pages are numbered within their
+    block and moved on by the pages of the blocks before: small counts are joined, and no file is brought together. The files
+    are read twice for that.
     """
     meta = F.col("_metadata")
-    found = spark.read.text(base, lineSep="\f", recursiveFileLookup=True, pathGlobFilter="*.txt").select(
-        F.regexp_replace("value", "\r\n?", "\n").alias("text"),
-        meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"),
-    )
+    found = lines.select(F.col("value").alias("text"), meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
     # Rows of a block follow each other in one task.
     blocks = found.groupBy("path", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     starts = blocks.select("path", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
-    return found.join(starts, ["path", "block"]).select(
-        F.xxhash64(F.regexp_replace("path", r"\.txt\z", ".md")).alias("doc_id"), decoded(F.col("path")).alias("path"), (F.col("row") + F.col("shift")).cast("int").alias("page_no"), "text"
-    )
+    return found.join(starts, ["path", "block"]).select("path", (F.col("row") + F.col("shift")).cast("int").alias("page_no"), "text")
 
 
 def company_of(path: Column) -> Column:
